@@ -242,7 +242,7 @@ def category_and_slug(t: Tables):
 @query(
     "b6_timestamps_and_days",
     "B6 B7",
-    """SELECT event_id, CASE WHEN event_id%4=0 THEN NULL WHEN event_id%4=1 THEN epoch_us(ts)-7200000000 ELSE epoch_us(ts) END AS micros,
+    """SELECT event_id, CASE WHEN event_id%4=0 THEN -1 WHEN event_id%4=1 THEN epoch_us(ts)-7200000000 ELSE epoch_us(ts) END AS micros,
       strftime(ts,'%Y-%m-%d') AS day, strftime(ts,'%Y-%m-%dT%H:%M:%S.%f')||'Z' AS iso FROM events""",
 )
 def timestamps_and_days(t: Tables):
@@ -253,7 +253,7 @@ def timestamps_and_days(t: Tables):
     )
     return t.events.select(
         "event_id",
-        F.unix_micros(S.parse_utc(F.concat(text, zone))).alias("micros"),
+        F.coalesce(F.unix_micros(S.parse_utc(F.concat(text, zone))), F.lit(-1)).alias("micros"),
         S.calendar_day("ts").alias("day"),
         S.iso_utc(F.unix_micros(F.col("ts").cast("timestamp")).cast("decimal(26,6)") / 1000000).alias("iso"),
     )
