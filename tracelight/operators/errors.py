@@ -124,68 +124,70 @@ def ambiguity_totals(groups: DataFrame) -> DataFrame:
     )
 
 
-def _means(rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Mean of every standardized feature per (actual, predicted): errors and correct rows at once."""
-    return rows.groupBy("actual", "predicted").agg(
+def _references(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Per transition and feature: mean over its errors and over the correct rows of both classes.
+
+    One grouped pass gives the means of errors and correct rows alike; the rest is a small table.
+    """
+    means = rows.groupBy("actual", "predicted").agg(
         F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(c) for c in features]
     )
+    long = means.unpivot(["actual", "predicted", "n"], list(features), "feature", "mean")
+    errors = long.where(is_error()).select(
+        "actual", "predicted", "feature", F.col("n").alias("error_count"), F.col("mean").alias("error_mean")
+    )
+    correct = long.where(~is_error())
+    for side, key in (("true", "actual"), ("predicted", "predicted")):
+        reference = correct.select(
+            F.col("actual").alias(key),
+            "feature",
+            F.col("n").alias(f"correct_{side}_count"),
+            F.col("mean").alias(f"{side}_mean"),
+        )
+        errors = errors.join(reference, [key, "feature"], "left")
+    return errors
 
 
 def drift_summary(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """Per transition: reference counts, status and distance of the error mean to both class means."""
-    joined = _with_references(_means(rows, features), features)
-    def norm(side: str) -> Column:
-        squares = [(F.col(c) - F.col(f"{side}_{c}")) ** 2 for c in features]
-        return F.sqrt(sum(squares[1:], squares[0]))
-
-    complete = F.col("t_n").isNotNull() & F.col("p_n").isNotNull()
-    return joined.select(
+    square = lambda side: (F.col("error_mean") - F.col(f"{side}_mean")) ** 2
+    summed = _references(rows, features).groupBy("actual", "predicted").agg(
+        F.max("error_count").alias("error_count"),
+        F.coalesce(F.max("correct_true_count"), F.lit(0)).alias("correct_true_count"),
+        F.coalesce(F.max("correct_predicted_count"), F.lit(0)).alias("correct_predicted_count"),
+        F.sqrt(F.sum(square("true"))).alias("_true"),
+        F.sqrt(F.sum(square("predicted"))).alias("_predicted"),
+    )
+    complete = (F.col("correct_true_count") > 0) & (F.col("correct_predicted_count") > 0)
+    return summed.select(
         "actual",
         "predicted",
-        F.col("n").alias("error_count"),
-        F.coalesce("t_n", F.lit(0)).alias("correct_true_count"),
-        F.coalesce("p_n", F.lit(0)).alias("correct_predicted_count"),
+        "error_count",
+        "correct_true_count",
+        "correct_predicted_count",
         F.when(complete, "analyzed").otherwise("insufficient-correct-reference-rows").alias("status"),
-        F.when(complete, norm("t")).alias("distance_to_true"),
-        F.when(complete, norm("p")).alias("distance_to_predicted"),
+        F.when(complete, F.col("_true")).alias("distance_to_true"),
+        F.when(complete, F.col("_predicted")).alias("distance_to_predicted"),
     )
 
 
-def _with_references(means: DataFrame, features: Sequence[str]) -> DataFrame:
-    errors = means.where(is_error())
-    correct = means.where(~is_error())
-    sides = {}
-    for side, key in (("t", "actual"), ("p", "predicted")):
-        renamed = [F.col(c).alias(f"{side}_{c}") for c in ("n", *features)]
-        sides[side] = correct.select(F.col("actual").alias(key), *renamed)
-    return errors.join(sides["t"], "actual", "left").join(sides["p"], "predicted", "left")
-
-
 def feature_drift(rows: DataFrame, features: Sequence[str]) -> DataFrame:
     """Per transition and feature: error mean, both reference means, and which one it is closer to."""
-    joined = _with_references(_means(rows, features), features).where(
-        F.col("t_n").isNotNull() & F.col("p_n").isNotNull()
-    )
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.col(c).alias("error_mean"),
-                F.col(f"t_{c}").alias("true_mean"),
-                F.col(f"p_{c}").alias("predicted_mean"),
-            )
-            for c in features
-        ]
-    )
-    long = joined.select("actual", "predicted", F.inline(cells))
+    known = _references(rows, features).where(
+        F.col("true_mean").isNotNull() & F.col("predicted_mean").isNotNull()
+    )
     to_true = F.abs(F.col("error_mean") - F.col("true_mean"))
     to_predicted = F.abs(F.col("error_mean") - F.col("predicted_mean"))
-    return long.withColumns(
-        {
-            "error_to_true": to_true,
-            "error_to_predicted": to_predicted,
-            "closeness_delta": to_true - to_predicted,
-        }
+    return known.select(
+        "actual",
+        "predicted",
+        "feature",
+        "error_mean",
+        "true_mean",
+        "predicted_mean",
+        to_true.alias("error_to_true"),
+        to_predicted.alias("error_to_predicted"),
+        (to_true - to_predicted).alias("closeness_delta"),
     )
 
 

@@ -65,16 +65,16 @@ def scaler_table(fitted: DataFrame, features: Sequence[str]) -> DataFrame:
     return fitted.select("training_rows", F.inline(rows))
 
 
-def _parameter(fitted: DataFrame, column: str) -> Column:
-    return fitted.select(column).scalar()
+def _parameters(fitted: DataFrame, *columns: str) -> Column:
+    """Fitted values as one struct, so that a plan holds one subquery per fitted table."""
+    return fitted.select(F.struct(*columns)).scalar()
 
 
 def standardize(rows: DataFrame, fitted: DataFrame, features: Sequence[str]) -> DataFrame:
     """(x - mean) / scale for every feature, other columns unchanged."""
-    mean, scale = _parameter(fitted, "mean"), _parameter(fitted, "scale")
-    with_parameters = rows.withColumns({"_mean": mean, "_scale": scale})
-    scaled = {c: (F.col(c) - F.col("_mean")[c]) / F.col("_scale")[c] for c in features}
-    return with_parameters.withColumns(scaled).drop("_mean", "_scale")
+    fit = F.col("_fit")
+    scaled = {c: (F.col(c) - fit["mean"][c]) / fit["scale"][c] for c in features}
+    return rows.withColumn("_fit", _parameters(fitted, "mean", "scale")).withColumns(scaled).drop("_fit")
 
 
 def _logged(rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -88,10 +88,9 @@ def _logged(rows: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def _clipped(rows: DataFrame, bounds: DataFrame, heavy: Sequence[str]) -> DataFrame:
-    low, high = _parameter(bounds, "low"), _parameter(bounds, "high")
-    marked = rows.withColumns({"_low": low, "_high": high})
-    clip = {c: F.greatest(F.least(F.col(c), F.col("_high")[c]), F.col("_low")[c]) for c in heavy}
-    return marked.withColumns(clip).drop("_low", "_high")
+    fit = F.col("_fit")
+    clip = {c: F.greatest(F.least(F.col(c), fit["high"][c]), fit["low"][c]) for c in heavy}
+    return rows.withColumn("_fit", _parameters(bounds, "low", "high")).withColumns(clip).drop("_fit")
 
 
 def quantile_bounds(
@@ -150,9 +149,9 @@ def apply_transform(
 def class_weights(train: DataFrame, strategy: str, label: str = "label") -> DataFrame:
     """Weight per training label: ``balanced``, ``sqrt-balanced`` or ``none``."""
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("row_count"))
-    total = counts.agg(F.sum("row_count")).scalar()
-    kinds = counts.agg(F.count(F.lit(1))).scalar()
-    balanced = total / (kinds * F.col("row_count"))
+    whole = counts.agg(F.struct(F.sum("row_count").alias("rows"), F.count(F.lit(1)).alias("classes")))
+    counts = counts.withColumn("_whole", whole.scalar())
+    balanced = F.col("_whole.rows") / (F.col("_whole.classes") * F.col("row_count"))
     weight = {
         "balanced": balanced,
         "sqrt-balanced": F.sqrt(balanced),
@@ -160,4 +159,4 @@ def class_weights(train: DataFrame, strategy: str, label: str = "label") -> Data
     }.get(strategy)
     if weight is None:
         raise ValueError(f"unknown class-weight strategy: {strategy}")
-    return counts.withColumn("weight", weight.cast("double"))
+    return counts.withColumn("weight", weight.cast("double")).drop("_whole")

@@ -23,12 +23,21 @@ def get_session(app: str = "tracelight", master: str | None = None, **conf: str)
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return prepare(builder.getOrCreate())
+
+
+# Merging scalar subqueries while stages are planned adaptively gave values that changed from run to
+# run in Spark 4.1.2, when the merged plan occurred more than once in a query.
+UNSAFE_RULE = "org.apache.spark.sql.catalyst.optimizer.MergeScalarSubqueries"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the one runtime setting results depend on: calendar arithmetic is in UTC."""
+    """Sets the runtime options results depend on: UTC calendar arithmetic, no subquery merging."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    excluded = spark.conf.get("spark.sql.optimizer.excludedRules", None) or ""
+    if UNSAFE_RULE not in excluded:
+        rules = ",".join(r for r in (excluded, UNSAFE_RULE) if r)
+        spark.conf.set("spark.sql.optimizer.excludedRules", rules)
     return spark
 
 
