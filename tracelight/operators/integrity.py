@@ -146,12 +146,15 @@ def verify_continuity(batches: DataFrame) -> DataFrame:
     )
 
 
-def verify_custody(events: DataFrame, core: dict[str, Column]) -> DataFrame:
-    """Sequence, predecessor and digest errors of one custody chain, per event."""
-    linked = predecessor(events, [], "sequence_number", ["event_hash"], "_before_")
+def verify_custody(
+    events: DataFrame, core: dict[str, Column], keys: Sequence[str] = ()
+) -> DataFrame:
+    """Sequence, predecessor and digest errors of custody chains, per event."""
+    linked = predecessor(events, keys, "sequence_number", ["event_hash"], "_before_")
     first = F.col("sequence_number") == 0
     expected = F.when(first, F.lit(GENESIS)).otherwise(F.col("_before_event_hash"))
     return linked.select(
+        *keys,
         "sequence_number",
         (first | F.col("_before_event_hash").isNotNull()).alias("sequence_valid"),
         F.coalesce(F.col("previous_event_hash") == expected, F.lit(False)).alias("predecessor_valid"),

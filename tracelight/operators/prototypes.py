@@ -178,6 +178,29 @@ def nearest_prototypes(
     )
 
 
+def nearest_per_model(
+    rows: DataFrame, prototypes: DataFrame, vector: str, model: str = "model_id"
+) -> DataFrame:
+    """Rows scored by every model of a prototype table (model, class, vector): one row per model.
+
+    The rows are spread over the model ids and meet the prototype list of their model in an equi-join.
+    """
+    lists = prototypes.where(F.col("vector").isNotNull()).groupBy(model).agg(
+        F.array_sort(F.collect_list(F.struct("class", "vector"))).alias("_list")
+    )
+    names = prototypes.agg(F.array_sort(F.collect_set(model))).scalar()
+    spread = rows.withColumn("_models", names).withColumn(model, F.explode("_models")).drop("_models")
+    ranked = spread.join(lists, model).withColumn(
+        "_best", F.get(_distances(F.col(vector), F.col("_list")), F.lit(0))
+    )
+    return ranked.select(
+        model,
+        *rows.columns,
+        F.col("_best.class").alias("nearest_class"),
+        F.col("_best.distance").alias("nearest_distance"),
+    )
+
+
 def class_rank(distances: Column | str, cls: Column | str) -> Column:
     """1-based place of a class among the sorted prototype distances."""
     distances = F.col(distances) if isinstance(distances, str) else distances

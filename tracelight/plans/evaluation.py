@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracelight.functions import scalars as S
 from tracelight.functions import vectors as V
 from tracelight.operators import errors as E
 from tracelight.operators import evaluation as M
@@ -475,15 +476,13 @@ def margin_histogram(t: Tables):
         "ruled",
         """SELECT count(DISTINCT window_id) AS record_count, count(*) FILTER (k=0) AS absent_count, count(*) FILTER (k=1) AS repeated_count,
       count(*) FILTER (k=2) AS label_mismatches, 0::BIGINT AS capture_id_mismatches, count(*) FILTER (k=3) AS connection_count_mismatches FROM
-      (SELECT *, row_number() OVER (ORDER BY window_id)%10 AS k FROM ruled WHERE actual<>predicted)""",
+      (SELECT *, ('0x'||substr(sha256('29:'||window_id),1,16))::UBIGINT%10 AS k FROM ruled WHERE actual<>predicted)""",
     ),
 )
 def error_record_checks(t: Tables):
-    from pyspark.sql import Window
-
     rows = ruled_rows(X.split_rows(t))
     compared = ["label", "capture_id", "connection_count"]
-    k = F.row_number().over(Window.orderBy("window_id")) % 10
+    k = S.hash_bucket(29, "window_id", 10)
     found = rows.where(E.is_error()).select("window_id", *compared, k.alias("k"))
     damaged = found.select(
         F.when(F.col("k") == 0, F.concat("window_id", F.lit("-gone"))).otherwise(F.col("window_id")).alias("window_id"),

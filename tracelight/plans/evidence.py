@@ -136,13 +136,10 @@ def continuity_counts(t: Tables):
 
 
 def custody_events(t: Tables):
-    """Conversation turns as custody events of one chain, in storage order of their ids."""
+    """Turns of a conversation as the events of one custody chain."""
     turns = t.conversations.select("conv_id", "turn", "role", F.sha2("text", 256).alias("object_sha256"))
-    place = F.row_number().over(Window.orderBy("conv_id", "turn", "role", "object_sha256")) - 1
-    return turns.withColumn("sequence_number", place)
-
-
-CUSTODY_CORE = ("action", "actor", "object", "sequence")
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "object_sha256")
+    return turns.withColumn("sequence_number", F.row_number().over(order) - 1)
 
 
 def custody_core():
@@ -154,31 +151,38 @@ def custody_core():
     }
 
 
+X.define(
+    "turns",
+    """SELECT *, conv_id*7+n AS k FROM (SELECT conv_id, role, object_sha256, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, object_sha256)-1 AS n FROM
+    (SELECT conv_id, turn, role, sha256(text) AS object_sha256 FROM conversations))""",
+)
+
+
 @query(
     "i3_custody_chain",
     "I3 W13",
-    """WITH ev AS (SELECT *, sha256('{"action":"'||role||'","actor":"conv-'||conv_id||'","object":"'||object_sha256||'","sequence":'||n||'}') AS h FROM
-      (SELECT *, row_number() OVER (ORDER BY conv_id, turn, role, object_sha256)-1 AS n FROM (SELECT conv_id, turn, role, sha256(text) AS object_sha256 FROM conversations)))
-    SELECT CAST(a.n AS INTEGER) AS sequence_number, a.n=0 OR (b.n IS NOT NULL) AS sequence_valid,
-      CASE WHEN a.n=0 THEN true WHEN b.n IS NULL THEN false ELSE a.n%19<>0 END AS predecessor_valid, a.n%23<>0 AS digest_valid
-    FROM (SELECT * FROM ev WHERE n%29<>28) a LEFT JOIN (SELECT * FROM ev WHERE n%29<>28) b ON b.n=a.n-1""",
+    with_parts(
+        "turns",
+        """SELECT a.conv_id, CAST(a.n AS INTEGER) AS sequence_number, a.n=0 OR b.n IS NOT NULL AS sequence_valid,
+      CASE WHEN a.n>0 AND b.n IS NULL THEN false ELSE a.k%19<>0 END AS predecessor_valid, a.k%23<>0 AS digest_valid
+    FROM (SELECT * FROM turns WHERE k%29<>28) a LEFT JOIN (SELECT * FROM turns WHERE k%29<>28) b ON b.conv_id=a.conv_id AND b.n=a.n-1""",
+    ),
 )
 def custody_chain(t: Tables):
-    n = F.col("sequence_number")
+    k = F.col("conv_id") * 7 + F.col("sequence_number")
     events = custody_events(t).withColumn("event_hash", S.object_digest(custody_core()))
-    linked = integrity.predecessor(events, [], "sequence_number", ["event_hash"])
-    wrong_link = (n % 19 == 0) & (n > 0)
+    linked = integrity.predecessor(events, ["conv_id"], "sequence_number", ["event_hash"])
     recorded = linked.withColumn(
         "previous_event_hash",
-        F.when(wrong_link, F.sha2("event_hash", 256)).otherwise(
+        F.when(k % 19 == 0, F.sha2("event_hash", 256)).otherwise(
             F.coalesce("previous_event_hash", F.lit(integrity.GENESIS))
         ),
-    ).where(n % 29 != 28)
+    ).where(k % 29 != 28)
     tampered = recorded.withColumn(
         "object_sha256",
-        F.when(n % 23 == 0, F.sha2("object_sha256", 256)).otherwise(F.col("object_sha256")),
+        F.when(k % 23 == 0, F.sha2("object_sha256", 256)).otherwise(F.col("object_sha256")),
     )
-    return integrity.verify_custody(tampered, custody_core())
+    return integrity.verify_custody(tampered, custody_core(), ["conv_id"])
 
 
 def monthly_rounds(t: Tables):

@@ -282,4 +282,6 @@ def with_parts(names: str, body: str) -> str:
     body = body.strip()
     if body.upper().startswith("WITH "):
         return f"WITH {clauses},\n{body[5:]}"
+    if body.startswith(","):
+        return f"WITH {clauses}{body}"
     return f"WITH {clauses}\n{body}"
