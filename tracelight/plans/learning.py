@@ -1 +1,259 @@
-"""Queries (to come)."""
+"""Queries on training, scoring and attribution."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tracelight.functions import vectors as V
+from tracelight.operators import errors as E
+from tracelight.operators import evaluation as M
+from tracelight.operators import runs as R
+from tracelight.operators import scoring, training, transforms, windows
+from tracelight.operators.ranking import exact_quantiles
+from tracelight.plans import standins as X
+from tracelight.plans.catalog import Tables, query
+from tracelight.plans.evaluation import WINDOW_CLASSES, ruled_scaled
+from tracelight.plans.standins import with_parts
+
+FEATURES = windows.FEATURES
+
+# Class means of the scaled training windows; their nearest-mean rule is a linear classifier.
+_UNPIVOT = "(UNPIVOT (SELECT window_id, capture_id, split, label, {cols} FROM scaled) ON {cols} INTO NAME feature VALUE x)".format(
+    cols=", ".join(FEATURES)
+)
+X.define("wlong", f"SELECT window_id, capture_id, split, label, feature, x FROM {_UNPIVOT}", "scaled")
+X.define("wcent", "SELECT label AS class, feature, avg(x) AS c FROM wlong WHERE split='train' GROUP BY 1,2", "wlong")
+X.define(
+    "wlogit",
+    "SELECT window_id, class, 2*sum(x*c)-sum(c*c) AS logit FROM wlong JOIN wcent USING (feature) GROUP BY 1,2",
+    "wlong wcent",
+)
+X.define(
+    "wprob",
+    "SELECT window_id, class, logit, e/sum(e) OVER (PARTITION BY window_id) AS p, row_number() OVER (PARTITION BY window_id ORDER BY logit DESC, class) AS r FROM (SELECT *, exp(logit-max(logit) OVER (PARTITION BY window_id)) AS e FROM wlogit)",
+    "wlogit",
+)
+X.define(
+    "wpred",
+    """SELECT window_id, min(class) FILTER (r=1) AS predicted, min(p) FILTER (r=1) AS confidence, min(p) FILTER (r=1)-min(p) FILTER (r=2) AS probability_margin, min(logit) FILTER (r=1) AS logit
+  FROM wprob GROUP BY 1""",
+    "wprob",
+)
+
+
+def class_mean_network(scaled):
+    train = scaled.where("split = 'train'").withColumn("vector", F.array(*FEATURES))
+    centers = V.mean_vector(
+        train.select(F.col("label").alias("class"), "vector"), ["class"], "vector", "vector", len(FEATURES)
+    )
+    return scoring.prototype_network(centers)
+
+
+@query(
+    "h2_batch_scoring",
+    "H2 B19",
+    with_parts(
+        "wpred",
+        "SELECT window_id, predicted, round(confidence,7) AS confidence, round(probability_margin,7) AS probability_margin FROM wpred",
+    ),
+)
+def batch_scoring(t: Tables):
+    scaled = X.scaled_rows(t)
+    out = scoring.score(scaled, class_mean_network(scaled), FEATURES, ["window_id"])
+    return out.select(
+        "window_id",
+        "predicted",
+        F.round("confidence", 7).alias("confidence"),
+        F.round("probability_margin", 7).alias("probability_margin"),
+    )
+
+
+@query(
+    "h3_gradient_times_input",
+    "H3 W2",
+    with_parts(
+        "wpred wcent wlong",
+        """, a AS (SELECT p.predicted AS class, w.window_id, w.feature, 2*c.c*w.x AS g FROM wlong w JOIN wpred p USING (window_id) JOIN wcent c ON c.class=p.predicted AND c.feature=w.feature),
+    s AS (SELECT class, feature, count(*) AS n, avg(g) AS m, avg(abs(g)) AS q FROM a GROUP BY 1,2 UNION ALL SELECT 'all', feature, count(*), avg(g), avg(abs(g)) FROM a GROUP BY 2)
+    SELECT k.class, coalesce(n,0) AS row_count, CASE WHEN k.class='all' OR n>=600 THEN 'reported' ELSE 'suppressed_below_minimum_group_size' END AS status,
+      coalesce(feature,'') AS feature, coalesce(round(m,6),0.0) AS mean_signed, coalesce(round(q,6),0.0) AS mean_absolute,
+      CAST(CASE WHEN feature IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY k.class ORDER BY q DESC, feature) END AS INTEGER) AS absolute_rank FROM
+    (SELECT unnest(['all','benign','click','error','multi_tactic','purchase','signup']) AS class) k LEFT JOIN
+    (SELECT class, CASE WHEN class='all' OR n>=600 THEN feature END AS feature, n, CASE WHEN class='all' OR n>=600 THEN m END AS m, CASE WHEN class='all' OR n>=600 THEN q END AS q
+       FROM s WHERE class='all' OR n>=600 OR feature='duration_mean') z USING (class)""",
+    ),
+)
+def gradient_times_input(t: Tables):
+    scaled = X.scaled_rows(t)
+    out = scoring.gradient_times_input(scaled, class_mean_network(scaled), FEATURES, 600)
+    return out.select(
+        "class",
+        "row_count",
+        "status",
+        F.coalesce("feature", F.lit("")).alias("feature"),
+        F.coalesce(F.round("mean_signed", 6), F.lit(0.0)).alias("mean_signed"),
+        F.coalesce(F.round("mean_absolute", 6), F.lit(0.0)).alias("mean_absolute"),
+        "absolute_rank",
+    )
+
+
+def training_baseline(scaled) -> list[float]:
+    """Coordinate median of the scaled training rows: one number per feature comes back."""
+    long = scaled.where("split = 'train'").select(*FEATURES).unpivot([], list(FEATURES), "feature", "value")
+    found = {
+        r["feature"]: r["quantile"]
+        for r in exact_quantiles(long, keys=["feature"], value="value", probabilities=[0.5]).collect()
+    }
+    return [found[f] for f in FEATURES]
+
+
+X.define("wbase", "SELECT feature, median(x) AS b FROM wlong WHERE split='train' GROUP BY 1", "wlong")
+X.define(
+    "wattr",
+    """SELECT w.window_id, w.split, w.feature, p.predicted, 2*c.c*(w.x-b.b) AS attribution FROM wlong w JOIN wpred p USING (window_id) JOIN wcent c ON c.class=p.predicted AND c.feature=w.feature JOIN wbase b ON b.feature=w.feature""",
+    "wlong wpred wcent wbase",
+)
+
+
+def stored_scaled(t: Tables, name: str):
+    """Scaled rows written once to the shared folder: training reads them many times."""
+    from tracelight.session import shared_directory
+
+    path = shared_directory(t.spark, name)
+    X.scaled_rows(t).select("window_id", "split", "label", *FEATURES).write.parquet(path)
+    return t.spark.read.parquet(path)
+
+
+def explained_rows(t: Tables, split: str, keep=("window_id",)):
+    scaled = stored_scaled(t, "explained")
+    network = class_mean_network(scaled)
+    rows = scaled.where(F.col("split") == split)
+    out = scoring.integrated_gradients(
+        rows, network, FEATURES, training_baseline(scaled), list(keep), initial_steps=16
+    )
+    classes = F.array(*[F.lit(c) for c in network.classes])
+    return out.withColumn("predicted", F.get(classes, F.col("target_index")))
+
+
+@query(
+    "h4_integrated_gradients",
+    "H4 G19",
+    with_parts(
+        "wattr",
+        """SELECT window_id, predicted, round(sum(attribution),6) AS attribution_sum, round(sum(attribution),6) AS logit_delta, true AS complete,
+      round(sum(attribution) FILTER (feature='duration_max'),6) AS duration_max, round(sum(attribution) FILTER (feature='service_dns_fraction'),6) AS service_dns FROM wattr WHERE split='test' GROUP BY 1,2""",
+    ),
+)
+def integrated_gradients(t: Tables):
+    out = explained_rows(t, "test")
+    at = lambda name: F.round(F.col("attributions")[FEATURES.index(name)], 6)
+    return out.select(
+        "window_id",
+        "predicted",
+        F.round("attribution_sum", 6).alias("attribution_sum"),
+        F.round("logit_delta", 6).alias("logit_delta"),
+        "complete",
+        at("duration_max").alias("duration_max"),
+        at("service_dns_fraction").alias("service_dns"),
+    )
+
+
+@query(
+    "w1_attribution_ranks",
+    "W1 W8 B20",
+    with_parts(
+        "wattr",
+        """SELECT window_id, r AS absolute_rank, round(abs(attribution),6) AS strength,
+      CASE WHEN attribution>0 THEN 'supports-target' WHEN attribution<0 THEN 'opposes-target' ELSE 'neutral' END AS direction FROM
+      (SELECT *, CAST(row_number() OVER (PARTITION BY window_id ORDER BY abs(attribution) DESC) AS INTEGER) AS r FROM wattr WHERE split='validation') WHERE r<=3""",
+    ),
+)
+def attribution_ranks(t: Tables):
+    out = explained_rows(t, "validation")
+    top = F.slice(scoring.ranked_attributions(FEATURES, "attributions"), 1, 3)
+    return out.select("window_id", F.inline(top)).select(
+        "window_id",
+        "absolute_rank",
+        F.round(F.abs("attribution"), 6).alias("strength"),
+        "direction",
+    )
+
+
+def _weighted(train):
+    weights = transforms.class_weights(train, "sqrt-balanced").select("label", "weight")
+    return train.join(weights, "label")
+
+
+@query("h1_central_classifier", "H1 F3")
+def central_classifier(t: Tables):
+    """Metrics per split of the weighted logistic and rectifier networks."""
+    rows = stored_scaled(t, "central")
+    train = _weighted(rows.where("split = 'train'"))
+    parts = []
+    logistic = training.fit_logistic(train, FEATURES, WINDOW_CLASSES, weight="weight", iterations=25)
+    network, _ = training.fit_network(
+        train, FEATURES, WINDOW_CLASSES, weight="weight", hidden=(32,), steps=15, learning_rate=0.05
+    )
+    for name, model in (("logistic", logistic), ("network", network)):
+        scored = scoring.score(rows, model, FEATURES, ["split", "label"])
+        out = M.evaluate(scored, WINDOW_CLASSES, ["split"], "label", "predicted")
+        parts.append(out.withColumn("classifier", F.lit(name)))
+    return parts[0].unionByName(parts[1])
+
+
+@query("h1_perceptron_classifier", "H1 F3")
+def perceptron_classifier(t: Tables):
+    rows = stored_scaled(t, "perceptron")
+    scored = training.score_perceptron(
+        rows.where("split = 'train'"), rows, FEATURES, WINDOW_CLASSES, hidden=(32,), iterations=25
+    )
+    return M.evaluate(scored, WINDOW_CLASSES, ["split"], "label", "predicted")
+
+
+@query("h5_transform_experiment", "H5 D23 W6")
+def transform_experiment(t: Tables):
+    """Three feature transforms with two penalties each, judged on the validation split."""
+    from tracelight.session import shared_directory
+
+    path = shared_directory(t.spark, "transforms")
+    X.split_rows(t).select("window_id", "split", "label", *FEATURES).write.parquet(path)
+    rows = t.spark.read.parquet(path)
+    train = rows.where("split = 'train'")
+    results = None
+    for mode in transforms.MODES:
+        fitted = transforms.fit_transform(train, FEATURES, mode)
+        ready = transforms.apply_transform(rows, FEATURES, mode, fitted)
+        ready.write.parquet(f"{path}-{mode}")
+        ready = t.spark.read.parquet(f"{path}-{mode}")
+        weighted = _weighted(ready.where("split = 'train'"))
+        for penalty in (1e-4, 1e-2):
+            model = training.fit_logistic(
+                weighted, FEATURES, WINDOW_CLASSES, weight="weight", iterations=10, penalty=penalty
+            )
+            validation = ready.where("split = 'validation'")
+            scored = scoring.score(validation, model, FEATURES, ["label"])
+            place = F.array_position(F.array(*[F.lit(c) for c in WINDOW_CLASSES]), F.col("label"))
+            loss = M.log_loss(scored, F.get("probabilities", place - 1)).select("log_loss").scalar()
+            run = M.evaluate(scored, WINDOW_CLASSES, [], "label", "predicted").select(
+                F.lit(mode).alias("variant"), F.col("macro_f1"), loss.alias("loss")
+            )
+            results = run if results is None else results.unionByName(run)
+    return R.run_summary(results, "variant", ["macro_f1", "loss"])
+
+
+@query("f11_pair_projection", "F11")
+def pair_projection(t: Tables):
+    """Two components of the most confused class pair: spread and count per class and correctness."""
+    rows = ruled_scaled(t)
+    pairs = E.bidirectional_pairs(E.transitions(rows))
+    top = pairs.orderBy(F.desc("error_count"), "first_class", "second_class").limit(1).collect()[0]
+    projected, explained = training.pair_projection(
+        rows, FEATURES, [top["first_class"], top["second_class"]]
+    )
+    return projected.groupBy("actual", E.is_error().alias("is_error")).agg(
+        F.count(F.lit(1)).alias("row_count"),
+        F.stddev_pop("component_1").alias("spread_1"),
+        F.stddev_pop("component_2").alias("spread_2"),
+        F.lit(explained[0]).alias("explained_1"),
+        F.lit(explained[1]).alias("explained_2"),
+    )
