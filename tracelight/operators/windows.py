@@ -44,7 +44,8 @@ BENIGN = ("benign",)
 MIXED = "multi_tactic"
 
 
-def _shares(column: str, prefix: str, names: Sequence[str]) -> list[Column]:
+def shares(column: str, prefix: str, names: Sequence[str]) -> list[Column]:
+    """Share of every named category and of all others together."""
     total = F.count(F.lit(1))
     hits = [F.count_if(F.col(column) == n) for n in names]
     known = sum(hits[1:], hits[0])
@@ -129,9 +130,9 @@ def window_features(
         spread.alias("duration_std"),
         F.max("duration").alias("duration_max"),
         *sums,
-        *_shares("protocol", "protocol", PROTOCOLS),
-        *_shares("service", "service", SERVICES),
-        *_shares("connection_state", "state", STATES),
+        *shares("protocol", "protocol", PROTOCOLS),
+        *shares("service", "service", SERVICES),
+        *shares("connection_state", "state", STATES),
         label_flags(vocabulary, "label").alias("_flags"),
     )
     observed = flagged_labels(vocabulary, F.col("_flags"))

@@ -61,6 +61,7 @@ def load() -> dict[str, Query]:
         federation,
         learning,
         scans,
+        streams,
         vectors,
     )
 
