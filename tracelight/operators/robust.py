@@ -71,7 +71,7 @@ def _tile_distances(drop: int):
         rows = pdf[pdf["_side"] == 0]
         others = pdf[pdf["_side"] == 1]
         if rows.empty or others.empty:
-            return pd.DataFrame({"client_id": [], "_rest": [], "_far": []})
+            return pd.DataFrame([("", 0.0, [])], columns=["client_id", "_rest", "_far"]).iloc[:0]
         matrix = np.stack(others["_vector"].to_numpy()).astype(np.float64)
         names = others["client_id"].to_numpy()
         out = []

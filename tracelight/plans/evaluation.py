@@ -322,13 +322,13 @@ def ruled_scaled(t: Tables):
         "drift",
         """SELECT actual, predicted, feature, round(error_mean,6) AS error_mean, round(true_mean,6) AS true_mean, round(predicted_mean,6) AS predicted_mean,
       round(abs(error_mean-true_mean),6) AS error_to_true, round(abs(error_mean-predicted_mean),6) AS error_to_predicted,
-      round(abs(error_mean-true_mean)-abs(error_mean-predicted_mean),6) AS closeness_delta FROM drift WHERE tn IS NOT NULL AND pn IS NOT NULL""",
+      round(abs(error_mean-true_mean)-abs(error_mean-predicted_mean),6)+0.0 AS closeness_delta FROM drift WHERE tn IS NOT NULL AND pn IS NOT NULL""",
     ),
 )
 def feature_drift(t: Tables):
     out = E.feature_drift(ruled_scaled(t), FEATURES)
     measures = [c for c in out.columns if c not in ("actual", "predicted", "feature")]
-    return out.withColumns({c: F.round(c, 6) for c in measures})
+    return out.withColumns({c: F.round(c, 6) + 0.0 for c in measures})
 
 
 @query(

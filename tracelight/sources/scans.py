@@ -56,10 +56,11 @@ def read_strict_csv(
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
-        .option("emptyValue", "")
-        .option("nullValue", "\u0000")
         .csv(paths)
-        .select(*columns, F.col("_metadata.file_path").alias("source_file"))
+        .select(
+            *[F.coalesce(c, F.lit("")).alias(c) for c in columns],
+            F.col("_metadata.file_path").alias("source_file"),
+        )
     )
 
 
@@ -70,12 +71,10 @@ def parse_csv_lines(lines: DataFrame, columns: Sequence[str], raw: str = "value"
     exactly one value per column stops the job.
     """
     width = len(columns)
-    wide = text_schema([*columns, "_extra"])
-    ddl = ", ".join(f"`{f.name}` string" for f in wide.fields)
-    options = {"mode": "PERMISSIVE", "nullValue": "\u0000", "emptyValue": ""}
+    ddl = ", ".join(f"`{c}` string" for c in [*columns, "_corrupt"])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     parsed = lines.where(F.trim(raw) != "").withColumn("_row", F.from_csv(raw, ddl, options))
-    complete = F.col("_row")[columns[-1]].isNotNull() & F.col("_row")["_extra"].isNull()
-    checked = F.when(complete, F.col("_row")).otherwise(
+    checked = F.when(F.col("_row")["_corrupt"].isNull(), F.col("_row")).otherwise(
         F.raise_error(F.concat(F.lit(f"line does not hold {width} values: "), F.col(raw)))
     )
     kept = [c for c in lines.columns if c != raw]
@@ -83,7 +82,11 @@ def parse_csv_lines(lines: DataFrame, columns: Sequence[str], raw: str = "value"
         *kept,
         F.sha2(raw, 256).alias("raw_line_sha256"),
         checked.alias("_row"),
-    ).select(*kept, "raw_line_sha256", *[F.col("_row")[c].alias(c) for c in columns])
+    ).select(
+        *kept,
+        "raw_line_sha256",
+        *[F.coalesce(F.col("_row")[c], F.lit("")).alias(c) for c in columns],
+    )
 
 
 def stringify(df: DataFrame) -> DataFrame:
