@@ -31,20 +31,19 @@ def finite_double(value: Column | str, default: float | None = 0.0, typed: bool
     """
     value = _col(value)
     if typed:
-        number = value.cast("double")
+        number = F.nullif(value.cast("double"), F.lit(float("nan")))
     else:
         text = value.cast("string")
         number = F.when(text.rlike(_NUMBER), text.try_cast("double"))
-    finite = F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)
+    # nullif evaluates its operand once, so the pattern runs once per value.
+    finite = F.nullif(F.nullif(number, F.lit(float("inf"))), F.lit(float("-inf")))
     return F.coalesce(finite, F.lit(default).cast("double"))
 
 
 def nonnegative_int(value: Column | str, typed: bool = False) -> Column:
     """Whole part of the number in ``value``, never below zero; blanks give zero."""
-    number = finite_double(value, 0.0, typed)
-    return F.when(number >= 2.0**63, F.lit(2**63 - 1)).otherwise(
-        F.greatest(number.try_cast("bigint"), F.lit(0).cast("bigint"))
-    )
+    number = F.greatest(finite_double(value, 0.0, typed), F.lit(0.0))
+    return F.coalesce(number.try_cast("bigint"), F.lit(2**63 - 1))
 
 
 def category(value: Column | str, missing: str = "missing") -> Column:

@@ -25,10 +25,15 @@ def confusion_matrix(
     counts = rows.groupBy(*keys, F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(
         F.count(F.lit(1)).alias("row_count")
     )
+    pair = F.struct("actual", "predicted")
+    # At most one entry per pair of classes, so the cells of a run fit one row.
+    cells = counts.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct(pair, "row_count"))).alias("_cells")
+    )
     names = F.array(*[F.lit(c) for c in classes])
-    runs = rows.select(*keys).distinct() if keys else rows.sparkSession.range(1).drop("id")
-    grid = runs.withColumn("actual", F.explode(names)).withColumn("predicted", F.explode(names))
-    return grid.join(counts, [*keys, "actual", "predicted"], "left").fillna(0, ["row_count"])
+    grid = cells.withColumn("actual", F.explode(names)).withColumn("predicted", F.explode(names))
+    found = F.coalesce(F.try_element_at("_cells", pair), F.lit(0).cast("bigint"))
+    return grid.select(*keys, "actual", "predicted", found.alias("row_count"))
 
 
 def class_metrics(matrix: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -165,20 +170,16 @@ def success_rate(rows: DataFrame, predicted: str, target, keys: Sequence[str] =
 def agreement(rows: DataFrame, first: str, second: str, classes: Sequence) -> DataFrame:
     """How often two classifiers agree, overall (class ``all``) and per class of the first one."""
     same = F.count_if(F.col(first) == F.col(second))
-    counts = rows.groupBy(F.col(first).cast("string").alias("class")).agg(
+    groups = F.array(F.lit("all"), F.col(first).cast("string"))
+    counts = rows.select(first, second, F.explode(groups).alias("class")).groupBy("class").agg(
         F.count(F.lit(1)).alias("row_count"), same.alias("agreement_count")
     )
-    total = counts.groupBy(F.lit("all").alias("class")).agg(
-        F.sum("row_count").alias("row_count"), F.sum("agreement_count").alias("agreement_count")
-    )
-    names = F.array(*[F.lit(str(c)) for c in classes])
+    names = F.array(*[F.lit(n) for n in ["all", *map(str, classes)]])
     dense = (
         rows.sparkSession.range(1).select(F.explode(names).alias("class"))
         .join(counts, "class", "left").fillna(0, ["row_count", "agreement_count"])
     )
-    return dense.unionByName(total).withColumn(
-        "agreement_rate", S.ratio("agreement_count", "row_count", empty=None)
-    )
+    return dense.withColumn("agreement_rate", S.ratio("agreement_count", "row_count", empty=None))
 
 
 def distribution(value: str, prefix: str) -> list[Column]:

@@ -11,12 +11,12 @@ import hashlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelight.functions import scalars as S
-from tracelight.operators.ranking import same_keys
+from tracelight.operators.ranking import same_keys, slot_ranked
 
 GENESIS = "0" * 64
 
@@ -118,19 +118,28 @@ def verify_links(batches: DataFrame) -> DataFrame:
     return batches.withColumn("link_valid", F.col("chain_hash") == expected)
 
 
-def verify_continuity(batches: DataFrame) -> DataFrame:
+def verify_continuity(batches: DataFrame, slot_width: float = 86400.0) -> DataFrame:
     """Expected predecessor of every batch and whether position and predecessor fit.
 
     Inside a session it is the batch before; a session's first batch (position 0) links to the last
-    batch of the client's session before, or to the genesis value.
+    batch of the client's session before, or to the genesis value. Sessions of a client are put in order
+    by ``acquired_at`` in slots of ``slot_width``, so a client with very many sessions is split as well.
     """
     keys = ["client_id", "session_id"]
     linked = predecessor(batches, keys, "sequence_number", ["chain_hash"], "_before_")
     sessions = batches.groupBy(*keys).agg(
         F.max_by("chain_hash", "sequence_number").alias("_last"), F.min("acquired_at").alias("_begin")
     )
-    earlier = F.lag("_last").over(Window.partitionBy("client_id").orderBy("_begin", "session_id"))
-    heads = sessions.select(*keys, earlier.alias("_session_before"))
+    placed = slot_ranked(
+        sessions,
+        groups=["client_id"],
+        slot=F.floor(F.col("_begin").cast("double") / slot_width),
+        order=["_begin", "session_id"],
+        rank="_place",
+    )
+    heads = predecessor(placed, ["client_id"], "_place", ["_last"], "_session_before").select(
+        *keys, F.col("_session_before_last").alias("_session_before")
+    )
     joined = same_keys(linked, heads, keys, "left")
     first = F.col("sequence_number") == 0
     expected = F.when(
@@ -185,14 +194,17 @@ def classify_replays(
 ) -> DataFrame:
     """Per position and commitment: the first to arrive wins, equal ones are replays, others conflict.
 
-    Copies are counted, not listed, so a position that is replayed without end stays one row.
+    Copies are counted, not listed, so a position that is replayed without end stays one row. The winner
+    is a grouped minimum that is joined back, so many conflicting commitments never meet in one sort.
     """
     variants = submissions.groupBy(*keys, commitment).agg(
         F.count(F.lit(1)).alias("copies"), F.min(arrival).alias("first_arrival")
     )
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy("first_arrival", commitment))
-    winner = place == 1
-    return variants.select(
+    winners = variants.groupBy(*keys).agg(
+        F.min(F.struct("first_arrival", F.col(commitment).alias("commitment"))).alias("_winner")
+    )
+    winner = F.col(commitment).eqNullSafe(F.col("_winner.commitment"))
+    return same_keys(variants, winners, keys).select(
         *keys,
         commitment,
         "copies",

@@ -25,21 +25,21 @@ def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def hash_ranked(
+def slot_ranked(
     df: DataFrame,
     *,
     groups: Sequence[str],
-    digest: Column,
-    tie: str,
-    rank: str = "hash_rank",
+    slot: Column,
+    order: Sequence[str],
+    rank: str = "place",
     total: str | None = None,
-    prefix: int = 3,
 ) -> DataFrame:
-    """1-based rank of every row of its group by (``digest``, ``tie``), a hexadecimal text digest.
+    """1-based rank of every row of its group by ``order``, sorted slot by slot.
 
-    Digests are uniform, so the first ``prefix`` hex digits make 16**prefix even slots per group.
+    ``slot`` must never fall while the order rises (a time range for times, leading digits for digests).
+    Slots are counted first; a task then sorts one slot of a group, never the whole group.
     """
-    keyed = df.withColumn("_digest", digest).withColumn("_slot", F.substring("_digest", 1, prefix))
+    keyed = df.withColumn("_slot", slot)
     slots = keyed.groupBy(*groups, "_slot").agg(F.count(F.lit(1)).alias("_slot_rows"))
     by_group = Window.partitionBy(*groups)
     before = F.sum("_slot_rows").over(
@@ -51,12 +51,38 @@ def hash_ranked(
         F.coalesce(before, F.lit(0)).alias("_before"),
         F.sum("_slot_rows").over(by_group).alias("_total"),
     )
-    local = F.row_number().over(Window.partitionBy(*groups, "_slot").orderBy("_digest", tie))
+    local = F.row_number().over(Window.partitionBy(*groups, "_slot").orderBy(*order))
     ranked = same_keys(keyed.withColumn("_local", local), slots, [*groups, "_slot"])
     ranked = ranked.withColumn(rank, (F.col("_before") + F.col("_local")).cast("bigint"))
     if total:
         ranked = ranked.withColumn(total, F.col("_total").cast("bigint"))
-    return ranked.drop("_digest", "_slot", "_before", "_total", "_local")
+    return ranked.drop("_slot", "_before", "_total", "_local")
+
+
+def hash_ranked(
+    df: DataFrame,
+    *,
+    groups: Sequence[str],
+    digest: Column,
+    tie: str,
+    rank: str = "hash_rank",
+    total: str | None = None,
+    prefix: int = 3,
+) -> DataFrame:
+    """1-based rank of every row of its group by (``digest``, ``tie``), a hexadecimal text digest.
+
+    Digests are uniform, so the first ``prefix`` hex digits make 16**prefix even slots per group.
+    """
+    keyed = df.withColumn("_digest", digest)
+    ranked = slot_ranked(
+        keyed,
+        groups=groups,
+        slot=F.substring("_digest", 1, prefix),
+        order=["_digest", tie],
+        rank=rank,
+        total=total,
+    )
+    return ranked.drop("_digest")
 
 
 def _slot_of(value: Column, low: Column, high: Column, slots: int) -> Column:

@@ -223,7 +223,7 @@ def artifact_coverage(t: Tables):
 def row_reconstruction(t: Tables):
     scaled = X.scaled_rows(t).withColumn("digest", lineage.row_digest(FEATURES, 6))
     mark = S.hash_bucket(31, "window_id", 20)
-    stored = stored_scaled(t, "reconstruction").where(mark != 1)
+    stored = stored_scaled(t).where(mark != 1)
     changed = stored.withColumn(
         "connection_count", F.col("connection_count") + F.when(mark == 0, 1.0).otherwise(0.0)
     )
@@ -262,7 +262,7 @@ X.define(
 
 def window_predictions(scaled, network):
     """Predictions with ids and the rule vocabulary's class names; labels play no part."""
-    kept = ["window_id", "split", "capture_id"] if "capture_id" in scaled.columns else ["window_id", "split"]
+    kept = ["window_id", "split", "capture_id"]
     out = scoring.score(scaled, network, FEATURES, kept)
     names = F.create_map(*[F.lit(x) for pair in CLASS_NAMES.items() for x in pair])
     return out.select(
@@ -275,7 +275,7 @@ def window_predictions(scaled, network):
 
 
 def mapped_predictions(t: Tables):
-    scaled = X.scaled_rows(t)
+    scaled = stored_scaled(t)
     predictions = window_predictions(scaled, class_mean_network(scaled))
     return C.tactic_hypotheses(predictions, C.rule_table(t.spark), VERSION)
 
@@ -319,10 +319,9 @@ def case_table(t: Tables):
     Events with an id divisible by 400 have no source record and days ending in 7 have no file, so that
     the report gate has something to find.
     """
-    scaled = stored_scaled(t, "cases")
+    scaled = stored_scaled(t)
     network = class_mean_network(scaled)
-    day = X.split_rows(t).select("window_id", "capture_id")
-    rows = scaled.where("split <> 'train'").join(day, "window_id")
+    rows = scaled.where("split <> 'train'")
     predictions = window_predictions(rows, network)
     mappings = C.tactic_hypotheses(
         predictions.select("prediction_id", "predicted_class"), C.rule_table(t.spark), VERSION

@@ -7,7 +7,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelight.session import prepare
+from tracelight.session import prepare, shared_directory
+
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
 class Tables:
@@ -20,6 +22,19 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def stored(self, name: str, build: Callable[[Tables], DataFrame]) -> DataFrame:
+        """A derived table, written to the shared folder at first use and read from there after.
+
+        Tables that several steps read (windows, scaled rows, received batches) are cut off this way:
+        the raw records are scanned once, and a lost executor costs a read, not the whole lineage.
+        """
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _STORED:
+            path = shared_directory(self.spark, name)
+            build(self).write.parquet(path)
+            _STORED[key] = path
+        return self.spark.read.parquet(_STORED[key])
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -14,7 +14,7 @@ from tracelight.operators import (
     transforms,
     windows,
 )
-from tracelight.operators.ranking import exact_quantiles
+from tracelight.operators.ranking import exact_quantiles, slot_ranked
 from tracelight.plans import standins as X
 from tracelight.plans.catalog import Tables, query
 from tracelight.plans.standins import with_parts
@@ -600,15 +600,18 @@ def winsorized_scores(t: Tables):
     with_parts(
         "conn",
         """SELECT capture_id, CAST(floor(timestamp/300) AS BIGINT) AS bucket, event_id,
-      CAST(row_number() OVER (PARTITION BY capture_id, floor(timestamp/300) ORDER BY timestamp, uid, event_id) AS INTEGER) AS place FROM conn""",
+      row_number() OVER (PARTITION BY capture_id, floor(timestamp/300) ORDER BY timestamp, uid, event_id) AS place FROM conn""",
     ),
 )
 def event_order(t: Tables):
-    from pyspark.sql import Window
-
-    rows = X.connections(t).withColumn("bucket", S.window_bucket("timestamp", X.WINDOW_SECONDS))
-    order = Window.partitionBy("capture_id", "bucket").orderBy("timestamp", "uid", "event_id")
-    return rows.select("capture_id", "bucket", "event_id", F.row_number().over(order).alias("place"))
+    seconds = X.WINDOW_SECONDS
+    rows = X.connections(t).withColumn("bucket", S.window_bucket("timestamp", seconds))
+    return slot_ranked(
+        rows.select("capture_id", "bucket", "event_id", "timestamp", "uid"),
+        groups=["capture_id", "bucket"],
+        slot=F.floor(F.col("timestamp") - F.col("bucket") * seconds),
+        order=["timestamp", "uid", "event_id"],
+    ).drop("timestamp", "uid")
 
 
 @query(
@@ -667,7 +670,8 @@ def stratified_holdout_split(t: Tables):
     with_parts("rows", "SELECT split, label, count(*) AS window_count FROM rows GROUP BY 1,2"),
 )
 def split_label_counts(t: Tables):
-    return X.split_rows(t).groupBy("split", "label").agg(F.count(F.lit(1)).alias("window_count"))
+    rows = X.split_rows(t, X.window_rows(t))
+    return rows.groupBy("split", "label").agg(F.count(F.lit(1)).alias("window_count"))
 
 
 X.define(

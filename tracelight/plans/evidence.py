@@ -7,19 +7,24 @@ from pyspark.sql import functions as F
 
 from tracelight.functions import scalars as S
 from tracelight.operators import admission, integrity
+from tracelight.operators.ranking import slot_ranked
 from tracelight.plans import standins as X
 from tracelight.plans.catalog import Tables, query
 from tracelight.plans.standins import with_parts
 
 SESSION_BATCHES = 4
+SLOT = 64.0
 
 
 def order_batches(t: Tables):
     """Orders of a customer, by date and key, as a client's batches in sessions of four."""
-    place = F.row_number().over(
-        Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    ) - 1
-    rows = t.orders.withColumn("_place", place)
+    rows = slot_ranked(
+        t.orders,
+        groups=["o_custkey"],
+        slot=F.date_format("o_orderdate", "yyyyMM"),
+        order=["o_orderdate", "o_orderkey"],
+        rank="_place",
+    ).withColumn("_place", (F.col("_place") - 1).cast("int"))
     session = F.concat(F.lit("s"), F.lpad(F.floor(F.col("_place") / SESSION_BATCHES).cast("string"), 4, "0"))
     rows = rows.select(
         F.col("o_orderkey").alias("batch_id"),
@@ -48,6 +53,10 @@ def chained_batches(t: Tables):
 
 
 def received_batches(t: Tables):
+    return t.stored("received", build_received)
+
+
+def build_received(t: Tables):
     """The same batches as received: some altered, some with another predecessor, some missing."""
     n = F.col("batch_id")
     altered = F.when(n % 101 == 0, F.sha2("content_sha256", 256)).otherwise(F.col("content_sha256"))
@@ -116,7 +125,7 @@ def chain_links(t: Tables):
     ),
 )
 def session_continuity(t: Tables):
-    out = integrity.verify_continuity(received_batches(t))
+    out = integrity.verify_continuity(received_batches(t), SLOT)
     return out.select("batch_id", "sequence_number", "continuity")
 
 
@@ -129,7 +138,7 @@ def session_continuity(t: Tables):
     ),
 )
 def continuity_counts(t: Tables):
-    out = integrity.verify_continuity(received_batches(t))
+    out = integrity.verify_continuity(received_batches(t), SLOT)
     return out.groupBy("session_id").agg(
         F.count(F.lit(1)).alias("batch_count"), F.count_distinct("client_id").alias("client_count")
     )
@@ -245,7 +254,7 @@ DECIDED_AT = 20
 
 def admission_inputs(t: Tables):
     """Received batches, customers as identities, one attestation per client and session."""
-    received = integrity.verify_continuity(integrity.verify_links(received_batches(t)))
+    received = integrity.verify_continuity(integrity.verify_links(received_batches(t)), SLOT)
     n = F.col("batch_id")
     batches = received.withColumns(
         {

@@ -41,6 +41,11 @@ X.define(
 )
 
 
+def stored_scaled(t: Tables):
+    """Scaled rows as a stored table: training and attribution read them many times."""
+    return t.stored("scaled", X.scaled_rows)
+
+
 def class_mean_network(scaled):
     train = scaled.where("split = 'train'").withColumn("vector", F.array(*FEATURES))
     centers = V.mean_vector(
@@ -58,7 +63,7 @@ def class_mean_network(scaled):
     ),
 )
 def batch_scoring(t: Tables):
-    scaled = X.scaled_rows(t)
+    scaled = stored_scaled(t)
     out = scoring.score(scaled, class_mean_network(scaled), FEATURES, ["window_id"])
     return out.select(
         "window_id",
@@ -84,7 +89,7 @@ def batch_scoring(t: Tables):
     ),
 )
 def gradient_times_input(t: Tables):
-    scaled = X.scaled_rows(t)
+    scaled = stored_scaled(t)
     out = scoring.gradient_times_input(scaled, class_mean_network(scaled), FEATURES, 600)
     return out.select(
         "class",
@@ -115,17 +120,8 @@ X.define(
 )
 
 
-def stored_scaled(t: Tables, name: str):
-    """Scaled rows written once to the shared folder: training reads them many times."""
-    from tracelight.session import shared_directory
-
-    path = shared_directory(t.spark, name)
-    X.scaled_rows(t).select("window_id", "split", "label", *FEATURES).write.parquet(path)
-    return t.spark.read.parquet(path)
-
-
 def explained_rows(t: Tables, split: str, keep=("window_id",)):
-    scaled = stored_scaled(t, "explained")
+    scaled = stored_scaled(t)
     network = class_mean_network(scaled)
     rows = scaled.where(F.col("split") == split)
     out = scoring.integrated_gradients(
@@ -187,7 +183,7 @@ def _weighted(train):
 @query("h1_central_classifier", "H1 F3")
 def central_classifier(t: Tables):
     """Metrics per split of the weighted logistic and rectifier networks."""
-    rows = stored_scaled(t, "central")
+    rows = stored_scaled(t)
     train = _weighted(rows.where("split = 'train'"))
     parts = []
     logistic = training.fit_logistic(train, FEATURES, WINDOW_CLASSES, weight="weight", iterations=25)
@@ -203,7 +199,7 @@ def central_classifier(t: Tables):
 
 @query("h1_perceptron_classifier", "H1 F3")
 def perceptron_classifier(t: Tables):
-    rows = stored_scaled(t, "perceptron")
+    rows = stored_scaled(t)
     scored = training.score_perceptron(
         rows.where("split = 'train'"), rows, FEATURES, WINDOW_CLASSES, hidden=(32,), iterations=25
     )
@@ -213,18 +209,15 @@ def perceptron_classifier(t: Tables):
 @query("h5_transform_experiment", "H5 D23 W6")
 def transform_experiment(t: Tables):
     """Three feature transforms with two penalties each, judged on the validation split."""
-    from tracelight.session import shared_directory
-
-    path = shared_directory(t.spark, "transforms")
-    X.split_rows(t).select("window_id", "split", "label", *FEATURES).write.parquet(path)
-    rows = t.spark.read.parquet(path)
+    rows = X.split_rows(t).select("window_id", "split", "label", *FEATURES)
     train = rows.where("split = 'train'")
     results = None
     for mode in transforms.MODES:
         fitted = transforms.fit_transform(train, FEATURES, mode)
-        ready = transforms.apply_transform(rows, FEATURES, mode, fitted)
-        ready.write.parquet(f"{path}-{mode}")
-        ready = t.spark.read.parquet(f"{path}-{mode}")
+        ready = t.stored(
+            f"transformed-{mode}",
+            lambda _, m=mode, f=fitted: transforms.apply_transform(rows, FEATURES, m, f),
+        )
         weighted = _weighted(ready.where("split = 'train'"))
         for penalty in (1e-4, 1e-2):
             model = training.fit_logistic(

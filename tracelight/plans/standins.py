@@ -27,12 +27,13 @@ PERCENTAGES = {"train": 60, "validation": 20, "test": 20}
 
 def raw_connections(t: Tables) -> DataFrame:
     """``events`` in the field names, text forms and blanks of a raw connection log."""
-    k = F.get_json_object("props", "$.k")
+    events = t.events.withColumn("k", F.get_json_object("props", "$.k"))
+    k = F.col("k")
 
     def pick(number, *names):
         return F.element_at(F.array(*[F.lit(n) for n in names]), (number % len(names)).cast("int") + 1)
 
-    return t.events.select(
+    return events.select(
         "event_id",
         S.epoch_seconds("ts").alias("ts"),
         S.calendar_day("ts").alias("capture_id"),
@@ -78,8 +79,12 @@ def capture_regimes(rows: DataFrame) -> DataFrame:
     )
 
 
-def split_rows(t: Tables) -> DataFrame:
-    rows = window_rows(t)
+def stored_windows(t: Tables) -> DataFrame:
+    return t.stored("windows", window_rows)
+
+
+def split_rows(t: Tables, rows: DataFrame | None = None) -> DataFrame:
+    rows = stored_windows(t) if rows is None else rows
     assignment = splitting.grouped_time_split(
         windows.capture_summary(rows), holdout_epoch=HOLDOUT_EPOCH, percentages=PERCENTAGES
     )
