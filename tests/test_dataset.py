@@ -86,6 +86,14 @@ def test_window_features_by_hand(spark):
     assert rows["capture-discovery"]["label"] == "multi_tactic"
 
 
+def test_label_lists_of_consolidated_sources_are_sorted(spark):
+    line = json.dumps({**LINES[0], "observed_tactics": ["persistence", "benign"], "_source_records": [{"row": 1}]})
+    parsed = scans.parse_json_lines(spark.createDataFrame([(line,)], "value string"))
+    assert parsed.first()["reject_reason"] is None
+    out = normalize_events(parsed, event_id=F.lit("e"), capture=F.col("capture_id"), label=S.first_label("label"), extra=("_source_records",)).first()
+    assert out["observed_tactics"] == ["benign", "persistence"] and json.loads(out["_source_records"]) == [{"row": 1}]
+
+
 def test_label_choice_without_mixed_label(spark):
     rows = {r["capture_id"]: r["label"] for r in window_table(spark, mixed=None).collect()}
     assert rows["capture-discovery"] == "discovery"

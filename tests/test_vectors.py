@@ -123,6 +123,14 @@ def test_prototype_aggregation_quorum_and_carry_forward(spark):
     assert out["b"]["vector"] == [9.0, 9.0] and out["c"]["vector"] is None
 
 
+def test_low_support_stops_or_is_skipped(spark):
+    options = dict(strategy="support_weighted_mean", quorum=1, width=2, minimum_support=2)
+    with pytest.raises(Exception, match="below the declared support"):
+        P.aggregate_prototypes(submissions(spark), ["a"], **options).collect()
+    kept = P.aggregate_prototypes(submissions(spark), ["a"], skip_low_support=True, **options).first()
+    assert kept["supporting_client_count"] == 1 and kept["vector"] == [4.0, 8.0]
+
+
 def test_nearest_prototype_paths_agree(spark, matrix):
     rng = np.random.default_rng(3)
     centers = rng.normal(0, 1, (7, 9))

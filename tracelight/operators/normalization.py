@@ -25,6 +25,7 @@ COUNT_FIELDS = {
     "originator_packets": ("orig_pkts",),
     "responder_packets": ("resp_pkts",),
 }
+LIST_FIELDS = ("observed_tactics", "observed_techniques")
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
 
@@ -58,11 +59,20 @@ def normalize_events(
     label: Column,
     extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Events in the fixed schema; columns that already are numbers skip the text parsing."""
+    """Events in the fixed schema; columns that already are numbers skip the text parsing.
+
+    Label lists of consolidated sources, where present, come out as sorted arrays.
+    """
     text = [F.coalesce(_first_present(df, n, True), F.lit("")).alias(k) for k, n in TEXT_FIELDS.items()]
     groups = [S.category(_first_present(df, n, False)).alias(k) for k, n in CATEGORY_FIELDS.items()]
     counts = [_number(df, n, S.nonnegative_int).alias(k) for k, n in COUNT_FIELDS.items()]
 
+    lists = [
+        F.array_sort(F.from_json(F.col(n).cast("string"), "array<string>")).alias(n)
+        for n in LIST_FIELDS
+        if n in df.columns
+    ]
+
     def stamp(value: Column, typed: bool = False) -> Column:
         return S.finite_double(value, -1.0, typed)
 
@@ -75,5 +85,6 @@ def normalize_events(
         _number(df, ("duration",), S.finite_double).alias("duration"),
         *counts,
         label.alias("label"),
+        *lists,
         *extra,
     )

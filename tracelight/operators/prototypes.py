@@ -44,9 +44,19 @@ def aggregate_prototypes(
     quorum: int,
     width: int,
     minimum_support: int = 1,
+    skip_low_support: bool = False,
 ) -> DataFrame:
-    """Per class: status, supporting clients, total support and the aggregate once quorum is met."""
-    eligible = prototypes.where(F.col("support") >= minimum_support)
+    """Per class: status, supporting clients, total support and the aggregate once quorum is met.
+
+    A submitted prototype below ``minimum_support`` stops the job unless such rows are to be skipped.
+    """
+    if quorum <= 0 or minimum_support <= 0:
+        raise ValueError("quorum and minimum support must be positive")
+    enough = F.col("support") >= minimum_support
+    if not skip_low_support:
+        low = F.raise_error(F.lit("a submitted prototype is below the declared support"))
+        enough = F.when(enough, F.lit(True)).otherwise(low.cast("boolean"))
+    eligible = prototypes.where(enough)
     if strategy == "support_weighted_mean":
         values = V.mean_vector(eligible, ["class"], "vector", "aggregate", width, weight="support")
     elif strategy == "coordinate_median":

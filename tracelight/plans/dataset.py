@@ -720,6 +720,26 @@ def selection_digest(t: Tables):
     return splitting.table_digest(sampled_rows(t), ["window_id"], ["split"])
 
 
+@query(
+    "d17_scaler_on_sampled_training",
+    "D17 E4",
+    with_parts(
+        "sampled",
+        """SELECT feature, round(avg(x),6) AS mean, round(CASE WHEN stddev_pop(x)>0 THEN stddev_pop(x) ELSE 1.0 END,6) AS scale, stddev_pop(x)=0 AS zero_variance, count(*) AS training_rows FROM
+      (UNPIVOT (SELECT """
+        + ", ".join(FEATURES)
+        + " FROM rows JOIN sampled USING (window_id) WHERE sampled.split='train') ON "
+        + ", ".join(FEATURES)
+        + " INTO NAME feature VALUE x) GROUP BY feature",
+    ),
+)
+def scaler_on_sampled_training(t: Tables):
+    """Split, then sample, then fit: the scaler sees the sampled training rows only."""
+    train = sampled_rows(t).where("split = 'train'")
+    table = transforms.scaler_table(transforms.fit_scaler(train, FEATURES), FEATURES)
+    return table.withColumn("mean", F.round("mean", 6)).withColumn("scale", F.round("scale", 6))
+
+
 @query(
     "e8_sampling_report",
     "E8",

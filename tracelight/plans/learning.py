@@ -120,12 +120,11 @@ X.define(
 )
 
 
-def explained_rows(t: Tables, split: str, keep=("window_id",)):
+def explained_rows(t: Tables, keep=("window_id",)):
     scaled = stored_scaled(t)
     network = class_mean_network(scaled)
-    rows = scaled.where(F.col("split") == split)
     out = scoring.integrated_gradients(
-        rows, network, FEATURES, training_baseline(scaled), list(keep), initial_steps=16
+        scaled, network, FEATURES, training_baseline(scaled), list(keep), initial_steps=16
     )
     classes = F.array(*[F.lit(c) for c in network.classes])
     return out.withColumn("predicted", F.get(classes, F.col("target_index")))
@@ -137,11 +136,11 @@ def explained_rows(t: Tables, split: str, keep=("window_id",)):
     with_parts(
         "wattr",
         """SELECT window_id, predicted, round(sum(attribution),6) AS attribution_sum, round(sum(attribution),6) AS logit_delta, true AS complete,
-      round(sum(attribution) FILTER (feature='duration_max'),6) AS duration_max, round(sum(attribution) FILTER (feature='service_dns_fraction'),6) AS service_dns FROM wattr WHERE split='test' GROUP BY 1,2""",
+      round(sum(attribution) FILTER (feature='duration_max'),6) AS duration_max, round(sum(attribution) FILTER (feature='service_dns_fraction'),6) AS service_dns FROM wattr GROUP BY 1,2""",
     ),
 )
 def integrated_gradients(t: Tables):
-    out = explained_rows(t, "test")
+    out = explained_rows(t)
     at = lambda name: F.round(F.col("attributions")[FEATURES.index(name)], 6)
     return out.select(
         "window_id",
@@ -161,11 +160,11 @@ def integrated_gradients(t: Tables):
         "wattr",
         """SELECT window_id, r AS absolute_rank, round(abs(attribution),6) AS strength,
       CASE WHEN attribution>0 THEN 'supports-target' WHEN attribution<0 THEN 'opposes-target' ELSE 'neutral' END AS direction FROM
-      (SELECT *, CAST(row_number() OVER (PARTITION BY window_id ORDER BY abs(attribution) DESC) AS INTEGER) AS r FROM wattr WHERE split='validation') WHERE r<=3""",
+      (SELECT *, CAST(row_number() OVER (PARTITION BY window_id ORDER BY abs(attribution) DESC) AS INTEGER) AS r FROM wattr) WHERE r<=3""",
     ),
 )
 def attribution_ranks(t: Tables):
-    out = explained_rows(t, "validation")
+    out = explained_rows(t)
     top = F.slice(scoring.ranked_attributions(FEATURES, "attributions"), 1, 3)
     return out.select("window_id", F.inline(top)).select(
         "window_id",
@@ -188,7 +187,7 @@ def central_classifier(t: Tables):
     parts = []
     logistic = training.fit_logistic(train, FEATURES, WINDOW_CLASSES, weight="weight", iterations=25)
     network, _ = training.fit_network(
-        train, FEATURES, WINDOW_CLASSES, weight="weight", hidden=(32,), steps=15, learning_rate=0.05
+        train, FEATURES, WINDOW_CLASSES, weight="weight", hidden=(32,), steps=10, learning_rate=0.05
     )
     for name, model in (("logistic", logistic), ("network", network)):
         scored = scoring.score(rows, model, FEATURES, ["split", "label"])

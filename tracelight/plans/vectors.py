@@ -346,6 +346,7 @@ def prototype_carry_forward(t: Tables):
         quorum=14,
         width=X.WIDTH,
         minimum_support=3,
+        skip_low_support=True,
     )
     old = V.mean_vector(
         rows.where("split = 'train' AND class <> 4"), ["class"], "vector", "vector", X.WIDTH

@@ -142,6 +142,9 @@ JSON_FIELDS = (
     "resp_bytes",
     "orig_pkts",
     "resp_pkts",
+    "observed_tactics",
+    "observed_techniques",
+    "source_identity_sha256",
     "_source_records",
 )
 
