@@ -26,44 +26,55 @@ def stream_window_features(
     delay: str,
     vocabulary: Sequence[str],
     client: str = "central",
-    approximate_distinct: bool = False,
 ) -> DataFrame:
     """Window features over a stream; a window comes out once the watermark passes its end.
 
     ``events`` carries ``event_time`` (timestamp) next to the normalized event columns. Streams have no
-    exact distinct count, so the exact form keeps the value sets of open windows in state. For traffic
-    whose windows hold very many hosts, ``approximate_distinct`` bounds that state to a sketch.
+    distinct count and a set per window would grow with its traffic, so the count runs in two chained
+    aggregations: the first keeps one state row per window and distinct host or port (spread over the
+    tasks by value), the second counts those rows and picks up the window's own sums.
     """
-    def distinct(value):
-        if approximate_distinct:
-            return F.approx_count_distinct(value)
-        return F.size(F.collect_set(value))
-
     host = F.when(F.col("responder_host") != "", F.col("responder_host"))
-    port = F.when(F.col("responder_port") != 0, F.col("responder_port"))
+    port = F.when(F.col("responder_port") != 0, F.col("responder_port").cast("string"))
+    kinds = F.array(
+        F.struct(F.lit("window").alias("kind"), F.lit("").alias("value")),
+        F.struct(F.lit("host").alias("kind"), host.alias("value")),
+        F.struct(F.lit("port").alias("kind"), port.alias("value")),
+    )
     spread = F.when(F.count(F.lit(1)) > 1, F.stddev_pop("duration")).otherwise(F.lit(0.0))
     sums = [
         F.sum(c).cast("double").alias(f"{c}_sum")
         for c in ("originator_bytes", "responder_bytes", "originator_packets", "responder_packets")
     ]
-    grouped = (
+    measured = [
+        F.count(F.lit(1)).cast("double").alias("connection_count"),
+        F.avg("duration").alias("duration_mean"),
+        spread.alias("duration_std"),
+        F.max("duration").alias("duration_max"),
+        *sums,
+        *W.shares("protocol", "protocol", W.PROTOCOLS),
+        *W.shares("service", "service", W.SERVICES),
+        *W.shares("connection_state", "state", W.STATES),
+    ]
+    counted = ("connection_count", "unique_destination_count", "unique_destination_port_count")
+    own = [c for c in W.FEATURES if c not in counted[1:]]
+    first = (
         events.withWatermark("event_time", delay)
-        .groupBy(F.window("event_time", f"{seconds} seconds").alias("_window"), "capture_id")
-        .agg(
-            F.count(F.lit(1)).cast("double").alias("connection_count"),
-            distinct(host).cast("double").alias("unique_destination_count"),
-            distinct(port).cast("double").alias("unique_destination_port_count"),
-            F.avg("duration").alias("duration_mean"),
-            spread.alias("duration_std"),
-            F.max("duration").alias("duration_max"),
-            *sums,
-            *W.shares("protocol", "protocol", W.PROTOCOLS),
-            *W.shares("service", "service", W.SERVICES),
-            *W.shares("connection_state", "state", W.STATES),
-            W.label_flags(vocabulary, "label").alias("_flags"),
-        )
+        .select("*", F.inline(kinds))
+        .where(F.col("value").isNotNull())
+        .groupBy(F.window("event_time", f"{seconds} seconds").alias("_window"), "capture_id", "kind", "value")
+        .agg(*measured, W.label_flags(vocabulary, "label").alias("_flags"))
+    )
+    of_window = F.col("kind") == "window"
+    grouped = first.groupBy(
+        F.window(F.col("_window"), f"{seconds} seconds").alias("_span"), "capture_id"
+    ).agg(
+        F.count_if(F.col("kind") == "host").cast("double").alias(counted[1]),
+        F.count_if(F.col("kind") == "port").cast("double").alias(counted[2]),
+        *[F.max(F.when(of_window, F.col(c))).alias(c) for c in own],
+        F.max(F.when(of_window, F.col("_flags"))).alias("_flags"),
     )
-    start = F.unix_seconds(F.col("_window.start"))
+    start = F.unix_seconds(F.col("_span.start"))
     observed = W.flagged_labels(vocabulary, F.col("_flags"))
     return grouped.select(
         W.window_id(F.col("capture_id"), F.floor(start / seconds), client).alias("window_id"),
