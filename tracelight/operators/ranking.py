@@ -103,56 +103,64 @@ def exact_quantiles(
     """Linear-interpolated quantiles per key: columns ``keys``, ``probability``, ``quantile``.
 
     Equal values are counted once up front. Every level narrows each wanted rank to one of ``slots``
-    equal ranges, and only the values of the last, narrow range are sorted.
+    equal ranges, and only the values of the last, narrow ranges are sorted. A range row carries the
+    ranks that lie in it, so each level adds one join of the counted values with a small table.
     """
-    keys = list(keys)
-    counts = df.where(F.col(value).isNotNull()).groupBy(
+    outer = list(keys)
+    keys = outer or ["_all"]
+    source = df if outer else df.withColumn("_all", F.lit(0))
+    counts = source.where(F.col(value).isNotNull()).groupBy(
         *keys, F.col(value).cast("double").alias("_v")
     ).agg(F.count(F.lit(1)).alias("_n"))
-    span = counts.groupBy(*keys).agg(
-        F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_rows")
+    chosen = F.array(*[F.lit(float(p)) for p in probabilities])
+
+    def place(p: Column) -> Column:
+        return (F.col("_rows") - 1) * p
+
+    ranks = F.array_distinct(
+        F.flatten(F.transform(chosen, lambda p: F.array(F.floor(place(p)), F.ceil(place(p)))))
     )
-    wanted = span.withColumn(
-        "probability", F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))
-    ).withColumn("_place", (F.col("_rows") - 1) * F.col("probability"))
-    wanted = wanted.withColumn(
-        "_rank", F.explode(F.array_distinct(F.array(F.floor("_place"), F.ceil("_place"))))
+    # Range row: bounds, rows known to lie below, rows in all, and the wanted ranks inside.
+    ranges = (
+        counts.groupBy(*keys)
+        .agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_rows"))
+        .select(*keys, "_low", "_high", F.lit(0).cast("bigint").alias("_under"), "_rows", ranks.alias("_ranks"))
     )
-    # One row per wanted rank: value bounds still possible and rows known to lie below them.
-    open_ranks = wanted.select(*keys, "_rank", "_low", "_high", F.lit(0).cast("bigint").alias("_under")).distinct()
-    rank_keys = [*keys, "_rank"]
+
+    def inside() -> DataFrame:
+        return same_keys(counts, ranges, keys).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+
+    def covered(rows: DataFrame, order: str) -> DataFrame:
+        """Rows with the wanted ranks that fall into them, counted on from the rows below the range."""
+        running = Window.partitionBy(*keys, "_low", "_under").orderBy(order)
+        counted = rows.withColumn("_stop", F.col("_under") + F.sum("_n").over(running)).withColumn(
+            "_start", F.col("_stop") - F.col("_n")
+        )
+        mine = F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_stop")))
+        return counted.withColumn("_ranks", mine).where(F.size("_ranks") > 0)
+
     for _ in range(levels):
-        ranges = open_ranks.select(*keys, "_low", "_high", "_under").distinct()
-        inside = same_keys(counts, ranges, keys).where(F.col("_v").between(F.col("_low"), F.col("_high")))
-        histogram = inside.groupBy(
-            *keys, "_low", "_under", _slot_of(F.col("_v"), F.col("_low"), F.col("_high"), slots).alias("_slot")
-        ).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
-        running = Window.partitionBy(*keys, "_low", "_under").orderBy("_slot")
-        histogram = (
-            histogram.withColumn("_stop", F.col("_under") + F.sum("_n").over(running))
-            .withColumn("_start", F.col("_stop") - F.col("_n"))
-            .select(*keys, "_from", "_to", "_start", "_stop")
+        slot = _slot_of(F.col("_v"), F.col("_low"), F.col("_high"), slots)
+        histogram = inside().groupBy(*keys, "_low", "_under", "_rows", "_ranks", slot.alias("_slot")).agg(
+            F.sum("_n").alias("_n"), F.min("_v").alias("_from"), F.max("_v").alias("_to")
         )
-        open_ranks = (
-            same_keys(open_ranks.select(*rank_keys), histogram, keys)
-            .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_stop")))
-            .select(*rank_keys, F.col("_from").alias("_low"), F.col("_to").alias("_high"), F.col("_start").alias("_under"))
+        ranges = covered(histogram, "_slot").select(
+            *keys,
+            F.col("_from").alias("_low"),
+            F.col("_to").alias("_high"),
+            F.col("_start").alias("_under"),
+            "_rows",
+            "_ranks",
         )
-    ranges = open_ranks.select(*keys, "_low", "_high", "_under").distinct()
-    inside = same_keys(counts, ranges, keys).where(F.col("_v").between(F.col("_low"), F.col("_high")))
-    running = Window.partitionBy(*keys, "_low", "_under").orderBy("_v")
-    placed = inside.withColumn("_stop", F.col("_under") + F.sum("_n").over(running)).withColumn(
-        "_start", F.col("_stop") - F.col("_n")
-    ).select(*keys, "_v", "_start", "_stop")
-    found = (
-        same_keys(open_ranks.select(*rank_keys), placed, keys)
-        .where((F.col("_rank") >= F.col("_start")) & (F.col("_rank") < F.col("_stop")))
-        .select(*rank_keys, "_v")
+    found = covered(inside(), "_v").select(*keys, "_rows", "_v", F.explode("_ranks").alias("_rank"))
+    # At most two ranks per probability: one small row per key.
+    gathered = found.groupBy(*keys, "_rows").agg(
+        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at")
     )
-    both = same_keys(
-        wanted.select(*keys, "probability", "_place", "_rank"), found, rank_keys
-    ).groupBy(*keys, "probability", "_place").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"))
-    weight = F.col("_place") - F.floor("_place")
-    return both.select(
-        *keys, "probability", (F.col("_a") + (F.col("_b") - F.col("_a")) * weight).alias("quantile")
+    spread = gathered.withColumn("probability", F.explode(chosen)).withColumn(
+        "_place", place(F.col("probability"))
     )
+    low = F.element_at("_at", F.floor("_place"))
+    high = F.element_at("_at", F.ceil("_place"))
+    weight = F.col("_place") - F.floor("_place")
+    return spread.select(*outer, "probability", (low + (high - low) * weight).alias("quantile"))

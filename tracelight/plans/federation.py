@@ -329,6 +329,10 @@ def condition_prototypes(t: Tables):
 
 
 def condition_models(t: Tables):
+    return t.stored("condition-models", build_condition_models)
+
+
+def build_condition_models(t: Tables):
     """Global prototypes (condition, strategy, class, vector) under both aggregations."""
     local = condition_prototypes(t)
     keys = ["condition", "class"]
@@ -341,6 +345,10 @@ def condition_models(t: Tables):
 
 
 def outcomes(t: Tables):
+    return t.stored("outcomes", build_outcomes)
+
+
+def build_outcomes(t: Tables):
     """Metrics of every scenario and strategy on the evaluation splits."""
     models = condition_models(t).withColumn("model_id", F.concat_ws("|", "condition", "strategy"))
     rows = X.vectors(t).where("split <> 'train'").select("vec_id", "split", "class", "vector")
@@ -440,6 +448,10 @@ X.define(
 
 
 def client_models(t: Tables):
+    return t.stored("client-models", build_client_models)
+
+
+def build_client_models(t: Tables):
     own = V.mean_vector(
         X.vectors(t).where("split = 'train'"), ["client_id", "class"], "vector", "vector", X.WIDTH
     ).withColumnRenamed("client_id", "model_id")

@@ -138,6 +138,11 @@ def vectors(t: Tables) -> DataFrame:
 
 
 def client_updates(t: Tables) -> DataFrame:
+    """The submitted updates: one row per client, a table of its own."""
+    return t.stored("updates", build_updates)
+
+
+def build_updates(t: Tables) -> DataFrame:
     """Mean vector per client minus the mean over all: (client_id, num_examples, delta)."""
     rows = vectors(t)
     means = V.mean_vector(rows, ["client_id"], "vector", "updated", WIDTH, count="num_examples")

@@ -23,7 +23,7 @@ FAULTY = 3
     ),
 )
 def model_deltas(t: Tables):
-    updates = X.client_updates(t)
+    updates = X.build_updates(t)
     restored = V.flatten_tensors(V.restore_tensors("delta", [32, 24, 8]))
     both = updates.select(
         "client_id",
