@@ -10,6 +10,21 @@ from pyspark.sql import functions as F
 from tracelight.functions import scalars as S
 
 
+# Types whose values are cheaper to shuffle as they are than as a digest.
+NARROW = ("tinyint", "smallint", "int", "bigint", "date", "boolean")
+
+
+def shuffle_key(df: DataFrame, columns: Sequence[str], name: str) -> list[Column]:
+    """Grouping columns for a set of columns: themselves when few and narrow, else one digest.
+
+    Long texts and wide records then cross the network as 32 bytes.
+    """
+    kinds = dict(df.dtypes)
+    if len(columns) <= 4 and all(kinds[c] in NARROW for c in columns):
+        return [F.col(c).alias(f"{name}{i}") for i, c in enumerate(columns)]
+    return [F.unhex(S.canonical_digest(*columns)).alias(f"{name}0")]
+
+
 def missing_profile(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Missing count and rate per column in one pass: (keys, column_name, missing, rows, rate)."""
     flags = [F.count_if(S.is_missing(F.col(c).cast("string"))).alias(c) for c in columns]
@@ -43,17 +58,18 @@ def duplicate_summary(
 
     Copies of a row collapse before the shuffle, and the second level groups the distinct rows only.
     """
-    digest = S.canonical_digest(*identity)
     if approximate:
         return df.agg(
             F.count(F.lit(1)).alias("row_count"),
             (F.count(F.lit(1)) - F.approx_count_distinct(S.canonical_digest(*columns))).alias(
                 "exact_duplicate_rows"
             ),
-            F.approx_count_distinct(digest).alias("distinct_identities"),
+            F.approx_count_distinct(S.canonical_digest(*identity)).alias("distinct_identities"),
         )
-    rows = df.groupBy(*columns).agg(F.count(F.lit(1)).alias("_copies"))
-    identities = rows.groupBy(*identity).agg(
+    row, key = shuffle_key(df, columns, "_r"), shuffle_key(df, identity, "_i")
+    keyed = df.select(*row, *key)
+    rows = keyed.groupBy(*keyed.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    identities = rows.groupBy(*keyed.columns[len(row) :]).agg(
         F.sum("_copies").alias("_copies"), F.count(F.lit(1)).alias("_variants")
     )
     return identities.agg(
@@ -65,7 +81,8 @@ def duplicate_summary(
 
 def conflicting_labels(df: DataFrame, identity: Sequence[str], label: str) -> DataFrame:
     """Label sets of identities that carry more than one label, with their counts."""
-    sets = df.groupBy(*identity).agg(F.array_sort(F.collect_set(label)).alias("labels"))
+    keyed = df.select(*shuffle_key(df, identity, "_i"), F.col(label).alias("_label"))
+    sets = keyed.groupBy(*keyed.columns[:-1]).agg(F.array_sort(F.collect_set("_label")).alias("labels"))
     return (
         sets.where(F.size("labels") > 1)
         .groupBy("labels")

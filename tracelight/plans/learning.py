@@ -238,10 +238,11 @@ def pair_projection(t: Tables):
     """Two components of the most confused class pair: spread and count per class and correctness."""
     rows = ruled_scaled(t)
     pairs = E.bidirectional_pairs(E.transitions(rows))
-    top = pairs.orderBy(F.desc("error_count"), "first_class", "second_class").limit(1).collect()[0]
-    projected, explained = training.pair_projection(
-        rows, FEATURES, [top["first_class"], top["second_class"]]
-    )
+    top = pairs.orderBy(F.desc("error_count"), "first_class", "second_class").limit(1).collect()
+    if not top:
+        raise ValueError("no class pair is confused in both directions")
+    pair = [top[0]["first_class"], top[0]["second_class"]]
+    projected, explained = training.pair_projection(rows, FEATURES, pair)
     return projected.groupBy("actual", E.is_error().alias("is_error")).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.stddev_pop("component_1").alias("spread_1"),
