@@ -213,14 +213,14 @@ def update_indicators(updates: DataFrame, vector: str) -> DataFrame:
     )
 
 
-def duplicate_updates(updates: DataFrame, vector: str, digits: int = 12) -> DataFrame:
+def duplicate_updates(updates: DataFrame, vector: str) -> DataFrame:
     """Each client with the digest of its update and how many clients sent the very same one.
 
     Peers are not listed per client, which would square the size of a large group: clients with the
-    same digest are the peers.
+    same digest are the peers. Adding zero makes the two zeros one.
     """
-    text = F.transform(F.col(vector), lambda x: F.format_string(f"%.{digits}f", x + F.lit(0.0)))
-    marked = updates.select("client_id", F.sha2(F.to_json(text), 256).alias("update_sha256"))
+    text = F.transform(F.col(vector), lambda x: (x + F.lit(0.0)).cast("string"))
+    marked = updates.select("client_id", F.sha2(F.array_join(text, ","), 256).alias("update_sha256"))
     sizes = marked.groupBy("update_sha256").agg(F.count(F.lit(1)).alias("group_size"))
     return marked.join(sizes, "update_sha256")
 

@@ -203,7 +203,7 @@ def colluding_updates(t: Tables):
     """SELECT CAST(doc_id AS VARCHAR) AS client_id, count(*) OVER (PARTITION BY list_transform(string_split(text,' '), lambda w: length(w))) AS group_size FROM documents""",
 )
 def duplicate_updates(t: Tables):
-    return R.duplicate_updates(colluding_updates(t), "vector", 3).select("client_id", "group_size")
+    return R.duplicate_updates(colluding_updates(t), "vector").select("client_id", "group_size")
 
 
 @query(
@@ -213,7 +213,7 @@ def duplicate_updates(t: Tables):
     FROM (SELECT list_transform(string_split(text,' '), lambda w: length(w)) AS v, count(*) AS n FROM documents GROUP BY 1)""",
 )
 def duplicate_update_summary(t: Tables):
-    return R.duplicate_summary(R.duplicate_updates(colluding_updates(t), "vector", 3))
+    return R.duplicate_summary(R.duplicate_updates(colluding_updates(t), "vector"))
 
 
 MIN_SUPPORT = 2
