@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm import language, simhash
+from tracelight.llm import language, quality, simhash
 from tracelight.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op2_quality")
+def qualities(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of every document, learned from labelled documents that are not held out."""
+    docs = read(spark, folder, "documents")
+    return quality.classify(docs, quality.fit(docs, read(spark, folder, "labels")))
+
+
 @query("op6_language")
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from documents that are not held out."""
