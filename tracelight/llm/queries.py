@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm import language, quality, simhash
+from tracelight.llm import decontaminate, language, quality, simhash
 from tracelight.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,35 @@ def qualities(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, read(spark, folder, "labels")))
 
 
+_CONTAMINATION_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item, list_slice(w, s, s + 12) AS v FROM
+        (SELECT item, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS s FROM b WHERE len(w) > 0)),
+dw AS (SELECT r, len(w) AS n, s, w, list_slice(w, s, s + 12) AS v FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS s FROM d)),
+full_hits AS (SELECT dw.r, dw.s, len(win.v) AS n, win.item FROM dw JOIN win ON dw.v = win.v),
+short_win AS (SELECT * FROM win WHERE len(v) < 13),
+short_hits AS (SELECT dw.r, dw.s, len(q.v) AS n, q.item FROM dw JOIN short_win q
+        ON dw.w[dw.s] = q.v[1] AND list_slice(dw.w, dw.s, dw.s + len(q.v) - 1) = q.v),
+hits AS (SELECT * FROM full_hits UNION SELECT * FROM short_hits),
+pos AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(s, s + n)) AS p FROM hits) GROUP BY r),
+its AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
+FROM d LEFT JOIN pos USING (r) LEFT JOIN its USING (r)
+"""
+
+
+@query("op4_contamination", _CONTAMINATION_SQL)
+def contaminated(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document inside benchmark windows of 13 words."""
+    found = decontaminate.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+    return found.drop("key")
+
+
 @query("op6_language")
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from documents that are not held out."""
