@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm import decontaminate, language, quality, simhash
+from tracelight.llm import decontaminate, language, mixing, quality, simhash
 from tracelight.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +31,17 @@ def qualities(spark: SparkSession, folder: str) -> DataFrame:
     return quality.classify(docs, quality.fit(docs, read(spark, folder, "labels")))
 
 
+#: Share of the tokens each domain of the labels table shall have.
+TARGETS = {"good": 0.93, "poor": 0.045, "toxic": 0.025}
+
+
+@query("op3_mixing")
+def mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """Rates of all documents that bring the domains of the labels table to their target shares."""
+    labelled = mixing.label_domains(read(spark, folder, "labels"))
+    return mixing.mix(read(spark, folder, "documents"), labelled, TARGETS).drop("key")
+
+
 _CONTAMINATION_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''),
         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
