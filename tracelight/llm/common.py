@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,8 +30,9 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def numbered(columns: Iterable[str], wanted: Iterable[str]) -> None:
-    """Stops with a clear message if a needed column is missing."""
-    missing = [c for c in wanted if c not in set(columns)]
-    if missing:
-        raise ValueError(f"columns are missing: {', '.join(missing)}")
+def with_column(df: DataFrame, name: str, value: Column) -> tuple[DataFrame, str]:
+    """``df`` with a further column under a name that is still free, and that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return df.withColumn(name, value), name

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import ascii_lower, stored
+from tracelight.llm.common import ascii_lower, stored, with_column
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_SHINGLES = 1_000_000  # rows of two numbers, at most about 50 MB in a task
@@ -150,7 +150,8 @@ def contamination(
 
 def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without contaminated rows."""
-    bad = contamination(docs, items, id_col, text_col, **options).where("contaminated")
-    bad = bad.select(F.col(id_col).alias("_id"), F.col("key").alias("_key")).distinct()
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(bad, docs[id_col].eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left_anti")
+    found = contamination(docs, items, id_col, text_col, **options).where("contaminated")
+    tagged, key = with_column(docs, "_own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    bad = found.select(id_col, F.col("key").alias(key)).distinct().alias("bad")
+    same = F.col(f"docs.{id_col}").eqNullSafe(F.col(f"bad.{id_col}")) & (F.col(f"docs.{key}") == F.col(f"bad.{key}"))
+    return tagged.alias("docs").join(bad, same, "left_anti").drop(key)

@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import stored
+from tracelight.llm.common import stored, with_column
 
 BUCKETS = 1 << 16  # so many rows the broadcast model has at most
 
@@ -109,7 +109,7 @@ def learn(
     index = F.array_position(F.array(*map(F.lit, domains)), F.col("domain")) - 1
     table = rows.select(array_to_vector(has).alias("features"), index.cast("double").alias("label"))
     fitted = LogisticRegression(
-        family="multinomial", regParam=penalty, elasticNetParam=0.5, standardization=False, maxIter=60
+        family="multinomial", regParam=penalty, elasticNetParam=0.5, standardization=False, maxIter=40
     ).fit(table)
     matrix, bias = fitted.coefficientMatrix.toArray(), fitted.interceptVector.toArray()
     weights = np.zeros((n, len(chosen)))
@@ -199,9 +199,13 @@ def mix(
 
 def with_rates(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with their rate; documents of rate 0 go."""
-    own = rates.where("rate > 0").select(F.col(id_col).alias("_id"), F.col("key").alias("_key"), F.col("rate").alias("sampling_rate"))
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(own, docs[id_col].eqNullSafe(F.col("_id")) & (key == F.col("_key"))).drop("_id", "_key")
+    tagged, key = with_column(docs, "_own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    name = with_column(docs, "sampling_rate", F.lit(0))[1]
+    own = rates.where("rate > 0").select(F.col(id_col).alias("_id"), F.col("key").alias("_key"), F.col("rate").alias("_rate"))
+    own = own.alias("own")
+    same = F.col(f"docs.{id_col}").eqNullSafe(F.col("own._id")) & (F.col(f"docs.{key}") == F.col("own._key"))
+    both = tagged.alias("docs").join(own, same)
+    return both.select(*[F.col(f"docs.`{c}`") for c in docs.columns], F.col("own._rate").alias(name))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def qualities(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: Share of the tokens each domain of the labels table shall have.
-TARGETS = {"good": 0.93, "poor": 0.045, "toxic": 0.025}
+TARGETS = {"good": 0.9, "poor": 0.05, "toxic": 0.05}
 
 
 @query("op3_mixing")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import stored
+from tracelight.llm.common import stored, with_column
 from tracelight.llm.components import components
 
 BITS = 64
@@ -267,11 +267,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows with a null id stay if their component has no id at all.
     """
     found = near_duplicates(docs, id_col, text_col, **options)
-    stay = found.where(f"{id_col} <=> component_id").select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"))
-    tagged = docs.withColumn("_own", F.xxhash64(text_col))
-    kept = tagged.join(
-        stay.distinct(), tagged[id_col].eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_key")), "left_semi"
-    )
-    order = Window.partitionBy(id_col).orderBy("_own")
-    once = kept.where(F.col(id_col).isNotNull()).withColumn("_n", F.row_number().over(order)).where("_n = 1")
-    return once.drop("_own", "_n").union(kept.where(F.col(id_col).isNull()).drop("_own"))
+    tagged, key = with_column(docs, "_own", F.xxhash64(text_col))
+    stay = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(id_col, F.col("text_key").alias(key))
+    stay = stay.distinct().alias("stay")
+    same = F.col(f"docs.{id_col}").eqNullSafe(F.col(f"stay.{id_col}")) & (F.col(f"docs.{key}") == F.col(f"stay.{key}"))
+    kept = tagged.alias("docs").join(stay, same, "left_semi")
+    order = Window.partitionBy(id_col).orderBy(key)
+    once, number = with_column(kept.where(F.col(id_col).isNotNull()), "_n", F.row_number().over(order))
+    once = once.where(F.col(number) == 1).drop(number)
+    return once.union(kept.where(F.col(id_col).isNull())).drop(key)
