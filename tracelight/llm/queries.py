@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm import decontaminate, language, mixing, quality, simhash
+from tracelight.llm import decontaminate, language, mixing, neighbours, quality, simhash
 from tracelight.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,24 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+_NEIGHBOUR_SQL = """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x * x)) AS s
+    FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e) / sqrt(q.s * v.s) AS score
+    FROM v q JOIN v ON q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND len(q.e) = len(v.e)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op1_neighbours", _NEIGHBOUR_SQL)
+def nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest vectors of every vector whose id is divisible by 50."""
+    vectors = read(spark, folder, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 @query("op2_quality")
 def qualities(spark: SparkSession, folder: str) -> DataFrame:
     """Quality of every document, learned from labelled documents that are not held out."""
