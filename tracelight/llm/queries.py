@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm import decontaminate, language, mixing, neighbours, quality, simhash
+from tracelight.llm import chat, decontaminate, language, mixing, neighbours, quality, simhash, warc
 from tracelight.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,6 +96,49 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     return language.identify(docs, language.fit(docs))
 
 
+_CHAT_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e AS (SELECT *, length(regexp_replace(replace(role, '\', '\\'), '([<\[])(\|[A-Za-z_]+\|>|/?s>|</?SYS>>|/?INST\])', '\1\\\2', 'g'))
+    + length(regexp_replace(replace(text, '\', '\\'), '([<\[])(\|[A-Za-z_]+\|>|/?s>|</?SYS>>|/?INST\])', '\1\\\2', 'g'))
+    + length('<|turn|><|text|><|end|>') AS n FROM t)
+SELECT conv_id, count(*) AS n_turns,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+    CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query("op7_chat", _CHAT_SQL)
+def chats(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations and one made of control strings, formatted and read back."""
+    hard = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hard).alias("text"),
+    )
+    rows = read(spark, folder, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.digest(chat.format_rows(rows), "conv_id")
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages),
+q AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS low FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+    CASE WHEN low IS NOT NULL AND page_id IS DISTINCT FROM low THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN page_id IS DISTINCT FROM low THEN low END AS refers_to
+FROM q
+"""
+
+
+@query("op9_warc", _WARC_SQL)
+def archived(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written as a WARC record and read back by byte ranges."""
+    return warc.round_trip(spark, read(spark, folder, "pages"))
+
+
 @query("op10_simhash_near_duplicates")
 def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document over 4-word SimHashes at most 4 bits apart."""
