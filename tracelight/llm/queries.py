@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm import chat, decontaminate, language, mixing, neighbours, quality, simhash, warc
+from tracelight.llm import chat, decontaminate, extract, language, mixing, neighbours, quality, simhash, warc
 from tracelight.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,6 +123,12 @@ def chats(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digest(chat.format_rows(rows), "conv_id")
 
 
+@query("op8_main_text")
+def main_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return extract.extract(read(spark, folder, "pages"))
+
+
 _WARC_SQL = """
 WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS d, strlen(coalesce(html, '')) AS n FROM pages),
 q AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d) END AS low FROM p)
