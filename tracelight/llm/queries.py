@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm import chat, decontaminate, extract, language, mixing, neighbours, quality, simhash, warc
+from tracelight.llm import chat, decontaminate, extract, language, licences, mixing, neighbours, quality, simhash, warc
 from tracelight.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,6 +89,13 @@ def contaminated(spark: SparkSession, folder: str) -> DataFrame:
     return found.drop("key")
 
 
+@query("op5_licences")
+def licensed(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence paragraphs of every document."""
+    docs = read(spark, folder, "documents")
+    return licences.digest(licences.scan(docs, licences.fit(docs)))
+
+
 @query("op6_language")
 def languages(spark: SparkSession, folder: str) -> DataFrame:
     """Language of every document, learned from documents that are not held out."""
