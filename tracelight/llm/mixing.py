@@ -145,26 +145,31 @@ def fit_rates(posts: DataFrame, targets: list[float], budget: float | None, step
     """Projected-gradient steps that bring expected domain tokens to ``targets`` of the token budget.
 
     The squared error is weighted by the inverse of the token-weighted second moments of the
-    posteriors, which makes the unit step length valid (its largest curvature is one).
+    posteriors of documents with a positive rate, so a unit step would end it if no further rate met
+    zero. After a step that did not lower the error, the moments of all documents are used, for which
+    the unit step is never too long.
     """
     n = len(targets)
     weight = F.col("tokens") * F.col("rows")
-    moments = [F.sum(weight * F.col(f"p{j}") * F.col(f"p{k}")) for j in range(n) for k in range(n)]
-    first = posts.agg(F.sum(weight), *moments).first()
-    total = float(first[0] or 0)
-    if total <= 0:
-        return []
-    gram = np.array([float(v) for v in first[1:]]).reshape(n, n) / total
-    precision = np.linalg.inv(gram + 1e-9 * np.eye(n))
-    goal = np.array(targets, float) / sum(targets) * (budget or total) / total
+    goal = np.array(targets, float) / sum(targets)
     taken: list[np.ndarray] = []
+    everyone, total, before = None, 0.0, np.inf
     for _ in range(steps):
         r = rate(taken, n)
-        sums = posts.agg(*[F.sum(weight * r * F.col(f"p{k}")) for k in range(n)]).first()
-        error = np.array([float(v) for v in sums]) / total - goal
-        if np.abs(error).max() < close:
+        active = weight * (r > 0).cast("int")
+        moments = [F.sum(active * F.col(f"p{j}") * F.col(f"p{k}")) for j in range(n) for k in range(n)]
+        sums = posts.agg(F.sum(weight), *[F.sum(weight * r * F.col(f"p{k}")) for k in range(n)], *moments).first()
+        total = float(sums[0] or 0)
+        if total <= 0:
+            return []
+        error = np.array([float(v) for v in sums[1 : n + 1]]) / total - goal * (budget or total) / total
+        gram = np.array([float(v) for v in sums[n + 1 :]]).reshape(n, n) / total + 1e-9 * np.eye(n)
+        everyone = gram if everyone is None else everyone
+        now = float(np.abs(error).max())
+        if now < close:
             break
-        taken.append(precision @ error)
+        taken.append(np.linalg.solve(gram if now < before else everyone, error))
+        before = now
     return taken
 
 
