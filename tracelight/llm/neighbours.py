@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tracelight.llm.common import stored
 
 CODE_BITS = 256
-ERROR_FACTOR = 2.5
+ERROR_FACTOR = 3.0
 
 
 def frame(dim: int, bits: int, seed: int = 11) -> np.ndarray:
