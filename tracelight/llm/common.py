@@ -30,6 +30,20 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def bounded_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
+    """At most ``n`` rows, those with the smallest hashes of the id.
+
+    A bound on the hash, from the number of rows, thins the table in the scan, so that few more than
+    ``n`` rows are ordered, whatever the table's size. All rows come if there are no more than ``n``.
+    """
+    total = df.count()
+    place = F.xxhash64(id_col)
+    if total > n:
+        width = min(1.0, (2 * n + 100) / total)
+        df = df.where(place < F.lit(int(-(2**63) + width * (2**64 - 1)) if width < 1 else 2**63 - 1))
+    return df.orderBy(place, *[c for c, kind in df.dtypes if "map" not in kind and "variant" not in kind]).limit(n)
+
+
 def with_column(df: DataFrame, name: str, value: Column) -> tuple[DataFrame, str]:
     """``df`` with a further column under a name that is still free, and that name."""
     taken = {c.lower() for c in df.columns}

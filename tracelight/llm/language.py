@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import held_out, stored
+from tracelight.llm.common import bounded_sample, held_out, stored
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 WORD = re.compile(r"[^\W\d_]+")
@@ -124,6 +124,88 @@ def expected_counts(edges: list, p: list[float]) -> dict[int, float]:
     return counts
 
 
+class Scorer:
+    """Log-probabilities of many words in every language: the forward pass over all words of a length at once.
+
+    The pieces that end at a position are looked up by rolling hashes of the substrings there.
+    """
+
+    base = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, vocabulary: list[str], p: np.ndarray) -> None:
+        self.p = p
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        texts = [(i, v) for i, v in enumerate(vocabulary) if not re.fullmatch(r"<0x[0-9A-F]{2}>", v)]
+        for length in sorted({len(v) for _, v in texts} - {1}):
+            own = [(i, v) for i, v in texts if len(v) == length]
+            hashes = self.hashes(self.codes([v for _, v in own], length))[:, -1]
+            order = np.argsort(hashes)
+            self.by_length[length] = hashes[order], np.array([i for i, _ in own])[order]
+        self.single = {ord(v): i for i, v in texts if len(v) == 1}
+        self.bytes = {int(v[3:5], 16): i for i, v in enumerate(vocabulary) if re.fullmatch(r"<0x[0-9A-F]{2}>", v)}
+
+    @staticmethod
+    def codes(words: list[str], length: int) -> np.ndarray:
+        return np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(-1, length)
+
+    def hashes(self, codes: np.ndarray) -> np.ndarray:
+        """Hash of every prefix; the one of nothing first."""
+        out = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+        for k in range(codes.shape[1]):
+            out[:, k + 1] = out[:, k] * self.base + codes[:, k]
+        return out
+
+    def characters(self, codes: np.ndarray) -> np.ndarray:
+        """Probabilities of single characters; one outside the vocabulary is spelled in bytes."""
+        found, at = np.unique(codes, return_inverse=True)
+        rows = np.empty((len(found), self.p.shape[1]))
+        for k, code in enumerate(found.tolist()):
+            i = self.single.get(code)
+            if i is not None:
+                rows[k] = self.p[i]
+            else:
+                rows[k] = np.prod([self.p[self.bytes.get(b, 0)] for b in chr(code).encode("utf-8", "replace")], axis=0)
+        return rows[at.reshape(codes.shape)]
+
+    def same_length(self, words: list[str]) -> np.ndarray:
+        codes = self.codes([START + w for w in words], len(words[0]) + 1)
+        prefix, single = self.hashes(codes), self.characters(codes)
+        alpha, shift = [np.ones((len(words), self.p.shape[1]))], np.zeros(len(words))
+        for end in range(1, codes.shape[1] + 1):
+            total = alpha[end - 1] * single[:, end - 1]
+            power = int(self.base)
+            for length in range(2, end + 1):
+                power = power * int(self.base) % (1 << 64)
+                if length not in self.by_length:
+                    continue
+                table, ids = self.by_length[length]
+                key = prefix[:, end] - prefix[:, end - length] * np.uint64(power)
+                place = np.minimum(np.searchsorted(table, key), len(table) - 1)
+                hit = np.flatnonzero(table[place] == key)
+                total[hit] += alpha[end - length][hit] * self.p[ids[place[hit]]]
+            low = total.max(axis=1)
+            if low.min() < TINY:
+                grow = np.where(low < TINY, 1 / np.maximum(low, 1e-300), 1.0)
+                shift -= np.log(grow)
+                alpha = [a * grow[:, None] for a in alpha]
+                total *= grow[:, None]
+            alpha.append(total)
+        return np.log(np.maximum(alpha[-1], 1e-300)) + shift[:, None]
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """One row per word."""
+        out = np.empty((len(words), self.p.shape[1]))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(sizes, kind="stable")
+        cuts = np.flatnonzero(np.diff(sizes[order])) + 1
+        for some in np.split(order, cuts):
+            step = max(1, 200_000 // (int(sizes[some[0]]) + 1))
+            for lo in range(0, len(some), step):
+                part = some[lo : lo + step]
+                out[part] = self.same_length([words[i] for i in part])
+        return out
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -135,33 +217,34 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "_state": {}}
 
-    def score(self, texts: Iterator[str | None]) -> pd.DataFrame:
-        """Most likely language and its posterior for each text."""
+    def rows(self, words: set[str]) -> tuple[dict[str, int], np.ndarray]:
+        """Place of each word in a table of log-probabilities; short words are remembered."""
         state = self._state
         if not state:
-            state |= {"lattice": Lattice(self.vocabulary), "p": self.p.tolist(), "seen": {}}
-        seen, langs, score = state["seen"], [], []
-        for text in texts:
-            counts = Counter(words_of(text))
-            if not counts or not self.languages:
-                langs.append(UNDETERMINED)
-                score.append(0.0)
-                continue
-            rows = []
-            for word in counts:
-                row = seen.get(word)
-                if row is None:
-                    row = log_probabilities(state["lattice"].edges(word), state["p"])
-                    if len(word) <= 64:
-                        if len(seen) >= CACHED:
-                            seen.clear()
-                        seen[word] = row
-                rows.append(row)
-            total = self.log_prior + np.fromiter(counts.values(), float, len(counts)) @ np.array(rows)
-            best = int(total.argmax())
-            langs.append(self.languages[best])
-            score.append(float(1.0 / np.exp(total - total[best]).sum()))
-        return pd.DataFrame({"lang_pred": langs, "score": score})
+            state |= {"scorer": Scorer(self.vocabulary, self.p), "seen": {}, "table": np.empty((0, len(self.languages)))}
+        new = [w for w in words if w not in state["seen"]]
+        if len(state["seen"]) + len(new) > CACHED:
+            state |= {"seen": {}, "table": state["table"][:0]}
+            new = list(words)
+        if new:
+            state["seen"] |= zip(new, range(len(state["table"]), len(state["table"]) + len(new)))
+            state["table"] = np.concatenate([state["table"], state["scorer"](new)])
+        return state["seen"], state["table"]
+
+    def score(self, texts: list[str | None]) -> pd.DataFrame:
+        """Most likely language and its posterior for each text."""
+        langs, scores = np.full(len(texts), UNDETERMINED, object), np.zeros(len(texts))
+        for lo in range(0, len(texts) if self.languages else 0, 512):
+            counts = [Counter(words_of(t)) for t in texts[lo : lo + 512]]
+            place, table = self.rows(set().union(*counts))
+            for k, own in enumerate(counts, lo):
+                if not own:
+                    continue
+                rows = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
+                total = self.log_prior + np.fromiter(own.values(), float, len(own)) @ table[rows]
+                best = int(total.argmax())
+                langs[k], scores[k] = self.languages[best], 1.0 / np.exp(total - total[best]).sum()
+        return pd.DataFrame({"lang_pred": langs, "score": scores})
 
 
 def fit(
@@ -184,7 +267,7 @@ def fit(
     names = pieces(vocabulary)
     rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = rows.orderBy(F.xxhash64("id"), "id", "lang").limit(fit_rows).repartition("id")
+    rows = bounded_sample(rows, "id", fit_rows).repartition("id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -228,7 +311,7 @@ def predicted(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     @F.pandas_udf("lang_pred string, score double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
-            yield shared.value.score(batch)
+            yield shared.value.score(batch.tolist())
 
     return score(F.col(text_col))
 

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelight.llm.common import bounded_sample
+
 WORD = re.compile(r"[a-z0-9]+(?:[.'-][a-z0-9]+)*")
 UNKNOWN = "unknown"
 
@@ -201,7 +203,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_row
     """Learns unknown from the paragraphs of at most ``fit_rows`` documents (smallest hashes of the id), at
     most ``fit_paragraphs`` of them; families from the templates."""
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    some = some.orderBy(F.xxhash64("id"), F.xxhash64("text")).limit(fit_rows)
+    some = bounded_sample(some, "id", fit_rows)
     lines = some.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
     lines = lines.orderBy(F.xxhash64("line"), "line").limit(fit_paragraphs)
     return train([r["line"] for r in lines.collect()])

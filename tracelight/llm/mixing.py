@@ -17,7 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import stored, with_column
+from tracelight.llm.common import bounded_sample, stored, with_column
 
 BUCKETS = 1 << 16  # so many rows the broadcast model has at most
 
@@ -89,7 +89,7 @@ def learn(
     n = len(domains)
     known = labelled.where(F.col(domain_col).isin(domains) & F.col(id_col).isNotNull())
     known = known.select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain"))
-    known = known.orderBy(F.xxhash64("id"), "id", "domain").limit(fit_rows)
+    known = bounded_sample(known, "id", fit_rows)  # so it may be broadcast
     rows = keyed(docs, id_col, text_col).join(F.broadcast(known), "id")
     rows = rows.select("domain", F.array_distinct(word_buckets(F.col("text"))).alias("buckets"))
     rows = stored(rows, "mixing-labelled")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import stored
+from tracelight.llm.common import bounded_sample, stored
 
 CODE_BITS = 256
 ERROR_FACTOR = 3.0
@@ -105,7 +105,7 @@ def index(vectors: DataFrame, id_col: str, vector_col: str, k: int, sample_rows:
     spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     own = own.where(F.col("id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
-    sample = own.orderBy(F.xxhash64("id"), "id", "vector").limit(sample_rows).toPandas()
+    sample = bounded_sample(own, "id", sample_rows).toPandas()
     centres = {int(d): unit(np.stack(g["vector"].to_numpy())).mean(axis=0) for d, g in sample.groupby("dim")}
     order = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("id")
     first = own.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import held_out
+from tracelight.llm.common import bounded_sample, held_out
 
 WORD_BITS = 14
 STATISTICS = (
@@ -187,7 +187,7 @@ def fit(
     """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = known.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    known = known.orderBy(F.xxhash64("id"), "id", "label").limit(fit_rows)  # bounded, so it may be broadcast
+    known = bounded_sample(known, "id", fit_rows)  # so it may be broadcast
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(chars_col).alias("n_chars"))
     rows = own.join(F.broadcast(known), "id").orderBy("id", "label", F.xxhash64("text")).limit(fit_rows).toPandas()
     y = (rows["label"].to_numpy() == 1).astype(float)
