@@ -49,9 +49,36 @@ def test_valid_chain_verifies_and_tampering_shows(spark):
     changed = good.withColumn("content_sha256", F.when(at, F.lit("0" * 64)).otherwise(F.col("content_sha256")))
     assert I.verify_links(changed).where("NOT link_valid").count() == 1
     holes = I.verify_continuity(good.where(~at)).where("continuity <> 'continuous'").collect()
-    assert [(r["client_id"], r["sequence_number"], r["continuity"]) for r in holes] == [("c1", 2, "sequence-gap")]
+    assert [(r["client_id"], r["session_id"], r["sequence_number"], r["continuity"]) for r in holes] == [("c1", "s1", 2, "sequence-gap")]
     relinked = good.withColumn("previous_chain_hash", F.when((F.col("sequence_number") == 0) & (F.col("session_id") == "s1"), F.lit(I.GENESIS)).otherwise(F.col("previous_chain_hash")))
-    assert I.verify_continuity(relinked).where("continuity = 'wrong-predecessor'").count() == 3
+    after = I.verify_continuity(relinked).groupBy("continuity").count().collect()
+    assert {r[0]: r[1] for r in after} == {"continuous": 9, "wrong-predecessor": 3, "sequence-gap": 6}
+
+
+def test_only_accepted_batches_move_the_chain_on(spark):
+    good = chain(spark, clients=2, sessions=3)
+    refused = (F.col("client_id") == "c0") & (F.col("session_id") == "s0") & (F.col("sequence_number") == 1)
+    out = I.verify_continuity(good, ~refused)
+    got = {(r["client_id"], r["session_id"], r["sequence_number"]): r["continuity"] for r in out.collect()}
+    assert [got["c0", "s0", i] for i in range(3)] == ["continuous", "continuous", "sequence-gap"]
+    assert [got["c0", "s1", i] for i in range(3)] == ["wrong-predecessor", "sequence-gap", "sequence-gap"]
+    assert got["c0", "s2", 0] == "wrong-predecessor" and {v for k, v in got.items() if k[0] == "c1"} == {"continuous"}
+    # A later session that links to the last accepted batch is taken up again.
+    head = good.where("client_id = 'c0' AND session_id = 's0' AND sequence_number = 0").first()["chain_hash"]
+    first = (F.col("client_id") == "c0") & (F.col("session_id") == "s2") & (F.col("sequence_number") == 0)
+    again = good.withColumn("previous_chain_hash", F.when(first, F.lit(head)).otherwise(F.col("previous_chain_hash")))
+    got = {(r["client_id"], r["session_id"], r["sequence_number"]): r["continuity"] for r in I.verify_continuity(again, ~refused).collect()}
+    assert [got["c0", "s2", i] for i in range(3)] == ["continuous"] * 3 and got["c0", "s1", 0] == "wrong-predecessor"
+
+
+def test_redeliveries_and_conflicts_neither_multiply_nor_move_the_chain(spark):
+    good = chain(spark, clients=1, sessions=2)
+    later = good.withColumn("acquired_at", F.col("acquired_at") + 100)
+    other = later.where("session_id = 's0' AND sequence_number = 1").withColumn("chain_hash", F.lit("f" * 64))
+    out = I.verify_continuity(good.union(later).union(other))
+    assert out.count() == 13
+    assert {r["continuity"] for r in out.where(F.col("chain_hash") != "f" * 64).collect()} == {"continuous"}
+    assert out.where(F.col("chain_hash") == "f" * 64).first()["continuity"] == "conflicting-commitment"
 
 
 def test_register_replay_and_contiguity(spark):
@@ -85,9 +112,10 @@ def test_replays_are_counted_and_conflicts_kept(spark):
 
 BATCH = dict(
     batch_id=1, client_id="c", node_id="n", attestation_id="a", attestation_sha256="d", observed_sha256="x", content_sha256="x",
-    observed_size=3, content_size=3, link_valid=True, signature_valid=True, continuity="continuous", decided_at=10,
+    observed_size=3, content_size=3, link_valid=True, signature_valid=True, session_id="s", sequence_number=0, acquired_at=1,
+    chain_hash="h", previous_chain_hash=I.GENESIS, decided_at=10,
 )
-SCHEMA = "batch_id int, client_id string, node_id string, attestation_id string, attestation_sha256 string, observed_sha256 string, content_sha256 string, observed_size int, content_size int, link_valid boolean, signature_valid boolean, continuity string, decided_at int"
+SCHEMA = "batch_id int, client_id string, node_id string, attestation_id string, attestation_sha256 string, observed_sha256 string, content_sha256 string, observed_size int, content_size int, link_valid boolean, signature_valid boolean, session_id string, sequence_number int, acquired_at int, chain_hash string, previous_chain_hash string, decided_at int"
 
 
 @pytest.mark.parametrize(
@@ -101,7 +129,8 @@ SCHEMA = "batch_id int, client_id string, node_id string, attestation_id string,
         ({"decided_at": 21}, ["client_node_binding", "attestation_freshness"]),
         ({"decided_at": 16}, ["attestation_freshness"]),
         ({"attestation_sha256": "z"}, ["attestation_reference"]),
-        ({"continuity": "sequence-gap"}, ["session_sequence_continuity"]),
+        ({"sequence_number": 1}, ["session_sequence_continuity"]),
+        ({"previous_chain_hash": "0"}, ["session_sequence_continuity"]),
         ({"signature_valid": False}, ["evidence_signature"]),
         ({"attestation_id": "none"}, ["attestation_reference", "attestation_signature", "attestation_identity_binding", "attestation_status", "attestation_freshness", "attestation_trust_level"]),
     ],

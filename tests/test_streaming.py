@@ -40,14 +40,15 @@ def test_redeliveries(spark, tmp_path):
 
 
 def test_chain_state_lasts_over_micro_batches(spark, tmp_path):
-    whole = chain(spark).withColumn("batch_id", F.col("acquired_at").cast("bigint")).withColumn("sequence_number", F.col("sequence_number").cast("bigint"))
+    whole = chain(spark).withColumn("eligible", F.col("client_id") != "c2").withColumn("batch_id", F.col("acquired_at").cast("bigint")).withColumn("sequence_number", F.col("sequence_number").cast("bigint"))
     damaged = whole.where("NOT (client_id = 'c1' AND acquired_at = 1)")
     source = str(tmp_path / "in")
-    columns = ["batch_id", "client_id", "session_id", "sequence_number", "acquired_at", "chain_hash", "previous_chain_hash"]
+    columns = ["batch_id", "client_id", "session_id", "sequence_number", "acquired_at", "chain_hash", "previous_chain_hash", "eligible"]
     schema = damaged.select(*columns).schema
     for part in (damaged.where("acquired_at < 2"), damaged.where("acquired_at BETWEEN 2 AND 3"), damaged.where("acquired_at > 3")):
         part.select(*columns).coalesce(1).write.mode("append").parquet(source)
         out = drain(jobs.follow_chains(jobs.read_files(spark, source, schema)), tmp_path, "out")
-    batch = I.verify_continuity(damaged).select("client_id", "batch_id", "continuity")
+    batch = I.verify_continuity(damaged, F.col("eligible")).select("client_id", "batch_id", "continuity")
     assert sorted(map(tuple, out.select("client_id", "batch_id", "continuity").collect())) == sorted(map(tuple, batch.collect()))
-    assert [r["batch_id"] for r in out.where("continuity <> 'continuous'").collect()] == [2]
+    refused = out.where("continuity <> 'continuous'").orderBy("client_id", "batch_id").collect()
+    assert [(r["client_id"], r["batch_id"]) for r in refused] == [("c1", i) for i in range(2, 6)] + [("c2", i) for i in range(1, 6)]

@@ -7,11 +7,14 @@ signatures, so a decision is only as strong as the verdicts it is given.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.functions import scalars as S
+from tracelight.operators.integrity import verify_continuity
 
 # Attestation results that let a batch pass.
 PASSING_STATUS = ("passed", "passed_with_warning")
@@ -85,7 +88,10 @@ def admit_batches(
     at: str = "decided_at",
     trust_levels: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Decision on every batch; the batch table carries observed digests, verdicts and continuity."""
+    """Decision on every batch; the batch table carries observed digests, verdicts and chain positions.
+
+    Continuity is judged last, against the batches that passed every other check and were continuous.
+    """
     bound = bind_attestation(bind_identity(batches, identities, at), attestations, at, trust_levels)
     checks = {
         "registered_identity": F.col("registered"),
@@ -102,8 +108,10 @@ def admit_batches(
     }
     if trust_levels is not None:
         checks["attestation_trust_level"] = F.col("attestation_trust_level")
+    passed = reduce(and_, [F.coalesce(c, F.lit(False)) for c in checks.values()])
+    followed = verify_continuity(bound, passed)
     checks["session_sequence_continuity"] = F.col("continuity") == "continuous"
-    decided = decide(bound, checks)
+    decided = decide(followed, checks)
     basis = {
         "batch_id": F.col("batch_id").cast("string"),
         "checks": F.to_json("checks"),

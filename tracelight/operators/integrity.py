@@ -1,8 +1,8 @@
 """Hash chains, custody and round sequences, measurement logs, replays.
 
 Verifying is parallel: the predecessor of a record is found by an equi-join on its position, not by a
-window over a whole (possibly hot) chain. Only building a chain is sequential; it streams over sorted
-rows with constant memory.
+window over a whole (possibly hot) chain. Building a chain and following what was accepted of it are
+sequential by nature; they stream over sorted rows and keep only the heads.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelight.functions import scalars as S
-from tracelight.operators.ranking import same_keys, slot_ranked
+from tracelight.operators.ranking import same_keys
 
 GENESIS = "0" * 64
 
@@ -118,41 +118,62 @@ def verify_links(batches: DataFrame) -> DataFrame:
     return batches.withColumn("link_valid", F.col("chain_hash") == expected)
 
 
-def verify_continuity(batches: DataFrame, slot_width: float = 86400.0) -> DataFrame:
-    """Expected predecessor of every batch and whether position and predecessor fit.
+class ChainHeads:
+    """What a client has had accepted: its latest commitment, and position and commitment per session."""
 
-    Inside a session it is the batch before; a session's first batch (position 0) links to the last
-    batch of the client's session before, or to the genesis value. Sessions of a client are put in order
-    by ``acquired_at`` in slots of ``slot_width``, so a client with very many sessions is split as well.
+    def __init__(self, head: str = GENESIS, sessions: dict[str, tuple[int, str]] | None = None) -> None:
+        self.head, self.sessions = head, sessions or {}
+
+    def receive(self, session: str, position: int, previous: str, commitment: str, eligible: bool) -> str:
+        """Verdict on the next batch. Only an eligible batch that fits moves the heads on."""
+        place, link = self.sessions.get(session, (-1, self.head))
+        if position != place + 1:
+            return "sequence-gap"
+        if previous != link:
+            return "wrong-predecessor"
+        if eligible:
+            self.sessions[session] = (position, commitment)
+            self.head = commitment
+        return "continuous"
+
+
+POSITION = ("client_id", "session_id", "sequence_number")
+
+
+def verify_continuity(batches: DataFrame, eligible: Column | None = None, arrival: str = "acquired_at") -> DataFrame:
+    """Adds ``continuity``: whether a batch follows what had been *accepted* of its client before it.
+
+    A batch is accepted if it is continuous and ``eligible`` (its other checks passed; by default all
+    are). A session starts at position 0 with the client's last accepted commitment, or the genesis
+    value, as predecessor; later batches follow the session's last accepted one. So whatever comes
+    after a missing, altered or refused batch is refused until it links to the accepted state again.
+
+    The first delivery of a position counts. Equal later ones share its verdict, other commitments for
+    the position conflict, and neither adds rows or moves the state. Acceptance is sequential per client:
+    one row per position streams through sorted partitions, and a task holds one client's open heads.
     """
-    keys = ["client_id", "session_id"]
-    linked = predecessor(batches, keys, "sequence_number", ["chain_hash"], "_before_")
-    sessions = batches.groupBy(*keys).agg(
-        F.max_by("chain_hash", "sequence_number").alias("_last"), F.min("acquired_at").alias("_begin")
-    )
-    placed = slot_ranked(
-        sessions,
-        groups=["client_id"],
-        slot=F.floor(F.col("_begin").cast("double") / slot_width),
-        order=["_begin", "session_id"],
-        rank="_place",
-    )
-    heads = predecessor(placed, ["client_id"], "_place", ["_last"], "_session_before").select(
-        *keys, F.col("_session_before_last").alias("_session_before")
-    )
-    joined = same_keys(linked, heads, keys, "left")
-    first = F.col("sequence_number") == 0
-    expected = F.when(
-        first, F.coalesce("_session_before", F.lit(GENESIS))
-    ).otherwise(F.col("_before_chain_hash"))
-    reason = (
-        F.when(~first & F.col("_before_chain_hash").isNull(), F.lit("sequence-gap"))
-        .when(F.col("previous_chain_hash") != expected, F.lit("wrong-predecessor"))
-        .otherwise(F.lit("continuous"))
-    )
-    return joined.withColumn("expected_previous", expected).withColumn("continuity", reason).drop(
-        "_before_chain_hash", "_session_before"
-    )
+    judged = F.coalesce(F.lit(True) if eligible is None else eligible, F.lit(False))
+    parts = [F.col(arrival).alias("at"), "chain_hash", "previous_chain_hash", judged.alias("eligible")]
+    firsts = batches.groupBy(*POSITION).agg(F.min(F.struct(*parts)).alias("_f"))
+    placed = firsts.select(*POSITION, "_f.*").repartition("client_id")
+    placed = placed.sortWithinPartitions("client_id", "at", "session_id", "sequence_number")
+
+    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        client, heads = None, ChainHeads()
+        names = ("client_id", "session_id", "sequence_number", "previous_chain_hash", "chain_hash", "eligible")
+        for frame in frames:
+            verdicts = []
+            for own, *rest in zip(*[frame[n] for n in names], strict=True):
+                if own != client:
+                    client, heads = own, ChainHeads()
+                verdicts.append(heads.receive(*rest))
+            yield frame[list(POSITION)].assign(_first=frame["chain_hash"], _verdict=verdicts)
+
+    fields = [batches.schema[c] for c in POSITION]
+    schema = T.StructType([*fields, T.StructField("_first", T.StringType()), T.StructField("_verdict", T.StringType())])
+    joined = same_keys(batches, placed.mapInPandas(run, schema), POSITION)
+    verdict = F.when(F.col("chain_hash").eqNullSafe(F.col("_first")), F.col("_verdict")).otherwise("conflicting-commitment")
+    return joined.withColumn("continuity", verdict).drop("_first", "_verdict")
 
 
 def verify_custody(

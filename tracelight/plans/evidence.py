@@ -13,7 +13,6 @@ from tracelight.plans.catalog import Tables, query
 from tracelight.plans.standins import with_parts
 
 SESSION_BATCHES = 4
-SLOT = 64.0
 
 
 def order_batches(t: Tables):
@@ -95,9 +94,28 @@ X.define("chain", _CHAIN_RECURSION, "ob")
 
 
 def chain_parts(names: str, body: str) -> str:
-    """Parts with the recursive chain among them."""
-    text = with_parts(names, body)
-    return text.replace("WITH ", "WITH RECURSIVE ", 1).replace("chain AS MATERIALIZED (", "chain AS (", 1)
+    """Parts with the recursive chain, and what follows accepted batches, among them."""
+    return with_parts(names, body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def following(base: str) -> str:
+    """Batches of ``base`` (with place and eligible), one after the other per client: the head is the last
+    accepted commitment; a session expects position 0 or the one after its last accepted batch. Sessions do
+    not overlap here, so the open session's last accepted batch is the client's."""
+    verdict = f"""CASE WHEN b.sequence_number<>CASE WHEN f.session_id=b.session_id THEN f.accepted_to+1 ELSE 0 END THEN 'sequence-gap'
+        WHEN b.previous_chain_hash<>coalesce(f.head,{GENESIS_SQL}) THEN 'wrong-predecessor' ELSE 'continuous' END"""
+    fits = f"({verdict})='continuous' AND b.eligible"
+    return f"""SELECT client_id, 0::BIGINT AS n, NULL::BIGINT AS batch_id, NULL::VARCHAR AS session_id, -1::BIGINT AS accepted_to, NULL::VARCHAR AS head, NULL::VARCHAR AS continuity
+      FROM (SELECT DISTINCT client_id FROM {base})
+    UNION ALL SELECT b.client_id, b.n, b.batch_id, b.session_id,
+      CASE WHEN {fits} THEN b.sequence_number WHEN f.session_id=b.session_id THEN f.accepted_to ELSE -1 END,
+      CASE WHEN {fits} THEN b.chain_hash ELSE f.head END, {verdict}
+    FROM __SELF__ f JOIN (SELECT *, row_number() OVER (PARTITION BY client_id ORDER BY place) AS n FROM {base}) b ON b.client_id=f.client_id AND b.n=f.n+1"""
+
+
+LINK_SQL = "chain_hash=sha256(unhex(previous_chain_hash)||unhex(content_sha256)||unhex(core_sha256))"
+X.define("eligible_links", f"SELECT *, {LINK_SQL} AS eligible FROM received", "received")
+X.define("cont", following("eligible_links").replace("__SELF__", "cont"), "eligible_links")
 
 
 @query(
@@ -112,34 +130,33 @@ def chain_links(t: Tables):
     return integrity.verify_links(received_batches(t)).select("batch_id", "chain_hash", "link_valid")
 
 
+def followed_batches(t: Tables):
+    """Continuity where a batch is eligible if its own chain link is right."""
+    return integrity.verify_continuity(integrity.verify_links(received_batches(t)), F.col("link_valid"))
+
+
 @query(
     "i2_session_continuity",
     "I2 W13",
     chain_parts(
-        "received",
-        f"""SELECT batch_id, sequence_number::INTEGER AS sequence_number, CASE WHEN sequence_number<>0 AND before IS NULL THEN 'sequence-gap'
-      WHEN previous_chain_hash<>(CASE WHEN sequence_number=0 THEN coalesce(session_before,{GENESIS_SQL}) ELSE before END) THEN 'wrong-predecessor' ELSE 'continuous' END AS continuity
-    FROM (SELECT a.*, b.chain_hash AS before, h.session_before FROM received a LEFT JOIN received b ON a.client_id=b.client_id AND a.session_id=b.session_id AND b.sequence_number=a.sequence_number-1
-      LEFT JOIN (SELECT client_id, session_id, lag(last) OVER (PARTITION BY client_id ORDER BY begin, session_id) AS session_before FROM
-        (SELECT client_id, session_id, arg_max(chain_hash, sequence_number) AS last, min(place) AS begin FROM received GROUP BY 1,2)) h ON h.client_id=a.client_id AND h.session_id=a.session_id)""",
+        "received cont",
+        """SELECT c.batch_id, r.sequence_number::INTEGER AS sequence_number, c.continuity FROM cont c JOIN received r USING (batch_id)""",
     ),
 )
 def session_continuity(t: Tables):
-    out = integrity.verify_continuity(received_batches(t), SLOT)
-    return out.select("batch_id", "sequence_number", "continuity")
+    return followed_batches(t).select("batch_id", "sequence_number", "continuity")
 
 
 @query(
     "i2_continuity_counts",
     "I2",
     chain_parts(
-        "received",
-        """SELECT session_id, count(*) AS batch_count, count(DISTINCT client_id) AS client_count FROM received GROUP BY session_id""",
+        "cont",
+        """SELECT session_id, continuity, count(*) AS batch_count, count(DISTINCT client_id) AS client_count FROM cont WHERE n>0 GROUP BY 1,2""",
     ),
 )
 def continuity_counts(t: Tables):
-    out = integrity.verify_continuity(received_batches(t), SLOT)
-    return out.groupBy("session_id").agg(
+    return followed_batches(t).groupBy("session_id", "continuity").agg(
         F.count(F.lit(1)).alias("batch_count"), F.count_distinct("client_id").alias("client_count")
     )
 
@@ -254,7 +271,7 @@ DECIDED_AT = 20
 
 def admission_inputs(t: Tables):
     """Received batches, customers as identities, one attestation per client and session."""
-    received = integrity.verify_continuity(integrity.verify_links(received_batches(t)), SLOT)
+    received = integrity.verify_links(received_batches(t))
     n = F.col("batch_id")
     batches = received.withColumns(
         {
@@ -296,17 +313,8 @@ def admission_inputs(t: Tables):
 
 
 X.define(
-    "cont",
-    f"""SELECT a.*, CASE WHEN a.sequence_number<>0 AND b.chain_hash IS NULL THEN 'sequence-gap'
-      WHEN a.previous_chain_hash<>(CASE WHEN a.sequence_number=0 THEN coalesce(h.session_before,{GENESIS_SQL}) ELSE b.chain_hash END) THEN 'wrong-predecessor' ELSE 'continuous' END AS continuity
-    FROM received a LEFT JOIN received b ON a.client_id=b.client_id AND a.session_id=b.session_id AND b.sequence_number=a.sequence_number-1
-      LEFT JOIN (SELECT client_id, session_id, lag(last) OVER (PARTITION BY client_id ORDER BY begin, session_id) AS session_before FROM
-        (SELECT client_id, session_id, arg_max(chain_hash, sequence_number) AS last, min(place) AS begin FROM received GROUP BY 1,2)) h ON h.client_id=a.client_id AND h.session_id=a.session_id""",
-    "received",
-)
-X.define(
-    "checked",
-    """SELECT r.batch_id, r.client_id, r.session_id, list_filter([
+    "others",
+    """SELECT r.*, list_filter([
     CASE WHEN k%127=0 THEN 'registered_identity' END,
     CASE WHEN k%127=0 OR k%31=0 OR k%37=0 OR k%41=0 THEN 'client_node_binding' END,
     CASE WHEN r.content_sha256<>r.declared_sha256 THEN 'content_digest' END,
@@ -318,10 +326,17 @@ X.define(
     CASE WHEN m%43=0 THEN 'attestation_identity_binding' END,
     CASE WHEN m%43=0 OR m%47=0 THEN 'attestation_status' END,
     CASE WHEN m%43=0 OR m%53=0 THEN 'attestation_freshness' END,
-    CASE WHEN m%43=0 OR m%59=0 THEN 'attestation_trust_level' END,
-    CASE WHEN c.continuity<>'continuous' THEN 'session_sequence_continuity' END], lambda x: x IS NOT NULL) AS failed
-  FROM (SELECT *, CAST(substr(client_id,10) AS BIGINT) AS k, max(batch_id) OVER (PARTITION BY client_id, session_id) AS m FROM received) r JOIN cont c USING (batch_id)""",
-    "received cont",
+    CASE WHEN m%43=0 OR m%59=0 THEN 'attestation_trust_level' END], lambda x: x IS NOT NULL) AS failed
+  FROM (SELECT *, CAST(substr(client_id,10) AS BIGINT) AS k, max(batch_id) OVER (PARTITION BY client_id, session_id) AS m FROM received) r""",
+    "received",
+)
+X.define("eligible_batches", "SELECT *, len(failed)=0 AS eligible FROM others", "others")
+X.define("followed", following("eligible_batches").replace("__SELF__", "followed"), "eligible_batches")
+X.define(
+    "checked",
+    """SELECT o.batch_id, o.client_id, o.session_id, CASE WHEN f.continuity='continuous' THEN failed ELSE list_append(failed, 'session_sequence_continuity') END AS failed
+  FROM others o JOIN followed f USING (batch_id)""",
+    "others followed",
 )
 
 

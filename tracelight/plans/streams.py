@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tracelight.operators import integrity
 from tracelight.plans import standins as X
 from tracelight.plans.catalog import Tables, query
 from tracelight.plans.dataset import _ROUNDED, rounded_features
@@ -68,13 +69,14 @@ def streaming_deduplication(t: Tables):
 @query(
     "t3_streaming_chain_continuity",
     "T3 I2",
-    chain_parts("cont", "SELECT batch_id, client_id, session_id, sequence_number, continuity FROM cont"),
+    chain_parts("received cont", "SELECT r.batch_id, r.client_id, r.session_id, r.sequence_number, c.continuity FROM cont c JOIN received r USING (batch_id)"),
 )
 def streaming_chain_continuity(t: Tables):
     path = shared_directory(t.spark, "stream-batches")
     columns = ["batch_id", "client_id", "session_id", "acquired_at", "chain_hash", "previous_chain_hash"]
-    received_batches(t).select(
-        *columns, F.col("sequence_number").cast("bigint").alias("sequence_number")
+    checked = integrity.verify_links(received_batches(t)).repartition("client_id")  # a client's batches stay in order
+    checked.select(
+        *columns, F.col("sequence_number").cast("bigint").alias("sequence_number"), F.col("link_valid").alias("eligible")
     ).write.parquet(path)
     schema = t.spark.read.parquet(path).schema
     batches = jobs.read_files(t.spark, path, schema)

@@ -7,6 +7,7 @@ with their batch forms.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from tracelight.operators import windows as W
-from tracelight.operators.integrity import GENESIS
+from tracelight.operators.integrity import GENESIS, ChainHeads
 
 
 def stream_window_features(
@@ -94,7 +95,7 @@ def drop_redeliveries(
     return batches.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-STATE = "session string, sequence bigint, chain_hash string, session_link string"
+STATE = "head string, sessions string"
 OUTPUT = "batch_id bigint, client_id string, session_id string, sequence_number bigint, continuity string"
 
 
@@ -102,21 +103,15 @@ def _follow_chain(
     key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
 ) -> Iterator[pd.DataFrame]:
     """Continuity of one client's batches of a micro-batch, in order of acquisition."""
-    session, sequence, last, link = state.get if state.exists else (None, -1, GENESIS, GENESIS)
+    head, sessions = state.get if state.exists else (GENESIS, "{}")
+    heads = ChainHeads(head, {k: (v[0], v[1]) for k, v in json.loads(sessions).items()})
     rows = pd.concat(list(batches)).sort_values(["acquired_at", "session_id", "sequence_number"])
-    verdicts = []
-    for row in rows.itertuples(index=False):
-        if row.session_id != session:
-            session, sequence, link = row.session_id, -1, last
-        expected = link if row.sequence_number == 0 else last
-        if row.sequence_number != sequence + 1:
-            verdicts.append("sequence-gap")
-        elif row.previous_chain_hash != expected:
-            verdicts.append("wrong-predecessor")
-        else:
-            verdicts.append("continuous")
-        sequence, last = int(row.sequence_number), row.chain_hash
-    state.update((session, sequence, last, link))
+    names = ("session_id", "sequence_number", "previous_chain_hash", "chain_hash", "eligible")
+    verdicts = [
+        heads.receive(session, int(position), previous, commitment, bool(eligible))
+        for session, position, previous, commitment, eligible in zip(*[rows[n] for n in names], strict=True)
+    ]
+    state.update((heads.head, json.dumps(heads.sessions)))
     yield pd.DataFrame(
         {
             "batch_id": rows["batch_id"].to_numpy(),
@@ -129,20 +124,23 @@ def _follow_chain(
 
 
 def follow_chains(batches: DataFrame) -> DataFrame:
-    """Verdict on every batch as it arrives; the state of a client is its last link only.
+    """Verdict on every batch as it arrives, by the rule of ``integrity.verify_continuity``.
 
-    A client's share of one micro-batch is handled together, so the trigger's batch size bounds it.
+    ``eligible`` says whether a batch passed its other checks; repeated deliveries are to be dropped
+    before. The state of a client is its accepted heads. A client's share of one micro-batch is handled
+    together; ``read_files`` bounds the files of a micro-batch.
     """
     return batches.groupBy("client_id").applyInPandasWithState(
         _follow_chain, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
-def read_files(spark: SparkSession, folder: str, schema: StructType, name: str = "*.parquet") -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    )
+def read_files(
+    spark: SparkSession, folder: str, schema: StructType, name: str = "*.parquet", files_per_trigger: int = 16
+) -> DataFrame:
+    """Parquet files of a folder as a stream; a micro-batch takes so many files at most."""
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", name)
+    return reader.option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
 def run_available(stream: DataFrame, output: str, checkpoint: str) -> DataFrame:
