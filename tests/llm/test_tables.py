@@ -138,13 +138,13 @@ def test_main_text(spark):
 def test_repeated_runs_match_brute_force(spark):
     random = np.random.default_rng(4)
     texts = [" ".join(f"t{x}" for x in random.integers(0, 3, 60)) for _ in range(8)]
-    pages = spark.createDataFrame([("h", f"p{i}", t) for i, t in enumerate(texts)], "host string, page string, text string")
+    pages = spark.createDataFrame([("h", i, t) for i, t in enumerate(texts)], "host string, page long, text string")
     got = {(r["page"], r["at"]) for r in extract.repeated(pages, 6).collect()}
     words = [t.split() for t in texts]
     runs = {}
     for i, w in enumerate(words):
         for at in range(len(w) - 5):
-            runs.setdefault(tuple(w[at : at + 6]), set()).add((f"p{i}", at))
+            runs.setdefault(tuple(w[at : at + 6]), set()).add((i, at))
     assert got == {x for found in runs.values() if len({p for p, _ in found}) > 1 for x in found}
 
 

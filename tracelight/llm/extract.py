@@ -155,96 +155,91 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-def parse(pages: DataFrame) -> DataFrame:
-    """(page, host, blocks) of every page; ``page`` identifies its html within the host."""
+PARSED = "text string, stream string, blocks array<struct<kind:string,text:string>>"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [[{"kind": k, "text": t} for k, t in blocks(html)] for html in batch["html"]]
-            yield pd.DataFrame({"page": batch["page"], "host": batch["host"], "blocks": found})
 
-    schema = "page string, host string, blocks array<struct<kind:string,text:string>>"
-    return pages.select("page", "host", "html").mapInPandas(run, schema)
+def parsed(html: Column) -> Column:
+    """Struct of the text (null if no article marks it), the stream of all blocks outside the article, and
+    the blocks of a page without one."""
 
+    @F.pandas_udf(PARSED)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for page in batch:
+                found = blocks(page)
+                stream = " ".join(t for k, t in found if k != MAIN)
+                if any(k == MAIN for k, _ in found):
+                    rows.append((" ".join(t for k, t in found if k == MAIN), stream, None))
+                else:
+                    rows.append((None, stream, [{"kind": k, "text": t} for k, t in found]))
+            yield pd.DataFrame(rows, columns=["text", "stream", "blocks"])
 
-def suffixes(streams: DataFrame, run: int) -> DataFrame:
-    """(host, page, at, lead): every suffix of ``run`` or more tokens, by the digest of its lead."""
-    tokens = streams.select("host", "page", F.split(F.lower("text"), " ").alias("words"))
-    each = tokens.select("host", "page", "words", F.posexplode("words").alias("at", "_word"))
-    each = each.where(F.col("at") <= F.size("words") - run)
-    lead = F.xxhash64(*[F.get("words", F.col("at") + k) for k in range(run)])
-    return each.select("host", "page", "at", lead.alias("lead"))
+    return run(html)
 
 
 def repeated(streams: DataFrame, run: int) -> DataFrame:
     """(page, at): starts of ``run`` tokens that another page of the host has too.
 
-    In the sorted array, suffixes that agree on their lead are neighbours; whether they come from
-    several pages shows in the smallest and largest page, which combine before they are shuffled.
+    ``streams`` has host, page and text. Suffixes are held by the digest of their host and leading
+    tokens: those that agree on it stand together in the array. Whether they come from several pages
+    shows in the smallest and largest page, which combine before they are shuffled, so a run that very
+    many pages share is one group of partial minima and maxima.
     """
-    own = suffixes(streams, run)
-    ends = own.groupBy("host", "lead").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low <> high")
-    return own.join(ends.select("host", "lead"), ["host", "lead"], "left_semi").select("page", "at")
+    tokens = streams.select("host", "page", F.split(F.lower("text"), " ").alias("words"))
+    each = tokens.select("host", "page", "words", F.posexplode("words").alias("at", "_word"))
+    each = each.where(F.col("at") <= F.size("words") - run)
+    lead = F.xxhash64("host", *[F.get("words", F.col("at") + k) for k in range(run)])
+    own = each.select("page", "at", lead.alias("lead"))
+    ends = own.groupBy("lead").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low <> high")
+    return own.join(ends.select("lead"), "lead", "left_semi").select("page", "at")
 
 
-def unique_runs(text: str, sizes: list[int], starts: list[int], run: int) -> tuple[list[str], int]:
-    """Of the blocks in ``text`` (joined by spaces) what no repeated run covers; and the words covered."""
-    words = text.split(" ")
-    covered = np.zeros(len(words) + 1, np.int64)
+def kept(parts: list[dict], starts: list[int], run: int) -> str:
+    """Text of the open blocks of a page without what repeated runs of its stream cover."""
+    words = [x["text"].split(" ") for x in parts]
+    change = np.zeros(sum(map(len, words)) + 1, np.int64)
     for at in starts:
-        covered[at] += 1
-        covered[min(at + run, len(words))] -= 1
-    hit = np.cumsum(covered[:-1]) > 0
+        change[at] += 1
+        change[min(at + run, len(change) - 1)] -= 1
+    covered = np.cumsum(change[:-1]) > 0
     out, at = [], 0
-    for size in sizes:
-        out.append(" ".join(w for w, h in zip(words[at : at + size], hit[at : at + size]) if not h))
-        at += size
-    return out, int(hit.sum())
+    for x, own in zip(parts, words):
+        if x["kind"] == OPEN:
+            out += [w for w, hit in zip(own, covered[at : at + len(own)]) if not hit]
+        at += len(own)
+    return " ".join(out)
 
 
 def extract(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", run: int = 12
 ) -> DataFrame:
-    """One row per row of ``pages``: id, url, text, n_chars, repeated_words.
+    """One row per row of ``pages``: id, url, text, n_chars.
 
-    ``repeated_words`` counts the words outside the article that repeated runs cover. Null or empty
-    html has an empty text; pages without a host form one group; copies of a page (equal open blocks)
-    count once, so that they do not erase each other; repeated rows each come out; an empty table
-    gives an empty result; other columns are not read.
+    Null or empty html has an empty text; pages without a host form one group; pages of a host with
+    equal streams count once, so that copies do not erase each other; repeated rows each come out; an
+    empty table gives an empty result; other columns are not read. Texts of articles are never
+    shuffled: only streams outside them, and pages without one, meet by key.
     """
-    own = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    own = own.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit("")))
-    own = own.withColumn("page", F.concat_ws("/", "host", F.sha2("html", 256)))  # equal html of a host: one page
-    whole = stored(parse(own).dropDuplicates(["page"]), "page-blocks")
-    outside = F.filter("blocks", lambda x: x["kind"] != MAIN)
-    told = whole.withColumn("stream", F.array_join(F.transform(outside, lambda x: x["text"]), " "))
-    # Pages of a host whose streams are equal are one body: copies are no evidence against each other.
-    told = told.withColumn("body", F.sha2(F.concat_ws(" ", "host", "stream"), 256))
-    bodies = told.groupBy(F.col("body").alias("page"), "host").agg(F.min("stream").alias("text"))
-    found = repeated(bodies, run).groupBy(F.col("page").alias("body")).agg(F.array_sort(F.collect_set("at")).alias("starts"))
-    told = told.drop("stream", "host").join(found, "body", "left")
-
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page, parts, starts in zip(batch["page"], batch["blocks"], batch["starts"]):
-                has_main = any(x["kind"] == MAIN for x in parts)
-                rest = [x for x in parts if x["kind"] != MAIN]
-                sizes = [len(x["text"].split(" ")) for x in rest]
-                left, n = unique_runs(" ".join(x["text"] for x in rest), sizes, list(starts) if starts is not None else [], run)
-                kept = iter(left)
-                text = []
-                for x in parts:
-                    own = x["text"] if x["kind"] == MAIN else next(kept)
-                    if own and (x["kind"] == MAIN or x["kind"] == OPEN and not has_main):
-                        text.append(own)
-                rows.append((page, " ".join(text), n))
-            yield pd.DataFrame(rows, columns=["page", "text", "repeated_words"])
-
-    texts = told.select("page", "blocks", "starts").mapInPandas(finish, "page string, text string, repeated_words int")
-    both = own.select("id", "url", "page").join(texts, "page", "left")
-    text = F.coalesce("text", F.lit(""))
-    return both.select(
-        F.col("id").alias(id_col), F.col("url").alias(url_col), text.alias("text"),
-        F.char_length(text).cast("long").alias("n_chars"), F.coalesce("repeated_words", F.lit(0)).alias("repeated_words"),
+    own = pages.select(
+        F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"),
+        parsed(F.coalesce(html_col, F.lit(""))).alias("p"),
     )
+    body = F.xxhash64("host", "p.stream")
+    own = stored(own.select("id", "url", "host", body.alias("body"), "p.text", "p.stream", "p.blocks"), "page-blocks", "zstd")
+    bodies = own.where("stream <> ''").groupBy(F.col("body").alias("page")).agg(
+        F.min("host").alias("host"), F.min("stream").alias("text")
+    )
+    starts = repeated(bodies, run).groupBy("page").agg(F.collect_set("at").alias("starts"))
+
+    @F.pandas_udf("string")
+    def finish(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for parts, found in batches:
+            yield pd.Series([kept(list(x), [] if s is None else list(s), run) for x, s in zip(parts, found)], dtype=object)
+
+    free = own.where("text IS NULL").join(starts, F.col("body") == F.col("page"), "left")
+    free = free.select("id", "url", finish("blocks", "starts").alias("text"))
+    both = own.where("text IS NOT NULL").select("id", "url", "text").union(free)
+    return both.select(
+        F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars")
+    )
