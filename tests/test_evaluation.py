@@ -14,9 +14,9 @@ def from_matrix(spark, labels, matrix):
 
 def test_false_alarms_by_hand(spark):
     labels = ["attack", "benign", "other"]
-    matrix = M.confusion_matrix(from_matrix(spark, labels, [[5, 0, 0], [2, 96, 2], [0, 0, 4]]), labels)
+    matrix = M.confusion_matrix(from_matrix(spark, labels, [[3, 1, 0], [5, 33, 2], [1, 0, 6]]), labels)
     r = M.false_alarms(matrix, "benign").first()
-    assert (r["actual_benign_count"], r["false_alarm_count"], r["false_alarm_rate"]) == (100, 4, 0.04)
+    assert (r["actual_benign_count"], r["false_alarm_count"], r["false_alarm_rate"]) == (40, 7, 0.175)
     assert M.false_alarms(matrix, "nobody").first()["false_alarm_rate"] is None
 
 
@@ -47,15 +47,16 @@ def test_log_loss_and_integrity(spark):
 
 # window, capture, label, features, events, predicted
 ROWS = [
-    ("r-correct-1", "a", "reconnaissance", 0.0, 0.1, 0.0, 1, "reconnaissance"),
-    ("r-correct-2", "a", "reconnaissance", 0.2, 0.0, 0.1, 8, "reconnaissance"),
-    ("r-error", "b", "reconnaissance", 1.8, 2.0, 0.2, 12, "multi_tactic"),
-    ("m-correct-1", "b", "multi_tactic", 2.0, 2.1, 0.0, 30, "multi_tactic"),
-    ("m-correct-2", "b", "multi_tactic", 2.2, 1.9, 0.1, 120, "multi_tactic"),
-    ("m-error", "a", "multi_tactic", 0.1, 0.2, 0.0, 4, "reconnaissance"),
-    ("e-correct-1", "c", "exfiltration", 4.0, 0.1, 3.9, 1, "exfiltration"),
-    ("e-correct-2", "c", "exfiltration", 3.9, 0.0, 4.1, 6, "exfiltration"),
-    ("e-error", "c", "exfiltration", 2.1, 2.0, 0.0, 25, "multi_tactic"),
+    ("w01", "x", "scan", 1.0, 0.5, 2.0, 3, "scan"),
+    ("w02", "x", "scan", 1.5, 0.0, 2.5, 1, "scan"),
+    ("w03", "y", "scan", 5.0, 4.0, 2.0, 40, "theft"),
+    ("w04", "y", "theft", 6.0, 4.5, 1.0, 7, "theft"),
+    ("w05", "z", "theft", 5.0, 5.5, 2.0, 150, "theft"),
+    ("w06", "z", "theft", 1.0, 1.0, 2.0, 2, "scan"),
+    ("w07", "z", "login", 9.0, 0.5, 7.0, 1, "login"),
+    ("w08", "x", "login", 8.0, 1.5, 7.5, 60, "login"),
+    ("w09", "y", "login", 5.5, 4.0, 3.0, 5, "theft"),
+    ("w10", "x", "login", 8.5, 1.0, 6.5, 9, "login"),
 ]
 
 
@@ -65,28 +66,28 @@ def rows(spark):
 
 
 def test_error_rates(rows):
-    assert {r["capture_id"]: r["error_rate"] for r in E.error_summary(rows, ["capture_id"]).collect()} == {c: pytest.approx(1 / 3) for c in "abc"}
+    assert {r["capture_id"]: r["error_rate"] for r in E.error_summary(rows, ["capture_id"]).collect()} == {"x": 0.0, "y": pytest.approx(2 / 3), "z": pytest.approx(1 / 3)}
     by = {r["event_range"]: (r["row_count"], r["error_count"]) for r in E.rates_by_range(rows, "events").collect()}
-    assert by == {"1": (2, 0), "2-5": (1, 1), "6-20": (3, 1), "21-100": (2, 1), ">100": (1, 0)}
+    assert by == {"1": (2, 0), "2-5": (3, 2), "6-20": (2, 0), "21-100": (2, 1), ">100": (1, 0)}
 
 
 def test_pairs_need_both_directions(rows):
     pairs = E.bidirectional_pairs(E.transitions(rows)).collect()
-    assert [tuple(p) for p in pairs] == [("multi_tactic", "reconnaissance", 2)]
+    assert [tuple(p) for p in pairs] == [("scan", "theft", 2)]
 
 
 def test_drift_names_the_closer_class(rows):
     standard = rows.select("*", *[(F.col(f"f{i}") - 1).alias(f"z{i}") for i in range(3)])
     drift = {(r["actual"], r["predicted"], r["feature"]): r for r in E.feature_drift(standard, ["z0", "z1", "z2"]).collect()}
-    r = drift["reconnaissance", "multi_tactic", "z0"]
-    assert r["error_mean"] == pytest.approx(0.8) and r["true_mean"] == pytest.approx(-0.9) and r["predicted_mean"] == pytest.approx(1.1)
-    assert r["closeness_delta"] == pytest.approx(1.7 - 0.3)
+    r = drift["scan", "theft", "z0"]
+    assert r["error_mean"] == pytest.approx(4) and r["true_mean"] == pytest.approx(0.25) and r["predicted_mean"] == pytest.approx(4.5)
+    assert r["closeness_delta"] == pytest.approx(3.75 - 0.5)
     s = {(x["actual"], x["predicted"]): x for x in E.drift_summary(standard, ["z0", "z1", "z2"]).collect()}
-    assert s["reconnaissance", "multi_tactic"]["status"] == "analyzed"
-    expected = np.linalg.norm(np.array([1.8, 2.0, 0.2]) - np.array([0.1, 0.05, 0.05]))
-    assert s["reconnaissance", "multi_tactic"]["distance_to_true"] == pytest.approx(expected)
-    lonely = E.drift_summary(standard.where("window_id <> 'm-correct-1' AND window_id <> 'm-correct-2'"), ["z0"])
-    assert {x["status"] for x in lonely.where("predicted = 'multi_tactic'").collect()} == {"insufficient-correct-reference-rows"}
+    assert s["scan", "theft"]["status"] == "analyzed"
+    expected = np.linalg.norm(np.array([5.0, 4.0, 2.0]) - np.array([1.25, 0.25, 2.25]))
+    assert s["scan", "theft"]["distance_to_true"] == pytest.approx(expected)
+    lonely = E.drift_summary(standard.where("window_id NOT IN ('w04', 'w05')"), ["z0"])
+    assert {x["status"] for x in lonely.where("predicted = 'theft'").collect()} == {"insufficient-correct-reference-rows"}
 
 
 def test_ambiguous_groups_with_a_hot_vector(spark):
@@ -101,7 +102,7 @@ def test_ambiguous_groups_with_a_hot_vector(spark):
 
 def test_error_records_are_checked(rows):
     records = rows.where("actual <> predicted").select("window_id", "capture_id", "actual")
-    changed = records.withColumn("capture_id", F.when(F.col("window_id") == "e-error", "z").otherwise(F.col("capture_id")))
+    changed = records.withColumn("capture_id", F.when(F.col("window_id") == "w09", "z").otherwise(F.col("capture_id")))
     r = E.check_error_records(changed, rows, "window_id", ["capture_id", "actual"]).first()
     assert (r["record_count"], r["absent_count"], r["repeated_count"], r["capture_id_mismatches"], r["actual_mismatches"]) == (3, 0, 0, 1, 0)
 

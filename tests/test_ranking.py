@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelight.functions import scalars as S
-from tracelight.operators.ranking import exact_quantiles, hash_ranked
+from tracelight.operators.ranking import _slot_of, exact_quantiles, hash_ranked
 
 
 def test_hash_rank_matches_a_full_sort_with_a_hot_group(spark):
@@ -46,3 +46,14 @@ def test_quantiles_without_keys(spark):
     df = spark.range(101).select(F.col("id").cast("double").alias("x"))
     out = exact_quantiles(df, keys=[], value="x", probabilities=[0.5, 0.255])
     assert {round(r["probability"], 3): r["quantile"] for r in out.collect()} == {0.5: 50.0, 0.255: pytest.approx(25.5)}
+
+
+def test_slots_stay_small_with_outliers(spark):
+    random = np.random.default_rng(9)
+    values = [*np.round(random.lognormal(8, 1.5, 20000), 3).tolist(), 1e15, 4e11, -3e9, 0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    low, high = F.lit(min(values)), F.lit(max(values))
+    slots = df.groupBy(_slot_of(F.col("v"), low, high, 2048)).count()
+    assert slots.agg(F.max("count")).first()[0] < 500
+    got = {r["probability"]: r["quantile"] for r in exact_quantiles(df, keys=[], value="v", probabilities=[0.01, 0.5, 0.999]).collect()}
+    assert got == {p: pytest.approx(np.quantile(values, p)) for p in (0.01, 0.5, 0.999)}

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tracelight.functions import vectors as V
 from tracelight.operators import prototypes as P
@@ -147,7 +148,26 @@ def test_nearest_prototype_paths_agree(spark, matrix):
 
 
 def test_wide_vectors_use_the_long_layout(spark):
-    width = V.WIDE_VECTOR + 50
+    width = 306
     m = np.arange(3 * width, dtype=float).reshape(3, width)
     out = V.mean_vector(updates(spark, m), [], "v", "m", width).first()["m"]
     np.testing.assert_allclose(out, m.mean(axis=0))
+
+
+def test_many_prototypes_and_tiles_give_the_same_ranks(spark):
+    random = np.random.default_rng(8)
+    protos = spark.createDataFrame([(f"k{i:04d}", random.normal(size=3).tolist()) for i in range(2000)], "class string, vector array<double>")
+    rows = spark.createDataFrame([(f"r{i}", random.normal(size=3).tolist()) for i in range(5)], "id string, v array<double>")
+    got = []
+    for tiles in (1, 4):
+        near = P.nearest_prototypes(rows, protos, "v", "id", tiles)
+        told = near.select("id", "nearest_class", "distance_margin", P.class_rank("distances", F.lit("k0007")).alias("rank"))
+        got.append(sorted(map(tuple, told.collect())))
+    assert got[0] == got[1] and all(1 <= r[3] <= 2000 for r in got[0])
+
+
+def test_ragged_vectors_stop_a_mean(spark):
+    ragged = spark.createDataFrame([("a", [1.0, 2.0]), ("a", [1.0, 2.0, 3.0])], "k string, v array<double>")
+    for width in (2, 3, 300):
+        with pytest.raises(Exception, match="not finite or not"):
+            V.mean_vector(ragged, ["k"], "v", "m", width).collect()

@@ -7,9 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Above this width a vector mean explodes to rows instead of using one aggregate per coordinate.
-WIDE_VECTOR = 256
-
 
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
@@ -120,21 +117,16 @@ def mean_vector(
     weight: str | None = None,
     count: str | None = None,
 ) -> DataFrame:
-    """(Weighted) mean vector per key.
+    """(Weighted) mean vector per key; a vector that is not finite or not ``width`` wide stops the job.
 
-    Narrow vectors use one map-side-combined aggregate per coordinate: no exploding, and the shuffle
-    carries one partial row per key and task, however hot a key is. Wide ones go through the long
-    layout, where the shuffle key includes the coordinate.
+    Means are taken in the long layout, where the shuffle key includes the coordinate and partial sums
+    combine before the shuffle, so neither a hot key nor a wide vector ends in one task.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    total = F.sum(w)
-    counted = [F.count(F.lit(1)).alias(count)] if count else []
-    if width <= WIDE_VECTOR:
-        sums = [F.sum(F.col(vector)[i].cast("double") * w) / total for i in range(width)]
-        return df.groupBy(*keys).agg(F.array(*sums).alias(name), *counted)
-    long = df.select(*keys, w.alias("_w"), F.posexplode(vector).alias("pos", "value"))
+    sound = checked_vector(F.col(vector).cast("array<double>"), width)
+    long = df.select(*keys, w.alias("_w"), F.posexplode(sound).alias("pos", "value"))
     means = long.groupBy(*keys, "pos").agg(
-        (F.sum(F.col("value").cast("double") * F.col("_w")) / F.sum("_w")).alias("_mean"),
+        (F.sum(F.col("value") * F.col("_w")) / F.sum("_w")).alias("_mean"),
         F.count(F.lit(1)).alias("_count"),
     )
     out = gather(means, keys, "_mean", name)

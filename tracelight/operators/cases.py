@@ -19,12 +19,11 @@ TACTIC_RULES = (
     ("reconnaissance", "m7-attack-v1-reconnaissance", "candidate-tactic", "TA0043", "Reconnaissance"),
 )
 STATUSES = ("candidate-tactic", "not-applicable", "unresolved-multi-tactic")
-RULE_LIMIT = 1000
 
 
 def rule_table(spark: SparkSession, rules: Sequence[tuple] = TACTIC_RULES) -> DataFrame:
-    if len(rules) > RULE_LIMIT or len({r[0] for r in rules}) != len(rules):
-        raise ValueError("tactic rules must be one per class and few")
+    if len({r[0] for r in rules}) != len(rules):
+        raise ValueError("tactic rules must be one per class")
     return spark.createDataFrame(
         list(rules),
         "predicted_class string, rule_id string, mapping_status string, tactic_id string, tactic_name string",
@@ -32,11 +31,8 @@ def rule_table(spark: SparkSession, rules: Sequence[tuple] = TACTIC_RULES) -> Da
 
 
 def tactic_hypotheses(predictions: DataFrame, rules: DataFrame, version: str) -> DataFrame:
-    """Mapping of every prediction by its class alone; a class without a rule stops the job.
-
-    The rule table is a literal of checked length (:func:`rule_table`), hence the broadcast.
-    """
-    joined = predictions.join(F.broadcast(rules), "predicted_class", "left")
+    """Mapping of every prediction by its class alone; a class without a rule stops the job."""
+    joined = predictions.join(rules, "predicted_class", "left")
     known = F.when(F.col("rule_id").isNotNull(), F.col("rule_id")).otherwise(
         F.raise_error(F.concat(F.lit("no tactic rule for class "), "predicted_class")).cast("string")
     )

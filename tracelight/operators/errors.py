@@ -211,9 +211,12 @@ def margin_histogram(errors: DataFrame, margin: str, top: int = 3) -> DataFrame:
 def check_error_records(
     records: DataFrame, rows: DataFrame, identity: str, compared: Sequence[str]
 ) -> DataFrame:
-    """Error records against the rows they point to: absent, repeated or different in any field."""
+    """Error records against the rows they point to: absent, repeated or different in any field.
+
+    Of repeated records the smallest value of each field is compared.
+    """
     recorded = records.groupBy(identity).agg(
-        F.count(F.lit(1)).alias("_copies"), *[F.first(c).alias(f"_r_{c}") for c in compared]
+        F.count(F.lit(1)).alias("_copies"), *[F.min(c).alias(f"_r_{c}") for c in compared]
     )
     stored = rows.select(identity, *[F.col(c).alias(f"_s_{c}") for c in compared], F.lit(True).alias("_there"))
     joined = recorded.join(stored, identity, "left")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -39,27 +40,29 @@ def round_robin(
 def dirichlet_quotas(
     label_counts: dict[str, int], *, clients: int, alpha: float, minimum: int, seed: int
 ) -> dict[str, list[int]]:
-    """Rows of every label per client: Dirichlet shares, whole parts, then largest remainders.
+    """Rows of every label per client, in Dirichlet shares.
 
-    A table of labels by clients, so it is drawn on the driver; drawn again until every client has
-    ``minimum`` rows.
+    Each label draws gamma weights from a stream of its own, seeded by the label, so a further label does not
+    change the others. Rounding the running sum of the shares keeps every label's total. A client short of
+    ``minimum`` rows then takes rows of the label and client that hold most at that moment.
     """
-    if alpha <= 0:
-        raise ValueError("alpha must be positive")
-    if sum(label_counts.values()) < clients * minimum:
-        raise ValueError("fewer rows than the client minimum needs")
-    for attempt in range(512):
-        rng = np.random.default_rng(seed + attempt)
-        quotas = {}
-        for label in sorted(label_counts):
-            share = rng.dirichlet(np.full(clients, alpha)) * label_counts[label]
-            whole = np.floor(share).astype(int)
-            order = np.argsort(-(share - whole), kind="stable")
-            whole[order[: label_counts[label] - whole.sum()]] += 1
-            quotas[label] = whole.tolist()
-        if min(sum(q[c] for q in quotas.values()) for c in range(clients)) >= minimum:
-            return quotas
-    raise ValueError("no allocation reaches the client minimum")
+    total = sum(label_counts.values())
+    if not alpha > 0 or total < clients * minimum:
+        raise ValueError(f"{total} rows with alpha {alpha} do not give {clients} clients {minimum} rows each")
+    names = sorted(label_counts)
+    table = np.zeros((len(names), clients), np.int64)
+    for row, name in zip(table, names):
+        weights = np.random.default_rng([seed, zlib.crc32(name.encode())]).gamma(alpha, size=clients) + 1e-12
+        stops = np.rint(np.cumsum(weights) / weights.sum() * label_counts[name]).astype(np.int64)
+        row[:] = np.diff(stops, prepend=0)
+    while (short := minimum - table.sum(axis=0)).max() > 0:
+        poor = int(short.argmax())
+        spare = np.where(-short > 0, table, -1)  # only clients above the minimum give
+        label, rich = np.unravel_index(int(spare.argmax()), spare.shape)
+        moved = min(int(short[poor]), int(-short[rich]), int(table[label, rich]))
+        table[label, rich] -= moved
+        table[label, poor] += moved
+    return {name: row.tolist() for name, row in zip(names, table)}
 
 
 def dirichlet_partition(

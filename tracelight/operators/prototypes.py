@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from tracelight.functions import vectors as V
 from tracelight.operators.robust import deviation_scores
 
-# Above this many prototypes they no longer travel as one literal; see nearest_prototypes.
-LITERAL_PROTOTYPES = 1024
-
 
 def class_dimension(df: DataFrame, classes: Sequence, name: str = "class") -> DataFrame:
     """One row per class of a fixed vocabulary, so that empty classes stay visible."""
@@ -118,21 +115,13 @@ def prototype_indicators(prototypes: DataFrame) -> DataFrame:
 
 
 def prototype_list(prototypes: DataFrame, key: str = "class", vector: str = "vector") -> Column:
-    """Available prototypes as one scalar array, in class order.
+    """Available prototypes as one scalar array, in class order: one per class of the vocabulary.
 
-    A class vocabulary is small; a table beyond ``LITERAL_PROTOTYPES`` stops here, and its caller
-    passes ``tiles`` to :func:`nearest_prototypes` instead.
+    For class tables too large for one value, :func:`nearest_prototypes` takes ``tiles``.
     """
     usable = prototypes.where(F.col(vector).isNotNull())
-    listed = usable.agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.array_sort(F.collect_list(F.struct(F.col(key).alias("class"), F.col(vector).alias("vector")))).alias("_list"),
-    )
-    too_many = F.raise_error(F.lit("too many prototypes for one literal; pass tiles"))
-    safe = F.when(F.col("_n") <= LITERAL_PROTOTYPES, F.col("_list")).otherwise(
-        too_many.cast(listed.schema["_list"].dataType)
-    )
-    return listed.select(safe.alias("_list")).scalar()
+    pair = F.struct(F.col(key).alias("class"), F.col(vector).alias("vector"))
+    return usable.agg(F.array_sort(F.collect_list(pair)).alias("_list")).scalar()
 
 
 def _distances(vector: Column, listed: Column) -> Column:
@@ -153,8 +142,8 @@ def nearest_prototypes(
 
     One tile: the prototypes are a scalar array, and rows are only projected. More tiles, for class
     tables of any size: prototypes are cut into ``tiles`` lists by hash, every row meets every list
-    by an equi-join on the tile number, keeps its two best there, and the tiles meet per ``identity``
-    (``distances`` then holds the two best of each tile only).
+    by an equi-join on the tile number, and its distances meet per ``identity``. The result is the same
+    for any number of tiles.
     """
     if tiles == 1:
         marked = rows.withColumn("_list", prototype_list(prototypes))
@@ -171,7 +160,7 @@ def nearest_prototypes(
             identity, vector, F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("_tile")
         )
         best = spread.join(lists, "_tile").select(
-            identity, F.slice(_distances(F.col(vector), F.col("_list")), 1, 2).alias("_best")
+            identity, _distances(F.col(vector), F.col("_list")).alias("_best")
         )
         merged = best.groupBy(identity).agg(
             F.array_sort(F.flatten(F.collect_list("_best"))).alias("distances")

@@ -86,7 +86,12 @@ def hash_ranked(
 
 
 def _slot_of(value: Column, low: Column, high: Column, slots: int) -> Column:
-    """Slot of a value between the bounds; grows with the value, so slots keep the order."""
+    """Slot of a value between the bounds; never falls as the value grows, so slots keep the order.
+
+    Slots are even on a logarithmic scale, on which no outlier leaves the others in one slot. The
+    logarithm never falls either (its rounding keeps the order).
+    """
+    value, low, high = (F.signum(x) * F.log1p(F.abs(x)) for x in (value, low, high))
     place = F.floor((value - low) / (high - low) * F.lit(float(slots)))
     return F.when(high > low, F.least(place, F.lit(slots - 1))).otherwise(F.lit(0)).cast("bigint")
 
@@ -103,7 +108,7 @@ def exact_quantiles(
     """Linear-interpolated quantiles per key: columns ``keys``, ``probability``, ``quantile``.
 
     Equal values are counted once up front. Every level narrows each wanted rank to one of ``slots``
-    equal ranges, and only the values of the last, narrow ranges are sorted. A range row carries the
+    ranges that are even on a logarithmic scale, and only the values of the last, narrow ranges are sorted. A range row carries the
     ranks that lie in it, so each level adds one join of the counted values with a small table.
     """
     outer = list(keys)

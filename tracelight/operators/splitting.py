@@ -15,7 +15,7 @@ SPLITS = ("train", "validation", "test", "temporal_holdout")
 
 def _check_percentages(percentages: Mapping[str, int]) -> None:
     if sum(percentages[name] for name in ("train", "validation", "test")) != 100:
-        raise ValueError("split percentages must add up to 100")
+        raise ValueError(f"shares of the splits sum to {sum(percentages.values())}, not to 100")
 
 
 def hash_split(group: Column | str, seed: int, percentages: Mapping[str, int]) -> Column:

@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelight.functions import scalars as S
 from tracelight.operators.scoring import Network
 
 # Hidden widths of the central network.
@@ -134,7 +135,7 @@ def fit_network(
     names = list(features)
     rows = train.select(
         *[F.col(c).cast("double").alias(c) for c in names],
-        (F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(label)) - 1).alias("_y"),
+        S.one_of(label, classes).alias("_y"),
         (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("_w"),
     )
     m = [np.zeros(s) for s in shapes]

@@ -114,9 +114,9 @@ def fit_transform(
 ) -> tuple[DataFrame, DataFrame | None]:
     """(scaler, bounds) of one of the three modes, from training rows only."""
     if mode not in MODES:
-        raise ValueError(f"unknown transform mode: {mode}")
+        raise ValueError(f"no such transform: {mode}; known are {', '.join(MODES)}")
     if not 0 <= lower < upper <= 1:
-        raise ValueError("quantiles must satisfy 0 <= lower < upper <= 1")
+        raise ValueError(f"bounds {lower} and {upper} are not rising shares of one")
     if mode == "standard":
         return fit_scaler(train, features), None
     heavy = [c for c in features if c in HEAVY_TAILED]

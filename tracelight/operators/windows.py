@@ -59,17 +59,25 @@ def window_id(capture: Column, bucket: Column, client: str) -> Column:
     )
 
 
+WORD_BITS = 63
+
+
 def label_flags(vocabulary: Sequence[str], label: str) -> Column:
-    """Bit set of the labels seen: a number, so it stays in the hash aggregate."""
-    return F.bit_or(
-        F.call_function("shiftleft", F.lit(1).cast("bigint"), S.one_of(label, vocabulary))
-    )
+    """Bit set of the labels seen: one number per 63 labels, so it stays in the hash aggregate."""
+    place = S.one_of(label, vocabulary)
+
+    def word(first: int) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (place - first).cast("int"))
+        inside = place.between(first, first + WORD_BITS - 1)
+        return F.bit_or(F.when(inside, bit).otherwise(F.lit(0).cast("bigint")))
+
+    return F.array(*[word(first) for first in range(0, max(1, len(vocabulary)), WORD_BITS)])
 
 
 def flagged_labels(vocabulary: Sequence[str], flags: Column) -> Column:
     """Sorted label array of a bit set."""
     names = [
-        F.when(flags.bitwiseAND(F.lit(1 << i)) != 0, F.lit(name))
+        F.when(flags[i // WORD_BITS].bitwiseAND(F.lit(1 << i % WORD_BITS)) != 0, F.lit(name))
         for i, name in enumerate(vocabulary)
     ]
     return F.array_sort(F.array_compact(F.array(*names)))
@@ -100,13 +108,13 @@ def window_features(
 ) -> DataFrame:
     """The 25 features, label and bounds of every (capture, bucket) window.
 
-    ``vocabulary`` is the sorted list of event labels (at most 63). A minute of flood traffic can hold
+    ``vocabulary`` is the sorted list of event labels. A minute of flood traffic can hold
     much of a capture, so nothing is collected per window: sums combine before the shuffle, and the
     exact distinct counts are shuffled by (window, value). Event ids of a window are the edge table of
     :func:`window_event_edges`.
     """
-    if len(vocabulary) > 63 or list(vocabulary) != sorted(set(vocabulary)):
-        raise ValueError("the label vocabulary must be sorted, unique and at most 63 long")
+    if list(vocabulary) != sorted(set(vocabulary)):
+        raise ValueError("the label vocabulary must be sorted and unique")
     distinct = F.approx_count_distinct if approximate_distinct else F.count_distinct
     host = F.when(F.col("responder_host") != "", F.col("responder_host"))
     port = F.when(F.col("responder_port") != 0, F.col("responder_port"))
