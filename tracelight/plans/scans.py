@@ -8,6 +8,7 @@ from tracelight.functions import scalars as S
 from tracelight.functions import vectors as V
 from tracelight.plans import standins as X
 from tracelight.plans.catalog import Tables, query
+from tracelight.session import shared_directory
 from tracelight.sources import manifests, scans, sinks
 
 
@@ -412,3 +413,78 @@ def scale_tokens(t: Tables):
     return counts.withColumn("discount_token", S.scale_token("l_discount")).withColumn(
         "quantity_token", S.scale_token("l_quantity")
     )
+
+
+ORDER_FIELDS = ["o_orderkey", "o_orderstatus", "o_orderpriority"]
+
+
+@query(
+    "a1_strict_csv_files",
+    "A1 A8",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, o_orderpriority FROM orders",
+)
+def strict_csv_files(t: Tables):
+    """CSV report files written below the shared folder and read back with their header checked."""
+    path = shared_directory(t.spark, "orders-csv")
+    sinks.write_report(t.orders, path, ORDER_FIELDS)
+    return scans.read_strict_csv(t.spark, path, ORDER_FIELDS).drop("source_file")
+
+
+@query(
+    "a5_written_files",
+    "A5 A9",
+    """SELECT 'verified' AS status, count(DISTINCT o_orderstatus) AS file_count FROM orders
+    UNION ALL SELECT 'missing', 1 UNION ALL SELECT 'digest-mismatch', 1 UNION ALL SELECT 'size-mismatch', 1""",
+)
+def written_files(t: Tables):
+    """Facts of files as written against a manifest with one file altered in each way."""
+    path = shared_directory(t.spark, "orders-by-status")
+    keep = t.orders.select(*ORDER_FIELDS)
+    extra = keep.limit(1).select("o_orderkey", F.explode(F.array(*map(F.lit, "XYZ"))).alias("o_orderstatus"), "o_orderpriority")
+    keep.union(extra).repartition("o_orderstatus").write.partitionBy("o_orderstatus").parquet(path)
+    facts = manifests.file_facts(t.spark, path, "*.parquet")
+    status = F.regexp_extract("relative_path", "o_orderstatus=([^/]*)/", 1)
+    declared = facts.withColumns(
+        {
+            "size_bytes": F.col("size_bytes") + F.when(status == "X", 1).otherwise(0),
+            "sha256": F.when(status == "Y", F.lit("0" * 64)).otherwise(F.col("sha256")),
+        }
+    )
+    return manifests.manifest_errors(manifests.verify_manifest(declared, facts.where(status != "Z")))
+
+
+@query(
+    "a6_write_once_files",
+    "A6 S4",
+    """SELECT a AS attempt, o AS outcome, (SELECT count(*) FROM orders) AS row_count FROM (VALUES ('first','written'),('retry','unchanged'),('changed','refused')) v(a, o)""",
+)
+def write_once_files(t: Tables):
+    """A table written, written again, and written with another value; and the rows it holds after."""
+    path = shared_directory(t.spark, "orders-once")
+    orders = t.orders.select(*ORDER_FIELDS)
+    first = sinks.write_once(orders, path)
+    retry = sinks.write_once(orders, path)
+    last = orders.agg(F.max("o_orderkey")).scalar()
+    changed = orders.withColumn("o_orderstatus", F.when(F.col("o_orderkey") == last, "X").otherwise(F.col("o_orderstatus")))
+    try:
+        outcome = sinks.write_once(changed, path)
+    except sinks.DifferentContent:
+        outcome = "refused"
+    attempts = F.array(*[F.struct(F.lit(a).alias("attempt"), F.lit(o).alias("outcome")) for a, o in zip(("first", "retry", "changed"), (first, retry, outcome))])
+    counted = t.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("row_count"))
+    return counted.select(F.inline(attempts), "row_count")
+
+
+@query(
+    "a7_object_store",
+    "A7",
+    "SELECT DISTINCT sha256(text) AS digest, substr(sha256(text),1,2) AS digest_prefix, 1::BIGINT AS stored_count FROM documents",
+)
+def object_store(t: Tables):
+    """Objects put in two deliveries that overlap; each is stored once."""
+    path = shared_directory(t.spark, "objects")
+    half = t.documents.where("source <> 'src1'")
+    for delivery in (half, t.documents):
+        sinks.write_objects(sinks.object_table(delivery, "text"), path)
+    held = t.spark.read.parquet(path).groupBy("digest", "digest_prefix")
+    return held.agg(F.count(F.lit(1)).alias("stored_count"))

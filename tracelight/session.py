@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -31,8 +32,29 @@ def get_session(app: str = "tracelight", master: str | None = None, **conf: str)
 UNSAFE_RULE = "org.apache.spark.sql.catalyst.optimizer.MergeScalarSubqueries"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application, wherever the driver was started."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="tracelight-"), "tracelight.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(home):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.join("tracelight", os.path.relpath(path, home)))
+    spark.sparkContext.addPyFile(archive)  # Spark serves it from the driver
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Sets the runtime options results depend on: UTC calendar arithmetic, no subquery merging."""
+    """Ships the package and sets the runtime options results depend on: UTC calendar arithmetic, no
+    subquery merging."""
+    ship(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     excluded = spark.conf.get("spark.sql.optimizer.excludedRules", None) or ""
     if UNSAFE_RULE not in excluded:
