@@ -327,7 +327,7 @@ def case_table(t: Tables):
         predictions.select("prediction_id", "predicted_class"), C.rule_table(t.spark), VERSION
     )
     explained = scoring.integrated_gradients(
-        rows, network, FEATURES, training_baseline(scaled), ["window_id"], initial_steps=16
+        rows, network, FEATURES, training_baseline(scaled), ["window_id"], initial_steps=256
     )
     top = F.slice(scoring.ranked_attributions(FEATURES, "attributions"), 1, 5)
     names = F.array(*[F.lit(CLASS_NAMES[c]) for c in network.classes])

@@ -12,6 +12,11 @@ from tracelight.session import prepare, shared_directory
 _STORED: dict[tuple[str, str, str], str] = {}
 
 
+def forget() -> None:
+    """Derived tables are built anew at their next use."""
+    _STORED.clear()
+
+
 class Tables:
     """Lazy access to the tables of one folder: ``tables.events`` is a DataFrame."""
 

@@ -83,18 +83,12 @@ def explicit_ids_found(t: Tables):
     "C4 I17",
     with_parts(
         "scaled",
-        "SELECT window_id, label, round(connection_count,6) AS connection_count, round(duration_mean,6) AS duration_mean FROM scaled WHERE split='validation'",
+        f"SELECT window_id, label, {', '.join(f'round({c},6) AS {c}' for c in FEATURES)} FROM scaled",
     ),
 )
 def shared_table_guard(t: Tables):
-    rows = X.scaled_rows(t).where("split = 'validation'")
-    shared = partitioning.shared_table(rows, FEATURES, ["window_id", "label"])
-    return shared.select(
-        "window_id",
-        "label",
-        F.round("connection_count", 6).alias("connection_count"),
-        F.round("duration_mean", 6).alias("duration_mean"),
-    )
+    shared = partitioning.shared_table(X.scaled_rows(t), FEATURES, ["window_id", "label"])
+    return shared.select("window_id", "label", *[F.round(c, 6).alias(c) for c in FEATURES])
 
 
 @query(

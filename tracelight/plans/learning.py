@@ -124,7 +124,7 @@ def explained_rows(t: Tables, keep=("window_id",)):
     scaled = stored_scaled(t)
     network = class_mean_network(scaled)
     out = scoring.integrated_gradients(
-        scaled, network, FEATURES, training_baseline(scaled), list(keep), initial_steps=16
+        scaled, network, FEATURES, training_baseline(scaled), list(keep), initial_steps=256
     )
     classes = F.array(*[F.lit(c) for c in network.classes])
     return out.withColumn("predicted", F.get(classes, F.col("target_index")))
@@ -200,7 +200,7 @@ def central_classifier(t: Tables):
 def perceptron_classifier(t: Tables):
     rows = stored_scaled(t)
     scored = training.score_perceptron(
-        rows.where("split = 'train'"), rows, FEATURES, WINDOW_CLASSES, hidden=(32,), iterations=25
+        rows.where("split = 'train'"), rows, FEATURES, WINDOW_CLASSES, hidden=(128, 64, 32), iterations=60
     )
     return M.evaluate(scored, WINDOW_CLASSES, ["split"], "label", "predicted")
 

@@ -14,16 +14,6 @@ from tracelight.session import shared_directory
 from tracelight.streaming import jobs
 
 
-class StreamTables(Tables):
-    """The same tables, read as streams."""
-
-    def __getattr__(self, name: str):
-        if name.startswith("_"):
-            raise AttributeError(name)
-        schema = self.spark.read.parquet(self.path(name)).schema
-        return jobs.read_files(self.spark, self.folder, schema, f"{name}.parquet")
-
-
 def drained(t: Tables, stream, name: str):
     return jobs.run_available(
         stream, shared_directory(t.spark, name), shared_directory(t.spark, f"{name}-checkpoint")
@@ -38,32 +28,44 @@ DELAY_SECONDS = 600
     "T1",
     with_parts(
         "win",
-        f"""SELECT window_id, window_start_epoch, window_end_epoch, capture_id, label, observed_labels, {_ROUNDED} FROM win
-      WHERE window_end_epoch<=(SELECT max(timestamp) FROM conn)-{DELAY_SECONDS}""",
+        f"SELECT window_id, window_start_epoch, window_end_epoch, capture_id, label, observed_labels, {_ROUNDED} FROM win",
     ),
 )
 def streaming_window_features(t: Tables):
-    events = X.connections(StreamTables(t.spark, t.folder))
+    """All windows: a closing row of another capture takes the watermark past the last of them."""
+    path = shared_directory(t.spark, "stream-events")
+    rows = X.connections(t)
+    end = rows.agg(F.max("timestamp")).scalar()
+    closing = rows.limit(1).withColumns(
+        {"timestamp": end + 2.0 * DELAY_SECONDS, "capture_id": F.lit("closing")}
+    )
+    rows.unionByName(closing).write.parquet(path)
+    events = jobs.read_files(t.spark, path, t.spark.read.parquet(path).schema)
     timed = events.withColumn("event_time", jobs.event_time("timestamp"))
     stream = jobs.stream_window_features(
         timed, seconds=X.WINDOW_SECONDS, delay=f"{DELAY_SECONDS} seconds", vocabulary=X.EVENT_LABELS
     )
-    out = rounded_features(drained(t, stream, "stream-windows"))
+    out = rounded_features(drained(t, stream, "stream-windows")).where("capture_id <> 'closing'")
     return out.withColumn("observed_labels", F.array_join("observed_labels", ","))
 
 
 @query(
     "t2_streaming_deduplication",
     "T2",
-    "SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem",
+    chain_parts("received", "SELECT batch_id, client_id, session_id, sequence_number, chain_hash FROM received"),
 )
 def streaming_deduplication(t: Tables):
-    lines = StreamTables(t.spark, t.folder).lineitem
-    timed = lines.select(
-        "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("timestamp").alias("event_time")
-    )
-    stream = jobs.drop_redeliveries(timed, "event_time", "36500 days", ["l_orderkey", "l_linenumber"])
-    return drained(t, stream, "stream-deduplicated").select("l_orderkey", "l_linenumber")
+    """Batches of which every second is delivered twice; state is freed an hour behind the stream."""
+    path = shared_directory(t.spark, "stream-deliveries")
+    columns = ["batch_id", "client_id", "session_id", "sequence_number", "chain_hash"]
+    sent = received_batches(t).select(
+        *columns[:3], F.col("sequence_number").cast("bigint").alias("sequence_number"), "chain_hash",
+        F.timestamp_seconds(F.col("acquired_at") + 1_700_000_000).alias("event_time"),
+    )
+    sent.union(sent.where("batch_id % 2 = 0")).write.parquet(path)
+    batches = jobs.read_files(t.spark, path, t.spark.read.parquet(path).schema)
+    stream = jobs.drop_redeliveries(batches, "event_time", "1 hour", list(integrity.POSITION))
+    return drained(t, stream, "stream-deduplicated").select(*columns)
 
 
 @query(
