@@ -44,6 +44,14 @@ def bounded_sample(df: DataFrame, id_col: str, n: int) -> DataFrame:
     return df.orderBy(place, *[c for c, kind in df.dtypes if "map" not in kind and "variant" not in kind]).limit(n)
 
 
+def broadcast_if_small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A stored table of few, narrow columns with a broadcast hint if it has at most ``rows`` rows.
+
+    Beyond that the join is left to adaptive execution, which shuffles both sides.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def with_column(df: DataFrame, name: str, value: Column) -> tuple[DataFrame, str]:
     """``df`` with a further column under a name that is still free, and that name."""
     taken = {c.lower() for c in df.columns}

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import ascii_lower, stored, with_column
+from tracelight.llm.common import ascii_lower, broadcast_if_small, stored, with_column
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_SHINGLES = 1_000_000  # rows of two numbers, at most about 50 MB in a task
@@ -97,8 +97,11 @@ def occurrences(
     start = F.col("at") - F.col("offset")
     candidates = hits.join(prefix, "shingle").where(start >= 0)  # positional bound at the front
     candidates = candidates.select("id", "key", "window", "n", F.col("words").alias("wanted"), start.alias("start"))
+    candidates = stored(candidates, "window-candidates")
+    asked = stored(candidates.select(F.col("id").alias("_i"), F.col("key").alias("_k")).distinct(), "candidate-keys")
     rows = own.select(F.col("id").alias("_id"), F.col("key").alias("_key"), "text")
-    rows = rows.join(hits.select("key").distinct(), F.col("_key") == F.col("key"), "left_semi")
+    named = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_key") == F.col("_k"))
+    rows = rows.join(broadcast_if_small(asked), named, "left_semi")  # only texts with candidates move
     rows = rows.dropDuplicates(["_id", "_key"]).select("_id", "_key", words_of(F.col("text")).alias("have"))
     same = F.col("id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
     fits = F.col("start") + F.col("n") <= F.size("have")  # length and positional bound at the end
@@ -152,6 +155,7 @@ def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     """``docs`` without contaminated rows."""
     found = contamination(docs, items, id_col, text_col, **options).where("contaminated")
     tagged, key = with_column(docs, "_own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    bad = found.select(id_col, F.col("key").alias(key)).distinct().alias("bad")
+    bad = stored(found.select(id_col, F.col("key").alias(key)).distinct(), "contaminated")
+    bad = broadcast_if_small(bad).alias("bad")
     same = F.col(f"docs.{id_col}").eqNullSafe(F.col(f"bad.{id_col}")) & (F.col(f"docs.{key}") == F.col(f"bad.{key}"))
     return tagged.alias("docs").join(bad, same, "left_anti").drop(key)
