@@ -67,9 +67,13 @@ def usable(vector: Column) -> Column:
 
 
 def cosines(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Cosine of each pair of equally numbered rows, in double precision."""
-    dot = np.einsum("ij,ij->i", queries, rows)
-    return dot / np.sqrt(np.einsum("ij,ij->i", queries, queries) * np.einsum("ij,ij->i", rows, rows))
+    """Cosine of each pair of equally numbered rows, in double precision; sums run in coordinate order."""
+    dot, q, r = np.zeros(len(rows)), np.zeros(len(rows)), np.zeros(len(rows))
+    for a, b in zip(queries.T, rows.T):
+        dot += a * b
+        q += a * a
+        r += b * b
+    return dot / np.sqrt(q * r)
 
 
 def block_search(queries: pd.DataFrame, rows: pd.DataFrame, k: int, centre: np.ndarray, turn: np.ndarray) -> pd.DataFrame:
