@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tracelight.llm.common import stored
 
 # Element names, kept as fixed values of the HTML standard.
-SILENT = {"script", "style", "template", "noscript", "svg", "math", "head", "iframe", "object", "canvas", "select", "textarea", "button"}
+SILENT = {"script", "style", "template", "noscript", "svg", "math", "head", "title", "iframe", "object", "canvas", "select", "textarea", "button"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s",
@@ -70,7 +70,7 @@ class Blocks(HTMLParser):
             if tag not in INLINE and not self.silent:
                 self.text.append(" ")
             return
-        if tag == "body":  # a head left open ends here
+        if tag == "body" or tag in CLOSES_P:  # a head left open ends here
             while self.stack and self.stack[-1][0] in ("head", "title"):
                 self.pop()
         if tag in CLOSES_P and any(t == "p" for t, _, _ in self.stack):
@@ -87,18 +87,29 @@ class Blocks(HTMLParser):
         label = f"{known.get('class') or ''} {known.get('id') or ''}"
         kind = self.kind
         if kind != PART:
+            role = (known.get("role") or "").lower()
             head = tag == "header" and kind != MAIN
-            if tag in CHROME or head or (known.get("role") or "").lower() in ROLES or MARKED.search(label) and tag not in ("html", "body", "article", "main"):
+            if tag in CHROME or head or role in ROLES or self.marked(tag, label):
                 kind = PART
-            elif tag in ("article", "main") or (known.get("role") or "").lower() in ("main", "article"):
+            elif tag in ("article", "main") or role in ("main", "article"):
                 kind = MAIN
         hidden = "hidden" in known or (known.get("aria-hidden") or "").lower() == "true"
-        if tag not in INLINE or kind != self.kind:
+        if tag not in INLINE and tag not in SILENT or kind != self.kind:
             self.flush()
         self.push(tag, kind, self.silent or tag in SILENT or hidden)
 
+    def marked(self, tag: str, label: str) -> bool:
+        """Whether class or id name a part that is no text; an article's own header is."""
+        if tag in ("html", "body", "main"):
+            return False
+        names = [m.group(0).strip(" _-").lower() for m in MARKED.finditer(label)]
+        if tag == "article":
+            names = [n for n in names if n.startswith(("comment", "repl", "disqus"))]
+        return any(n != "header" or self.kind != MAIN for n in names)
+
     def leave(self, tag: str) -> None:
-        self.flush()
+        if tag not in SILENT:
+            self.flush()
         while self.stack and self.pop() != tag:
             pass
 
