@@ -179,6 +179,23 @@ def ruled_rows(rows):
     return rows.withColumn("actual", F.col("label")).withColumn("predicted", rule)
 
 
+@query(
+    "f5_misclassified_windows",
+    "F5",
+    with_parts(
+        "ruled",
+        f"""SELECT window_id, capture_id, split, actual, predicted, observed_labels, window_start_epoch, window_end_epoch,
+      {', '.join(f'round({c},6) AS {c}' for c in FEATURES)} FROM ruled WHERE actual<>predicted""",
+    ),
+)
+def misclassified_windows(t: Tables):
+    """Wrong windows with their labels, bounds and all features; event ids follow by window_id (I10)."""
+    wrong = ruled_rows(X.split_rows(t)).where(E.is_error())
+    kept = ["window_id", "capture_id", "split", "actual", "predicted", "window_start_epoch", "window_end_epoch"]
+    labels = F.array_join("observed_labels", ",").alias("observed_labels")
+    return wrong.select(*kept, labels, *[F.round(c, 6).alias(c) for c in FEATURES])
+
+
 @query(
     "f7_error_rate_by_capture",
     "F7",
