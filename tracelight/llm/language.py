@@ -8,7 +8,7 @@ boundary, so a text's probability is the product over its words and equal words
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter, defaultdict, deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from math import log
@@ -26,6 +26,7 @@ START = "▁"
 UNDETERMINED = "und"
 CACHED = 300_000
 TINY = 1e-150
+LONG = 64
 
 
 def words_of(text: str | None) -> list[str]:
@@ -141,6 +142,8 @@ class Scorer:
             hashes = self.hashes(self.codes([v for _, v in own], length))[:, -1]
             order = np.argsort(hashes)
             self.by_length[length] = hashes[order], np.array([i for i, _ in own])[order]
+        self.ids, self.rows = {v: i for i, v in texts}, p.tolist()
+        self.powers = {n: np.uint64(pow(int(self.base), n, 1 << 64)) for n in self.by_length}
         self.single = {ord(v): i for i, v in texts if len(v) == 1}
         self.bytes = {int(v[3:5], 16): i for i, v in enumerate(vocabulary) if re.fullmatch(r"<0x[0-9A-F]{2}>", v)}
 
@@ -170,35 +173,63 @@ class Scorer:
     def same_length(self, words: list[str]) -> np.ndarray:
         codes = self.codes([START + w for w in words], len(words[0]) + 1)
         prefix, single = self.hashes(codes), self.characters(codes)
-        alpha, shift = [np.ones((len(words), self.p.shape[1]))], np.zeros(len(words))
+        # Only the sums that a piece can still start from are kept: a word may be as long as a text.
+        alpha = deque([np.ones((len(words), self.p.shape[1]))], maxlen=max([1, *self.by_length]))
+        shift = np.zeros(len(words))
         for end in range(1, codes.shape[1] + 1):
-            total = alpha[end - 1] * single[:, end - 1]
-            power = int(self.base)
-            for length in range(2, end + 1):
-                power = power * int(self.base) % (1 << 64)
-                if length not in self.by_length:
-                    continue
-                table, ids = self.by_length[length]
-                key = prefix[:, end] - prefix[:, end - length] * np.uint64(power)
+            total = alpha[-1] * single[:, end - 1]
+            for length, (table, ids) in self.by_length.items():
+                if length > end:
+                    break
+                key = prefix[:, end] - prefix[:, end - length] * self.powers[length]
                 place = np.minimum(np.searchsorted(table, key), len(table) - 1)
                 hit = np.flatnonzero(table[place] == key)
-                total[hit] += alpha[end - length][hit] * self.p[ids[place[hit]]]
+                total[hit] += alpha[-length][hit] * self.p[ids[place[hit]]]
             low = total.max(axis=1)
             if low.min() < TINY:
                 grow = np.where(low < TINY, 1 / np.maximum(low, 1e-300), 1.0)
                 shift -= np.log(grow)
-                alpha = [a * grow[:, None] for a in alpha]
+                for before in alpha:
+                    before *= grow[:, None]
                 total *= grow[:, None]
             alpha.append(total)
         return np.log(np.maximum(alpha[-1], 1e-300)) + shift[:, None]
 
+    def long_word(self, word: str) -> list[float]:
+        """The same pass over one word, character by character: linear in its length, in constant memory."""
+        text, p, log_scale = START + word, self.rows, 0.0
+        longest = max([1, *self.by_length])
+        alpha: deque[list[float]] = deque([[1.0] * self.p.shape[1]], maxlen=longest)
+        for end in range(1, len(text) + 1):
+            code = ord(text[end - 1])
+            own = self.single.get(code)
+            row = p[own] if own is not None else self.characters(np.array([code], np.uint32))[0]
+            total = [a * q for a, q in zip(alpha[-1], row)]
+            for length in range(2, min(longest, end) + 1):
+                i = self.ids.get(text[end - length : end])
+                if i is not None:
+                    total = [t + a * q for t, a, q in zip(total, alpha[-length], p[i])]
+            high = max(total)
+            if high < TINY:
+                log_scale += log(high)
+                for before in alpha:
+                    before[:] = [a / high for a in before]
+                total = [t / high for t in total]
+            alpha.append(total)
+        return [log(max(a, 1e-300)) + log_scale for a in alpha[-1]]
+
     def __call__(self, words: list[str]) -> np.ndarray:
         """One row per word."""
         out = np.empty((len(words), self.p.shape[1]))
+        for i, word in enumerate(words):
+            if len(word) > LONG:
+                out[i] = self.long_word(word)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(sizes, kind="stable")
         cuts = np.flatnonzero(np.diff(sizes[order])) + 1
         for some in np.split(order, cuts):
+            if len(some) and sizes[some[0]] > LONG:
+                continue
             step = max(1, 200_000 // (int(sizes[some[0]]) + 1))
             for lo in range(0, len(some), step):
                 part = some[lo : lo + step]
