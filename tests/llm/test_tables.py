@@ -135,6 +135,14 @@ def test_main_text(spark):
     assert extract.extract(table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("odd", ["<![ x", "<![foo bar", "<![foo]", "<![1", "<![", "<![if", "<!"])
+def test_text_after_unknown_declarations_stays(odd):
+    found = extract.blocks(f"<article><p>before {odd}> after</p><p>last</p></article>")
+    text = " ".join(t for k, t in found if k == extract.MAIN)
+    assert text.startswith("before") and text.endswith("after last")
+    assert extract.blocks(f"<article><p>before {odd}")[0][1].startswith("before")
+
+
 def test_repeated_runs_match_brute_force(spark):
     random = np.random.default_rng(4)
     texts = [" ".join(f"t{x}" for x in random.integers(0, 3, 60)) for _ in range(8)]

@@ -144,6 +144,13 @@ class Blocks(HTMLParser):
         if not self.silent:
             self.text.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """An unknown declaration is a comment that ends at the next ``>``, as in the HTML standard."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i, 0)
+
     def finish(self) -> None:
         HTMLParser.close(self)  # hands on what is still buffered
         self.flush()
@@ -152,11 +159,8 @@ class Blocks(HTMLParser):
 def blocks(html: str | None) -> list[tuple[str, str]]:
     """(kind, text) of each block with text; without an article or main element nothing is ``main``."""
     parser = Blocks()
-    try:
-        parser.feed(html or "")
-        parser.finish()
-    except AssertionError:  # a broken declaration: what was read so far counts
-        parser.flush()
+    parser.feed(html or "")
+    parser.finish()
     return parser.found
 
 
