@@ -135,6 +135,20 @@ def test_main_text(spark):
     assert extract.extract(table.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("label", ["layout has-sidebar", "post no-comments", "sidebar", "with-header text-navy", "site-banner"])
+def test_articles_in_marked_wrappers_are_text(label):
+    page = f'<div class="{label}"><p>aside</p><article><h1>head</h1><p class="market-share">shares</p><p id="text-navy">blue</p>' \
+        '<div class="ad-box">buy</div><div class="related-posts"><article>other</article></div></article></div><div class="site-footer">end</div>'
+    found = extract.blocks(page)
+    assert [t for k, t in found if k == extract.MAIN] == ["head", "shares", "blue"]
+    assert {"buy", "other", "end"} <= {t for k, t in found if k == extract.PART}
+
+
+@pytest.mark.parametrize("around", ['nav', 'aside', 'footer', 'form', 'div class="comments"', 'section id="post-comments"'])
+def test_articles_in_other_parts_are_no_text(around):
+    assert [k for k, _ in extract.blocks(f"<{around}><article><p>some words</p></article></{around.split()[0]}>")] == [extract.PART]
+
+
 @pytest.mark.parametrize("odd", ["<![ x", "<![foo bar", "<![foo]", "<![1", "<![", "<![if", "<!"])
 def test_text_after_unknown_declarations_stays(odd):
     found = extract.blocks(f"<article><p>before {odd}> after</p><p>last</p></article>")

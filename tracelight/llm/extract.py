@@ -30,12 +30,23 @@ INLINE = {
 }
 CHROME = {"nav", "footer", "aside", "form", "menu", "dialog"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "menu", "menubar", "dialog", "alert", "form"}
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|"
-    r"nav\w*|menu|breadcrumbs?|sidebar|side-bar|footer|header|masthead|comments?|disqus|replies|related|recommend\w*|widget|pagination|login|search)(?:$|[\s_-])",
+#: Words that name a part that is no text, and words that may stand beside one in a class or id token.
+MARKERS = re.compile(
+    r"ads?|advert\w*|sponsor\w*|promo\w*|banners?|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|sharing|social|"
+    r"nav|navbar|navi|navigation|navmenu|menu|breadcrumbs?|sidebar|footer|header|masthead|comments?|disqus|replies|related|"
+    r"recommend\w*|widgets?|pagination|login|search",
     re.I,
 )
+BESIDE = re.compile(
+    r"site|page|main|primary|secondary|global|top|bottom|left|right|side|sub|box|wrapper|wrap|container|block|list|items?|section|area|"
+    r"bar|panel|buttons?|btn|links?|posts?|articles?|stories|form|inner|outer|content|slot|unit|entry|thread|\d+",
+    re.I,
+)
+#: Parts whose articles are comments or teasers of other pages.
+OTHERS = re.compile(r"(?:comment|repl|disqus|related|recommend)", re.I)
 MAIN, OPEN, PART = "main", "open", "chrome"
+#: Inside a marked element around which no article stands: as ``chrome``, but an article in it is one.
+WRAPPED = "wrapped"
 #: An opened paragraph ends where one of these starts.
 CLOSES_P = {"p", "div", "ul", "ol", "dl", "table", "section", "article", "main", "header", "footer", "nav", "aside", "form", "pre",
             "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "address", "figure", "fieldset", "details"}
@@ -55,7 +66,7 @@ class Blocks(HTMLParser):
         words = " ".join("".join(self.text).split())
         self.text = []
         if words:
-            self.found.append((self.kind, words))
+            self.found.append((PART if self.kind == WRAPPED else self.kind, words))
 
     def push(self, tag: str, kind: str, silent: bool) -> None:
         self.stack.append((tag, self.kind, self.silent))
@@ -89,8 +100,11 @@ class Blocks(HTMLParser):
         if kind != PART:
             role = (known.get("role") or "").lower()
             head = tag == "header" and kind != MAIN
-            if tag in CHROME or head or role in ROLES or self.marked(tag, label):
+            names = self.marked(tag, label)
+            if tag in CHROME or head or role in ROLES or any(OTHERS.match(n) for n in names):
                 kind = PART
+            elif names:
+                kind = PART if kind == MAIN else WRAPPED
             elif tag in ("article", "main") or role in ("main", "article"):
                 kind = MAIN
         hidden = "hidden" in known or (known.get("aria-hidden") or "").lower() == "true"
@@ -98,14 +112,23 @@ class Blocks(HTMLParser):
             self.flush()
         self.push(tag, kind, self.silent or tag in SILENT or hidden)
 
-    def marked(self, tag: str, label: str) -> bool:
-        """Whether class or id name a part that is no text; an article's own header is."""
+    def marked(self, tag: str, label: str) -> list[str]:
+        """Markers by which class or id name a part that is no text; an article's own header is.
+
+        A token names one if it is a marker, or markers with words such as ``site`` or ``box`` around them:
+        ``site-footer`` does, ``has-sidebar`` and ``market-share`` do not.
+        """
         if tag in ("html", "body", "main"):
-            return False
-        names = [m.group(0).strip(" _-").lower() for m in MARKED.finditer(label)]
+            return []
+        names = []
+        for token in label.lower().replace("side-bar", "sidebar").split():
+            words = [w for w in re.split("[_-]+", token) if w]
+            own = [w for w in words if MARKERS.fullmatch(w)]
+            if all(w in own or BESIDE.fullmatch(w) for w in words):
+                names += own
         if tag == "article":
             names = [n for n in names if n.startswith(("comment", "repl", "disqus"))]
-        return any(n != "header" or self.kind != MAIN for n in names)
+        return [n for n in names if n != "header" or self.kind != MAIN]
 
     def leave(self, tag: str) -> None:
         if tag not in SILENT:
