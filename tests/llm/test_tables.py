@@ -135,6 +135,21 @@ def test_main_text(spark):
     assert extract.extract(table.where("false")).count() == 0
 
 
+def test_repeated_runs_inside_articles(spark):
+    random = np.random.default_rng(8)
+    notice = " ".join(f"notice{i}" for i in range(14))
+    texts = [" ".join(f"w{x}" for x in random.integers(0, 10**6, 60)) for _ in range(8)]
+    near = texts[7].split()
+    near[30] = "changed"
+    rows = [(i, "http://a.example/", f"<article><p>{t}</p><div>{notice}</div><p>end{i}</p></article>") for i, t in enumerate(texts)]
+    rows += [(20, "http://a.example/", f"<article><p>{' '.join(near)}</p><div>{notice}</div><p>end20</p></article>")]
+    rows += [(30, "http://b.example/", f"<article><p>{texts[0]} {notice}</p></article>"), (31, "http://b.example/", f"<main>{notice.upper()}</main>")]
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{t} end{i}" for i, t in enumerate(texts))
+    assert got[20] == " ".join(near) + " end20"  # nearly a copy of another article, without what all have
+    assert got[30] == texts[0] and got[31] == notice.upper()
+
+
 @pytest.mark.parametrize("label", ["layout has-sidebar", "post no-comments", "sidebar", "with-header text-navy", "site-banner"])
 def test_articles_in_marked_wrappers_are_text(label):
     page = f'<div class="{label}"><p>aside</p><article><h1>head</h1><p class="market-share">shares</p><p id="text-navy">blue</p>' \

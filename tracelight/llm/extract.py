@@ -1,11 +1,10 @@
 """Main text of web pages: block structure, and a suffix array per host for repeated boilerplate.
 
-A page is parsed into blocks. Blocks of the article (or main) element are its text, apart from parts
-marked as menus, notices, adverts, forms or reader comments. Blocks outside that markup leave open
-whether they are text. For them the token streams of a host's pages are put into one suffix array:
-suffixes of all pages sorted by host and leading tokens. Neighbours that agree on at least
-``run`` tokens and come from distinct pages are repeated substrings; what they cover is boilerplate, and
-the unique runs of the open blocks are kept.
+A page is parsed into blocks. Blocks of the article (or main) element may be its text, apart from parts
+marked as menus, notices, adverts, forms or reader comments; without that markup all other blocks may.
+The whole token streams of a host's pages are put into one suffix array: suffixes of all pages sorted by
+host and leading tokens. Neighbours that agree on at least ``run`` tokens and come from distinct pages are
+repeated substrings. What they cover is boilerplate, unless it is a copy of an article, and the rest is kept.
 """
 
 from __future__ import annotations
@@ -16,10 +15,11 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import stored
+from tracelight.llm.common import broadcast_if_small, stored
 
 # Element names, kept as fixed values of the HTML standard.
 SILENT = {"script", "style", "template", "noscript", "svg", "math", "head", "title", "iframe", "object", "canvas", "select", "textarea", "button"}
@@ -193,60 +193,142 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-PARSED = "text string, stream string, blocks array<struct<kind:string,text:string>>"
-
-
 def parsed(html: Column) -> Column:
-    """Struct of the text (null if no article marks it), the stream of all blocks outside the article, and
-    the blocks of a page without one."""
+    """Blocks of each page."""
 
-    @F.pandas_udf(PARSED)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("array<struct<kind:string,text:string>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            rows = []
-            for page in batch:
-                found = blocks(page)
-                stream = " ".join(t for k, t in found if k != MAIN)
-                if any(k == MAIN for k, _ in found):
-                    rows.append((" ".join(t for k, t in found if k == MAIN), stream, None))
-                else:
-                    rows.append((None, stream, [{"kind": k, "text": t} for k, t in found]))
-            yield pd.DataFrame(rows, columns=["text", "stream", "blocks"])
+            yield pd.Series([[{"kind": k, "text": t} for k, t in blocks(page)] for page in batch], dtype=object)
 
     return run(html)
 
 
+def mixed(tokens: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` tokens that start at each place."""
+    out = np.zeros(max(0, len(tokens) - size + 1), np.uint64)
+    for k in range(size if len(out) else 0):
+        out = (out ^ tokens[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+def marks(tokens: np.ndarray, run: int) -> np.ndarray:
+    """For each place the smallest hash of half runs inside its run: equal runs have equal marks."""
+    half = (run + 1) // 2
+    inner = mixed(tokens, half)
+    if len(tokens) < run:
+        return inner[:0]
+    return np.lib.stride_tricks.sliding_window_view(inner, run - half + 1).min(axis=1)
+
+
+def token_hashes(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """(page, token hashes) of each page of a batch of host, page and text; copies in the batch come once."""
+    rows = {p: (h, t) for h, p, t in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "text")))}
+    words = [t.lower().split(" ") for _, t in rows.values()]
+    hosts = pd.util.hash_array(np.array([h for h, _ in rows.values()], object))
+    every = pd.util.hash_array(np.array([w for own in words for w in own], object))
+    at = 0
+    for page, own, host in zip(rows, words, hosts):
+        yield page, every[at : at + len(own)] ^ host
+        at += len(own)
+
+
 def repeated(streams: DataFrame, run: int) -> DataFrame:
-    """(page, at): starts of ``run`` tokens that another page of the host has too.
+    """(page, at, pages): starts of ``run`` tokens that another page of the host has too, and how many have them.
 
-    ``streams`` has host, page and text. Suffixes are held by the digest of their host and leading
-    tokens: those that agree on it stand together in the array. Whether they come from several pages
-    shows in the smallest and largest page, which combine before they are shuffled, so a run that very
-    many pages share is one group of partial minima and maxima.
+    ``streams`` has host, page and text; rows of one page are copies. Suffixes are held by the hash of their
+    host and leading tokens: those that agree on it stand together in the array. So that not every suffix has
+    to move, a first pass looks at marks, the smallest hash of the half runs inside a run: there is one
+    for about four places, equal runs have equal marks, and each task hands on a mark twice at most. Only
+    suffixes whose mark was met twice are shuffled.
     """
-    tokens = streams.select("host", "page", F.split(F.lower("text"), " ").alias("words"))
-    each = tokens.select("host", "page", "words", F.posexplode("words").alias("at", "_word"))
-    each = each.where(F.col("at") <= F.size("words") - run)
-    lead = F.xxhash64("host", *[F.get("words", F.col("at") + k) for k in range(run)])
-    own = each.select("page", "at", lead.alias("lead"))
-    ends = own.groupBy("lead").agg(F.min("page").alias("low"), F.max("page").alias("high")).where("low <> high")
-    return own.join(ends.select("lead"), "lead", "left_semi").select("page", "at")
+    chars = streams.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(64, chars >> 24)  # about 6 MB of marks in each
+
+    def hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(marks(x, run)) for _, x in token_hashes(batch)]
+            value, n = np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_counts=True)
+            value = np.repeat(value, np.minimum(n, 2))
+            bucket = (value % np.uint64(buckets)).astype(np.int32)
+            value = value[np.argsort(bucket, kind="stable")]
+            ends = np.cumsum(np.bincount(bucket, minlength=buckets))
+            found = [(k, v.tobytes()) for k, v in enumerate(np.split(value, ends[:-1])) if len(v)]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([v for _, v in found], pa.binary())], ["bucket", "marks"])
+
+    def twice(some: pd.DataFrame) -> pd.DataFrame:
+        value, n = np.unique(np.frombuffer(b"".join(some["marks"]), np.uint64), return_counts=True)
+        return pd.DataFrame({"mark": value[n > 1].view(np.int64)})
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages, found, firsts, leads, ends = [], [], [], [], [np.zeros(1, np.int32)]
+            for page, x in token_hashes(batch):
+                mark = marks(x, run)
+                if not len(mark):
+                    continue
+                first = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]])).astype(np.int32)
+                pages.append(np.full(len(first), page, np.int64))
+                found.append(mark[first].view(np.int64))
+                firsts.append(first)
+                leads.append(mixed(x, run).view(np.int64))
+                ends.append(np.append(first[1:], np.int32(len(mark))) + ends[-1][-1])
+            if pages:
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(leads)))
+                columns = [pa.array(np.concatenate(c)) for c in (pages, found, firsts)]
+                yield pa.RecordBatch.from_arrays([*columns, lists], ["page", "mark", "first", "leads"])
+
+    own = streams.select("host", "page", "text")
+    met = own.mapInArrow(hand_on, "bucket int, marks binary").groupBy("bucket").applyInPandas(twice, "mark long")
+    met = broadcast_if_small(stored(met, "page-marks"))
+    some = own.mapInArrow(places, "page long, mark long, first int, leads array<long>").join(met, "mark", "left_semi")
+    some = some.select("page", "first", F.posexplode("leads").alias("k", "lead"))
+    some = stored(some.select("page", (F.col("first") + F.col("k")).alias("at"), "lead"), "page-runs", "zstd")
+    ends = some.groupBy("lead").agg(F.count_distinct("page").alias("pages")).where("pages > 1")
+    ends = broadcast_if_small(stored(ends, "page-leads"))
+    return some.join(ends, "lead").select("page", "at", F.col("pages").cast("int").alias("pages")).distinct()
+
+
+def spans(starts: Column) -> Column:
+    """Stretches of neighbouring starts that equally many pages have."""
+
+    @F.pandas_udf("array<struct<first:int,last:int,pages:int>>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            rows = []
+            for own in batch:
+                found: list[dict] = []
+                for x in sorted(own, key=lambda x: x["at"]):
+                    if found and found[-1]["last"] == x["at"] - 1 and found[-1]["pages"] == x["pages"]:
+                        found[-1]["last"] = x["at"]
+                    else:
+                        found.append({"first": x["at"], "last": x["at"], "pages": x["pages"]})
+                rows.append(found)
+            yield pd.Series(rows, dtype=object)
+
+    return run(starts)
 
 
-def kept(parts: list[dict], starts: list[int], run: int) -> str:
-    """Text of the open blocks of a page without what repeated runs of its stream cover."""
+def kept(parts: list[dict], found: list[dict], run: int) -> str:
+    """Text of a page without what repeated runs of its tokens cover: of its article or else its open blocks.
+
+    Each token stands in as many pages as the run over it that most have. Half of an article's tokens or more
+    stand in no more pages than their median: that many copies of the article there are. What more pages
+    have than that is boilerplate, so an article in one page loses all repeated runs and copies keep
+    their text, even if they differ here and there.
+    """
     words = [x["text"].split(" ") for x in parts]
-    change = np.zeros(sum(map(len, words)) + 1, np.int64)
-    for at in starts:
-        change[at] += 1
-        change[min(at + run, len(change) - 1)] -= 1
-    covered = np.cumsum(change[:-1]) > 0
-    out, at = [], 0
-    for x, own in zip(parts, words):
-        if x["kind"] == OPEN:
-            out += [w for w, hit in zip(own, covered[at : at + len(own)]) if not hit]
-        at += len(own)
-    return " ".join(out)
+    pages = np.ones(sum(map(len, words)), np.int64)
+    for x in found:
+        part = pages[x["first"] : x["last"] + run]
+        np.maximum(part, x["pages"], out=part)
+    kind = MAIN if any(x["kind"] == MAIN for x in parts) else OPEN
+    read = np.repeat([x["kind"] == kind for x in parts], [len(w) for w in words]).astype(bool)
+    own = np.sort(pages[read])
+    most = own[(len(own) - 1) // 2] if kind == MAIN else 1
+    flat = [w for own in words for w in own]
+    return " ".join(flat[i] for i in np.flatnonzero(read & (pages <= most)))
 
 
 def extract(
@@ -256,28 +338,28 @@ def extract(
 
     Null or empty html has an empty text; pages without a host form one group; pages of a host with
     equal streams count once, so that copies do not erase each other; repeated rows each come out; an
-    empty table gives an empty result; other columns are not read. Texts of articles are never
-    shuffled: only streams outside them, and pages without one, meet by key.
+    empty table gives an empty result; other columns are not read. Of an article what more pages repeat than
+    most of it is left out, see ``kept``; an article that is boilerplate for the greater part stays whole.
     """
     own = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"),
-        parsed(F.coalesce(html_col, F.lit(""))).alias("p"),
+        parsed(F.coalesce(html_col, F.lit(""))).alias("blocks"),
     )
-    body = F.xxhash64("host", "p.stream")
-    own = stored(own.select("id", "url", "host", body.alias("body"), "p.text", "p.stream", "p.blocks"), "page-blocks", "zstd")
-    bodies = own.where("stream <> ''").groupBy(F.col("body").alias("page")).agg(
-        F.min("host").alias("host"), F.min("stream").alias("text")
-    )
-    starts = repeated(bodies, run).groupBy("page").agg(F.collect_set("at").alias("starts"))
+    own = stored(own, "page-blocks", "zstd")
+    stream = F.array_join(F.transform("blocks", lambda x: x["text"]), " ")
+    own = own.withColumn("page", F.xxhash64("host", stream))
+    found = repeated(own.select("host", "page", stream.alias("text")), run)
+    found = found.groupBy("page").agg(F.collect_list(F.struct("at", "pages")).alias("starts"))
+    found = stored(found.select("page", spans("starts").alias("found")), "page-spans", "zstd")
+    if (found.agg(F.sum(F.size("found"))).first()[0] or 0) <= 1_000_000:
+        found = F.broadcast(found)  # page texts stay where they are
 
     @F.pandas_udf("string")
     def finish(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for parts, found in batches:
-            yield pd.Series([kept(list(x), [] if s is None else list(s), run) for x, s in zip(parts, found)], dtype=object)
+        for parts, some in batches:
+            yield pd.Series([kept(list(x), [] if s is None else list(s), run) for x, s in zip(parts, some)], dtype=object)
 
-    free = own.where("text IS NULL").join(starts, F.col("body") == F.col("page"), "left")
-    free = free.select("id", "url", finish("blocks", "starts").alias("text"))
-    both = own.where("text IS NOT NULL").select("id", "url", "text").union(free)
+    both = own.join(found, "page", "left").select("id", "url", finish("blocks", "found").alias("text"))
     return both.select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars")
     )
