@@ -222,6 +222,14 @@ def marks(tokens: np.ndarray, run: int) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(inner, run - half + 1).min(axis=1)
 
 
+def pieces(batch: pa.RecordBatch, chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in order, cut where the texts of a piece pass ``chars``: what a task holds as words stays small."""
+    size = np.cumsum([len(t.as_buffer()) for t in batch.column("text")]) // chars
+    cuts = np.flatnonzero(np.diff(size)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+        yield batch.slice(lo, hi - lo)
+
+
 def token_hashes(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
     """(page, token hashes) of each page of a batch of host, page and text; copies in the batch come once."""
     rows = {p: (h, t) for h, p, t in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "text")))}
@@ -248,7 +256,7 @@ def repeated(streams: DataFrame, run: int) -> DataFrame:
 
     def hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.unique(marks(x, run)) for _, x in token_hashes(batch)]
+            own = list({p: np.unique(marks(x, run)) for piece in pieces(batch) for p, x in token_hashes(piece)}.values())
             value, n = np.unique(np.concatenate(own or [np.zeros(0, np.uint64)]), return_counts=True)
             value = np.repeat(value, np.minimum(n, 2))
             bucket = (value % np.uint64(buckets)).astype(np.int32)
@@ -262,7 +270,7 @@ def repeated(streams: DataFrame, run: int) -> DataFrame:
         return pd.DataFrame({"mark": value[n > 1].view(np.int64)})
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in pieces(whole)):
             pages, found, firsts, leads, ends = [], [], [], [], [np.zeros(1, np.int32)]
             for page, x in token_hashes(batch):
                 mark = marks(x, run)
