@@ -49,6 +49,18 @@ def test_neighbours_with_ties_and_unusable_vectors(spark):
     assert neighbours.search(table, empty).count() == 0
 
 
+def test_repeated_rows_take_no_places_of_other_neighbours(spark):
+    random = np.random.default_rng(9)
+    base = [float(np.float32(x)) for x in random.normal(size=12)]
+    near = [[float(np.float32(b + 0.01 * k)) if j == 0 else b for j, b in enumerate(base)] for k in range(1, 5)]
+    rows = [(i, [float(np.float32(x)) for x in random.normal(size=12)]) for i in range(100, 200)]
+    rows += [(0, base)] + [(1, near[0])] * 9 + [(i, near[0]) for i in (2, 3)] + [(4, near[1])] * 7 + [(5, near[2]), (6, near[3])]
+    table = vectors_table(spark, rows)
+    got = neighbours.search(table, table.where("vec_id IN (0, 1)")).orderBy("query_id", "rank").collect()
+    want = [(q, j) for q, near in sorted(brute_nearest(rows, {0, 1}, 5).items()) for _, j in near]
+    assert [(r["query_id"], r["vec_id"]) for r in got] == want and [j for q, j in want if q == 0] == [1, 2, 3, 4, 5]
+
+
 def test_bounds_hold_and_recall(spark):
     random = np.random.default_rng(3)
     units = neighbours.unit(random.normal(size=(2000, 64)))

@@ -103,12 +103,14 @@ def block_search(queries: pd.DataFrame, rows: pd.DataFrame, k: int, centre: np.n
 def index(vectors: DataFrame, id_col: str, vector_col: str, k: int, sample_rows: int = 8192) -> tuple[DataFrame, dict[int, np.ndarray]]:
     """The coded table of all usable vectors, written to the shared folder, and the centre per dimension.
 
-    Centres are means of at most ``sample_rows`` vectors (smallest hashes of the id). Of equal vectors
-    the k+1 smallest ids are kept: no query can return another of them.
+    Centres are means of at most ``sample_rows`` vectors (smallest hashes of the id). Rows that repeat id
+    and vector are one row. Of equal vectors the k+1 smallest ids are kept: no query can return another of them.
     """
     spark = vectors.sparkSession
     own = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     own = own.where(F.col("id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
+    # Repeats would take places of other ids; they combine before the shuffle.
+    own = stored(own.distinct(), "vector-rows")
     sample = bounded_sample(own, "id", sample_rows).toPandas()
     centres = {int(d): unit(np.stack(g["vector"].to_numpy())).mean(axis=0) for d, g in sample.groupby("dim")}
     order = Window.partitionBy(F.xxhash64("vector"), "vector").orderBy("id")
