@@ -245,3 +245,19 @@ def test_licences(spark):
     where = licences.scan(table(spark, rows), model).where("doc_id = 5").first()["paragraphs"][0]
     assert where["line"] == 1 and where["text"] == "Licensed under CC BY-NC 4.0." and where["confirmed"]
     assert licences.scan(table(spark, []), licences.fit(table(spark, []))).count() == 0
+
+
+def test_wrapped_and_dual_licences(spark):
+    model = licences.fit(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    gpl = "# This program is free software: you can redistribute it\n# and/or modify it under the terms of the GNU General\n" \
+        "# Public License as published by the Free Software\n# Foundation, either version 3 of the License."
+    lgpl = "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General\n" \
+        "Public License as published by the Free Software\nFoundation; either version 2.1 of the License."
+    bsd = "Redistribution and use in source and binary forms, with\nor without modification, are permitted provided\nthat the following conditions\nare met:"
+    rows = [
+        (1, f"intro\n\n{gpl}\n#\n# other"), (2, lgpl), (3, bsd), (4, "Licensed under the Apache License, Version 2.0 or the MIT license."),
+        (5, "This work is licensed under a Creative Commons\nAttribution-NonCommercial 4.0\nInternational License"),
+        (6, "Released under the MIT License. Licensed under CC BY 4.0."), (7, "an ordinary line\nthat goes on under\nthe terms of the trade"),
+    ]
+    got = {r["doc_id"]: r["licences"] for r in licences.digest(licences.scan(table(spark, rows), model)).collect()}
+    assert got == {1: "gpl", 2: "lgpl", 3: "bsd", 4: "apache,mit", 5: "cc-by-nc", 6: "cc-by,mit", 7: ""}

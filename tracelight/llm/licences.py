@@ -1,6 +1,6 @@
 """Licence scan: a trained paragraph classifier whose predictions templates confirm.
 
-Paragraphs (lines) are scored by a multinomial logistic regression on sparse word n-grams over licence
+Paragraphs (lines, and runs of lines up to one without words) are scored by a multinomial logistic regression on sparse word n-grams over licence
 families and ``unknown``. The unknown class learns from paragraphs of the documents themselves; the
 bar a family must reach is set on such paragraphs that were not learned from. A prediction is confirmed
 if enough of a template's n-grams stand in the paragraph.
@@ -21,6 +21,8 @@ from tracelight.llm.common import bounded_sample
 
 WORD = re.compile(r"[a-z0-9]+(?:[.'-][a-z0-9]+)*")
 UNKNOWN = "unknown"
+#: Words that two licences named in one paragraph may share.
+SHARED = {"licensed", "released", "under", "the", "license"}
 
 #: Notices in common use, by family. The wording is that of the licences and their usual notices.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -130,18 +132,50 @@ class Model:
         own = set(grams(words))
         return max((len(t & own) / len(t) for k, t in self.templates if k == family), default=0.0)
 
-    def scan(self, text: str | None) -> list[tuple[int, str, str, float, float]]:
-        """(line, paragraph, family, probability, similarity) of every paragraph above the bar."""
+    def named(self, words: list[str], agreement: float) -> list[tuple[int, float, float]]:
+        """(family, probability, similarity): the best family of the words; then of what its templates leave
+        of them, as long as templates confirm that. A family whose probability others share, so that it
+        misses the bar, counts if the words without its own then name another."""
+        found: list[tuple[int, float, float]] = []
+        shared: list[tuple[int, float, float]] = []
+        while not self.anchors.isdisjoint(words):
+            p = self.probabilities(words)
+            best = int(p[:-1].argmax())
+            more, above = found + shared, p[best] >= self.bar
+            if p[best] <= p[-1] or 1 - p[-1] < self.bar or any(best == x[0] for x in more):
+                break
+            one = (best, float(p[best]), self.similarity(best, words))
+            own = frozenset().union(*(t for k, t in self.templates if k == best))
+            if one[2] < agreement or more and own.isdisjoint(set(words) - SHARED):
+                return found or ([one] if above and not more else [])
+            if above:
+                found, shared = [*found, *shared, one], []
+            else:
+                shared.append(one)
+            pairs = [f"{a} {b}" in own for a, b in zip(words, words[1:])]
+            gone = [x or y for x, y in zip([*pairs, False], [False, *pairs])]
+            words = [w for w, x in zip(words, gone) if not x or w in SHARED]
+        return found
+
+    def scan(self, text: str | None, agreement: float = 0.6) -> list[tuple[int, str, str, float, float]]:
+        """(line, paragraph, family, probability, similarity) of every line above the bar, and of runs of lines
+        whose templates confirm a family that none of their lines does."""
         found = []
         lines = (text or "").split("\n")
-        for number, line in enumerate(lines):
-            words = words_of(line)
-            if self.anchors.isdisjoint(words):
+        words = [words_of(line) for line in lines]
+        start, sure = 0, set()
+        for number in range(len(lines) + 1):
+            if number < len(lines) and words[number]:
+                for best, p, similarity in self.named(words[number], agreement):
+                    found.append((number, lines[number], self.families[best], p, similarity))
+                    if similarity >= agreement:
+                        sure.add(best)
                 continue
-            p = self.probabilities(words)
-            best = int(p[:-1].argmax())
-            if p[best] > p[-1] and p[best] >= self.bar:
-                found.append((number, line, self.families[best], float(p[best]), self.similarity(best, words)))
+            if number - start > 1:
+                for best, p, similarity in self.named([w for own in words[start:number] for w in own], agreement):
+                    if similarity >= agreement and best not in sure:
+                        found.append((start, "\n".join(lines[start:number]), self.families[best], p, similarity))
+            start, sure = number + 1, set()
         return found
 
 
@@ -223,7 +257,7 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     @F.pandas_udf("array<struct<line:int,text:string,family:string,probability:double,similarity:double>>")
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([[dict(zip(names, x)) for x in shared.value.scan(t)] for t in texts])
+            yield pd.Series([[dict(zip(names, x)) for x in shared.value.scan(t, agreement)] for t in texts])
 
     own = docs.select(F.col(id_col).cast(kind).alias(id_col), find(F.col(text_col)).alias("found"))
     confirmed = F.transform("found", lambda x: x.withField("confirmed", x["similarity"] >= agreement))
