@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelight.llm import chat, decontaminate, extract, language, licences, mixing, neighbours, quality, simhash, warc
+from tracelight.llm import (
+    chat,
+    decontaminate,
+    extract,
+    language,
+    licences,
+    mixing,
+    neighbours,
+    packing,
+    quality,
+    simhash,
+    spelling,
+    warc,
+    whitening,
+)
 from tracelight.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -157,3 +171,45 @@ def near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     """Component of every document over 4-word SimHashes at most 4 bits apart."""
     found = simhash.near_duplicates(read(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op11_whitening")
+def whitened(spark: SparkSession, folder: str) -> DataFrame:
+    """The first four whitened coordinates of every vector, fitted on the distinct ones."""
+    return whitening.whiten(read(spark, folder, "embeddings"))
+
+
+@query("op12_packing")
+def packed(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.digest(packing.pack(read(spark, folder, "documents")))
+
+
+_SPELLING_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda c: list_reduce(list_concat([c], range(8)),
+        lambda v, i: CASE WHEN v & 1 = 1 THEN xor(3988292384, v >> 1) ELSE v >> 1 END)) AS t),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+low AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+    FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, n, xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(string_split(id || ':' || run, ''),
+        lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [CAST(195 AS BIGINT), CAST(unicode(c) - 64 AS BIGINT)] END))),
+        lambda v, b: xor(v >> 8, t[(xor(v, b) & 255) + 1]))) AS h FROM low, crc),
+cut AS (SELECT n, CASE WHEN h % 31 = 0 THEN substring(run, 1, CAST(h % length(run) AS BIGINT)) || substring(run, CAST(h % length(run) AS BIGINT) + 2)
+    ELSE run END AS word FROM hashed),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT word, n, p, substring(word, 1, p - 1) || substring(word, p + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM v)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.p = b.p AND a.rest = b.rest AND a.word <> b.word
+    UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.rest = v.word UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS near, max(near_n) AS near_n FROM pairs GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form,
+    CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM v LEFT JOIN best ON v.word = best.word),
+walk AS (SELECT word, word AS root FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, walk.root, f.n, f.n_near, f.form_n
+FROM f JOIN walk ON walk.word = f.word JOIN f AS last ON last.word = walk.root AND last.form IS NULL
+"""
+
+
+@query("op13_spelling", _SPELLING_SQL)
+def spellings(spark: SparkSession, folder: str) -> DataFrame:
+    """Spelling variants among all words of all documents, with one run in 31 misspelt."""
+    return spelling.variants(read(spark, folder, "documents"), noise=31)
