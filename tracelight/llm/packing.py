@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,9 @@ END_ID = 1
 BATCH_BYTES = 4 << 20
 #: White space after a visible character always begins a new word of a byte-level vocabulary.
 CUT = re.compile("(?<=[!-~À-ÿ])(?=[ \n])")
+#: A space and letters are one word, which the vocabulary writes with a mark for the space.
+PLAIN = re.compile(" [A-Za-z]+")
+WINDOW = 1 << 20
 
 
 def default_tokenizer() -> str:
@@ -34,26 +38,49 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class Words(dict):
-    """Ids of stretches of text, as little-endian 32-bit numbers; short stretches are remembered."""
+class Words:
+    """Ids of texts, as little-endian 32-bit numbers. Texts are cut into short stretches, which are remembered."""
 
     def __init__(self, path: str, most: int = 500_000, longest: int = 64):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
-
-    def __missing__(self, stretch: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
-        if len(stretch) <= self.longest:
-            if len(self) >= self.most:
-                self.clear()
-            self[stretch] = ids
-        return ids
-
-    def ids(self, text: str) -> bytes:
-        """Ids of a whole text. It is read stretch by stretch, so its length costs no more than its ids."""
-        return b"".join(map(self.__getitem__, CUT.split(text)))
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, stretches: list[str]) -> dict[str, bytes]:
+        """Ids of new stretches. A plain word needs the library's model alone, others its pre-tokenizer, too."""
+        plain = [s for s in stretches if PLAIN.fullmatch(s)]
+        others = [s for s in stretches if not PLAIN.fullmatch(s)]
+        model = self.tokenizer.model
+        found = {s: [t.id for t in model.tokenize("\u0120" + s[1:])] for s in plain}
+        found |= {s: e.ids for s, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False))}
+        return {s: np.array(ids, "<u4").tobytes() for s, ids in found.items()}
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of every text."""
+        cut = [CUT.split(text) for text in texts]
+        new = set()
+        for stretches in cut:
+            new.update(stretches)
+        found = self.learn([s for s in new if s not in self.known])
+        if len(self.known) + len(found) > self.most:
+            found |= {s: self.known[s] for s in new if s in self.known}
+            self.known = {}
+        self.known |= found
+        out = [b"".join(map(self.known.__getitem__, stretches)) for stretches in cut]
+        for s in [s for s in found if len(s) > self.longest]:
+            del self.known[s]
+        return out
+
+
+def windows(text: str, size: int) -> Iterator[str]:
+    """The text in parts of about ``size`` letters, cut where a new word begins."""
+    at = 0
+    while at < len(text):
+        stop = CUT.search(text, at + size)
+        end = stop.start() if stop else len(text)
+        yield text[at:end]
+        at = end
 
 
 @lru_cache(maxsize=2)
@@ -62,6 +89,18 @@ def words(path: str) -> Words:
     return Words(path)
 
 
+def bunches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs [first, stop) of texts that have ``most`` letters together, or one longer text."""
+    first, total = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if i > first and total + size > most:
+            yield first, i
+            first, total = i, 0
+        total += size
+    if len(sizes):
+        yield first, len(sizes)
+
+
 def tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, length: int, end_id: int) -> DataFrame:
     """Pieces of at most ``length`` tokens: (doc_id, start, ids, doc_tokens), stored with a ``piece`` number.
 
@@ -74,24 +113,29 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, lengt
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = words(tokenizer)
         for batch in batches:
-            taken, starts, parts, totals, size = [], [], [], [], 0
+            texts, taken, starts, parts, totals, size = batch.column(1), [], [], [], [], 0
 
             def out() -> pa.RecordBatch:
                 columns = [batch.column(0).take(pa.array(taken, pa.int64())), pa.array(starts, pa.int64())]
                 columns += [pa.array(parts, pa.binary()), pa.array(totals, pa.int64())]
                 return pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "ids", "doc_tokens"])
 
-            for i in range(len(batch)):
-                ids = memoryview(known.ids(batch.column(1)[i].as_py()) + end)
-                for at in range(0, len(ids), 4 * length):
-                    taken.append(i)
-                    starts.append(at // 4)
-                    parts.append(ids[at : at + 4 * length].tobytes())
-                    totals.append(len(ids) // 4)
-                    size += len(parts[-1])
-                    if size >= BATCH_BYTES:
-                        yield out()
-                        taken, starts, parts, totals, size = [], [], [], [], 0
+            for first, stop in bunches(pc.utf8_length(texts).to_numpy(), WINDOW):
+                if stop - first > 1:
+                    found = known.ids(texts.slice(first, stop - first).to_pylist())
+                else:
+                    found = [b"".join(known.ids([part])[0] for part in windows(texts[first].as_py(), WINDOW))]
+                for i, ids in enumerate(found, first):
+                    ids = memoryview(ids + end)
+                    for at in range(0, len(ids), 4 * length):
+                        taken.append(i)
+                        starts.append(at // 4)
+                        parts.append(ids[at : at + 4 * length].tobytes())
+                        totals.append(len(ids) // 4)
+                        size += len(parts[-1])
+                        if size >= BATCH_BYTES:
+                            yield out()
+                            taken, starts, parts, totals, size = [], [], [], [], 0
             if taken:
                 yield out()
 
