@@ -9,7 +9,7 @@ from tracelight.functions import vectors as V
 from tracelight.plans import standins as X
 from tracelight.plans.catalog import Tables, query
 from tracelight.session import shared_directory
-from tracelight.sources import manifests, scans, sinks
+from tracelight.sources import manifests, positions, scans, sinks
 
 
 @query(
@@ -488,3 +488,77 @@ def object_store(t: Tables):
         sinks.write_objects(sinks.object_table(delivery, "text"), path)
     held = t.spark.read.parquet(path).groupBy("digest", "digest_prefix")
     return held.agg(F.count(F.lit(1)).alias("stored_count"))
+
+
+def written_lines(t: Tables, purpose: str, rows, file: str, order: list[str]) -> str:
+    """Writes (``file``, ``order``, value) as one text file per value of ``file``; returns the folder."""
+    path = shared_directory(t.spark, purpose)
+    dealt = rows.repartition(file).sortWithinPartitions(file, *order)
+    dealt.select(file, "value").write.partitionBy(file).text(path)
+    return path
+
+
+@query(
+    "a1_csv_record_positions",
+    "A1",
+    """WITH l AS (SELECT o_orderkey//50000 AS part, o_orderkey AS k, i, CASE WHEN i=0 THEN o_orderstatus||','||o_orderpriority ELSE '' END AS value
+        FROM orders, (VALUES (0),(1)) v(i) WHERE i=0 OR o_orderkey%97=0),
+      p AS (SELECT *, row_number() OVER w+1 AS line_number,
+        strlen('o_orderstatus,o_orderpriority')+1+coalesce(sum(strlen(value)+1) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS byte_offset
+        FROM l WINDOW w AS (PARTITION BY part ORDER BY k, i))
+    SELECT CAST(part AS BIGINT) AS part, line_number, CAST(byte_offset AS BIGINT) AS byte_offset, sha256(value) AS raw_line_sha256,
+      string_split(value,',')[1] AS o_orderstatus, string_split(value,',')[2] AS o_orderpriority FROM p WHERE i=0""",
+)
+def csv_record_positions(t: Tables):
+    """CSV files with many equal lines and some blank ones, read back with the place of every record."""
+    columns = ["o_orderstatus", "o_orderpriority"]
+    part = F.floor(F.col("o_orderkey") / 50000).alias("part")
+    body = t.orders.select(
+        part,
+        F.col("o_orderkey").alias("k"),
+        F.posexplode(
+            F.when(F.col("o_orderkey") % 97 == 0, F.array(F.concat_ws(",", *columns), F.lit("")))
+            .otherwise(F.array(F.concat_ws(",", *columns)))
+        ).alias("i", "value"),
+    )
+    header = t.orders.select(part).distinct().select("part", F.lit(-1).alias("k"), F.lit(0).alias("i"), F.lit(",".join(columns)).alias("value"))
+    path = written_lines(t, "orders-lines", body.unionByName(header), "part", ["k", "i"])
+    rows = scans.read_csv_records(t.spark, path, columns)
+    return rows.select(
+        F.regexp_extract("source_file", "/part=([0-9]+)/", 1).cast("bigint").alias("part"),
+        "line_number", "byte_offset", "raw_line_sha256", *columns,
+    )
+
+
+def json_files(t: Tables) -> str:
+    """The connection log as one file per capture, in the order of the events."""
+    rows = json_lines(t).withColumnRenamed("capture_id", "capture")
+    return written_lines(t, "json-lines", rows, "capture", ["event_id"])
+
+
+POSITION_SQL = f"""(SELECT strftime(ts,'%Y-%m-%d') AS capture, row_number() OVER (PARTITION BY strftime(ts,'%Y-%m-%d') ORDER BY event_id) AS line_number,
+      {REASON_SQL} AS reject_reason FROM events)"""
+
+
+@query(
+    "a3_json_reject_positions",
+    "A3",
+    f"SELECT capture, line_number, reject_reason FROM {POSITION_SQL} WHERE reject_reason <> 'accepted'",
+)
+def json_reject_positions(t: Tables):
+    rows = scans.read_json_records(t.spark, json_files(t))
+    capture = F.regexp_extract("source_file", "/capture=([^/]+)/", 1).alias("capture")
+    return rows.where(F.col("reject_reason").isNotNull()).select(capture, "line_number", "reject_reason")
+
+
+@query(
+    "a4_first_bad_lines",
+    "A4",
+    f"""SELECT capture, count(*) FILTER (reject_reason='accepted') AS record_count, count(*) FILTER (reject_reason<>'accepted') AS bad_line_count,
+      min(line_number) FILTER (reject_reason<>'accepted') AS first_bad_line,
+      arg_min(reject_reason, line_number) FILTER (reject_reason<>'accepted') AS first_bad_reason FROM {POSITION_SQL} GROUP BY capture""",
+)
+def first_bad_lines(t: Tables):
+    rows = scans.read_json_records(t.spark, json_files(t))
+    rows = rows.withColumn("capture", F.regexp_extract("source_file", "/capture=([^/]+)/", 1))
+    return positions.first_bad_lines(rows, ["capture"], F.col("reject_reason").isNotNull())

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracelight.functions import scalars as S
+from tracelight.sources import positions
 
 # Columns of a labelled connection file, in order.
 CONNECTION_COLUMNS = (
@@ -89,6 +90,24 @@ def parse_csv_lines(lines: DataFrame, columns: Sequence[str], raw: str = "value"
     )
 
 
+def read_csv_records(
+    spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str] = CONNECTION_COLUMNS
+) -> DataFrame:
+    """CSV records by physical line, with source_file, line_number, byte_offset and the digest of the raw line.
+
+    Equal lines stay records of their own. A wrong header, or a line without one value per column, stops the job.
+    """
+    lines = positions.without_header(positions.read_lines(spark, paths), ",".join(columns))
+    return parse_csv_lines(lines, columns)
+
+
+def read_json_records(
+    spark: SparkSession, paths: str | Sequence[str], label_fields: Sequence[str] = ("label",)
+) -> DataFrame:
+    """JSON lines by physical line, good ones and rejects alike, with source_file, line_number and byte_offset."""
+    return parse_json_lines(positions.read_lines(spark, paths), label_fields)
+
+
 def stringify(df: DataFrame) -> DataFrame:
     """Every column as text: no value and NaN give blanks, booleans lower case, times ISO in UTC."""
     def text(field: T.StructField) -> Column:
