@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.functions import vectors as V
-from tracelight.operators.robust import deviation_scores
+from tracelight.operators.ranking import same_keys
+from tracelight.operators.robust import SMALL_GROUP, deviation_scores, grouped_medians
 
 
 def class_dimension(df: DataFrame, classes: Sequence, name: str = "class") -> DataFrame:
@@ -42,6 +43,7 @@ def aggregate_prototypes(
     width: int,
     minimum_support: int = 1,
     skip_low_support: bool = False,
+    small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Per class: status, supporting clients, total support and the aggregate once quorum is met.
 
@@ -57,9 +59,8 @@ def aggregate_prototypes(
     if strategy == "support_weighted_mean":
         values = V.mean_vector(eligible, ["class"], "vector", "aggregate", width, weight="support")
     elif strategy == "coordinate_median":
-        long = V.coordinates(eligible, ["class"], "vector").groupBy("class", "pos").agg(
-            F.median("value").alias("value")
-        )
+        long = V.coordinates(eligible, ["class"], "vector")
+        long = grouped_medians(long, ["class", "pos"], "value", "value", prototypes.count(), small_group)
         values = V.gather(long, ["class"], "value", "aggregate")
     else:
         raise ValueError(f"unknown prototype aggregation: {strategy}")
@@ -99,11 +100,11 @@ def carry_forward(aggregated: DataFrame, previous: DataFrame) -> DataFrame:
     )
 
 
-def prototype_indicators(prototypes: DataFrame) -> DataFrame:
+def prototype_indicators(prototypes: DataFrame, small_group: int = SMALL_GROUP) -> DataFrame:
     """Distance of every client prototype to the coordinate median of its class."""
-    scores = deviation_scores(prototypes, ["support"], "client_id", "vector", ["class"])
-    middle = scores.groupBy("class").agg(F.median("median_distance").alias("_middle"))
-    joined = scores.join(middle, "class")
+    scores = deviation_scores(prototypes, ["support"], "client_id", "vector", ["class"], small_group)
+    middles = grouped_medians(scores, ["class"], "median_distance", "_middle", prototypes.count(), small_group)
+    joined = same_keys(scores, middles, ["class"])
     return joined.select(
         "client_id",
         "class",

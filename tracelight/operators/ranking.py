@@ -8,7 +8,7 @@ so a recomputed partition lands in the same slot.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,60 +96,71 @@ def _slot_of(value: Column, low: Column, high: Column, slots: int) -> Column:
     return F.when(high > low, F.least(place, F.lit(slots - 1))).otherwise(F.lit(0)).cast("bigint")
 
 
-def exact_quantiles(
+def order_statistics(
     df: DataFrame,
     *,
     keys: Sequence[str],
     value: str,
-    probabilities: Sequence[float],
+    ranks: Callable[[Column], Column],
     slots: int = 2048,
     levels: int = 2,
 ) -> DataFrame:
-    """Linear-interpolated quantiles per key: columns ``keys``, ``probability``, ``quantile``.
+    """Exact values at 0-based ranks per key: ``keys``, rows, rank, value, and the rows ``below`` and ``equal`` to it.
 
+    ``ranks`` makes the array of wanted ranks from the number of rows; it may read key columns. Nulls are left out.
     Equal values are counted once up front. Every level narrows each wanted rank to one of ``slots``
-    ranges that are even on a logarithmic scale, and only the values of the last, narrow ranges are sorted. A range row carries the
-    ranks that lie in it, so each level adds one join of the counted values with a small table.
+    ranges that are even on a logarithmic scale, for all keys in one pass, and only the values of the last,
+    narrow ranges are sorted. A range row carries the ranks that lie in it, so each level adds one join of the
+    counted values with a small table.
     """
     outer = list(keys)
     keys = outer or ["_all"]
-    source = df if outer else df.withColumn("_all", F.lit(0))
-    counts = source.where(F.col(value).isNotNull()).groupBy(
-        *keys, F.col(value).cast("double").alias("_v")
-    ).agg(F.count(F.lit(1)).alias("_n"))
-    chosen = F.array(*[F.lit(float(p)) for p in probabilities])
+    counts, ranges = _narrowed(df, keys, value, ranks, slots, levels)
+    found = _covered(_inside(counts, ranges, keys), keys, "_v")
+    return found.select(
+        *outer,
+        F.col("_rows").alias("rows"),
+        F.explode("_ranks").alias("rank"),
+        F.col("_v").alias("value"),
+        F.col("_start").alias("below"),
+        F.col("_n").alias("equal"),
+    )
+
+
+def _inside(counts: DataFrame, ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return same_keys(counts, ranges, keys).where(F.col("_v").between(F.col("_low"), F.col("_high")))
 
-    def place(p: Column) -> Column:
-        return (F.col("_rows") - 1) * p
 
-    ranks = F.array_distinct(
-        F.flatten(F.transform(chosen, lambda p: F.array(F.floor(place(p)), F.ceil(place(p)))))
+def _covered(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """Rows with the wanted ranks that fall into them, counted on from the rows below the range."""
+    running = Window.partitionBy(*keys, "_low", "_under").orderBy(order)
+    counted = rows.withColumn("_stop", F.col("_under") + F.sum("_n").over(running)).withColumn(
+        "_start", F.col("_stop") - F.col("_n")
     )
+    mine = F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_stop")))
+    return counted.withColumn("_ranks", mine).where(F.size("_ranks") > 0)
+
+
+def _narrowed(
+    df: DataFrame, keys: Sequence[str], value: str, ranks: Callable[[Column], Column], slots: int, levels: int
+) -> tuple[DataFrame, DataFrame]:
+    """Counted values, and the narrow ranges in which the wanted ranks lie."""
+    source = df.withColumn("_all", F.lit(0)) if list(keys) == ["_all"] else df
+    counts = source.where(F.col(value).isNotNull()).groupBy(
+        *keys, F.col(value).cast("double").alias("_v")
+    ).agg(F.count(F.lit(1)).alias("_n"))
     # Range row: bounds, rows known to lie below, rows in all, and the wanted ranks inside.
     ranges = (
         counts.groupBy(*keys)
         .agg(F.min("_v").alias("_low"), F.max("_v").alias("_high"), F.sum("_n").alias("_rows"))
-        .select(*keys, "_low", "_high", F.lit(0).cast("bigint").alias("_under"), "_rows", ranks.alias("_ranks"))
+        .select(*keys, "_low", "_high", F.lit(0).cast("bigint").alias("_under"), "_rows", ranks(F.col("_rows")).alias("_ranks"))
     )
-
-    def inside() -> DataFrame:
-        return same_keys(counts, ranges, keys).where(F.col("_v").between(F.col("_low"), F.col("_high")))
-
-    def covered(rows: DataFrame, order: str) -> DataFrame:
-        """Rows with the wanted ranks that fall into them, counted on from the rows below the range."""
-        running = Window.partitionBy(*keys, "_low", "_under").orderBy(order)
-        counted = rows.withColumn("_stop", F.col("_under") + F.sum("_n").over(running)).withColumn(
-            "_start", F.col("_stop") - F.col("_n")
-        )
-        mine = F.filter("_ranks", lambda r: (r >= F.col("_start")) & (r < F.col("_stop")))
-        return counted.withColumn("_ranks", mine).where(F.size("_ranks") > 0)
-
     for _ in range(levels):
         slot = _slot_of(F.col("_v"), F.col("_low"), F.col("_high"), slots)
-        histogram = inside().groupBy(*keys, "_low", "_under", "_rows", "_ranks", slot.alias("_slot")).agg(
-            F.sum("_n").alias("_n"), F.min("_v").alias("_from"), F.max("_v").alias("_to")
-        )
-        ranges = covered(histogram, "_slot").select(
+        histogram = _inside(counts, ranges, keys).groupBy(
+            *keys, "_low", "_under", "_rows", "_ranks", slot.alias("_slot")
+        ).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+        ranges = _covered(histogram, keys, "_slot").select(
             *keys,
             F.col("_from").alias("_low"),
             F.col("_to").alias("_high"),
@@ -157,15 +168,81 @@ def exact_quantiles(
             "_rows",
             "_ranks",
         )
-    found = covered(inside(), "_v").select(*keys, "_rows", "_v", F.explode("_ranks").alias("_rank"))
+    return counts, ranges
+
+
+def exact_quantiles(
+    df: DataFrame,
+    *,
+    keys: Sequence[str],
+    value: str,
+    probabilities: Sequence[float],
+    slots: int = 2048,
+    levels: int = 2,
+) -> DataFrame:
+    """Linear-interpolated quantiles per key: columns ``keys``, ``probability``, ``quantile``."""
+    outer = list(keys)
+    chosen = F.array(*[F.lit(float(p)) for p in probabilities])
+
+    def place(rows: Column, p: Column) -> Column:
+        return (rows - 1) * p
+
+    def wanted(rows: Column) -> Column:
+        both = F.transform(chosen, lambda p: F.array(F.floor(place(rows, p)), F.ceil(place(rows, p))))
+        return F.array_distinct(F.flatten(both))
+
+    found = order_statistics(df, keys=keys, value=value, ranks=wanted, slots=slots, levels=levels)
     # At most two ranks per probability: one small row per key.
-    gathered = found.groupBy(*keys, "_rows").agg(
-        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at")
+    gathered = found.groupBy(*outer, "rows").agg(
+        F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("_at")
     )
     spread = gathered.withColumn("probability", F.explode(chosen)).withColumn(
-        "_place", place(F.col("probability"))
+        "_place", place(F.col("rows"), F.col("probability"))
     )
     low = F.element_at("_at", F.floor("_place"))
     high = F.element_at("_at", F.ceil("_place"))
     weight = F.col("_place") - F.floor("_place")
     return spread.select(*outer, "probability", (low + (high - low) * weight).alias("quantile"))
+
+
+def medians(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Exact median per key (one row over all without keys); no task holds the values of a key."""
+    found = exact_quantiles(df, keys=keys, value=value, probabilities=[0.5])
+    return found.select(*keys, F.col("quantile").alias(name))
+
+
+def trimmed_means(df: DataFrame, keys: Sequence[str], value: str, rows: int, trim: int, name: str) -> DataFrame:
+    """Mean per key without the ``trim`` smallest and the ``trim`` largest of its ``rows`` values.
+
+    The two values at the ends of the kept ranks are selected; kept values between them are summed in the tasks, and
+    the copies of the end values are counted, so ties are exact and no group is sorted.
+    """
+    ends = order_statistics(
+        df, keys=keys, value=value, ranks=lambda n: F.array_distinct(F.array(F.lit(trim), F.lit(rows - trim - 1)).cast("array<bigint>"))
+    )
+    first, last = F.struct("value", "below", "equal"), F.col("rank") == rows - trim - 1
+    bounds = ends.groupBy(*keys).agg(
+        F.max(F.when(F.col("rank") == trim, first)).alias("_a"), F.max(F.when(last, first)).alias("_b")
+    )
+    inside = same_keys(df.select(*keys, F.col(value).alias("_v")), bounds, keys).groupBy(*keys, "_a", "_b").agg(
+        F.coalesce(F.sum(F.when((F.col("_v") > F.col("_a.value")) & (F.col("_v") < F.col("_b.value")), F.col("_v"))), F.lit(0.0)).alias("_sum")
+    )
+    copies_a = F.col("_a.below") + F.col("_a.equal") - trim
+    copies_b = F.lit(rows - trim) - F.col("_b.below")
+    total = F.col("_sum") + F.col("_a.value") * copies_a + F.col("_b.value") * copies_b
+    flat = F.col("_a.value") == F.col("_b.value")
+    return inside.select(*keys, F.when(flat, F.col("_a.value")).otherwise(total / (rows - 2 * trim)).alias(name))
+
+
+def smallest(df: DataFrame, keys: Sequence[str], value: str, tie: str, count: int) -> DataFrame:
+    """The ``count`` rows of each key with the smallest ``value``, the smallest ``tie`` (a number) on equal ones.
+
+    The value at the last kept rank is selected, then, among the rows that have it, the last kept tie.
+    """
+    cut = order_statistics(df, keys=keys, value=value, ranks=lambda n: F.array(F.least(n, F.lit(count)) - 1))
+    cut = cut.select(*keys, F.col("value").alias("_cut"), (F.least("rows", F.lit(count)) - F.col("below")).alias("_need"))
+    marked = same_keys(df, cut, keys)
+    ties = marked.where(F.col(value) == F.col("_cut"))
+    last = order_statistics(ties, keys=[*keys, "_need"], value=tie, ranks=lambda n: F.array(F.col("_need") - 1))
+    marked = same_keys(marked.drop("_need"), last.select(*keys, F.col("value").alias("_tie")), keys)
+    return marked.where((F.col(value) < F.col("_cut")) | ((F.col(value) == F.col("_cut")) & (F.col(tie) <= F.col("_tie")))).drop("_cut", "_tie")
