@@ -138,8 +138,9 @@ def test_nearest_prototype_paths_agree(spark, matrix):
     protos = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centers)] + [(99, None)], "class int, vector array<double>")
     rows = updates(spark, matrix).select("client_id", "v")
     distances = np.linalg.norm(matrix[:, None, :] - centers[None, :, :], axis=2)
-    for tiles in (1, 3):
-        out = P.nearest_prototypes(rows, protos, "v", "client_id", tiles).orderBy("client_id").collect()
+    ways = [P.nearest_prototypes(rows, protos, "v")] + [P.nearest_indexed(rows, protos, "v", "client_id", size=s) for s in (1, 3, 100)]
+    for way in ways:
+        out = way.orderBy("client_id").collect()
         assert [r["nearest_class"] for r in out] == distances.argmin(axis=1).tolist()
         ordered = np.sort(distances, axis=1)
         np.testing.assert_allclose([r["distance_margin"] for r in out], ordered[:, 1] - ordered[:, 0])
@@ -154,16 +155,37 @@ def test_wide_vectors_use_the_long_layout(spark):
     np.testing.assert_allclose(out, m.mean(axis=0))
 
 
-def test_many_prototypes_and_tiles_give_the_same_ranks(spark):
+@pytest.mark.parametrize("count", [10, 900])
+def test_listed_and_indexed_prototypes_give_the_same_ranks(spark, count):
     random = np.random.default_rng(8)
-    protos = spark.createDataFrame([(f"k{i:04d}", random.normal(size=3).tolist()) for i in range(2000)], "class string, vector array<double>")
-    rows = spark.createDataFrame([(f"r{i}", random.normal(size=3).tolist()) for i in range(5)], "id string, v array<double>")
-    got = []
-    for tiles in (1, 4):
-        near = P.nearest_prototypes(rows, protos, "v", "id", tiles)
-        told = near.select("id", "nearest_class", "distance_margin", P.class_rank("distances", F.lit("k0007")).alias("rank"))
-        got.append(sorted(map(tuple, told.collect())))
-    assert got[0] == got[1] and all(1 <= r[3] <= 2000 for r in got[0])
+    points = random.normal(size=(count, 3)).round(1).tolist()  # with ties
+    protos = spark.createDataFrame([(f"k{i:04d}", p) for i, p in enumerate(points)] + [("none", None)], "class string, vector array<double>")
+    rows = [(f"r{i}", random.normal(size=3).round(1).tolist(), f"k{i % count:04d}") for i in range(30)] + [("x", points[3], "none"), ("y", [90.0, 0.0, 1.0], "k0007")]
+    rows = spark.createDataFrame(rows, "id string, v array<double>, own string")
+    columns = ["id", "nearest_class", "nearest_distance", "second_class", "distance_margin"]
+    listed = P.nearest_prototypes(rows, protos, "v").select(*columns, P.class_rank("distances", "own").alias("class_rank"))
+    want = [(*r[:5], r["class_rank"] or None) for r in listed.collect()]
+    for size in (4, 64, 5000):
+        got = P.nearest_indexed(rows, protos, "v", "id", rank_of="own", size=size).select(*columns, "class_rank")
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_a_hundred_thousand_prototypes(spark):
+    random = np.random.default_rng(9)
+    points = random.normal(size=(100_000, 4))
+    protos = spark.createDataFrame([(i, p) for i, p in enumerate(points.tolist())], "class int, vector array<double>").repartition(8)
+    queries = random.normal(size=(40, 4))
+    rows = spark.createDataFrame([(i, q, i * 7) for i, q in enumerate(queries.tolist())], "id int, v array<double>, own int")
+    far = np.linalg.norm(queries[:, None] - points[None], axis=2)
+    got = sorted(P.nearest_indexed(rows, protos, "v", "id", rank_of="own").collect(), key=lambda r: r["id"])
+    order = far.argsort(axis=1)
+    assert [r["nearest_class"] for r in got] == order[:, 0].tolist() and [r["second_class"] for r in got] == order[:, 1].tolist()
+    assert [r["class_rank"] for r in got] == [int((far[i] < far[i, 7 * i]).sum()) + 1 for i in range(40)]
+    tiles, _ = P.prototype_index(protos)
+    sizes = [r[0] for r in tiles.select(F.size("_members")).collect()]
+    assert sum(sizes) == 100_000 and len(sizes) <= 1024 and max(sizes) < 600
+    with pytest.raises(ValueError, match="nearest_indexed"):
+        P.nearest_prototypes(rows, protos, "v")
 
 
 def test_ragged_vectors_stop_a_mean(spark):

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.functions import vectors as V
-from tracelight.operators.ranking import same_keys
+from tracelight.operators.ranking import same_keys, slot_ranked
 from tracelight.operators.robust import SMALL_GROUP, deviation_scores, grouped_medians
+from tracelight.session import stored
+
+#: Prototypes that may be listed in one value.
+LISTED = 1024
 
 
 def class_dimension(df: DataFrame, classes: Sequence, name: str = "class") -> DataFrame:
@@ -116,11 +121,13 @@ def prototype_indicators(prototypes: DataFrame, small_group: int = SMALL_GROUP)
 
 
 def prototype_list(prototypes: DataFrame, key: str = "class", vector: str = "vector") -> Column:
-    """Available prototypes as one scalar array, in class order: one per class of the vocabulary.
+    """Available prototypes as one scalar array, in class order; more than ``LISTED`` stop here.
 
-    For class tables too large for one value, :func:`nearest_prototypes` takes ``tiles``.
+    Larger class tables go through :func:`nearest_indexed`.
     """
     usable = prototypes.where(F.col(vector).isNotNull())
+    if usable.limit(LISTED + 1).count() > LISTED:
+        raise ValueError(f"more than {LISTED} prototypes: use nearest_indexed")
     pair = F.struct(F.col(key).alias("class"), F.col(vector).alias("vector"))
     return usable.agg(F.array_sort(F.collect_list(pair)).alias("_list")).scalar()
 
@@ -136,46 +143,119 @@ def _distances(vector: Column, listed: Column) -> Column:
     return F.array_sort(pairs)
 
 
-def nearest_prototypes(
-    rows: DataFrame, prototypes: DataFrame, vector: str, identity: str | None = None, tiles: int = 1
-) -> DataFrame:
-    """Rows with ``nearest_class``, ``nearest_distance``, ``distance_margin`` and all ``distances``.
-
-    One tile: the prototypes are a scalar array, and rows are only projected. More tiles, for class
-    tables of any size: prototypes are cut into ``tiles`` lists by hash, every row meets every list
-    by an equi-join on the tile number, and its distances meet per ``identity``. The result is the same
-    for any number of tiles.
-    """
-    if tiles == 1:
-        marked = rows.withColumn("_list", prototype_list(prototypes))
-        ranked = marked.withColumn("distances", _distances(F.col(vector), F.col("_list"))).drop("_list")
-    else:
-        if identity is None:
-            raise ValueError("tiled prototypes need the identity column of the rows")
-        lists = (
-            prototypes.where(F.col("vector").isNotNull())
-            .groupBy(F.pmod(F.xxhash64("class"), F.lit(tiles)).cast("int").alias("_tile"))
-            .agg(F.collect_list(F.struct("class", "vector")).alias("_list"))
-        )
-        spread = rows.select(
-            identity, vector, F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("_tile")
-        )
-        best = spread.join(lists, "_tile").select(
-            identity, _distances(F.col(vector), F.col("_list")).alias("_best")
-        )
-        merged = best.groupBy(identity).agg(
-            F.array_sort(F.flatten(F.collect_list("_best"))).alias("distances")
-        )
-        ranked = rows.join(merged, identity)
-    first, second = F.get("distances", F.lit(0)), F.get("distances", F.lit(1))
-    return ranked.select(
-        *rows.columns,
+def _with_best(rows: DataFrame, columns: Sequence[str], best: str, *more: Column | str) -> DataFrame:
+    first, second = F.get(best, F.lit(0)), F.get(best, F.lit(1))
+    return rows.select(
+        *columns,
         first["class"].alias("nearest_class"),
         first["distance"].alias("nearest_distance"),
         second["class"].alias("second_class"),
         (second["distance"] - first["distance"]).alias("distance_margin"),
-        "distances",
+        *more,
+    )
+
+
+def nearest_prototypes(rows: DataFrame, prototypes: DataFrame, vector: str) -> DataFrame:
+    """Rows with ``nearest_class``, ``nearest_distance``, ``distance_margin`` and all ``distances``.
+
+    For class tables of up to ``LISTED`` prototypes: they are one scalar array, and rows are only projected.
+    """
+    marked = rows.withColumn("_list", prototype_list(prototypes))
+    ranked = marked.withColumn("distances", _distances(F.col(vector), F.col("_list"))).drop("_list")
+    return _with_best(ranked, rows.columns, "distances", "distances")
+
+
+def prototype_index(prototypes: DataFrame, size: int = 256) -> tuple[DataFrame, list[float]]:
+    """(tiles, pivot) of the available prototypes, for :func:`nearest_indexed`.
+
+    Prototypes are ordered by norm and cut into ranges, each range is ordered by distance to a pivot and cut
+    again, all by exact ranks. A tile keeps its members and the bounds of both quantities. There are about a thousand
+    tiles at most, of ``size`` members or more.
+    """
+    usable = prototypes.where(F.col("vector").isNotNull()).select("class", "vector")
+    head = usable.agg(F.count(F.lit(1)).alias("n"), F.min_by("vector", "class").alias("pivot")).first()
+    wanted = min(max(math.ceil(head["n"] / size), 1), 1024)
+    outer = math.ceil(math.sqrt(wanted))
+    inner = math.ceil(wanted / outer)
+    pivot = list(head["pivot"] or [])
+    far = V.l2_distance("vector", F.array(*[F.lit(float(x)) for x in pivot]).cast("array<double>"))
+    measured = usable.withColumn("_norm", V.l2_norm("vector")).withColumn("_far", far)
+
+    def slot(value: str) -> Column:
+        return F.floor(F.log1p(value) * 256)
+
+    placed = slot_ranked(measured, groups=[], slot=slot("_norm"), order=["_norm", "class"], rank="_place", total="_rows")
+    placed = placed.withColumn("_outer", F.floor((F.col("_place") - 1) * outer / F.col("_rows"))).drop("_place", "_rows")
+    placed = slot_ranked(placed, groups=["_outer"], slot=slot("_far"), order=["_far", "class"], rank="_place", total="_rows")
+    tile = F.col("_outer") * inner + F.floor((F.col("_place") - 1) * inner / F.col("_rows"))
+    tiles = placed.groupBy(tile.cast("int").alias("_tile")).agg(
+        F.array_sort(F.collect_list(F.struct("class", "vector"))).alias("_members"),
+        F.min("_norm").alias("_norm_low"), F.max("_norm").alias("_norm_high"),
+        F.min("_far").alias("_far_low"), F.max("_far").alias("_far_high"),
+    )
+    return stored(tiles, "prototype-tiles"), pivot
+
+
+def nearest_indexed(
+    rows: DataFrame,
+    prototypes: DataFrame,
+    vector: str,
+    identity: str,
+    rank_of: str | None = None,
+    size: int = 256,
+) -> DataFrame:
+    """As :func:`nearest_prototypes` for class tables of any size, with ``class_rank`` of the class in ``rank_of``.
+
+    A row first meets the tile that its norm and its distance to the pivot point to, and the prototype of its own
+    class. Both give distances that the answer cannot exceed, and by the triangle inequality a tile matters only if
+    its ranges come that close. Those tiles meet the row in an equi-join and return its best two and the number of nearer
+    prototypes, which are merged per ``identity`` (unique, not null). ``class_rank`` is null for classes without prototype.
+    """
+    tiles, pivot = prototype_index(prototypes, size)
+    bounds = F.struct("_tile", "_norm_low", "_norm_high", "_far_low", "_far_high")
+    listed = tiles.agg(F.collect_list(bounds).alias("_bounds")).scalar()  # about a thousand at most
+    center = F.array(*[F.lit(float(x)) for x in pivot]).cast("array<double>")
+    own = F.col(rank_of) if rank_of else F.lit(None).cast(prototypes.schema["class"].dataType)
+    known = rows.select(identity, F.col(vector).alias("_v"), own.alias("_own"))
+    if rank_of:
+        of = prototypes.where(F.col("vector").isNotNull()).select(F.col("class").alias("_own"), F.col("vector").alias("_own_vector"))
+        known = known.join(of, "_own", "left").withColumn("_own_far", V.l2_distance("_v", "_own_vector")).drop("_own_vector")
+    else:
+        known = known.withColumn("_own_far", F.lit(None).cast("double"))
+    measured = known.withColumns({"_n": V.l2_norm("_v"), "_d": V.l2_distance("_v", center), "_list": listed})
+
+    def gap(b: Column) -> Column:
+        """No member of the tile is nearer; a margin covers rounding."""
+        apart = F.greatest(
+            F.lit(0.0), b["_norm_low"] - F.col("_n"), F.col("_n") - b["_norm_high"],
+            b["_far_low"] - F.col("_d"), F.col("_d") - b["_far_high"],
+        )
+        return F.greatest(F.lit(0.0), apart - (F.col("_n") + F.col("_d")) * 1e-9)
+
+    middle = lambda b: F.abs(F.col("_d") - (b["_far_low"] + b["_far_high"]) / 2)
+    gaps = F.transform("_list", lambda b: F.struct(gap(b).alias("gap"), middle(b).alias("middle"), b["_tile"].alias("tile")))
+    measured = measured.withColumn("_gaps", gaps).drop("_list", "_n", "_d")
+    members = tiles.select("_tile", "_members")
+    home = measured.withColumn("_tile", F.array_min("_gaps")["tile"]).join(members, "_tile")
+    second = F.get(_distances(F.col("_v"), F.col("_members")), F.lit(1))["distance"]
+    reach = F.greatest(F.coalesce(second, F.lit(float("inf"))), F.col("_own_far"))
+    close = F.filter("_gaps", lambda g: g["gap"] <= reach)
+    visits = home.select(identity, "_v", "_own", "_own_far", F.explode(F.transform(close, lambda g: g["tile"])).alias("_tile"))
+    seen = visits.join(members, "_tile").select(
+        identity, F.struct(F.col("_own_far").alias("distance"), F.col("_own").alias("class")).alias("_mine"), "_own_far",
+        _distances(F.col("_v"), F.col("_members")).alias("_all"),
+    )
+    part = seen.select(
+        identity,
+        F.slice("_all", 1, 2).alias("_two"),
+        F.when(F.col("_own_far").isNotNull(), F.size(F.filter("_all", lambda p: p < F.col("_mine")))).alias("_nearer"),
+    )
+    merged = part.groupBy(identity).agg(
+        F.slice(F.array_sort(F.flatten(F.collect_list("_two"))), 1, 2).alias("_best"),
+        (F.sum("_nearer") + 1).cast("int").alias("_rank"),
     )
+    joined = rows.join(merged, identity, "left")
+    return _with_best(joined, rows.columns, "_best", *([F.col("_rank").alias("class_rank")] if rank_of else []))
 
 
 def nearest_per_model(
