@@ -22,7 +22,7 @@ class Layout:
     """Where a record layout keeps its turns.
 
     With ``items``, every element of that array is a turn with the fields ``role`` and ``text``; with
-    ``row``, the record itself is one turn; else ``parts`` lists roles and the fields joined for them.
+    ``row``, the record itself is one turn, whose role is taken as it is; else ``parts`` lists roles and the fields joined for them.
     """
 
     name: str
@@ -91,7 +91,7 @@ def turns_of(record: Column, layout: Layout) -> Column:
         every = F.try_variant_get(record, f"$.{layout.items}", "array<variant>")
         return F.transform(every, lambda x: _turn(_role(_field(x, layout.role)), _field(x, layout.text)))
     if layout.row:
-        return F.array(_turn(_role(_field(record, layout.role)), _field(record, layout.text)))
+        return F.array(_turn(_field(record, layout.role), _field(record, layout.text)))
     turns = []
     for role, fields in layout.parts:
         texts = F.filter(F.array(*[_field(record, f) for f in fields]), lambda t: t != "")
