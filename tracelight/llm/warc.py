@@ -181,7 +181,9 @@ def read_archives(archives: DataFrame, split_bytes: int = 16 << 20, payloads: bo
 
     schema = "page_id long, record_type string, refers_to long, named_digest string, payload_bytes long, payload_digest string"
     cut = ranges(archives, split_bytes)
-    return cut.repartition("path", "start").mapInPandas(run, schema + ", payload binary" * payloads)
+    tasks = archives.agg(F.sum(F.greatest(F.ceil(F.col("bytes") / split_bytes), F.lit(1)))).first()[0] or 1
+    # A stated number of partitions stays as it is: rows are few and short, the bytes they stand for are not.
+    return cut.repartition(int(tasks)).mapInPandas(run, schema + ", payload binary" * payloads)
 
 
 def round_trip(
