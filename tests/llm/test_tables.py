@@ -88,7 +88,7 @@ def test_layouts_become_canonical_turns(spark):
         '{"prompt":"p","completion":"c"}': ("prompt_completion", [("user", "p"), ("assistant", "c")]),
         '{"system":"s","prompt":"p","response":"r"}': ("system_prompt_response", [("system", "s"), ("user", "p"), ("assistant", "r")]),
         '{"question":"q","answer":"a"}': ("question_answer", [("user", "q"), ("assistant", "a")]),
-        '{"role":"user","text":"t"}': ("turn", [("user", "t")]),
+        '{"role":"user","text":"t"}': ("turn", [("user", "t")]), '{"role":"gpt","text":"t"}': ("turn", [("gpt", "t")]),
         '{"other":1}': (None, []), "{}": (None, []), "null": (None, []), "[]": (None, []),
     }
     table = spark.createDataFrame([(r,) for r in records], "raw string").withColumn("record", F.parse_json("raw"))
@@ -159,7 +159,54 @@ def test_repeated_runs_inside_articles(spark):
     got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"{t} end{i}" for i, t in enumerate(texts))
     assert got[20] == " ".join(near) + " end20"  # nearly a copy of another article, without what all have
-    assert got[30] == texts[0] and got[31] == notice.upper()
+    assert got[30] == f"{texts[0]} {notice}" and got[31] == notice.upper()  # no part of a block goes
+
+
+def test_article_sentences_next_to_menus_and_quotations_stay(spark):
+    footer = "<footer>© blog.example.org all rights reserved here now</footer>"
+    last = "nine words that end an article on this page"
+    quote = " ".join(f"quoted{i}" for i in range(15))
+    random = np.random.default_rng(18)
+    texts = [" ".join(f"w{x}" for x in random.integers(0, 10**6, 40)) for _ in range(8)]
+    rows = [(i, "http://a.example/", f"<article><p>{t}</p><p>{last}</p></article>{footer}") for i, t in enumerate(texts[:4])]
+    rows += [(10 + i, "http://b.example/", f"<article><p>{t}</p>{f'<p>{quote}</p>' if i < 2 else ''}<p>end{i}</p></article>") for i, t in enumerate(texts[4:])]
+    got = {r["page_id"]: r["text"] for r in extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"{t} {last}" for i, t in enumerate(texts[:4]))
+    assert all(got[10 + i] == f"{t} {quote} end{i}" if i < 2 else f"{t} end{i}" for i, t in enumerate(texts[4:]))
+
+
+def plain_kept(parts, found, run, host_pages):
+    """The rule, token by token."""
+    tokens = [(b, x["kind"], w) for b, x in enumerate(parts) for w in x["text"].split(" ")]
+    pages = [1] * len(tokens)
+    for x in found:
+        for s in range(x["first"], x["last"] + 1):
+            if len({k for _, k, _ in tokens[s : s + run]}) == 1:
+                for i in range(s, s + run):
+                    pages[i] = max(pages[i], x["pages"])
+    main = [p for p, (_, k, _) in zip(pages, tokens) if k == extract.MAIN]
+    if not main:
+        return " ".join(w for p, (_, k, w) in zip(pages, tokens) if k == extract.OPEN and p == 1)
+    usual = sorted(main)[(len(main) - 1) // 2]
+    gone = set()
+    for b in {b for b, k, _ in tokens if k == extract.MAIN}:
+        least = min(p for p, (c, _, _) in zip(pages, tokens) if c == b)
+        if least >= 3 and 2 * least > host_pages and least > usual:
+            gone.add(b)
+    return " ".join(w for b, k, w in tokens if k == extract.MAIN and b not in gone)
+
+
+def test_kept_matches_the_rule_token_by_token():
+    random = np.random.default_rng(28)
+    for _ in range(400):
+        kinds = [extract.MAIN, extract.PART] if random.random() < 0.7 else [extract.OPEN, extract.PART]
+        parts = [{"kind": kinds[random.integers(2)], "text": " ".join(f"t{i}" for i in range(random.integers(1, 7)))} for _ in range(random.integers(1, 9))]
+        n, run = sum(len(x["text"].split(" ")) for x in parts), 3
+        starts = sorted(set(random.integers(0, max(1, n - run + 1), random.integers(0, 12)).tolist())) if n >= run else []
+        found = [{"first": s, "last": s, "pages": int(random.integers(2, 9))} for s in starts]
+        found = [{"first": x["first"], "last": min(x["first"] + int(random.integers(0, 3)), n - run), "pages": x["pages"]} for x in found]
+        host = int(random.integers(1, 12))
+        assert extract.kept(parts, found, run, host) == plain_kept(parts, found, run, host)
 
 
 @pytest.mark.parametrize("label", ["layout has-sidebar", "post no-comments", "sidebar", "with-header text-navy", "site-banner"])
@@ -197,6 +244,17 @@ def test_repeated_runs_match_brute_force(spark):
     assert got == {x for found in runs.values() if len({p for p, _ in found}) > 1 for x in found}
 
 
+def test_byte_ranges_are_tasks(spark):
+    pages = spark.createDataFrame([(i, "u", f"page {i} " * 400) for i in range(60)], "page_id long, url string, html string").repartition(3)
+    folder = queries.warc.shared_directory(spark, "warc-test")
+    archives = warc.stored(warc.write(warc.classified(pages, "page_id", "url", "html"), folder), "warc-test-archives")
+    size = archives.agg(F.max("bytes")).first()[0] // 9
+    records = warc.read_archives(archives, size).withColumn("task", F.spark_partition_id())
+    assert records.count() == 60
+    tasks = records.groupBy("task").count().collect()
+    assert len(tasks) >= 9 and max(r["count"] for r in tasks) <= 20
+
+
 @pytest.mark.parametrize("split", [64, 1000, 1 << 20])
 def test_warc_round_trip(spark, split):
     body, evil = "<p>" + "same " * 60, "\x1f\x8b\x08 WARC/1.0 é" * 40

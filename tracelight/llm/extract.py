@@ -318,25 +318,36 @@ def spans(starts: Column) -> Column:
     return run(starts)
 
 
-def kept(parts: list[dict], found: list[dict], run: int) -> str:
+def kept(parts: list[dict], found: list[dict], run: int, host_pages: int = 0) -> str:
     """Text of a page without what repeated runs of its tokens cover: of its article or else its open blocks.
 
-    Each token stands in as many pages as the run over it that most have. Half of an article's tokens or more
-    stand in no more pages than their median: that many copies of the article there are. What more pages
-    have than that is boilerplate, so an article in one page loses all repeated runs and copies keep
-    their text, even if they differ here and there.
+    A run counts only where all its tokens are of one kind: words of the text next to a footer or a menu that
+    repeats are no part of the repetition. Each token stands in as many pages as the run over it that most have.
+
+    Open blocks lose every token that other pages have. An article loses whole blocks only, never part of
+    one: those of which every token stands in at least three pages, in more than half of the host's pages, and in more pages than
+    half of the article's tokens do. The last guards copies: that many copies of the article there are.
     """
     words = [x["text"].split(" ") for x in parts]
-    pages = np.ones(sum(map(len, words)), np.int64)
+    sizes = [len(w) for w in words]
+    kinds = np.repeat([x["kind"] for x in parts], sizes)
+    stretch = np.concatenate(([0], np.cumsum(kinds[1:] != kinds[:-1])))  # number of the stretch of one kind
+    pages = np.ones(len(kinds), np.int64)
     for x in found:
-        part = pages[x["first"] : x["last"] + run]
-        np.maximum(part, x["pages"], out=part)
+        starts = np.arange(x["first"], x["last"] + 1)
+        whole = starts[stretch[starts] == stretch[starts + run - 1]]
+        for first, last in zip(whole[np.diff(whole, prepend=-2) > 1], whole[np.diff(whole, append=len(kinds) + 2) > 1]):
+            part = pages[first : last + run]
+            np.maximum(part, x["pages"], out=part)
     kind = MAIN if any(x["kind"] == MAIN for x in parts) else OPEN
-    read = np.repeat([x["kind"] == kind for x in parts], [len(w) for w in words]).astype(bool)
+    read = kinds == kind
+    if kind == OPEN:
+        flat = [w for own in words for w in own]
+        return " ".join(flat[i] for i in np.flatnonzero(read & (pages == 1)))
     own = np.sort(pages[read])
-    most = own[(len(own) - 1) // 2] if kind == MAIN else 1
-    flat = [w for own in words for w in own]
-    return " ".join(flat[i] for i in np.flatnonzero(read & (pages <= most)))
+    bar = max(2, host_pages // 2, int(own[(len(own) - 1) // 2]))
+    ends = np.cumsum(sizes)
+    return " ".join(x["text"] for x, n, end in zip(parts, sizes, ends) if x["kind"] == MAIN and pages[end - n : end].min() <= bar)
 
 
 def extract(
@@ -346,8 +357,8 @@ def extract(
 
     Null or empty html has an empty text; pages without a host form one group; pages of a host with
     equal streams count once, so that copies do not erase each other; repeated rows each come out; an
-    empty table gives an empty result; other columns are not read. Of an article what more pages repeat than
-    most of it is left out, see ``kept``; an article that is boilerplate for the greater part stays whole.
+    empty table gives an empty result; other columns are not read. Of an article only whole blocks are left
+    out that most pages of its host repeat, see ``kept``; an article that is boilerplate for the greater part stays whole.
     """
     own = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"),
@@ -358,16 +369,21 @@ def extract(
     own = own.withColumn("page", F.xxhash64("host", stream))
     found = repeated(own.select("host", "page", stream.alias("text")), run)
     found = found.groupBy("page").agg(F.collect_list(F.struct("at", "pages")).alias("starts"))
-    found = stored(found.select("page", spans("starts").alias("found")), "page-spans", "zstd")
+    hosts = own.select("host", "page").distinct()
+    counts = hosts.groupBy("host").agg(F.count(F.lit(1)).cast("int").alias("host_pages"))
+    found = found.select("page", spans("starts").alias("found"))
+    found = stored(found.join(hosts.join(counts, "host").drop("host"), "page"), "page-spans", "zstd")
     if (found.agg(F.sum(F.size("found"))).first()[0] or 0) <= 1_000_000:
         found = F.broadcast(found)  # page texts stay where they are
 
     @F.pandas_udf("string")
-    def finish(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for parts, some in batches:
-            yield pd.Series([kept(list(x), [] if s is None else list(s), run) for x, s in zip(parts, some)], dtype=object)
+    def finish(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for parts, some, counted in batches:
+            rows = zip(parts, some, counted)
+            yield pd.Series([kept(list(x), [] if s is None else list(s), run, n) for x, s, n in rows], dtype=object)
 
-    both = own.join(found, "page", "left").select("id", "url", finish("blocks", "found").alias("text"))
+    count = F.coalesce("host_pages", F.lit(0))
+    both = own.join(found, "page", "left").select("id", "url", finish("blocks", "found", count).alias("text"))
     return both.select(
         F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("long").alias("n_chars")
     )
