@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -25,10 +26,11 @@ from tracelight.llm.common import stored
 SEQUENCE = 2048
 END_ID = 1
 BATCH_BYTES = 4 << 20
-#: White space after a visible character always begins a new word of a byte-level vocabulary.
-CUT = re.compile("(?<=[!-~À-ÿ])(?=[ \n])")
-#: A space and letters are one word, which the vocabulary writes with a mark for the space.
-PLAIN = re.compile(" [A-Za-z]+")
+#: A space or line end after a visible character always begins a new word of a byte-level vocabulary.
+CUT = re.compile(r"(?<=[\w!-~])(?=[ \n])")
+WORD = re.compile(r" [^ \n][^ ]*\Z")
+#: Letters, and ASCII signs behind them (no apostrophe, nor signs of control strings), are two words.
+PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)")
 WINDOW = 1 << 20
 
 
@@ -38,39 +40,77 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter a byte-level vocabulary writes for every byte: itself, or the next free one if it is not visible."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = iter(range(256, 512))
+    return {b: chr(b if b in visible else next(hidden)) for b in range(256)}
+
+
 class Words:
-    """Ids of texts, as little-endian 32-bit numbers. Texts are cut into short stretches, which are remembered."""
+    """Ids of texts, as little-endian 32-bit numbers. Texts are cut into short stretches, which are remembered.
+
+    A stretch that is a space and a word has the word as its key; one that begins with a line end is its own key,
+    others have a space before them.
+    """
 
-    def __init__(self, path: str, most: int = 500_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 1_000_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
+        self.letters = byte_letters()
         self.known: dict[str, bytes] = {}
 
-    def learn(self, stretches: list[str]) -> dict[str, bytes]:
+    def keys(self, text: str) -> list[str]:
+        """Keys of the stretches. An even text has single spaces and line ends between visible characters only."""
+        even = text.replace("\n", "").isprintable() and text[:1] not in ("", " ", "\n")
+        if even and not any(two in text for two in ("  ", " \n", "\n ", "\n\n")):
+            keys = text.replace("\n", " \n").split(" ")
+            keys[0] = " " + keys[0]
+            return keys
+        return [s[1:] if WORD.match(s) else s if s[:1] == "\n" else " " + s for s in CUT.split(text)]
+
+    def modelled(self, letters: str) -> bytes:
+        return packed_ids([t.id for t in self.tokenizer.model.tokenize(letters)])
+
+    def learn(self, keys: list[str]) -> dict[str, bytes]:
         """Ids of new stretches. A plain word needs the library's model alone, others its pre-tokenizer, too."""
-        plain = [s for s in stretches if PLAIN.fullmatch(s)]
-        others = [s for s in stretches if not PLAIN.fullmatch(s)]
-        model = self.tokenizer.model
-        found = {s: [t.id for t in model.tokenize("\u0120" + s[1:])] for s in plain}
-        found |= {s: e.ids for s, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False))}
-        return {s: np.array(ids, "<u4").tobytes() for s, ids in found.items()}
+        found, others = {}, []
+        for key in keys:
+            plain = PLAIN.fullmatch(key)
+            if not plain:
+                others.append(key)
+                continue
+            word, signs = plain.groups()
+            ids = self.known.get(word) or found.get(word)
+            if ids is None:
+                letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+                ids = found[word] = self.modelled("\u0120" + letters)
+            if signs:
+                found[key] = ids + self.modelled(signs)
+        stretches = [k if k[:1] == "\n" else k[1:] if k[:1] == " " else " " + k for k in others]
+        for key, e in zip(others, self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)):
+            found[key] = packed_ids(e.ids)
+        return found
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of every text."""
-        cut = [CUT.split(text) for text in texts]
-        new = set()
-        for stretches in cut:
-            new.update(stretches)
-        found = self.learn([s for s in new if s not in self.known])
+        cut = [self.keys(text) for text in texts]
+        parts = [list(map(self.known.get, keys)) for keys in cut]
+        new = {key for keys, of in zip(cut, parts) if None in of for key, ids in zip(keys, of) if ids is None}
+        found = self.learn(list(new))
         if len(self.known) + len(found) > self.most:
-            found |= {s: self.known[s] for s in new if s in self.known}
             self.known = {}
-        self.known |= found
-        out = [b"".join(map(self.known.__getitem__, stretches)) for stretches in cut]
-        for s in [s for s in found if len(s) > self.longest]:
-            del self.known[s]
-        return out
+        self.known |= {key: ids for key, ids in found.items() if len(key) <= self.longest}
+        return [
+            b"".join([found[key] if ids is None else ids for key, ids in zip(keys, of)] if None in of else of)
+            for keys, of in zip(cut, parts)
+        ]
+
+
+def packed_ids(ids: list[int]) -> bytes:
+    """Little-endian 32-bit numbers."""
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 def windows(text: str, size: int) -> Iterator[str]:
