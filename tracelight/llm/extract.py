@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -328,26 +329,31 @@ def kept(parts: list[dict], found: list[dict], run: int, host_pages: int = 0) ->
     one: those of which every token stands in at least three pages, in more than half of the host's pages, and in more pages than
     half of the article's tokens do. The last guards copies: that many copies of the article there are.
     """
-    words = [x["text"].split(" ") for x in parts]
-    sizes = [len(w) for w in words]
-    kinds = np.repeat([x["kind"] for x in parts], sizes)
-    stretch = np.concatenate(([0], np.cumsum(kinds[1:] != kinds[:-1])))  # number of the stretch of one kind
-    pages = np.ones(len(kinds), np.int64)
-    for x in found:
-        starts = np.arange(x["first"], x["last"] + 1)
-        whole = starts[stretch[starts] == stretch[starts + run - 1]]
-        for first, last in zip(whole[np.diff(whole, prepend=-2) > 1], whole[np.diff(whole, append=len(kinds) + 2) > 1]):
-            part = pages[first : last + run]
-            np.maximum(part, x["pages"], out=part)
     kind = MAIN if any(x["kind"] == MAIN for x in parts) else OPEN
-    read = kinds == kind
+    floor = max(2, host_pages // 2) if kind == MAIN else 1
+    ends = list(accumulate(x["text"].count(" ") + 1 for x in parts))
+    own = [(x["text"], lo, hi) for x, lo, hi in zip(parts, [0, *ends], ends) if x["kind"] == kind]
+    stretches: list[list[int]] = []  # of tokens of the kind, over neighbouring blocks
+    for _, lo, hi in own:
+        if stretches and stretches[-1][1] == lo:
+            stretches[-1][1] = hi
+        else:
+            stretches.append([lo, hi])
+    hits = [
+        (max(x["first"], lo), min(x["last"] + run, hi), x["pages"])
+        for x in found if x["pages"] > floor  # fewer pages can neither remove a token nor move the median past the floor
+        for lo, hi in stretches if max(x["first"], lo) <= min(x["last"], hi - run)
+    ]
+    if not hits:
+        return " ".join(text for text, _, _ in own)
+    pages = np.ones(ends[-1], np.int64)
+    for lo, hi, n in hits:
+        np.maximum(pages[lo:hi], n, out=pages[lo:hi])
     if kind == OPEN:
-        flat = [w for own in words for w in own]
-        return " ".join(flat[i] for i in np.flatnonzero(read & (pages == 1)))
-    own = np.sort(pages[read])
-    bar = max(2, host_pages // 2, int(own[(len(own) - 1) // 2]))
-    ends = np.cumsum(sizes)
-    return " ".join(x["text"] for x, n, end in zip(parts, sizes, ends) if x["kind"] == MAIN and pages[end - n : end].min() <= bar)
+        return " ".join(w for text, lo, _ in own for w, n in zip(text.split(" "), pages[lo:].tolist()) if n == 1)
+    usual = np.sort(np.concatenate([pages[lo:hi] for lo, hi in stretches]))
+    bar = max(floor, int(usual[(len(usual) - 1) // 2]))
+    return " ".join(text for text, lo, hi in own if pages[lo:hi].min() <= bar)
 
 
 def extract(
@@ -364,9 +370,8 @@ def extract(
         F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.coalesce(host_of(F.col(url_col)), F.lit("")).alias("host"),
         parsed(F.coalesce(html_col, F.lit(""))).alias("blocks"),
     )
-    own = stored(own, "page-blocks", "zstd")
     stream = F.array_join(F.transform("blocks", lambda x: x["text"]), " ")
-    own = own.withColumn("page", F.xxhash64("host", stream))
+    own = stored(own.withColumn("page", F.xxhash64("host", stream)), "page-blocks", "zstd")
     found = repeated(own.select("host", "page", stream.alias("text")), run)
     found = found.groupBy("page").agg(F.collect_list(F.struct("at", "pages")).alias("starts"))
     hosts = own.select("host", "page").distinct()
