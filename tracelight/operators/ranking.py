@@ -13,6 +13,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelight.session import stored
+
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``keys`` in which null keys match, keeping the left key columns."""
@@ -246,3 +248,22 @@ def smallest(df: DataFrame, keys: Sequence[str], value: str, tie: str, count: in
     last = order_statistics(ties, keys=[*keys, "_need"], value=tie, ranks=lambda n: F.array(F.col("_need") - 1))
     marked = same_keys(marked.drop("_need"), last.select(*keys, F.col("value").alias("_tie")), keys)
     return marked.where((F.col(value) < F.col("_cut")) | ((F.col(value) == F.col("_cut")) & (F.col(tie) <= F.col("_tie")))).drop("_cut", "_tie")
+
+
+def range_ranked(df: DataFrame, order: Sequence[str], rank: str = "place") -> DataFrame:
+    """1-based rank of every row in the total order by ``order``, whatever its distribution.
+
+    Splitters sampled from the whole composite key cut the rows into ranges of about equal size; each task sorts one
+    range, and counted offsets turn places in a range into ranks. The ranges are written first, so
+    a lost task finds the same rows in the same place. Equal keys meet in one range: make ``order`` unique
+    (end it with an id) if many rows could share a key.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = stored(
+        dealt.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "ranges"
+    )
+    parts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("_row").alias("_first"))
+    before = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row per task
+    starts = parts.select("_part", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
+    ranked = held.join(starts, "_part")
+    return ranked.withColumn(rank, F.col("_before") + F.col("_row") - F.col("_first") + 1).drop("_part", "_row", "_rows", "_first", "_before")

@@ -14,7 +14,7 @@ from tracelight.operators import (
     transforms,
     windows,
 )
-from tracelight.operators.ranking import exact_quantiles, slot_ranked
+from tracelight.operators.ranking import exact_quantiles, range_ranked, slot_ranked
 from tracelight.plans import standins as X
 from tracelight.plans.catalog import Tables, query
 from tracelight.plans.standins import with_parts
@@ -608,6 +608,17 @@ def event_order(t: Tables):
     ).drop("timestamp", "uid")
 
 
+@query(
+    "w9_total_order",
+    "W9",
+    """SELECT event_id, row_number() OVER (ORDER BY event_type, user_id, event_id) AS place FROM events""",
+)
+def total_order(t: Tables):
+    """All events as if they fell into one second: their order is that of the other key columns."""
+    rows = t.events.select("event_id", F.lit(0).alias("second"), "event_type", "user_id")
+    return range_ranked(rows, ["second", "event_type", "user_id", "event_id"]).select("event_id", "place")
+
+
 @query(
     "e1_hash_split",
     "E1",

@@ -332,6 +332,41 @@ def ruled_scaled(t: Tables):
     return transforms.standardize(rows, fitted, FEATURES)
 
 
+X.define(
+    "ambfull",
+    f"""SELECT min(window_id) AS group_id, sum(n)::BIGINT AS row_count, sum(e)::BIGINT AS error_count, count(*) AS label_count,
+    string_agg(actual||'='||n, ',' ORDER BY actual||'='||n) AS labels FROM
+  (SELECT {', '.join(f'round({c})+0.0 AS {c}' for c in FEATURES)}, actual, min(window_id) AS window_id, count(*) AS n, count(*) FILTER (actual<>predicted) AS e
+    FROM zruled GROUP BY ALL) GROUP BY {', '.join(FEATURES)} HAVING count(*)>1""",
+    "zruled",
+)
+
+
+@query(
+    "f9_full_vector_groups",
+    "F9",
+    with_parts("ambfull", "SELECT group_id, row_count, error_count, label_count, labels FROM ambfull"),
+)
+def full_vector_groups(t: Tables):
+    """Windows that agree in all 25 standardized features to the nearest unit, and carry several labels."""
+    return E.ambiguous_groups(ruled_scaled(t), FEATURES, digits=0, examples=0).select(
+        "group_id", "row_count", "error_count", "label_count", "labels"
+    )
+
+
+@query(
+    "f9_full_vector_totals",
+    "F9",
+    with_parts(
+        "ambfull",
+        "SELECT count(*) AS ambiguous_group_count, coalesce(sum(row_count),0)::BIGINT AS ambiguous_row_count, coalesce(sum(error_count),0)::BIGINT AS error_count_in_groups FROM ambfull",
+    ),
+)
+def full_vector_totals(t: Tables):
+    totals = E.ambiguity_totals(E.ambiguous_groups(ruled_scaled(t), FEATURES, digits=0, examples=0))
+    return totals.select(*[F.coalesce(c, F.lit(0)).alias(c) for c in totals.columns])
+
+
 @query(
     "f10_feature_drift",
     "F10",

@@ -174,6 +174,26 @@ def attribution_ranks(t: Tables):
     )
 
 
+@query(
+    "w1_named_attribution_ranks",
+    "W1 W8",
+    with_parts(
+        "wattr",
+        f"""SELECT window_id, r AS absolute_rank, feature, round(round(attribution,9),6)+0.0 AS attribution FROM
+      (SELECT *, CAST(row_number() OVER (PARTITION BY window_id ORDER BY round(abs(attribution),9) DESC, list_position({list(FEATURES)!r}, feature)) AS INTEGER) AS r
+      FROM wattr) WHERE r<=5""",
+    ),
+)
+def named_attribution_ranks(t: Tables):
+    """The five strongest features by name; strengths that agree to nine digits rank in the order of the schema."""
+    out = explained_rows(t)
+    values = F.transform("attributions", lambda x: F.round(x, 9))
+    top = F.slice(scoring.ranked_attributions(FEATURES, values), 1, 5)
+    return out.select("window_id", F.inline(top)).select(
+        "window_id", "absolute_rank", "feature", (F.round("attribution", 6) + 0.0).alias("attribution")
+    )
+
+
 def _weighted(train):
     weights = transforms.class_weights(train, "sqrt-balanced").select("label", "weight")
     return train.join(weights, "label")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracelight.functions import scalars as S
 from tracelight.functions import vectors as V
+from tracelight.operators import digests
 from tracelight.plans import standins as X
 from tracelight.plans.catalog import Tables, query
 from tracelight.session import shared_directory
@@ -562,3 +563,61 @@ def first_bad_lines(t: Tables):
     rows = scans.read_json_records(t.spark, json_files(t))
     rows = rows.withColumn("capture", F.regexp_extract("source_file", "/capture=([^/]+)/", 1))
     return positions.first_bad_lines(rows, ["capture"], F.col("reject_reason").isNotNull())
+
+
+ROW_TEXT_SQL = ",".join(f"coalesce(length(CAST({{t}}{c} AS VARCHAR))||':'||CAST({{t}}{c} AS VARCHAR),'-')" for c in ORDER_FIELDS)
+TREE_SQL = f"""orig AS (SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders),
+  alt AS (SELECT o_orderkey, CASE WHEN o_orderkey%4999=1 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey%4993<>2
+    UNION ALL SELECT o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey%4987=3),
+  d AS (SELECT 'left' AS side, sha256(concat_ws(',', {ROW_TEXT_SQL.format(t="")})) AS d FROM orig
+    UNION ALL SELECT 'right', sha256(concat_ws(',', {ROW_TEXT_SQL.format(t="")})) FROM alt),
+  n AS (SELECT side, d, count(*) AS n FROM d GROUP BY 1,2),
+  l3 AS (SELECT side, substr(d,1,3) AS bucket, sum(n)::BIGINT AS row_count, sha256(string_agg(d||'*'||n, ',' ORDER BY d||'*'||n)) AS digest FROM n GROUP BY 1,2),
+  l2 AS (SELECT side, substr(bucket,1,2) AS bucket, sum(row_count)::BIGINT AS row_count, sha256(string_agg(bucket||'*'||digest, ',' ORDER BY bucket||'*'||digest)) AS digest FROM l3 GROUP BY ALL),
+  l1 AS (SELECT side, substr(bucket,1,1) AS bucket, sum(row_count)::BIGINT AS row_count, sha256(string_agg(bucket||'*'||digest, ',' ORDER BY bucket||'*'||digest)) AS digest FROM l2 GROUP BY ALL),
+  l0 AS (SELECT side, '' AS bucket, sum(row_count)::BIGINT AS row_count, sha256(string_agg(bucket||'*'||digest, ',' ORDER BY bucket||'*'||digest)) AS digest FROM l1 GROUP BY 1)"""
+DEPTH = 3
+
+
+def altered_orders(t: Tables):
+    """Orders with some rows changed, some missing and some twice."""
+    key = F.col("o_orderkey")
+    keep = t.orders.select(*ORDER_FIELDS)
+    changed = keep.withColumn("o_orderstatus", F.when(key % 4999 == 1, "X").otherwise(F.col("o_orderstatus")))
+    return changed.where(key % 4993 != 2).unionByName(keep.where(key % 4987 == 3))
+
+
+@query(
+    "i12_digest_tree",
+    "I12 S4",
+    f"""WITH {TREE_SQL} SELECT level, bucket, row_count, digest FROM (SELECT 0 AS level, * FROM l0 UNION ALL SELECT 1, * FROM l1 UNION ALL SELECT 2, * FROM l2
+      UNION ALL SELECT 3, * FROM l3) WHERE side='left'""",
+)
+def order_digest_tree(t: Tables):
+    return digests.digest_tree(t.orders, ORDER_FIELDS, DEPTH)
+
+
+@query(
+    "s4_tree_difference",
+    "S4 I12",
+    f"""WITH {TREE_SQL} SELECT bucket, coalesce(a.row_count,0) AS left_rows, coalesce(b.row_count,0) AS right_rows
+      FROM (SELECT * FROM l3 WHERE side='left') a FULL JOIN (SELECT * FROM l3 WHERE side='right') b USING (bucket) WHERE a.digest IS DISTINCT FROM b.digest""",
+)
+def order_tree_difference(t: Tables):
+    left, right = (digests.digest_tree(rows, ORDER_FIELDS, DEPTH) for rows in (t.orders, altered_orders(t)))
+    return digests.tree_difference(left, right, DEPTH)
+
+
+@query(
+    "s4_changed_rows",
+    "S4 I12",
+    """SELECT 'left' AS side, o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE (o_orderkey%4999=1 OR o_orderkey%4993=2) AND NOT (o_orderkey%4987=3)
+    UNION ALL SELECT 'right', o_orderkey, 'X', o_orderpriority FROM orders WHERE o_orderkey%4999=1 AND o_orderkey%4993<>2
+    UNION ALL SELECT 'right', o_orderkey, o_orderstatus, o_orderpriority FROM orders WHERE o_orderkey%4987=3 AND o_orderkey%4999<>1 AND o_orderkey%4993<>2""",
+)
+def order_changed_rows(t: Tables):
+    """Rows behind a difference, found in the changed buckets alone."""
+    other = altered_orders(t)
+    left, right = (digests.digest_tree(rows, ORDER_FIELDS, DEPTH) for rows in (t.orders, other))
+    changed = digests.tree_difference(left, right, DEPTH)
+    return digests.changed_rows(t.orders, other, ORDER_FIELDS, changed, DEPTH)
