@@ -35,20 +35,25 @@ UNSAFE_RULE = "org.apache.spark.sql.catalyst.optimizer.MergeScalarSubqueries"
 _SHIPPED: set[str] = set()
 
 
+def package_archive(folder: str) -> str:
+    """This package as a zip file in ``folder``, from which Python can import it."""
+    home = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(folder, "tracelight.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for at, _, names in os.walk(home):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(at, name)
+                out.write(path, os.path.join("tracelight", os.path.relpath(path, home)))
+    return archive
+
+
 def ship(spark: SparkSession) -> None:
     """Gives the executors this package, once per application, wherever the driver was started."""
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
     _SHIPPED.add(app)
-    home = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="tracelight-"), "tracelight.zip")
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
-        for folder, _, names in os.walk(home):
-            for name in sorted(n for n in names if n.endswith(".py")):
-                path = os.path.join(folder, name)
-                out.write(path, os.path.join("tracelight", os.path.relpath(path, home)))
-    spark.sparkContext.addPyFile(archive)  # Spark serves it from the driver
+    spark.sparkContext.addPyFile(package_archive(tempfile.mkdtemp(prefix="tracelight-")))  # Spark serves it from the driver
 
 
 def prepare(spark: SparkSession) -> SparkSession:
