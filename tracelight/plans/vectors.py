@@ -493,7 +493,7 @@ def prototype_ranks(t: Tables):
     "W3 J11",
     with_parts(
         "veclong",
-        """SELECT vec_id, nearest_class, second_class, round(margin,8) AS distance_margin, CAST(own_rank AS INTEGER) AS class_rank FROM
+        """SELECT vec_id, nearest_class, second_class, round(margin,8) AS distance_margin, CAST(coalesce(own_rank,0) AS INTEGER) AS class_rank FROM
       (SELECT vec_id, min(p) FILTER (r=1) AS nearest_class, min(p) FILTER (r=2) AS second_class, min(d) FILTER (r=2)-min(d) FILTER (r=1) AS margin,
         min(r) FILTER (p=vec_id) AS own_rank
       FROM (SELECT a.vec_id, b.vec_id AS p, round(sqrt(sum((a.v-b.v)*(a.v-b.v))),12) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY sqrt(sum((a.v-b.v)*(a.v-b.v))), b.vec_id) AS r
@@ -501,10 +501,11 @@ def prototype_ranks(t: Tables):
     ),
 )
 def indexed_ranks(t: Tables):
-    """Every training vector is a class of its own: two nearest ones, and the place of a vector among them."""
+    """Every training vector is a class of its own: two nearest ones, and the place of a vector among them (0: no class)."""
     rows = X.vectors(t)
     protos = rows.where("split = 'train'").select(F.col("vec_id").alias("class"), "vector")
     near = P.nearest_indexed(rows.select("vec_id", "vector", F.col("vec_id").alias("own")), protos, "vector", "vec_id", "own", size=64)
     return near.select(
-        "vec_id", "nearest_class", "second_class", F.round("distance_margin", 8).alias("distance_margin"), "class_rank"
+        "vec_id", "nearest_class", "second_class", F.round("distance_margin", 8).alias("distance_margin"),
+        F.coalesce("class_rank", F.lit(0)).alias("class_rank"),
     )
