@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tracelight.operators import moments as Mo
 from tracelight.operators import scoring as Sc
 from tracelight.operators import training as Tr
 
@@ -145,3 +146,46 @@ def test_projection_variance_matches_numpy(spark, separable):
     np.testing.assert_allclose(ratios, values[:2] / values.sum(), rtol=1e-8)
     r = out.agg(F.avg("component_1"), F.var_samp("component_1")).first()
     assert r[0] == pytest.approx(0, abs=1e-9) and r[1] == pytest.approx(values[0])
+
+
+def test_projection_signs_are_fixed_and_nulls_take_no_part(spark, separable):
+    rows = separable.withColumnRenamed("label", "actual").withColumn("x0", F.when(F.col("x1") < 3, F.col("x0")))
+    out, _ = Tr.pair_projection(rows, NAMES, ["a", "b"])
+    x = np.array([[r[n] for n in NAMES] for r in rows.dropna().collect()])
+    values, vectors = np.linalg.eigh(np.cov(x.T))
+    v = vectors[:, -1] * np.sign(vectors[np.abs(vectors[:, -1]).argmax(), -1])
+    want = np.sort((x - x.mean(axis=0)) @ v)
+    got = out.dropna().orderBy("component_1").toPandas()["component_1"]
+    np.testing.assert_allclose(got, want, atol=1e-9)
+    assert out.where("x0 IS NULL AND component_1 IS NOT NULL").count() == 0
+    with pytest.raises(ValueError):
+        Tr.pair_projection(rows, NAMES, ["no", "such"])
+
+
+def test_co_moments_merge_without_cancelling(spark, rows):
+    far = rows.select((F.col("x0") + 1e8).alias("x0"), "x1", "x2")
+    x = np.array([tuple(r) for r in far.collect()])
+    want = np.cov((x - x[0]).T, bias=True)
+    for parts in (1, 7, 600):  # more tasks than slots, some of them without rows
+        found = Mo.co_moments(far.repartition(parts), NAMES)
+        assert found.count == 300
+        np.testing.assert_allclose(found.covariance, want, atol=1e-7)
+
+
+def test_exact_path_integral_of_three_layers(spark, rows):
+    net, base = network(3), [0.1, -0.2, 0.3]
+    out = Sc.integrated_gradients(rows, net, NAMES, base, ["id"], exact=True, tolerance=1e-9, slice_rows=37).orderBy("id").collect()
+    assert len(out) == 300 and all(r["completeness_error"] < 1e-9 and r["complete"] for r in out)
+    assert max(r["steps"] for r in out) > 8
+    # Brute force: a fine midpoint sum of the gradient for some rows.
+    x, start = matrix(rows)[:20], np.array(base)
+    target = np.array([r["target_index"] for r in out[:20]])
+    total = sum(net.input_gradient(start + (k + 0.5) / 20000 * (x - start), target)[1] for k in range(20000))
+    np.testing.assert_allclose([r["attributions"] for r in out[:20]], (x - start) * total / 20000, atol=2e-3)
+
+
+def test_exact_path_at_the_baseline_and_through_kinks():
+    net = Sc.Network(("a",), (np.array([[1.0, -1.0, 0.0]]), np.array([[1.0], [1.0], [1.0]])), (np.zeros(3), np.zeros(1)))
+    t = Sc.path_segments(net, np.array([-1.0]), np.array([[3.0], [-1.0], [0.0]]))
+    assert [np.unique(r).tolist() for r in t] == [[0, 0.25, 1], [0, 1], [0, 1]]
+    assert Sc.path_segments(net, np.array([0.0]), np.zeros((0, 1))).shape[0] == 0

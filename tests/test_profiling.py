@@ -69,3 +69,26 @@ def test_shared_folder_is_the_one_the_cluster_names():
     assert shared_directory(Cluster(**{"spark.checkpoint.dir": "/shared/x"}), "t").startswith("/shared/x/t-")
     with pytest.raises(RuntimeError, match="shared folder"):
         shared_directory(Cluster(), "t")
+
+
+def test_stored_sketches_merge_and_subtract(spark):
+    rows = spark.range(6000).select(F.expr("CASE WHEN id < 4000 THEN 'a' ELSE 'b' END").alias("file"), F.expr("id % 3000").alias("k"))
+    for size in (8, 16):
+        parts = P.identity_sketches(rows, ["file"], ["k"], size)
+        got = {r["file"]: (r["row_count"], r["n"]) for r in parts.select("*", F.theta_sketch_estimate("sketch").alias("n")).collect()}
+        whole = P.merged_sketches(parts, size_log2=size).select("row_count", F.theta_sketch_estimate("sketch")).first()
+        a, b = ({r["file"]: r["sketch"] for r in parts.collect()}[f] for f in "ab")
+        one = spark.createDataFrame([(a, b)], "a binary, b binary")
+        rest = one.select(F.theta_sketch_estimate(P.only_in_first("a", "b"))).first()[0]
+        bound = lambda part, union: spark.range(1).select(P.sketch_bound(F.lit(size), F.lit(part), F.lit(union))).first()[0]
+        assert got["a"][0] == 4000 and got["b"][0] == 2000 and whole[0] == 6000
+        for found, true, union in ((got["a"][1], 3000, 3000), (got["b"][1], 2000, 2000), (whole[1], 3000, 3000), (rest, 1000, 3000)):
+            assert abs(found / true - 1) <= bound(true, union)
+    assert bound(3000, 3000) == 0.0
+
+
+def test_null_identities_count_and_an_empty_table_has_no_sketch(spark):
+    rows = spark.createDataFrame([("f", None), ("f", "x"), ("f", None)], "file string, k string")
+    parts = P.identity_sketches(rows, ["file"], ["k"])
+    assert parts.select("row_count", F.theta_sketch_estimate("sketch")).first()[:] == (3, 2)
+    assert P.identity_sketches(rows.limit(0), ["file"], ["k"]).count() == 0

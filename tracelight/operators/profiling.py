@@ -79,6 +79,40 @@ def duplicate_summary(
     )
 
 
+def identity_sketches(df: DataFrame, keys: Sequence[str], identity: Sequence[str], size_log2: int = 12) -> DataFrame:
+    """Per group (a source file, say) its row count and a theta sketch of its identities, to be stored.
+
+    Stored sketches merge (``merged_sketches``) and subtract (``only_in_first``) without the rows. A sketch of
+    at most ``2**size_log2`` identities counts exactly. Identities with a null column count like others.
+    """
+    keyed = df.select(*keys, F.xxhash64(F.to_json(F.struct(*identity))).alias("_i"))
+    return keyed.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("row_count"), F.theta_sketch_agg("_i", size_log2).alias("sketch")
+    )
+
+
+def merged_sketches(sketches: DataFrame, keys: Sequence[str] = (), size_log2: int = 12) -> DataFrame:
+    """One sketch per group of stored sketches: identities of several groups count once."""
+    return sketches.groupBy(*keys).agg(
+        F.sum("row_count").alias("row_count"), F.theta_union_agg("sketch", size_log2).alias("sketch")
+    )
+
+
+def only_in_first(first: Column | str, second: Column | str) -> Column:
+    """Sketch of the identities of the first sketch that the second has not."""
+    return F.theta_difference(first, second)
+
+
+def sketch_bound(size_log2: Column, part: Column, union: Column, deviations: float = 4.0) -> Column:
+    """Relative error that an estimate keeps to within so many standard deviations; zero where it is exact.
+
+    A full sketch is a random sample of k identities, so the relative deviation of its count is at most
+    1 / sqrt(k). A difference is counted from its share of such a sample of the union.
+    """
+    k = F.pow(F.lit(2.0), size_log2)
+    return F.when(union <= k, 0.0).otherwise(deviations * F.sqrt(union / part / k))
+
+
 def conflicting_labels(df: DataFrame, identity: Sequence[str], label: str) -> DataFrame:
     """Label sets of identities that carry more than one label, with their counts."""
     keyed = df.select(*shuffle_key(df, identity, "_i"), F.col(label).alias("_label"))

@@ -7,12 +7,13 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelight.functions import scalars as S
+from tracelight.operators.moments import co_moments, components, projection
 from tracelight.operators.scoring import Network
 
 # Hidden widths of the central network.
@@ -188,18 +189,11 @@ def pair_projection(
 ) -> tuple[DataFrame, list[float]]:
     """Two-component projection of the rows of a confused class pair, and the explained variance.
 
-    Component signs are arbitrary, as in any principal component analysis.
+    The largest loading of a component is positive. Rows with a null feature have null scores.
     """
     chosen = rows.where(F.col(label).isin(*pair))
-    assembled = VectorAssembler(inputCols=list(features), outputCol="_features").transform(chosen)
-    model = PCA(k=2, inputCol="_features", outputCol="_projected").fit(assembled)
-    projected = vector_to_array(F.col("_projected"))
-    # Spark projects without centering; the scores of the mean are taken off here.
-    out = model.transform(assembled).withColumn("_p", projected)
-    middle = out.agg(F.struct(F.avg(F.col("_p")[0]).alias("x"), F.avg(F.col("_p")[1]).alias("y"))).scalar()
-    centered = out.withColumn("_m", middle).select(
-        *rows.columns,
-        (F.col("_p")[0] - F.col("_m.x")).alias("component_1"),
-        (F.col("_p")[1] - F.col("_m.y")).alias("component_2"),
-    )
-    return centered, [float(r) for r in model.explainedVariance.toArray()]
+    found = co_moments(chosen, features)
+    values, vectors = components(found, 2)
+    scores = [projection(features, found, v).alias(f"component_{k}") for k, v in enumerate(vectors, 1)]
+    total = float(np.trace(found.covariance))
+    return chosen.select("*", *scores), [float(v) / total if total else 0.0 for v in values]

@@ -232,6 +232,10 @@ def duplicates_and_identities(t: Tables):
     return profiling.duplicate_summary(t.documents, ["text", "lang", "source"], ["text"])
 
 
+# Hashes a sketch keeps, as powers of two: always an estimate, sometimes, hardly ever.
+SKETCH_SIZES = (8, 12, 16)
+
+
 @query(
     "d6_approximate_identities",
     "D6",
@@ -246,6 +250,60 @@ def approximate_identities(t: Tables):
     return sketch.select("row_count", (error < 0.1).alias("within_tenth"))
 
 
+@query(
+    "d6_identity_sketches",
+    "D6 D10",
+    f"""WITH sizes AS (SELECT unnest({list(SKETCH_SIZES)}) AS size_log2),
+    counted AS (SELECT l_returnflag AS part, count(*) AS row_count, count(DISTINCT l_orderkey) AS identities FROM lineitem GROUP BY 1
+      UNION ALL SELECT 'all', count(*), count(DISTINCT l_orderkey) FROM lineitem
+      UNION ALL SELECT 'N without A', count(*), count(DISTINCT l_orderkey) FROM lineitem WHERE l_returnflag='N'
+        AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag='A'))
+    SELECT size_log2, part, CASE WHEN part<>'N without A' THEN row_count ELSE 0 END AS row_count, identities,
+      CASE WHEN part<>'N without A' AND identities<=2**size_log2 THEN CAST(identities AS DOUBLE) ELSE 0.0 END AS exact_estimate, true AS within_bound
+    FROM counted, sizes""",
+)
+def identity_sketches(t: Tables):
+    """Stored sketches per part, merged and subtracted, at three sizes; each estimate against its own bound.
+
+    Counts that a sketch holds exactly are compared as they are, others (0 here) by their error.
+    """
+    first, second = (t.lineitem.where(F.col("l_returnflag") == m) for m in ("N", "A"))
+    left = first.select("l_orderkey").distinct().join(second, "l_orderkey", "left_anti")
+    exact = (
+        t.lineitem.groupBy(F.col("l_returnflag").alias("part")).agg(F.count_distinct("l_orderkey").alias("identities"))
+        .unionByName(t.lineitem.agg(F.lit("all").alias("part"), F.count_distinct("l_orderkey").alias("identities")))
+        .unionByName(left.agg(F.lit("N without A").alias("part"), F.count(F.lit(1)).alias("identities")))
+    )
+    estimates = None
+    for size in SKETCH_SIZES:
+        parts = t.stored(
+            f"identity-sketches-{size}",
+            lambda t, n=size: profiling.identity_sketches(t.lineitem, ["l_returnflag"], ["l_orderkey"], n),
+        ).withColumnRenamed("l_returnflag", "part")
+        whole = profiling.merged_sketches(parts, size_log2=size).withColumn("part", F.lit("all"))
+        both = parts.where("part IN ('N', 'A')").agg(
+            *[F.max(F.when(F.col("part") == m, F.col("sketch"))).alias(m) for m in ("N", "A")]
+        )
+        rest = both.where("N IS NOT NULL AND A IS NOT NULL").select(
+            F.lit("N without A").alias("part"),
+            F.lit(0).cast("bigint").alias("row_count"),
+            profiling.only_in_first("N", "A").alias("sketch"),
+            F.theta_sketch_estimate(F.theta_union("N", "A", size)).alias("union_estimate"),
+        )
+        own = parts.unionByName(whole).unionByName(rest, allowMissingColumns=True)
+        own = own.withColumn("size_log2", F.lit(size)).withColumn("estimate", F.theta_sketch_estimate("sketch"))
+        estimates = own if estimates is None else estimates.unionByName(own)
+    both = estimates.join(exact, "part")
+    union = F.coalesce("union_estimate", "identities")
+    bound = profiling.sketch_bound(F.col("size_log2"), F.col("identities"), union)
+    small = F.col("union_estimate").isNull() & (bound == 0)
+    return both.select(
+        "size_log2", "part", "row_count", "identities",
+        F.when(small, F.col("estimate").cast("double")).otherwise(0.0).alias("exact_estimate"),
+        (F.abs(F.col("estimate") / F.col("identities") - 1) <= bound).alias("within_bound"),
+    )
+
+
 @query(
     "d7_conflicting_label_sets",
     "D7",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tracelight.functions import vectors as V
@@ -153,6 +154,48 @@ def integrated_gradients(t: Tables):
     )
 
 
+HIDDEN_UNITS = 8
+
+
+def patterned_network() -> scoring.Network:
+    """A network of one hidden layer whose weights follow from their places, so that SQL can state them."""
+    i, j, k = np.arange(len(FEATURES)), np.arange(HIDDEN_UNITS), np.arange(len(WINDOW_CLASSES))
+    hidden = ((7 * i[:, None] + 11 * j) % 13 - 6) / 10
+    out = ((3 * j[:, None] + 5 * k) % 11 - 5) / 10
+    return scoring.Network(WINDOW_CLASSES, (hidden, out), (((5 * j) % 7 - 3) / 10, k / 100))
+
+
+@query(
+    "h4_exact_path_attribution",
+    "H4",
+    with_parts(
+        "wlong wbase",
+        f""", units AS (SELECT unnest(range({HIDDEN_UNITS})) AS j), classes AS (SELECT unnest(range({len(WINDOW_CLASSES)})) AS k),
+    inputs AS (SELECT w.window_id, w.feature, list_position({list(FEATURES)!r}, w.feature)-1 AS i, x, b FROM wlong w JOIN wbase USING (feature)),
+    hidden AS (SELECT window_id, j, sum(x*((7*i+11*j)%13-6)/10)+((5*j)%7-3)/10 AS p1, sum(b*((7*i+11*j)%13-6)/10)+((5*j)%7-3)/10 AS p0 FROM inputs, units GROUP BY 1,2),
+    logits AS (SELECT window_id, k, sum(greatest(p1,0)*((3*j+5*k)%11-5)/10)+k/100 AS logit, sum(greatest(p0,0)*((3*j+5*k)%11-5)/10)+k/100 AS origin FROM hidden, classes GROUP BY 1,2),
+    target AS (SELECT window_id, k, logit-origin AS delta FROM logits QUALIFY row_number() OVER (PARTITION BY window_id ORDER BY logit DESC, k)=1),
+    share AS (SELECT window_id, j, CASE WHEN p0>0 AND p1>0 THEN 1.0 WHEN p0<=0 AND p1<=0 THEN 0.0 WHEN p1>0 THEN p1/(p1-p0) ELSE p0/(p0-p1) END AS active FROM hidden)
+    SELECT n.window_id, n.feature, CAST(any_value(t.k) AS INTEGER) AS target_index, round(any_value(t.delta),6)+0.0 AS logit_delta,
+      round(any_value(x-b)*sum(((7*i+11*j)%13-6)/10*((3*j+5*t.k)%11-5)/10*active),6)+0.0 AS attribution
+    FROM inputs n JOIN share s USING (window_id) JOIN target t ON t.window_id=n.window_id GROUP BY 1,2""",
+    ),
+)
+def exact_path_attribution(t: Tables):
+    """All attributions of a rectifier network along the whole path, in closed form between its kinks."""
+    scaled = stored_scaled(t)
+    out = scoring.integrated_gradients(
+        scaled, patterned_network(), FEATURES, training_baseline(scaled), ["window_id"], exact=True, tolerance=1e-9
+    )
+    named = F.arrays_zip(F.array(*map(F.lit, FEATURES)).alias("feature"), "attributions")
+    return out.where(F.assert_true("complete", "a path integral is incomplete").isNull()).select(
+        "window_id", F.inline(named), "target_index", "logit_delta"
+    ).select(
+        "window_id", "feature", "target_index",
+        (F.round("logit_delta", 6) + 0.0).alias("logit_delta"), (F.round("attributions", 6) + 0.0).alias("attribution"),
+    )
+
+
 @query(
     "w1_attribution_ranks",
     "W1 W8 B20",
@@ -253,9 +296,43 @@ def transform_experiment(t: Tables):
     return R.run_summary(results, "variant", ["macro_f1", "loss"])
 
 
-@query("f11_pair_projection", "F11")
+_N = len(FEATURES)
+_SQUARED = "list_transform(m, lambda r: list_transform(m, lambda k: list_dot_product(r, k)))"
+_TRACE = f"list_sum(list_transform(range(1, {_N + 1}), lambda d: {{m}}[d][d]))"
+
+
+def _leading(name: str, matrix: str) -> str:
+    """The projector on the first eigenvector of a covariance matrix, squared again and again, and its eigenvalue."""
+    trace = _TRACE.format(m="q")
+    return f"""
+  {name}_power AS (SELECT 0 AS i, m AS q, m FROM {matrix} UNION ALL
+    SELECT i+1, q, list_transform(q, lambda r: list_transform(r, lambda x: x/{trace})) FROM (SELECT i, {_SQUARED} AS q FROM {name}_power WHERE i<16)),
+  {name} AS (SELECT m AS p, (SELECT list_sum(list_transform(range(1, {_N + 1}), lambda d: list_dot_product(c.m[d], w.m[d]))) FROM {matrix} c) AS value
+    FROM {name}_power w WHERE i=16),
+  {name}_vector AS (SELECT list_transform(p[k], lambda x: x/sqrt(p[k][k])) AS v FROM
+    (SELECT p, list_position(diagonal, list_max(diagonal)) AS k FROM (SELECT p, list_transform(range(1, {_N + 1}), lambda d: round(p[d][d], 9)) AS diagonal FROM {name})))"""
+
+
+@query(
+    "f11_pair_projection",
+    "F11",
+    "WITH RECURSIVE "
+    + with_parts("zruled", "").removeprefix("WITH ").rstrip()
+    + f""", pair AS (SELECT least(actual,predicted) AS a, greatest(actual,predicted) AS b, count(*) AS n FROM zruled WHERE actual<>predicted
+    GROUP BY 1,2 HAVING count(DISTINCT actual)=2 ORDER BY n DESC, a, b LIMIT 1),
+  chosen AS (SELECT z.* FROM zruled z, pair WHERE actual IN (a,b)),
+  cov AS (SELECT [{', '.join('[' + ', '.join(f'covar_pop({a},{b})' for b in FEATURES) + ']' for a in FEATURES)}] AS m,
+    [{', '.join(f'avg({c})' for c in FEATURES)}] AS mean FROM chosen), {_leading('first', 'cov')},
+  rest AS (SELECT list_transform(range(1, {_N + 1}), lambda i: list_transform(range(1, {_N + 1}), lambda j: m[i][j]-value*p[i][j])) AS m FROM cov, first), {_leading('second', 'rest')},
+  scored AS (SELECT actual, actual<>predicted AS is_error, list_dot_product(d, f.v) AS c1, list_dot_product(d, s.v) AS c2 FROM
+    (SELECT actual, predicted, list_transform(list_zip([{', '.join(FEATURES)}], mean), lambda z: z[1]-z[2]) AS d FROM chosen, cov), first_vector f, second_vector s)
+  SELECT actual, is_error, count(*) AS row_count, round(avg(c1),6)+0.0 AS middle_1, round(avg(c2),6)+0.0 AS middle_2,
+    round(stddev_pop(c1),6) AS spread_1, round(stddev_pop(c2),6) AS spread_2,
+    (SELECT round(value/{_TRACE.format(m='m')},6) FROM first, cov) AS explained_1, (SELECT round(second.value/{_TRACE.format(m='m')},6) FROM second, cov) AS explained_2
+  FROM scored GROUP BY 1,2""",
+)
 def pair_projection(t: Tables):
-    """Two components of the most confused class pair: spread and count per class and correctness."""
+    """Two components of the most confused class pair: middle, spread and count per class and correctness."""
     rows = ruled_scaled(t)
     pairs = E.bidirectional_pairs(E.transitions(rows))
     top = pairs.orderBy(F.desc("error_count"), "first_class", "second_class").limit(1).collect()
@@ -265,8 +342,10 @@ def pair_projection(t: Tables):
     projected, explained = training.pair_projection(rows, FEATURES, pair)
     return projected.groupBy("actual", E.is_error().alias("is_error")).agg(
         F.count(F.lit(1)).alias("row_count"),
-        F.stddev_pop("component_1").alias("spread_1"),
-        F.stddev_pop("component_2").alias("spread_2"),
-        F.lit(explained[0]).alias("explained_1"),
-        F.lit(explained[1]).alias("explained_2"),
+        (F.round(F.avg("component_1"), 6) + 0.0).alias("middle_1"),
+        (F.round(F.avg("component_2"), 6) + 0.0).alias("middle_2"),
+        F.round(F.stddev_pop("component_1"), 6).alias("spread_1"),
+        F.round(F.stddev_pop("component_2"), 6).alias("spread_2"),
+        F.round(F.lit(explained[0]), 6).alias("explained_1"),
+        F.round(F.lit(explained[1]), 6).alias("explained_2"),
     )
