@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelight.llm.common import bounded_sample, held_out, stored
+from tracelight.llm.common import held_out, sample_per_key, stored
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 WORD = re.compile(r"[^\W\d_]+")
@@ -283,22 +283,24 @@ def fit(
     id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
-    fit_rows: int = 1500,
+    fit_rows: int = 375,
     rounds: int = 2,
     vocabulary: str = VOCABULARY,
     smoothing: float = 0.01,
 ) -> Model:
     """Piece probabilities per language by expectation maximisation over all segmentations.
 
-    Learns from at most ``fit_rows`` rows with a language that are not held out, those with the
-    smallest hashes of their id. Sums per (language, piece) are made in Spark; only they come to the
-    driver. Without such rows the model knows no language and calls every text undetermined.
+    Knows every language of the rows that are not held out, however rare, if a sampled text has a word. Each
+    learns from at most ``fit_rows`` different rows of its own, those with the smallest hashes; priors are
+    shares of all such rows. Sums per (language, piece) are made in Spark; only they come to the driver.
+    Without such rows the model knows no language and calls every text undetermined.
     """
     spark = docs.sparkSession
     names = pieces(vocabulary)
     rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(F.col(id_col)))
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    rows = bounded_sample(rows, "id", fit_rows).repartition("id")
+    rows, known = sample_per_key(rows, "lang", ["id", "text"], fit_rows)
+    rows = rows.repartition("id", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -308,9 +310,8 @@ def fit(
 
     words = rows.mapInPandas(count, "lang string, word string, n long")
     words = stored(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "language-words")
-    shares = words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()
-    languages = [r["lang"] for r in shares]
-    prior = np.log([r["n"] for r in shares]) - np.log(sum(r["n"] for r in shares)) if shares else np.zeros(0)
+    languages = [r["lang"] for r in words.select("lang").distinct().orderBy("lang").collect()]
+    prior = np.log([known[lang] for lang in languages]) - np.log(sum(known[lang] for lang in languages) or 1)
     place = {lang: k for k, lang in enumerate(languages)}
     p = np.full((len(names), len(languages)), 1.0 / len(names))
     for _ in range(rounds if languages else 0):
