@@ -7,8 +7,9 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from tracelight.llm import decontaminate, language, licences, mixing, quality, simhash
+from tracelight.llm import common, decontaminate, language, licences, mixing, quality, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, key string, id long"
 
@@ -164,6 +165,40 @@ def test_forward_sums_all_segmentations():
     assert language.log_probabilities(lattice.edges("aλ"), [[q] for q in p])[0] > -30  # bytes
 
 
+def test_scorer_agrees_with_the_lattice():
+    vocabulary = ["▁", "a", "b", "c", "ab", "▁a", "bca", "▁abc", *[f"<0x{i:02X}>" for i in range(256)]]
+    random = np.random.default_rng(4)
+    p = random.dirichlet(np.ones(len(vocabulary)), 2).T
+    words = ["".join(random.choice(list("abcλ"), n)) for n in (1, 2, 3, 5, 8, 13, 63, 64, 65, 66, 200, 3000) for _ in range(3)]
+    lattice, scorer = language.Lattice(vocabulary), language.Scorer(vocabulary, p)
+    want = [[language.log_probabilities(lattice.edges(w), [[q] for q in c])[0] for c in p.T.tolist()] for w in words]
+    np.testing.assert_allclose(scorer(words), want, rtol=1e-9)
+
+
+def test_a_rare_language_is_learned_and_copies_do_not_crowd_it_out(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(-3, "qaxo zuqa xozu qazu"), (-7, "zuxo qaqa xoxo zuqa")], "doc_id long, text string")
+    copies = spark.range(20000).selectExpr("NULL AS doc_id", "'the same text' AS text", "'en' AS lang")
+    both = docs.unionByName(rare.selectExpr("*", "'rr' AS lang")).unionByName(copies)
+    learned = both.where(~common.held_out(F.col("doc_id")))
+    sample, counts = common.sample_per_key(learned, "lang", ["doc_id", "text"], 50)
+    sizes = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert set(sizes) == set(counts) and all(n == 50 for lang, n in sizes.items() if lang != "rr")
+    assert sizes["rr"] == counts["rr"] == learned.where("lang = 'rr'").count() > 0 and counts["en"] > 20000
+    model = language.fit(both, fit_rows=50)
+    assert "rr" in model.languages
+    assert language.identify(rare, model).first()["lang_pred"] == "rr"
+
+
+def test_samples_of_null_and_repeated_ids(spark):
+    rows = spark.range(5000).selectExpr("CAST(NULL AS LONG) AS id", "CAST(id AS STRING) AS text")
+    for ids in ("CAST(NULL AS LONG)", "id % 3", "IF(id % 2 = 0, NULL, id)", "id"):
+        some = common.bounded_sample(spark.range(5000).selectExpr(f"{ids} AS id", "CAST(id AS STRING) AS text"), "id", 300)
+        assert some.count() == 300 and some.distinct().count() == 300
+    assert common.bounded_sample(rows.limit(0), "id", 300).count() == 0
+    assert common.bounded_sample(rows.limit(20), "id", 300).count() == 20
+
+
 def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     model = language.fit(docs)

@@ -175,7 +175,7 @@ class Scorer:
         prefix, single = self.hashes(codes), self.characters(codes)
         # Only the sums that a piece can still start from are kept: a word may be as long as a text.
         alpha = deque([np.ones((len(words), self.p.shape[1]))], maxlen=max([1, *self.by_length]))
-        shift = np.zeros(len(words))
+        shift = np.zeros((len(words), self.p.shape[1]))  # each language is scaled for itself
         for end in range(1, codes.shape[1] + 1):
             total = alpha[-1] * single[:, end - 1]
             for length, (table, ids) in self.by_length.items():
@@ -185,19 +185,19 @@ class Scorer:
                 place = np.minimum(np.searchsorted(table, key), len(table) - 1)
                 hit = np.flatnonzero(table[place] == key)
                 total[hit] += alpha[-length][hit] * self.p[ids[place[hit]]]
-            low = total.max(axis=1)
-            if low.min() < TINY:
-                grow = np.where(low < TINY, 1 / np.maximum(low, 1e-300), 1.0)
+            if total.min() < TINY:
+                grow = np.where(total < TINY, 1 / np.maximum(total, 1e-300), 1.0)
                 shift -= np.log(grow)
                 for before in alpha:
-                    before *= grow[:, None]
-                total *= grow[:, None]
+                    before *= grow
+                total *= grow
             alpha.append(total)
-        return np.log(np.maximum(alpha[-1], 1e-300)) + shift[:, None]
+        return np.log(np.maximum(alpha[-1], 1e-300)) + shift
 
     def long_word(self, word: str) -> list[float]:
         """The same pass over one word, character by character: linear in its length, in constant memory."""
-        text, p, log_scale = START + word, self.rows, 0.0
+        text, p = START + word, self.rows
+        log_scale = [0.0] * self.p.shape[1]
         longest = max([1, *self.by_length])
         alpha: deque[list[float]] = deque([[1.0] * self.p.shape[1]], maxlen=longest)
         for end in range(1, len(text) + 1):
@@ -209,14 +209,14 @@ class Scorer:
                 i = self.ids.get(text[end - length : end])
                 if i is not None:
                     total = [t + a * q for t, a, q in zip(total, alpha[-length], p[i])]
-            high = max(total)
-            if high < TINY:
-                log_scale += log(high)
+            if min(total) < TINY:
+                high = [max(t, 1e-300) if t < TINY else 1.0 for t in total]
+                log_scale = [x + log(h) for x, h in zip(log_scale, high)]
                 for before in alpha:
-                    before[:] = [a / high for a in before]
-                total = [t / high for t in total]
+                    before[:] = [a / h for a, h in zip(before, high)]
+                total = [t / h for t, h in zip(total, high)]
             alpha.append(total)
-        return [log(max(a, 1e-300)) + log_scale for a in alpha[-1]]
+        return [log(max(a, 1e-300)) + x for a, x in zip(alpha[-1], log_scale)]
 
     def __call__(self, words: list[str]) -> np.ndarray:
         """One row per word."""
