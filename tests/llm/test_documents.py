@@ -255,6 +255,30 @@ def test_mixing_meets_targets(spark):
     assert none.count() == 0
 
 
+def test_words_beside_signs_are_features(spark):
+    texts = ["an idiot. (idiot) idiot", "idiot", "report.\tidiot!\n-- ", "", "caf\u00e9, 3%", "«idiot»"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    found = {r["doc_id"]: set(r["b"]) for r in docs.select("doc_id", mixing.word_buckets(F.col("text")).alias("b")).collect()}
+    keys = ["idiot", "an", "report", "caf\u00e9", "3", " .", " )", " !", " -", " ,", " %"]
+    one = spark.createDataFrame([(k,) for k in keys], "k string")
+    of = {r["k"]: r["b"] for r in one.select("k", F.pmod(F.xxhash64("k"), F.lit(mixing.BUCKETS)).alias("b")).collect()}
+    want = [["an", "idiot", " .", " )"], ["idiot"], ["report", " .", "idiot", " !", " -"], [], ["caf\u00e9", " ,", "3", " %"], ["idiot"]]
+    assert found == {i: {of[k] for k in w} for i, w in enumerate(want)}
+    # The evidence of a text is the sum over these features, each once.
+    weights = spark.createDataFrame([(b, [float(2**k), -1.0]) for k, b in enumerate(of.values())], "bucket int, w array<double>")
+    sums = mixing.evidence(docs, ["doc_id"], "text", weights, 2).collect()
+    place = {b: k for k, b in enumerate(of.values())}
+    assert {r["doc_id"]: (r["s0"], r["s1"]) for r in sums} == {
+        i: (sum(2.0 ** place[b] for b in found[i]), -float(len(found[i]))) for i in found if found[i]
+    }
+
+
+def test_targets_out_of_reach_are_named(spark):
+    posts = spark.createDataFrame([(1, 10, 1, 1.0, 0.0)], "id int, tokens long, rows long, p0 double, p1 double")
+    with pytest.warns(UserWarning, match="domain shares after 5 steps"):
+        assert len(mixing.fit_rates(posts, [0.5, 0.5], None, steps=5)) == 5
+
+
 def test_projected_gradient_solves_the_least_squares_problem(spark):
     random = np.random.default_rng(6)
     p = random.dirichlet([0.4, 0.4, 0.4], 60)

@@ -9,6 +9,7 @@ from its own posterior and the steps so far, so no rate table is rewritten betwe
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,22 +21,34 @@ from pyspark.sql import functions as F
 from tracelight.llm.common import bounded_sample, stored, with_column
 
 BUCKETS = 1 << 16  # so many rows the broadcast model has at most
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‘’…–—¿¡。，、"
 
 
 def tokens_of(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\S+")).cast("long")
 
 
-def word_buckets(text: Column) -> Column:
-    """Array of hashed word features: a word, or its last two characters where it ends in a sign."""
-    words = F.split(F.replace(text, F.lit("\n"), F.lit(" ")), " ")
-    return F.transform(F.array_distinct(words), bucket)
+def words_of(text: Column) -> Column:
+    """Array of the words between white space, with the signs beside them."""
+    return F.split(F.translate(text, "\n\t\r\x0b\x0c", " " * 5), " ")
+
 
+def features(word: Column) -> list[Column]:
+    """Hashed features of a word: the word without signs at its ends, and its last sign.
 
-def bucket(word: Column) -> Column:
+    Null where there is none, as of the word ``--`` or the last sign of ``word``.
+    """
     last = F.ascii(F.right(word, F.lit(1)))
-    letter = last.between(97, 122) | last.between(65, 90) | (last > 127)
-    return F.pmod(F.xxhash64(F.when(letter, word).otherwise(F.right(word, F.lit(2)))), F.lit(BUCKETS)).cast("int")
+    letter = last.between(97, 122) | last.between(65, 90) | last.between(48, 57) | (last > 127)
+    bare = F.nullif(F.btrim(word, F.lit(SIGNS)), F.lit(""))
+    sign = F.when(~letter & (word != ""), F.concat(F.lit(" "), F.right(word, F.lit(1))))
+    return [F.when(c.isNotNull(), F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")) for c in (bare, sign)]
+
+
+def word_buckets(text: Column) -> Column:
+    """Array of the distinct features of a text."""
+    each = F.transform(F.array_distinct(words_of(text)), lambda w: F.array(*features(w)))
+    return F.array_compact(F.array_distinct(F.flatten(each)))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -63,8 +76,8 @@ def softmax(scores: list[Column]) -> list[Column]:
 
 def evidence(rows: DataFrame, group: list[str], text_col: str, weights: DataFrame, n: int) -> DataFrame:
     """Sum of the weights of the distinct known features of each group of rows: columns s0, s1, ..."""
-    words = F.split(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")), " ")
-    each = rows.select(*group, F.explode(words).alias("word")).select(*group, bucket(F.col("word")).alias("bucket"))
+    each = rows.select(*group, F.explode(words_of(F.col(text_col))).alias("word"))
+    each = each.select(*group, F.explode(F.array(*features(F.col("word")))).alias("bucket"))
     known = each.join(F.broadcast(weights.select("bucket")), "bucket").groupBy(*group, "bucket").agg(F.count(F.lit(1)))
     known = known.join(F.broadcast(weights), "bucket")
     return known.groupBy(*group).agg(*[F.sum(F.get("w", F.lit(k))).alias(f"s{k}") for k in range(n)])
@@ -91,7 +104,7 @@ def learn(
     known = known.select(F.col(id_col).alias("id"), F.col(domain_col).alias("domain"))
     known = bounded_sample(known, "id", fit_rows)  # so it may be broadcast
     rows = keyed(docs, id_col, text_col).join(F.broadcast(known), "id")
-    rows = rows.select("domain", F.array_distinct(word_buckets(F.col("text"))).alias("buckets"))
+    rows = rows.select("domain", word_buckets(F.col("text")).alias("buckets"))
     rows = stored(rows, "mixing-labelled")
     sizes = {r["domain"]: r["n"] for r in rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
@@ -147,14 +160,15 @@ def fit_rates(posts: DataFrame, targets: list[float], budget: float | None, step
     The squared error is weighted by the inverse of the token-weighted second moments of the
     posteriors of documents with a positive rate, so a unit step would end it if no further rate met
     zero. After a step that did not lower the error, the moments of all documents are used, for which
-    the unit step is never too long.
+    the unit step is never too long. Targets that ``steps`` steps do not bring within ``close`` of the
+    budget, such as those of a domain no document belongs to, are named in a warning.
     """
     n = len(targets)
     weight = F.col("tokens") * F.col("rows")
     goal = np.array(targets, float) / sum(targets)
     taken: list[np.ndarray] = []
     everyone, total, before = None, 0.0, np.inf
-    for _ in range(steps):
+    while True:
         r = rate(taken, n)
         active = weight * (r > 0).cast("int")
         moments = [F.sum(active * F.col(f"p{j}") * F.col(f"p{k}")) for j in range(n) for k in range(n)]
@@ -167,10 +181,13 @@ def fit_rates(posts: DataFrame, targets: list[float], budget: float | None, step
         everyone = gram if everyone is None else everyone
         now = float(np.abs(error).max())
         if now < close:
-            break
+            return taken
+        if len(taken) == steps:
+            missed = ", ".join(f"{g + e:.4f} for {g:.4f}" for g, e in zip(goal * (budget or total) / total, error))
+            warnings.warn(f"domain shares after {steps} steps: {missed}", stacklevel=2)
+            return taken
         taken.append(np.linalg.solve(gram if now < before else everyone, error))
         before = now
-    return taken
 
 
 def mix(
