@@ -33,21 +33,26 @@ def words_of(text: Column) -> Column:
     return F.split(F.translate(text, "\n\t\r\x0b\x0c", " " * 5), " ")
 
 
-def features(word: Column) -> list[Column]:
-    """Hashed features of a word: the word without signs at its ends, and its last sign.
+def features(word: Column) -> Column:
+    """Array of the hashed features of a word: the word without signs at its ends, and its last sign.
 
-    Null where there is none, as of the word ``--`` or the last sign of ``word``.
+    Null stands where there is none, as for the word ``--``. Only words with a sign at an end are trimmed.
     """
-    last = F.ascii(F.right(word, F.lit(1)))
-    letter = last.between(97, 122) | last.between(65, 90) | last.between(48, 57) | (last > 127)
-    bare = F.nullif(F.btrim(word, F.lit(SIGNS)), F.lit(""))
-    sign = F.when(~letter & (word != ""), F.concat(F.lit(" "), F.right(word, F.lit(1))))
-    return [F.when(c.isNotNull(), F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")) for c in (bare, sign)]
+    first, last = F.ascii(word), F.ascii(F.right(word, F.lit(1)))
+    plain = lambda c: (
+        c.between(97, 122) | c.between(65, 90) | c.between(48, 57) | c.between(0xC0, 0x1FFF) | c.between(0x3040, 0xD7FF)
+    )
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    bare = F.btrim(word, F.lit(SIGNS))
+    bare = F.when(bare != "", bucket(bare))
+    sign = F.when((last < 128) & (word != ""), bucket(F.concat(F.lit(" "), F.right(word, F.lit(1)))))
+    ended = F.when(plain(first), F.array(bucket(word))).otherwise(F.array(bare))
+    return F.when(plain(last), ended).otherwise(F.array(bare, sign))
 
 
 def word_buckets(text: Column) -> Column:
     """Array of the distinct features of a text."""
-    each = F.transform(F.array_distinct(words_of(text)), lambda w: F.array(*features(w)))
+    each = F.transform(F.array_distinct(words_of(text)), features)
     return F.array_compact(F.array_distinct(F.flatten(each)))
 
 
@@ -77,7 +82,7 @@ def softmax(scores: list[Column]) -> list[Column]:
 def evidence(rows: DataFrame, group: list[str], text_col: str, weights: DataFrame, n: int) -> DataFrame:
     """Sum of the weights of the distinct known features of each group of rows: columns s0, s1, ..."""
     each = rows.select(*group, F.explode(words_of(F.col(text_col))).alias("word"))
-    each = each.select(*group, F.explode(F.array(*features(F.col("word")))).alias("bucket"))
+    each = each.select(*group, F.explode(features(F.col("word"))).alias("bucket"))
     known = each.join(F.broadcast(weights.select("bucket")), "bucket").groupBy(*group, "bucket").agg(F.count(F.lit(1)))
     known = known.join(F.broadcast(weights), "bucket")
     return known.groupBy(*group).agg(*[F.sum(F.get("w", F.lit(k))).alias(f"s{k}") for k in range(n)])
