@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tracelight.operators import moments as Mo
 from tracelight.operators import scoring as Sc
 from tracelight.operators import training as Tr
+from tracelight.plans import catalog
 
 NAMES = ["x0", "x1", "x2"]
 
@@ -189,3 +190,13 @@ def test_exact_path_at_the_baseline_and_through_kinks():
     t = Sc.path_segments(net, np.array([-1.0]), np.array([[3.0], [-1.0], [0.0]]))
     assert [np.unique(r).tolist() for r in t] == [[0, 0.25, 1], [0, 1], [0, 1]]
     assert Sc.path_segments(net, np.array([0.0]), np.zeros((0, 1))).shape[0] == 0
+
+
+def test_no_pair_confused_in_both_directions_gives_no_groups(spark, tmp_path):
+    kinds = ("click", "error", "purchase", "view")
+    at = [(d, w, k) for d in range(1, 13) for w in range(3) for k in range(4)]
+    rows = [(i, f"2024-01-{d:02d} 0{w}:00:0{k}", i % 5, kinds[k], 1.0 + i, f'{{"k": {i % 9}}}') for i, (d, w, k) in enumerate(at)]
+    events = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(str(tmp_path / "events.parquet"))
+    out = catalog.load()["f11_pair_projection"](spark, str(tmp_path))  # every window is busy, and every rule is right
+    assert out.columns[:3] == ["actual", "is_error", "row_count"] and out.collect() == []

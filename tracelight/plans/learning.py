@@ -336,10 +336,12 @@ def pair_projection(t: Tables):
     rows = ruled_scaled(t)
     pairs = E.bidirectional_pairs(E.transitions(rows))
     top = pairs.orderBy(F.desc("error_count"), "first_class", "second_class").limit(1).collect()
-    if not top:
-        raise ValueError("no class pair is confused in both directions")
-    pair = [top[0]["first_class"], top[0]["second_class"]]
-    projected, explained = training.pair_projection(rows, FEATURES, pair)
+    if top:
+        pair = [top[0]["first_class"], top[0]["second_class"]]
+        projected, explained = training.pair_projection(rows, FEATURES, pair)
+    else:  # without a pair confused in both directions there is nothing to project: no groups, as in the SQL
+        none = F.lit(0.0)
+        projected, explained = rows.where(F.lit(False)).withColumns({"component_1": none, "component_2": none}), (0.0, 0.0)
     return projected.groupBy("actual", E.is_error().alias("is_error")).agg(
         F.count(F.lit(1)).alias("row_count"),
         (F.round(F.avg("component_1"), 6) + 0.0).alias("middle_1"),
