@@ -193,3 +193,29 @@ def test_ragged_vectors_stop_a_mean(spark):
     for width in (2, 3, 300):
         with pytest.raises(Exception, match="not finite or not"):
             V.mean_vector(ragged, ["k"], "v", "m", width).collect()
+
+
+def test_rows_meet_a_tile_in_blocks_whatever_their_vectors_hold(spark, monkeypatch):
+    monkeypatch.setattr(P, "BLOCK", 8)
+    random = np.random.default_rng(4)
+    odd = [[1.0, None, 2.0], [float("nan"), 0.0, 1.0], [1.0, 2.0], [float("inf"), 0.0, 0.0]]
+    points = random.normal(size=(60, 3)).round(1).tolist() + odd
+    protos = spark.createDataFrame(list(enumerate(points)), "class long, vector array<double>")
+    asked = [(f"r{i}", p, i) for i, p in enumerate(points)] + [("no", None, 3), ("other", [0.0, 0.0, 0.0], None)]
+    rows = spark.createDataFrame(asked, "id string, v array<double>, own long")
+    plain, strange = protos.where("class < 60"), P._visited
+    columns = ["id", "nearest_class", "nearest_distance", "second_class", "distance_margin"]
+    listed = P.nearest_prototypes(rows, plain, "v").select(*columns, F.when(F.col("own") < 60, P.class_rank("distances", "own")).alias("r"))
+    got = P.nearest_indexed(rows, plain, "v", "id", rank_of="own", size=16).select(*columns, "class_rank")
+    whole = {f"r{i}" for i in range(60)} | {"other"}
+    pick = lambda df: sorted((tuple(r) for r in df.collect() if r[0] in whole), key=str)
+    assert pick(got) == pick(listed)
+    tile = protos.agg(F.array_sort(F.collect_list(F.struct("class", "vector"))).alias("_members")).withColumn("_tile", F.lit(0))
+    visits = rows.join(protos.select(F.col("class").alias("own"), F.col("vector").alias("o")), "own", "left")
+    visits = visits.select("id", F.col("v").alias("_v"), F.col("own").alias("_own"), V.l2_distance("v", "o").alias("_own_far"), F.lit(0).alias("_tile"))
+    met = {r["id"]: (str(r["_two"]), r["_nearer"]) for r in strange(visits, tile.select("_tile", "_members"), "id").collect()}
+    ranked = visits.join(tile, "_tile").withColumn("all", P._distances(F.col("_v"), F.col("_members")))
+    mine = F.struct(F.col("_own_far").alias("distance"), F.col("_own").alias("class"))
+    nearer = F.when(F.col("_own_far").isNotNull(), F.size(F.filter("all", lambda p: p < mine)))
+    want = ranked.select("id", F.slice("all", 1, 2).alias("two"), nearer.alias("n")).collect()
+    assert met == {r["id"]: (str(r["two"]), r["n"]) for r in want}

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from tracelight.session import stored
 
 #: Prototypes that may be listed in one value.
 LISTED = 1024
+#: Rows that meet a tile of the prototype index together.
+BLOCK = 256
 
 
 def class_dimension(df: DataFrame, classes: Sequence, name: str = "class") -> DataFrame:
@@ -196,6 +201,91 @@ def prototype_index(prototypes: DataFrame, size: int = 256) -> tuple[DataFrame,
     return stored(tiles, "prototype-tiles"), pivot
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once for the row; an inner function would work it out for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _whole(vector: Column | str) -> Column:
+    """Whether a vector has a distance at all: it is there, and so are its values."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull()), F.lit(False))
+
+
+def _apart(rows: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Distances of all rows to all members, added up in the order of the components as ``V.l2_distance`` does."""
+    total = np.zeros((len(rows), len(members)))
+    with np.errstate(all="ignore"):
+        for x, m in zip(rows.T, members.T, strict=True):
+            total += (x[:, None] - m[None, :]) ** 2
+    return np.sqrt(total)
+
+
+def _met(block: pd.DataFrame) -> Iterator[list]:
+    """Per visit of a block: places of the two nearest members with their distances, and how many are nearer than the own class."""
+    for visits, members in zip(block["_visits"], block["_members"], strict=True):
+        classes = [m["class"] for m in members]  # in class order, nulls first
+        unnamed = sum(c is None for c in classes)
+        order, far = np.arange(len(members)), np.full((len(visits), len(members)), np.nan)
+        known = np.zeros(far.shape, dtype=bool)  # a distance that is not known comes first, as null does in Spark
+        sizes = {}
+        for i, m in enumerate(members):
+            if m["whole"]:
+                sizes.setdefault(len(m["vector"]), ([], []))[0].append(i)
+        for j, v in enumerate(visits):
+            if v["whole"] and len(v["v"]) in sizes:
+                sizes[len(v["v"])][1].append(j)
+        for mine, own in sizes.values():
+            if own:
+                x, y = (np.array([r[n] for r in side], dtype=float) for side, n in (([visits[j] for j in own], "v"), ([members[i] for i in mine], "vector")))
+                far[np.ix_(own, mine)], known[np.ix_(own, mine)] = _apart(x, y), True
+        nearest = np.lexsort((np.broadcast_to(order, far.shape), far, known), axis=-1)[:, :2]  # not a number comes last
+        own_far = np.array([np.nan if v["far"] is None else v["far"] for v in visits])[:, None]
+        before = np.array([0 if v["far"] is None else unnamed + bisect_left(classes, v["own"], unnamed) for v in visits])[:, None]
+        less = np.where(np.isnan(own_far), ~np.isnan(far), far < own_far)
+        tied = np.where(np.isnan(own_far), np.isnan(far), far == own_far)
+        nearer = (~known | less | (tied & (order < before))).sum(axis=1)
+        yield [
+            {
+                "id": v["id"],
+                "two": [{"distance": float(d[p]) if k[p] else None, "class": classes[p]} for p in places],
+                "nearer": None if v["far"] is None else int(n),
+            }
+            for v, d, k, places, n in zip(visits, far, known, nearest, nearer, strict=True)
+        ]
+
+
+def _visited(visits: DataFrame, members: DataFrame, identity: str) -> DataFrame:
+    """Visits with the best two of their tile (``_two``) and, where the own class has a distance, the members nearer than it.
+
+    The visits of a tile travel in blocks of about ``BLOCK`` rows. A block meets its tile once, in an equi-join, and
+    its distances are one array operation, so a task holds a block and a tile.
+    """
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    label = members.schema["_members"].dataType.elementType["class"].dataType.simpleString()
+    visit = F.struct(
+        F.col(identity).alias("id"), F.col("_v").alias("v"), F.col("_own").alias("own"),
+        F.col("_own_far").alias("far"), _whole("_v").alias("whole"),
+    )
+    crowds = visits.groupBy("_tile").agg(F.count(F.lit(1)).alias("_rows"))
+    crowds = crowds.select("_tile", F.ceil(F.col("_rows") / BLOCK).alias("_blocks"))
+    dealt = visits.join(F.broadcast(crowds), "_tile").withColumn("_block", F.pmod(F.xxhash64(identity), "_blocks"))
+    blocks = dealt.groupBy("_tile", "_block").agg(F.collect_list(visit).alias("_visits"))
+    listed = members.select(
+        "_tile",
+        F.transform("_members", lambda m: F.struct(m["class"].alias("class"), m["vector"].alias("vector"), _whole(m["vector"]).alias("whole"))).alias("_members"),
+    )
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for i in range(len(frame)):
+                yield pd.DataFrame({"_found": list(_met(frame.iloc[i : i + 1]))})
+
+    found = f"array<struct<id:{kind(visits, identity)},two:array<struct<distance:double,class:{label}>>,nearer:int>>"
+    met = blocks.join(listed, "_tile").select("_visits", "_members").mapInPandas(run, f"_found {found}")
+    one = met.select(F.explode("_found").alias("_f"))
+    return one.select(F.col("_f.id").alias(identity), F.col("_f.two").alias("_two"), F.col("_f.nearer").alias("_nearer"))
+
+
 def nearest_indexed(
     rows: DataFrame,
     prototypes: DataFrame,
@@ -224,32 +314,25 @@ def nearest_indexed(
         known = known.withColumn("_own_far", F.lit(None).cast("double"))
     measured = known.withColumns({"_n": V.l2_norm("_v"), "_d": V.l2_distance("_v", center), "_list": listed})
 
-    def gap(b: Column) -> Column:
+    def gap(b: Column, at: Column) -> Column:
         """No member of the tile is nearer; a margin covers rounding."""
         apart = F.greatest(
-            F.lit(0.0), b["_norm_low"] - F.col("_n"), F.col("_n") - b["_norm_high"],
-            b["_far_low"] - F.col("_d"), F.col("_d") - b["_far_high"],
-        )
-        return F.greatest(F.lit(0.0), apart - (F.col("_n") + F.col("_d")) * 1e-9)
-
-    middle = lambda b: F.abs(F.col("_d") - (b["_far_low"] + b["_far_high"]) / 2)
-    gaps = F.transform("_list", lambda b: F.struct(gap(b).alias("gap"), middle(b).alias("middle"), b["_tile"].alias("tile")))
-    measured = measured.withColumn("_gaps", gaps).drop("_list", "_n", "_d")
+            F.lit(0.0), b["_norm_low"] - at["n"], at["n"] - b["_norm_high"], b["_far_low"] - at["d"], at["d"] - b["_far_high"]
+        )
+        return F.greatest(F.lit(0.0), apart - (at["n"] + at["d"]) * 1e-9)
+
+    def gaps(at: Column) -> Column:
+        middle = lambda b: F.abs(at["d"] - (b["_far_low"] + b["_far_high"]) / 2)
+        return F.transform("_list", lambda b: F.struct(gap(b, at).alias("gap"), middle(b).alias("middle"), b["_tile"].alias("tile")))
+
+    measured = measured.withColumn("_gaps", _once(F.struct(F.col("_n").alias("n"), F.col("_d").alias("d")), gaps)).drop("_list", "_n", "_d")
     members = tiles.select("_tile", "_members")
     home = measured.withColumn("_tile", F.array_min("_gaps")["tile"]).join(members, "_tile")
     second = F.get(_distances(F.col("_v"), F.col("_members")), F.lit(1))["distance"]
     reach = F.greatest(F.coalesce(second, F.lit(float("inf"))), F.col("_own_far"))
-    close = F.filter("_gaps", lambda g: g["gap"] <= reach)
+    close = _once(reach, lambda r: F.filter("_gaps", lambda g: g["gap"] <= r))
     visits = home.select(identity, "_v", "_own", "_own_far", F.explode(F.transform(close, lambda g: g["tile"])).alias("_tile"))
-    seen = visits.join(members, "_tile").select(
-        identity, F.struct(F.col("_own_far").alias("distance"), F.col("_own").alias("class")).alias("_mine"), "_own_far",
-        _distances(F.col("_v"), F.col("_members")).alias("_all"),
-    )
-    part = seen.select(
-        identity,
-        F.slice("_all", 1, 2).alias("_two"),
-        F.when(F.col("_own_far").isNotNull(), F.size(F.filter("_all", lambda p: p < F.col("_mine")))).alias("_nearer"),
-    )
+    part = _visited(visits, members, identity)
     merged = part.groupBy(identity).agg(
         F.slice(F.array_sort(F.flatten(F.collect_list("_two"))), 1, 2).alias("_best"),
         (F.sum("_nearer") + 1).cast("int").alias("_rank"),
