@@ -8,6 +8,7 @@ from tracelight.operators import admission as A
 from tracelight.operators import cases as C
 from tracelight.operators import integrity as I
 from tracelight.operators import lineage as L
+from tracelight.plans import catalog, evidence
 
 
 def sha(b):
@@ -193,3 +194,44 @@ def test_hypotheses_use_the_class_alone(spark):
     assert (counts["candidate_tactic_count"], counts["not_applicable_count"], counts["unresolved_multi_tactic_count"]) == (1, 1, 1)
     with pytest.raises(Exception, match="no tactic rule for class"):
         C.tactic_hypotheses(df.withColumn("predicted_class", F.lit("odd")), rules, "1").collect()
+
+
+def test_packed_digests_are_half_as_long_and_come_back(spark):
+    given = [sha(b"a"), sha(b"a").upper(), sha(b"b") + "\n", "", "no digest é", "0" * 64, None]
+    rows = spark.createDataFrame([(g,) for g in given], "d string").withColumn("p", S.pack_digest("d"))
+    got = rows.select("d", S.unpack_digest("p").alias("back"), F.octet_length("p").alias("n")).collect()
+    assert [r["back"] for r in got] == given and [r["n"] for r in got][::5] == [32, 32]
+    assert len({r["p"] for r in rows.collect()}) == len(given)
+
+
+def test_late_digests_and_the_digest_before(spark):
+    rows = batches(spark)
+    late = lambda df: df.withColumn("content_sha256", F.sha2("content_sha256", 256))
+    got = I.build_chain(rows, ["client_id"], ["acquired_at"], late=late, previous="before")
+    want = I.predecessor(I.build_chain(late(rows), ["client_id"], ["acquired_at"]), ["client_id"], "acquired_at", ["chain_hash"], "p_")
+    want = want.withColumn("before", F.coalesce("p_chain_hash", F.lit(I.GENESIS))).select(*got.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_received_batches_are_stored_with_packed_digests(spark, tmp_path):
+    rows = [(i, i % 7, f"1995-0{1 + i % 9}-01", f"{i % 3}-P") for i in range(300)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate string, o_orderpriority string")
+    orders.withColumn("o_orderdate", F.col("o_orderdate").cast("timestamp_ntz")).write.parquet(str(tmp_path / "orders.parquet"))
+    t = catalog.Tables(spark, str(tmp_path))
+    got, built = evidence.received_batches(t), evidence.build_received(t)
+    assert got.columns == built.columns
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, built.collect()))
+    kept = t.stored("received", evidence.build_received)
+    assert {kept.schema[c].dataType.simpleString() for c in evidence.DIGESTS} == {"binary"}
+    assert kept.where("declared_sha256 IS NOT NULL").count() == built.where("declared_sha256 <> content_sha256").count()
+
+
+def test_lineage_digests_come_back_as_given(spark):
+    table = lambda rows, schema: spark.createDataFrame(rows, schema)
+    events, given = table([("w", "e"), ("w", "f"), ("w", "f")], "window_id string, event_id string"), [sha(b"1"), "none"]
+    sources = table([("e", "a", given[0]), ("f", "b", given[1])], "event_id string, source_file string, record_sha256 string")
+    files = table([("a", given[0])], "source_file string, file_sha256 string")
+    out = L.resolve_lineage(table([("w",), ("x",)], "window_id string"), events, sources, files)
+    got = sorted(tuple(r) for r in out.select("record_sha256", "file_sha256", "resolution").fillna("").collect())
+    assert got == sorted([(given[0], given[0], "resolved"), (given[1], "", "no-source-file"), ("", "", "no-event")])
+    assert "unhex" in out._jdf.queryExecution().optimizedPlan().toString()

@@ -188,3 +188,20 @@ def one_of(value: Column | str, names: Sequence[str]) -> Column:
         F.raise_error(F.concat(F.lit("label outside the vocabulary: "), F.coalesce(value, F.lit("null"))))
         .cast("int")
     )
+
+
+def pack_digest(digest: Column | str) -> Column:
+    """A hexadecimal SHA-256 as its 32 bytes, any other text in longer bytes: half the size, and nothing is lost.
+
+    Packed digests are equal, and sort, as their texts do; other texts come before them.
+    """
+    digest = F.col(digest) if isinstance(digest, str) else digest
+    other = F.concat(F.lit(bytes(33)), F.encode(digest, "UTF-8"))
+    return F.when(digest.rlike(r"\A[0-9a-f]{64}\z"), F.unhex(digest)).otherwise(other)
+
+
+def unpack_digest(packed: Column | str) -> Column:
+    """Inverse of :func:`pack_digest`."""
+    packed = F.col(packed) if isinstance(packed, str) else packed
+    other = F.decode(F.substring(packed, 34, 2**31 - 1), "UTF-8")
+    return F.when(F.octet_length(packed) == 32, F.lower(F.hex(packed))).otherwise(other)

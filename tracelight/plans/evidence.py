@@ -15,22 +15,32 @@ from tracelight.plans.standins import with_parts
 SESSION_BATCHES = 4
 
 
-def order_batches(t: Tables):
-    """Orders of a customer, by date and key, as a client's batches in sessions of four."""
+def order_places(t: Tables):
+    """Orders of a customer, by date and key, in their places as a client's batches."""
     rows = slot_ranked(
-        t.orders,
+        t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority"),
         groups=["o_custkey"],
         slot=F.date_format("o_orderdate", "yyyyMM"),
         order=["o_orderdate", "o_orderkey"],
         rank="_place",
-    ).withColumn("_place", (F.col("_place") - 1).cast("int"))
-    session = F.concat(F.lit("s"), F.lpad(F.floor(F.col("_place") / SESSION_BATCHES).cast("string"), 4, "0"))
+    )
+    return rows.select(
+        "o_orderkey",
+        "o_orderpriority",
+        F.concat(F.lit("customer-"), "o_custkey").alias("client_id"),
+        (F.col("_place") - 1).cast("int").alias("acquired_at"),
+    )
+
+
+def as_batches(rows):
+    """Placed orders as batches in sessions of four, with their digests."""
+    place = F.col("acquired_at")
     rows = rows.select(
         F.col("o_orderkey").alias("batch_id"),
-        F.concat(F.lit("customer-"), "o_custkey").alias("client_id"),
-        session.alias("session_id"),
-        (F.col("_place") % SESSION_BATCHES).alias("sequence_number"),
-        F.col("_place").alias("acquired_at"),
+        "client_id",
+        F.concat(F.lit("s"), F.lpad(F.floor(place / SESSION_BATCHES).cast("string"), 4, "0")).alias("session_id"),
+        (place % SESSION_BATCHES).alias("sequence_number"),
+        "acquired_at",
         S.canonical_digest("o_orderkey", "o_orderpriority").alias("content_sha256"),
     )
     core = {
@@ -44,15 +54,25 @@ def order_batches(t: Tables):
 
 def chained_batches(t: Tables):
     """Batches with recorded predecessor and chain hash, as the client built them."""
-    chained = integrity.build_chain(order_batches(t), ["client_id"], ["acquired_at"])
-    linked = integrity.predecessor(chained, ["client_id"], "acquired_at", ["chain_hash"])
-    return linked.withColumn(
-        "previous_chain_hash", F.coalesce("previous_chain_hash", F.lit(integrity.GENESIS))
+    return integrity.build_chain(
+        order_places(t), ["client_id"], ["acquired_at"], late=as_batches, previous="previous_chain_hash"
     )
 
 
+DIGESTS = ("content_sha256", "core_sha256", "chain_hash", "previous_chain_hash", "declared_sha256")
+
+
 def received_batches(t: Tables):
-    return t.stored("received", build_received)
+    """The table of received batches; it is stored with its digests as bytes, and a declared digest only where it differs."""
+    rows = t.stored("received", lambda t: stored_form(build_received(t)))
+    declared = F.coalesce("declared_sha256", "content_sha256")
+    return rows.withColumn("declared_sha256", declared).withColumns({c: S.unpack_digest(c) for c in DIGESTS})
+
+
+def stored_form(rows):
+    packed = rows.withColumns({c: S.pack_digest(c) for c in DIGESTS})
+    differs = ~F.col("declared_sha256").eqNullSafe(F.col("content_sha256"))
+    return packed.withColumn("declared_sha256", F.when(differs, F.col("declared_sha256")))
 
 
 def build_received(t: Tables):
