@@ -52,3 +52,15 @@ def test_chain_state_lasts_over_micro_batches(spark, tmp_path):
     assert sorted(map(tuple, out.select("client_id", "batch_id", "continuity").collect())) == sorted(map(tuple, batch.collect()))
     refused = out.where("continuity <> 'continuous'").orderBy("client_id", "batch_id").collect()
     assert [(r["client_id"], r["batch_id"]) for r in refused] == [("c1", i) for i in range(2, 6)] + [("c2", i) for i in range(1, 6)]
+
+
+def test_clients_are_followed_in_buckets(spark, tmp_path):
+    whole = chain(spark, clients=9).withColumn("eligible", F.col("client_id") != "c2").withColumn("batch_id", F.col("acquired_at").cast("bigint")).withColumn("sequence_number", F.col("sequence_number").cast("bigint"))
+    whole = whole.withColumn("client_id", F.when(F.col("client_id") != "c5", F.col("client_id"))).where("NOT (client_id <=> 'c1' AND acquired_at = 1)")
+    source, columns = str(tmp_path / "in"), ["batch_id", "client_id", "session_id", "sequence_number", "acquired_at", "chain_hash", "previous_chain_hash", "eligible"]
+    schema = whole.select(*columns).schema
+    for part in (whole.where("acquired_at < 3"), whole.where("acquired_at >= 3")):
+        part.select(*columns).coalesce(1).write.mode("append").parquet(source)
+        out = drain(jobs.follow_chains(jobs.read_files(spark, source, schema), buckets=2), tmp_path, "out")
+    batch = I.verify_continuity(whole, F.col("eligible")).select("batch_id", "client_id", "session_id", "sequence_number", "continuity")
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, batch.collect()), key=str)

@@ -76,7 +76,7 @@ def streaming_deduplication(t: Tables):
 def streaming_chain_continuity(t: Tables):
     path = shared_directory(t.spark, "stream-batches")
     columns = ["batch_id", "client_id", "session_id", "acquired_at", "chain_hash", "previous_chain_hash"]
-    checked = integrity.verify_links(received_batches(t)).repartition("client_id")  # a client's batches stay in order
+    checked = integrity.verify_links(received_batches(t)).repartition(jobs.client_bucket())  # a client's batches stay in order
     checked.select(
         *columns, F.col("sequence_number").cast("bigint").alias("sequence_number"), F.col("link_valid").alias("eligible")
     ).write.parquet(path)

@@ -95,43 +95,46 @@ def drop_redeliveries(
     return batches.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
-STATE = "head string, sessions string"
+STATE = "clients string"
 OUTPUT = "batch_id bigint, client_id string, session_id string, sequence_number bigint, continuity string"
+#: Groups of clients that are followed together.
+BUCKETS = 4096
 
 
-def _follow_chain(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    """Continuity of one client's batches of a micro-batch, in order of acquisition."""
-    head, sessions = state.get if state.exists else (GENESIS, "{}")
-    heads = ChainHeads(head, {k: (v[0], v[1]) for k, v in json.loads(sessions).items()})
-    rows = pd.concat(list(batches)).sort_values(["acquired_at", "session_id", "sequence_number"])
-    names = ("session_id", "sequence_number", "previous_chain_hash", "chain_hash", "eligible")
-    verdicts = [
-        heads.receive(session, int(position), previous, commitment, bool(eligible))
-        for session, position, previous, commitment, eligible in zip(*[rows[n] for n in names], strict=True)
-    ]
-    state.update((heads.head, json.dumps(heads.sessions)))
-    yield pd.DataFrame(
-        {
-            "batch_id": rows["batch_id"].to_numpy(),
-            "client_id": key[0],
-            "session_id": rows["session_id"].to_numpy(),
-            "sequence_number": rows["sequence_number"].to_numpy(),
-            "continuity": verdicts,
-        }
-    )
+def client_bucket(buckets: int = BUCKETS) -> Column:
+    """The group a client is followed in. Files cut by it let a micro-batch touch few groups."""
+    return F.pmod(F.xxhash64("client_id"), F.lit(buckets)).cast("int")
 
 
-def follow_chains(batches: DataFrame) -> DataFrame:
+def _follow_chains(
+    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+) -> Iterator[pd.DataFrame]:
+    """Continuity of the batches of a group of clients in a micro-batch, per client in order of acquisition."""
+    kept = json.loads(state.get[0]) if state.exists else []
+    heads = {client: ChainHeads(head, {k: (v[0], v[1]) for k, v in sessions.items()}) for client, head, sessions in kept}
+    rows = pd.concat(list(batches)).sort_values(["client_id", "acquired_at", "session_id", "sequence_number"])
+    rows = rows.assign(client_id=rows["client_id"].astype(object).where(rows["client_id"].notna(), None))
+    names = ("client_id", "session_id", "sequence_number", "previous_chain_hash", "chain_hash", "eligible")
+    verdicts = []
+    for client, session, position, previous, commitment, eligible in zip(*[rows[n] for n in names], strict=True):
+        own = heads.get(client)
+        if own is None:
+            own = heads[client] = ChainHeads()
+        verdicts.append(own.receive(session, int(position), previous, commitment, bool(eligible)))
+    state.update((json.dumps([[client, own.head, own.sessions] for client, own in heads.items()]),))
+    yield rows[["batch_id", "client_id", "session_id", "sequence_number"]].assign(continuity=verdicts)
+
+
+def follow_chains(batches: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """Verdict on every batch as it arrives, by the rule of ``integrity.verify_continuity``.
 
     ``eligible`` says whether a batch passed its other checks; repeated deliveries are to be dropped
-    before. The state of a client is its accepted heads. A client's share of one micro-batch is handled
-    together; ``read_files`` bounds the files of a micro-batch.
+    before. The state holds the accepted heads of every client, for ``buckets`` groups of clients, as a group a client
+    would cost a call each; more buckets make smaller states. A group's share of one micro-batch is handled
+    together; ``read_files`` bounds the files of a micro-batch. A checkpoint goes with its number of buckets.
     """
-    return batches.groupBy("client_id").applyInPandasWithState(
-        _follow_chain, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+    return batches.withColumn("_bucket", client_bucket(buckets)).groupBy("_bucket").applyInPandasWithState(
+        _follow_chains, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
