@@ -62,13 +62,16 @@ def resolve_lineage(
 
     ``event_sources`` has one row per source record, ``files`` one per file with ``file_sha256``.
     Joins are left equi-joins, so a hot file or event is the engine's skew to split, and nothing is
-    collected per window.
+    collected per window. Digests pass the joins packed.
     """
+    digests = {c: df for df in (event_sources, files) for c in ("record_sha256", "file_sha256") if c in df.columns}
+    packed = [df.withColumns({c: S.pack_digest(c) for c, own in digests.items() if own is df}) for df in (event_sources, files)]
     down = (
         selected.select(window)
         .join(window_events.select(window, event).distinct(), window, "left")
-        .join(event_sources, event, "left")
-        .join(files, file, "left")
+        .join(packed[0], event, "left")
+        .join(packed[1], file, "left")
+        .withColumns({c: S.unpack_digest(c) for c in digests})
     )
     gap = (
         F.when(F.col(event).isNull(), F.lit("no-event"))
