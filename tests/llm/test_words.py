@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -168,6 +169,58 @@ def test_packing_of_nothing_and_of_windows(spark):
         assert np.frombuffer(few.ids([text or "", "a b c"])[0], "<u4").tolist() == known.tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
+class Asked:
+    """Passes texts on to a tokenizer and notes them."""
+
+    def __init__(self, tokenizer, texts):
+        self.tokenizer, self.texts = tokenizer, texts
+
+    def encode_batch_fast(self, texts, **options):
+        self.texts += texts
+        return self.tokenizer.encode_batch_fast(texts, **options)
+
+
+def test_new_words_reach_the_library_together_and_once():
+    known, asked = packing.Words(packing.default_tokenizer()), []
+    encoder, known.model = known.tokenizer, Asked(known.model, asked)
+    different = ["".join(random.Random(i).choices("abéstñ", k=9)) + "., "[i % 3].strip() for i in range(3000)]
+    texts = pa.array([" ".join(different[i : i + 1000]) for i in range(0, 3000, 500)] + ["", "\n".join(different)])
+    want = [encoder.encode(t, add_special_tokens=False).ids for t in texts.to_pylist()]
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in known.ids(texts)] == want
+    assert 0 < len(asked) <= 2 * 3000 / packing.JOINED + 1
+    asked.clear()
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in known.ids(texts.slice(1))] == want[1:] and not asked
+
+
+def test_ids_of_odd_texts_are_the_librarys():
+    bits = [" ", "  ", "\n", "\n\n", " \n", "\n ", "   ", "\t", "\r\n", "\xa0", "\u3000", "\u2028", "\0", "\x85", "\u200b", "<|endoftext|>"]
+    bits += ["'s", "I'm", "a", "Über", "the", "of,", "(a)", "123", "ß", "×", "ª", "中文", "😀", "e\u0301", "™:", "®,", "…\"", "x" * 70, "~", "\x01"]
+    rng, alone = random.Random(9), packing.Words(packing.default_tokenizer())
+    alone.plain = False  # as for a vocabulary with tokens that reach over words
+    for most in (3, 50, 1_000_000):
+        known = packing.Words(packing.default_tokenizer(), most=most)
+        for few in (2, 5, 12, len(bits)) * 3:
+            some = rng.sample(bits, few)
+            texts = ["".join(rng.choice(some) + rng.choice(["", " "]) for _ in range(rng.randrange(40))) for _ in range(40)]
+            want = [known.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+            for words in (known, alone):
+                assert [np.frombuffer(ids, "<u4").tolist() for ids in words.ids(texts)] == want
+
+
+def test_tokens_over_the_border_of_two_words():
+    assert not packing.joins(["Ġthe", "the", "),", "ĊĊ", "Ġ(", "Ã©", "â€¦.", "the'", "12"])
+    assert all(packing.joins([token]) for token in ("theĠof", ",Ġ", "Ċthe", "the,", "Ã©.", ".Ċ"))
+
+
+def test_words_of_one_call_are_forgotten_first():
+    known = packing.Words(packing.default_tokenizer(), most=6)
+    for text in ("go on and on", "go and see it through", "go to that place"):
+        assert np.frombuffer(known.ids([text])[0], "<u4").tolist() == known.tokenizer.encode(text, add_special_tokens=False).ids
+    assert set(known.known) == {"go", " and"}
+    known.ids(["go " + " ".join(map(str, range(100)))])
+    assert set(known.known) == {"go"}
+
+
 def test_packing_query_checksums(spark):
     folder = "/root/testdata/sf0.001"
     got = queries.QUERIES["op12_packing"](spark, folder).collect()

@@ -11,9 +11,9 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,16 @@ END_ID = 1
 BATCH_BYTES = 4 << 20
 #: A space or line end after a visible character always begins a new word of a byte-level vocabulary.
 CUT = re.compile(r"(?<=[\w!-~])(?=[ \n])")
-WORD = re.compile(r" [^ \n][^ ]*\Z")
-#: Letters, and ASCII signs behind them (no apostrophe, nor signs of control strings), are two words.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:;=?@\[-`{}~]*)")
+#: The same for Arrow, which has no assertions.
+CUT_BETWEEN = r"([!-~\pL\pN])([ \n])"
+#: In other texts every space and line end begins a new word: they are the only white space, and no more than two
+#: of them stand together (of three, or two at the end, several are one word).
+UNEVEN = r"[ \n]{3}|[ \n]{2}\z|[\x00-\x09\x0b-\x1f\x7f-\xa0\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{206f}\x{3000}\x{feff}]"
+LETTERS, SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:;=?@\[-`{}~"
+#: Behind a space or line end letters, and ASCII signs behind them (no apostrophe, nor signs of control strings).
+PLAIN = rf"\A[ \n][{LETTERS}]+[{SIGNS}]*\z"
+#: Plain stretches that go to the model in a row.
+JOINED = 100
 WINDOW = 1 << 20
 
 
@@ -47,70 +54,125 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b if b in visible else next(hidden)) for b in range(256)}
 
 
+def joins(vocabulary: list[str]) -> bool:
+    """Whether a token could reach over the border of two words where plain stretches stand in a row."""
+    letters = byte_letters()
+    signs = {letters[b] for b in range(128) if re.fullmatch(f"[{SIGNS}]", chr(b))}
+    of_words = {letters[b] for c in map(chr, range(256)) if re.fullmatch(f"[{LETTERS}]", c) for b in c.encode()}
+    space, line = letters[32], letters[10]
+    every = {space, line} | signs | of_words
+    over = lambda x, y: y in (space, line) and x not in (space, line) or y in of_words and x == line or y in signs and x in of_words
+    return any(every.issuperset(token) and any(map(over, token, token[1:])) for token in vocabulary)
+
+
+def gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The runs of ``pool`` that begin at ``starts``, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return pool[np.repeat(starts - before, sizes) + np.arange(sizes.sum())]
+
+
 class Words:
     """Ids of texts, as little-endian 32-bit numbers. Texts are cut into short stretches, which are remembered.
 
-    A stretch that is a space and a word has the word as its key; one that begins with a line end is its own key,
-    others have a space before them.
+    A stretch begins with the space or line end before its word. Arrow cuts the texts of a call and numbers their
+    different stretches, so that Python meets each of them once a call.
     """
 
     def __init__(self, path: str, most: int = 1_000_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(path), most, longest
-        self.letters = byte_letters()
-        self.known: dict[str, bytes] = {}
-
-    def keys(self, text: str) -> list[str]:
-        """Keys of the stretches. An even text has single spaces and line ends between visible characters only."""
-        even = text.replace("\n", "").isprintable() and text[:1] not in ("", " ", "\n")
-        if even and not any(two in text for two in ("  ", " \n", "\n ", "\n\n")):
-            keys = text.replace("\n", " \n").split(" ")
-            keys[0] = " " + keys[0]
-            return keys
-        return [s[1:] if WORD.match(s) else s if s[:1] == "\n" else " " + s for s in CUT.split(text)]
-
-    def modelled(self, letters: str) -> bytes:
-        return packed_ids([t.id for t in self.tokenizer.model.tokenize(letters)])
-
-    def learn(self, keys: list[str]) -> dict[str, bytes]:
-        """Ids of new stretches. A plain word needs the library's model alone, others its pre-tokenizer, too."""
-        found, others = {}, []
-        for key in keys:
-            plain = PLAIN.fullmatch(key)
-            if not plain:
-                others.append(key)
-                continue
-            word, signs = plain.groups()
-            ids = self.known.get(word) or found.get(word)
-            if ids is None:
-                letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-                ids = found[word] = self.modelled("\u0120" + letters)
-            if signs:
-                found[key] = ids + self.modelled(signs)
-        stretches = [k if k[:1] == "\n" else k[1:] if k[:1] == " " else " " + k for k in others]
-        for key, e in zip(others, self.tokenizer.encode_batch_fast(stretches, add_special_tokens=False)):
-            found[key] = packed_ids(e.ids)
-        return found
-
-    def ids(self, texts: list[str]) -> list[bytes]:
+        self.model = Tokenizer(self.tokenizer.model)  # takes a byte-level text as one word
+        self.uneven = "|".join([UNEVEN, *(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())])
+        letters, vocabulary = byte_letters(), self.tokenizer.get_vocab(with_added_tokens=False)
+        self.letters = np.array([ord(letters[b]) for b in range(256)], "<u2")
+        self.opens = np.zeros(1 + max(vocabulary.values(), default=0), bool)
+        self.opens[[n for token, n in vocabulary.items() if token[:1] in (letters[32], letters[10])]] = True
+        self.plain = not joins(list(vocabulary))
+        self.known: dict[str, int] = {}
+        self.pool, self.starts, self.sizes, self.calls = (np.zeros(0, kind) for kind in ("<u4", np.int64, np.int64, np.int64))
+
+    def stretches(self, texts: pa.Array) -> pa.Array:
+        """A list of stretches for every text, which must not hold the character 0."""
+        uneven = pc.match_substring_regex(texts, self.uneven)
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n")
+        if pc.any(uneven).as_py():
+            marked = pc.replace_with_mask(marked, uneven, pc.replace_substring_regex(texts.filter(uneven), CUT_BETWEEN, "\\1\0\\2"))
+        return pc.split_pattern(marked, "\0")
+
+    def learn(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of new stretches, and where those of each begin and how many they are.
+
+        Plain ones go to the library's model in a row, as nothing is joined over their borders; each begins with
+        an id that opens a word. Others need the library's pre-tokenizer, too.
+        """
+        plain = pc.match_substring_regex(stretches, PLAIN).to_numpy(False) & self.plain
+        starts, sizes, ids = np.zeros(len(stretches), np.int64), np.zeros(len(stretches), np.int64), np.zeros(0, "<u4")
+        if plain.any():
+            some = stretches.filter(pa.array(plain))
+            ends = np.frombuffer(some.buffers()[1], np.int32)[some.offset : some.offset + len(some) + 1]
+            data = np.frombuffer(some.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+            letters = self.letters[data].tobytes().decode("utf-16-le")
+            cuts = [*(ends[:-1:JOINED] - ends[0]).tolist(), len(letters)]
+            found = self.model.encode_batch_fast([letters[x:y] for x, y in zip(cuts, cuts[1:])], add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in found), "<u4")
+            starts[plain] = np.flatnonzero(self.opens[ids])
+            sizes[plain] = np.diff(starts[plain], append=len(ids))
+        found = self.tokenizer.encode_batch_fast(stretches.filter(pa.array(~plain)).to_pylist(), add_special_tokens=False)
+        others = [e.ids for e in found]
+        sizes[~plain] = [len(x) for x in others]
+        starts[~plain] = len(ids) + np.cumsum(sizes[~plain]) - sizes[~plain]
+        return np.concatenate([ids, np.fromiter(chain.from_iterable(others), "<u4")]), starts, sizes
+
+    def found(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, and where those of each of the different stretches begin and how many they are."""
+        keys = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(stretches)], pa.int32()), stretches), "\0")[0].as_py().split("\0")
+        numbers = np.fromiter(map(self.known.get, keys, repeat(-1)), np.int64, len(keys))
+        short = pc.less_equal(pc.utf8_length(stretches), self.longest).to_numpy(False)
+        new = np.flatnonzero((numbers < 0) & short)
+        if len(new):
+            numbers[new] = np.arange(len(self.known), len(self.known) + len(new))
+            ids, starts, sizes = self.learn(stretches.take(pa.array(new)))
+            self.known.update(zip([keys[i] for i in new.tolist()], numbers[new].tolist()))
+            self.starts, self.sizes = np.concatenate([self.starts, starts + len(self.pool)]), np.concatenate([self.sizes, sizes])
+            self.pool, self.calls = np.concatenate([self.pool, ids]), np.concatenate([self.calls, np.zeros(len(new), np.int64)])
+        self.calls[numbers[short]] += 1
+        pool, starts, sizes = self.pool, np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        starts[short], sizes[short] = self.starts[numbers[short]], self.sizes[numbers[short]]
+        if not short.all():
+            ids, starts[~short], sizes[~short] = self.learn(stretches.filter(pa.array(~short)))
+            starts[~short] += len(pool)
+            pool = np.concatenate([pool, ids])
+        return pool, starts, sizes
+
+    def forget(self) -> None:
+        """Keeps the stretches of more than one call, if they fill half the room at most."""
+        kept = np.flatnonzero(self.calls > 1)
+        kept = kept if len(kept) <= self.most // 2 else kept[:0]
+        keys = list(self.known)
+        self.known = {keys[n]: i for i, n in enumerate(kept.tolist())}
+        self.pool, self.sizes = gathered(self.pool, self.starts[kept], self.sizes[kept]), self.sizes[kept]
+        self.starts, self.calls = np.cumsum(self.sizes) - self.sizes, np.ones(len(kept), np.int64)
+
+    def ids(self, texts: pa.Array | list[str]) -> list[bytes]:
         """Ids of every text."""
-        cut = [self.keys(text) for text in texts]
-        parts = [list(map(self.known.get, keys)) for keys in cut]
-        new = {key for keys, of in zip(cut, parts) if None in of for key, ids in zip(keys, of) if ids is None}
-        found = self.learn(list(new))
-        if len(self.known) + len(found) > self.most:
-            self.known = {}
-        self.known |= {key: ids for key, ids in found.items() if len(key) <= self.longest}
-        return [
-            b"".join([found[key] if ids is None else ids for key, ids in zip(keys, of)] if None in of else of)
-            for keys, of in zip(cut, parts)
-        ]
-
-
-def packed_ids(ids: list[int]) -> bytes:
-    """Little-endian 32-bit numbers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+        texts = texts.cast(pa.string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        marked = pc.match_substring(texts, "\0")
+        lists = self.stretches(pc.if_else(marked, "", texts))
+        numbered = lists.flatten().dictionary_encode()
+        pool, starts, sizes = self.found(numbered.dictionary)
+        numbers = numbered.indices.to_numpy()
+        sizes = sizes[numbers]
+        ids = gathered(pool, starts[numbers], sizes)
+        at = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy())))].tolist()
+        found = [ids[x:y].tobytes() for x, y in zip(at, at[1:])]
+        for i in np.flatnonzero(marked.to_numpy(False)).tolist():  # the sign that marks the cuts is in the text
+            found[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+        if len(self.known) > self.most:
+            self.forget()
+        return found
 
 
 def windows(text: str, size: int) -> Iterator[str]:
@@ -162,7 +224,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, tokenizer: str, lengt
 
             for first, stop in bunches(pc.utf8_length(texts).to_numpy(), WINDOW):
                 if stop - first > 1:
-                    found = known.ids(texts.slice(first, stop - first).to_pylist())
+                    found = known.ids(texts.slice(first, stop - first))
                 else:
                     found = [b"".join(known.ids([part])[0] for part in windows(texts[first].as_py(), WINDOW))]
                 for i, ids in enumerate(found, first):
