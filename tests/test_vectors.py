@@ -219,3 +219,53 @@ def test_rows_meet_a_tile_in_blocks_whatever_their_vectors_hold(spark, monkeypat
     nearer = F.when(F.col("_own_far").isNotNull(), F.size(F.filter("all", lambda p: p < mine)))
     want = ranked.select("id", F.slice("all", 1, 2).alias("two"), nearer.alias("n")).collect()
     assert met == {r["id"]: (str(r["two"]), r["n"]) for r in want}
+
+
+def test_rows_that_meet_all_tiles_are_not_copied_for_each(spark):
+    random = np.random.default_rng(12)
+    points = random.normal(size=(1500, 24))
+    points /= np.linalg.norm(points, axis=1)[:, None]  # equal norms, equally far from the pivot: no tile can be ruled out
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(points.tolist())], "id long, v array<double>").repartition(4)
+    protos = rows.where("id % 2 = 0").select(F.col("id").alias("class"), F.col("v").alias("vector"))
+    files = lambda: {f.getPath(): f.length() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles())}
+    before = files()
+    near = P.nearest_indexed(rows.withColumn("own", F.col("id")), protos, "v", "id", rank_of="own", size=8).collect()
+    written = sum(size for path, size in files().items() if path not in before)
+    assert written < 12 * points.nbytes  # 129 times with a copy of the rows for each tile, 5.5 without
+    far = np.linalg.norm(points[:, None] - points[None, ::2], axis=2)
+    order = far.argsort(axis=1) * 2
+    got = {r["id"]: r for r in near}
+    assert [(got[i]["nearest_class"], got[i]["second_class"], got[i]["class_rank"]) for i in range(1500)] == [(a, b, None if i % 2 else 1) for i, (a, b) in enumerate(order[:, :2].tolist())]
+
+
+@pytest.mark.parametrize(("size", "page"), [(4, 7), (64, 2048)])
+def test_equal_vectors_and_repeated_classes_keep_their_order(spark, monkeypatch, size, page):
+    monkeypatch.setattr(P, "BLOCK", 16)
+    monkeypatch.setattr(P, "PAGE", page)
+    random = np.random.default_rng(3)
+    few = random.normal(size=(6, 3))
+    members = [(None if i % 50 == 7 else int(i // 2 * 2 if i < 40 else i), few[random.integers(6)].tolist()) for i in range(240)]
+    protos = spark.createDataFrame(members, "class long, vector array<double>")
+    asked = [(i, (few[i % 6] if i % 3 else random.normal(size=3)).tolist(), None if i % 9 == 0 else 41 + int(random.integers(220))) for i in range(60)]
+    rows = spark.createDataFrame(asked, "id long, v array<double>, own long")
+    got = {r["id"]: r for r in P.nearest_indexed(rows, protos, "v", "id", rank_of="own", size=size).collect()}
+    vectors = dict(members)
+    key = lambda d, c: (d, c is not None, c or 0)
+    apart = lambda a, b: float(np.sqrt(np.cumsum((np.array(a) - np.array(b)) ** 2)[-1]))
+    for i, v, own in asked:
+        ranked = sorted(key(apart(v, m), c) for c, m in members)
+        first, second = (c if there else None for _, there, c in ranked[:2])
+        mine = None if own is None or own not in vectors else key(apart(v, vectors[own]), own)
+        rank = None if mine is None else sum(k < mine for k in ranked) + 1
+        assert (got[i]["nearest_class"], got[i]["second_class"], got[i]["nearest_distance"], got[i]["class_rank"]) == (first, second, ranked[0][0], rank)
+
+
+def test_without_prototypes_nothing_is_near(spark):
+    protos = spark.createDataFrame([], "class long, vector array<double>")
+    rows = spark.createDataFrame([(1, [0.5, 1.0], 3), (2, None, None), (None, [1.0, 1.0], 1)], "id long, v array<double>, own long")
+    got = P.nearest_indexed(rows, protos, "v", "id", rank_of="own").collect()
+    assert sorted((r["id"] or 0, r["nearest_class"], r["distance_margin"], r["class_rank"]) for r in got) == [(0, None, None, None), (1, None, None, None), (2, None, None, None)]
+    some = spark.createDataFrame([(7, [0.0, 0.0])], "class long, vector array<double>")
+    none = P.nearest_indexed(rows.where("id > 5"), some, "v", "id").collect()
+    one = P.nearest_indexed(rows.where("id = 1"), some, "v", "id").first()
+    assert none == [] and (one["nearest_class"], one["second_class"], one["nearest_distance"]) == (7, None, np.sqrt(1.25))

@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
+from itertools import chain
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from tracelight.functions import vectors as V
+from tracelight.operators import tiles as T
 from tracelight.operators.ranking import same_keys, slot_ranked
 from tracelight.operators.robust import SMALL_GROUP, deviation_scores, grouped_medians
 from tracelight.session import stored
 
 #: Prototypes that may be listed in one value.
 LISTED = 1024
-#: Rows that meet a tile of the prototype index together.
-BLOCK = 256
+#: Rows, and members of tiles of the prototype index, that meet together at most.
+BLOCK, PAGE = 1024, 2048
+#: Packed rows on their way through the tiles.
+BLOCK_ROW = "_needs array<int>, _block_no string, _block binary"
+#: A packed vector; its width is -1 if it or one of its values is null.
+PACKED = StructType([StructField("width", IntegerType()), StructField("values", BinaryType())])
 
 
 def class_dimension(df: DataFrame, classes: Sequence, name: str = "class") -> DataFrame:
@@ -174,8 +180,8 @@ def prototype_index(prototypes: DataFrame, size: int = 256) -> tuple[DataFrame,
     """(tiles, pivot) of the available prototypes, for :func:`nearest_indexed`.
 
     Prototypes are ordered by norm and cut into ranges, each range is ordered by distance to a pivot and cut
-    again, all by exact ranks. A tile keeps its members and the bounds of both quantities. There are about a thousand
-    tiles at most, of ``size`` members or more.
+    again, all by exact ranks. A tile keeps its members (packed) and the bounds of both quantities. There are about a thousand
+    tiles at most, of ``size`` members or more. Ranks are taken without the vectors, which move once, to their tile.
     """
     usable = prototypes.where(F.col("vector").isNotNull()).select("class", "vector")
     head = usable.agg(F.count(F.lit(1)).alias("n"), F.min_by("vector", "class").alias("pivot")).first()
@@ -189,101 +195,146 @@ def prototype_index(prototypes: DataFrame, size: int = 256) -> tuple[DataFrame,
     def slot(value: str) -> Column:
         return F.floor(F.log1p(value) * 256)
 
-    placed = slot_ranked(measured, groups=[], slot=slot("_norm"), order=["_norm", "class"], rank="_place", total="_rows")
+    placed = slot_ranked(measured.drop("vector"), groups=[], slot=slot("_norm"), order=["_norm", "class"], rank="_place", total="_rows")
     placed = placed.withColumn("_outer", F.floor((F.col("_place") - 1) * outer / F.col("_rows"))).drop("_place", "_rows")
     placed = slot_ranked(placed, groups=["_outer"], slot=slot("_far"), order=["_far", "class"], rank="_place", total="_rows")
-    tile = F.col("_outer") * inner + F.floor((F.col("_place") - 1) * inner / F.col("_rows"))
-    tiles = placed.groupBy(tile.cast("int").alias("_tile")).agg(
-        F.array_sort(F.collect_list(F.struct("class", "vector"))).alias("_members"),
+    place = F.floor((F.col("_place") - 1) * inner / F.col("_rows"))
+    first = placed.groupBy("_outer", place.alias("_inner")).agg(
+        F.min(F.struct("_norm", "class")).alias("_from"), F.min(F.struct("_far", "class")).alias("at")
+    )  # a row per tile
+    ranges = first.groupBy("_outer").agg(
+        F.min("_from").alias("at"), F.array_sort(F.collect_list(F.struct("at", F.col("_inner").alias("number")))).alias("inner")
+    )
+    cuts = ranges.agg(F.array_sort(F.collect_list(F.struct("at", F.col("_outer").alias("number"), "inner")))).scalar()
+
+    def last(starts: Column, *key: str) -> Column:
+        """The range that a key lies in."""
+        return F.get(F.filter(starts, lambda c: c["at"] <= F.struct(*key)), F.size(F.filter(starts, lambda c: c["at"] <= F.struct(*key))) - 1)
+
+    ranged = measured.withColumn("_cuts", cuts).withColumn("_range", last(F.col("_cuts"), "_norm", "class")).drop("_cuts")
+    tile = F.col("_range.number") * inner + last(F.col("_range.inner"), "_far", "class")["number"]
+    dealt = _packed(ranged.select(tile.cast("int").alias("_tile"), "class", "vector", "_norm", "_far"), "vector")
+    tiles = dealt.groupBy("_tile").agg(
+        F.collect_list(F.struct("class", "vector")).alias("_members"),
         F.min("_norm").alias("_norm_low"), F.max("_norm").alias("_norm_high"),
         F.min("_far").alias("_far_low"), F.max("_far").alias("_far_high"),
     )
     return stored(tiles, "prototype-tiles"), pivot
 
 
-def _once(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once for the row; an inner function would work it out for every element."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _whole(vector: Column | str) -> Column:
-    """Whether a vector has a distance at all: it is there, and so are its values."""
-    return F.coalesce(F.forall(vector, lambda x: x.isNotNull()), F.lit(False))
-
-
-def _apart(rows: np.ndarray, members: np.ndarray) -> np.ndarray:
-    """Distances of all rows to all members, added up in the order of the components as ``V.l2_distance`` does."""
-    total = np.zeros((len(rows), len(members)))
-    with np.errstate(all="ignore"):
-        for x, m in zip(rows.T, members.T, strict=True):
-            total += (x[:, None] - m[None, :]) ** 2
-    return np.sqrt(total)
-
-
-def _met(block: pd.DataFrame) -> Iterator[list]:
-    """Per visit of a block: places of the two nearest members with their distances, and how many are nearer than the own class."""
-    for visits, members in zip(block["_visits"], block["_members"], strict=True):
-        classes = [m["class"] for m in members]  # in class order, nulls first
-        unnamed = sum(c is None for c in classes)
-        order, far = np.arange(len(members)), np.full((len(visits), len(members)), np.nan)
-        known = np.zeros(far.shape, dtype=bool)  # a distance that is not known comes first, as null does in Spark
-        sizes = {}
-        for i, m in enumerate(members):
-            if m["whole"]:
-                sizes.setdefault(len(m["vector"]), ([], []))[0].append(i)
-        for j, v in enumerate(visits):
-            if v["whole"] and len(v["v"]) in sizes:
-                sizes[len(v["v"])][1].append(j)
-        for mine, own in sizes.values():
-            if own:
-                x, y = (np.array([r[n] for r in side], dtype=float) for side, n in (([visits[j] for j in own], "v"), ([members[i] for i in mine], "vector")))
-                far[np.ix_(own, mine)], known[np.ix_(own, mine)] = _apart(x, y), True
-        nearest = np.lexsort((np.broadcast_to(order, far.shape), far, known), axis=-1)[:, :2]  # not a number comes last
-        own_far = np.array([np.nan if v["far"] is None else v["far"] for v in visits])[:, None]
-        before = np.array([0 if v["far"] is None else unnamed + bisect_left(classes, v["own"], unnamed) for v in visits])[:, None]
-        less = np.where(np.isnan(own_far), ~np.isnan(far), far < own_far)
-        tied = np.where(np.isnan(own_far), np.isnan(far), far == own_far)
-        nearer = (~known | less | (tied & (order < before))).sum(axis=1)
-        yield [
-            {
-                "id": v["id"],
-                "two": [{"distance": float(d[p]) if k[p] else None, "class": classes[p]} for p in places],
-                "nearer": None if v["far"] is None else int(n),
-            }
-            for v, d, k, places, n in zip(visits, far, known, nearest, nearer, strict=True)
-        ]
-
-
-def _visited(visits: DataFrame, members: DataFrame, identity: str) -> DataFrame:
-    """Visits with the best two of their tile (``_two``) and, where the own class has a distance, the members nearer than it.
-
-    The visits of a tile travel in blocks of about ``BLOCK`` rows. A block meets its tile once, in an equi-join, and
-    its distances are one array operation, so a task holds a block and a tile.
-    """
-    kind = lambda df, c: df.schema[c].dataType.simpleString()
-    label = members.schema["_members"].dataType.elementType["class"].dataType.simpleString()
-    visit = F.struct(
-        F.col(identity).alias("id"), F.col("_v").alias("v"), F.col("_own").alias("own"),
-        F.col("_own_far").alias("far"), _whole("_v").alias("whole"),
-    )
-    crowds = visits.groupBy("_tile").agg(F.count(F.lit(1)).alias("_rows"))
-    crowds = crowds.select("_tile", F.ceil(F.col("_rows") / BLOCK).alias("_blocks"))
-    dealt = visits.join(F.broadcast(crowds), "_tile").withColumn("_block", F.pmod(F.xxhash64(identity), "_blocks"))
-    blocks = dealt.groupBy("_tile", "_block").agg(F.collect_list(visit).alias("_visits"))
-    listed = members.select(
-        "_tile",
-        F.transform("_members", lambda m: F.struct(m["class"].alias("class"), m["vector"].alias("vector"), _whole(m["vector"]).alias("whole"))).alias("_members"),
-    )
+def _packed(df: DataFrame, vector: str) -> DataFrame:
+    """The vectors of a column as (width, values), values in four bytes where that loses nothing; packed ones stay as they are."""
+    if isinstance(df.schema[vector].dataType, StructType):
+        return df
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths, values = T.vectors(batch[vector])
+            packed = pa.StructArray.from_arrays([pa.array(widths, pa.int32()), pa.array(values, pa.binary())], ["width", "values"])
+            yield batch.set_column(batch.schema.get_field_index(vector), vector, packed)
+
+    schema = StructType([StructField(f.name, PACKED if f.name == vector else f.dataType) for f in df.schema])
+    return df.withColumn(vector, F.col(vector).cast("array<double>")).mapInArrow(run, schema)
+
+
+def _paged(members: DataFrame) -> DataFrame:
+    """Pages (``_tiles``, ``_page_no``, ``_page``) of about ``PAGE`` members of tiles, packed and stored."""
+    one = members.select("_tile", F.explode("_members").alias("_m"))
+    one = _packed(one.select("_tile", F.col("_m.class").alias("class"), F.col("_m.vector").alias("vector")), "vector")
+    size = PAGE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+
+        def rows() -> Iterator[tuple]:
+            for batch in chain([first], batches):
+                yield from zip(batch["_tile"].to_pylist(), batch["class"].to_pylist(), *T.unpacked(batch["vector"]), strict=True)
+
+        for i, (tiles, page) in enumerate(T.paged(rows(), first.schema.field("class").type, size)):
+            yield pa.RecordBatch.from_pydict({"_tiles": pa.array([tiles], pa.list_(pa.int32())), "_page_no": [f"{TaskContext.get().partitionId()}-{i}"], "_page": [page]})
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for i in range(len(frame)):
-                yield pd.DataFrame({"_found": list(_met(frame.iloc[i : i + 1]))})
+    return stored(one.mapInArrow(run, "_tiles array<int>, _page_no string, _page binary"), "prototype-pages")
 
-    found = f"array<struct<id:{kind(visits, identity)},two:array<struct<distance:double,class:{label}>>,nearer:int>>"
-    met = blocks.join(listed, "_tile").select("_visits", "_members").mapInPandas(run, f"_found {found}")
-    one = met.select(F.explode("_found").alias("_f"))
-    return one.select(F.col("_f.id").alias(identity), F.col("_f.two").alias("_two"), F.col("_f.nearer").alias("_nearer"))
+
+def _blocks(visits: DataFrame, identity: str, bounds: T.Bounds | None) -> DataFrame:
+    """Blocks (``_needs``, ``_block_no``, ``_block``) of about ``BLOCK`` visits whose home tiles are neighbours; ``_needs`` lists those."""
+    types = visits.schema
+    kept = {"id": identity, "own": "_own", "v": "_v", "far": "_own_far", "own_v": "_own_v", "home": "_tile"}
+    asked = _packed(visits, "_v").select([F.col(c).alias(name) for name, c in kept.items() if c in visits.columns])
+    size = BLOCK
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            widths, values = T.unpacked(batch["v"])
+            names = batch.schema.names
+            far = batch["far"] if "far" in names else T.between((widths, values), T.unpacked(batch["own_v"]))
+            home = batch["home"].cast(pa.int32()) if bounds is None else pa.array(bounds.home(*T.measured(T.matrices(widths, values), len(widths), bounds.pivot)), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["own"], far, pa.array(widths, pa.int32()), pa.array(values, pa.binary()), home], ["id", "own", "far", "width", "v", "home"])
+
+    schema = StructType([StructField("id", types[identity].dataType), StructField("own", types["_own"].dataType), StructField("far", DoubleType()), StructField("width", IntegerType()), StructField("v", BinaryType()), StructField("home", IntegerType())])
+    near = asked.mapInArrow(placed, schema).repartitionByRange("home", F.xxhash64("id")).sortWithinPartitions("home")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = next(batches, None)
+        if first is None:
+            return
+        rows = (row for batch in chain([first], batches) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for i, held in enumerate(T.pieces(rows, size, 4)):
+            yield _block_row(T.Block(first.schema.field("id").type, held), None, i)
+
+    return near.mapInArrow(blocks, BLOCK_ROW)
+
+
+def _block_row(block: T.Block, bounds: T.Bounds | None, number: object) -> pa.RecordBatch:
+    needs = sorted(set(block.home.tolist())) if bounds is None else block.needs(bounds)
+    return pa.RecordBatch.from_pydict({"_needs": pa.array([needs], pa.list_(pa.int32())), "_block_no": [str(number)], "_block": [block.dumps()]})
+
+
+def _swept(pages: DataFrame, blocks: DataFrame, bounds: T.Bounds | None, first: bool, out: str | StructType) -> DataFrame:
+    """Blocks after they met the pages they need: first the home tiles of their rows, then all other tiles in reach.
+
+    A task holds some blocks and reads the pages as one stream, so neither is copied to a disk for the other, and a row leaves its
+    task with the best two of all its tiles.
+    """
+    pairs = pages.coalesce(1).join(blocks.hint("shuffle_replicate_nl"), F.arrays_overlap("_tiles", "_needs"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: dict[str, T.Block] = {}
+        at, page = None, None
+        for batch in batches:
+            for i, (page_no, block_no) in enumerate(zip(batch["_page_no"].to_pylist(), batch["_block_no"].to_pylist(), strict=True)):
+                if page_no != at:
+                    at, page = page_no, T.Page(batch["_page"][i].as_buffer())
+                if block_no not in met:
+                    met[block_no] = T.Block.loads(batch["_block"][i].as_buffer())
+                block = met[block_no]
+                block.meet(page, block.home[:, None] == page.tiles if first else block.near(bounds, page.tiles))
+        for block_no, block in met.items():
+            if first and bounds is not None:
+                yield _block_row(block, bounds, block_no)
+            else:
+                yield pa.RecordBatch.from_arrays(list(block.found()), ["_id", "_two", "_nearer"])
+
+    return pairs.select("_page_no", "_page", "_block_no", "_block").mapInArrow(run, out)
+
+
+def _visited(visits: DataFrame, members: DataFrame, identity: str, bounds: T.Bounds | None = None) -> DataFrame:
+    """Visits with the best two members they met (``_two``) and, where the own class has a distance, the members nearer than it.
+
+    A visit names its own class (``_own``), the distance of that (``_own_far``) or its packed vector (``_own_v``), and the
+    tile it meets (``_tile``). With ``bounds`` it first meets the tile that its norm and its distance to
+    the pivot point to, and then all tiles that the best two and the own class do not rule out.
+    """
+    label = members.schema["_members"].dataType.elementType["class"].dataType
+    two = ArrayType(StructType([StructField("distance", DoubleType()), StructField("class", label)]))
+    found = StructType([StructField("_id", visits.schema[identity].dataType), StructField("_two", two), StructField("_nearer", LongType())])
+    pages = _paged(members)
+    met = _swept(pages, _blocks(visits, identity, bounds), bounds, True, found if bounds is None else BLOCK_ROW)
+    if bounds is not None:
+        met = _swept(pages, met, bounds, False, found)
+    return met.withColumnRenamed("_id", identity)
 
 
 def nearest_indexed(
@@ -298,41 +349,20 @@ def nearest_indexed(
 
     A row first meets the tile that its norm and its distance to the pivot point to, and the prototype of its own
     class. Both give distances that the answer cannot exceed, and by the triangle inequality a tile matters only if
-    its ranges come that close. Those tiles meet the row in an equi-join and return its best two and the number of nearer
-    prototypes, which are merged per ``identity`` (unique, not null). ``class_rank`` is null for classes without prototype.
+    its ranges come that close. Rows meet those tiles in blocks, and a row's best two and its number of nearer
+    prototypes are merged per ``identity`` (unique, not null). ``class_rank`` is null for classes without prototype.
     """
     tiles, pivot = prototype_index(prototypes, size)
-    bounds = F.struct("_tile", "_norm_low", "_norm_high", "_far_low", "_far_high")
-    listed = tiles.agg(F.collect_list(bounds).alias("_bounds")).scalar()  # about a thousand at most
-    center = F.array(*[F.lit(float(x)) for x in pivot]).cast("array<double>")
+    bounds = T.Bounds(tiles.select("_tile", "_norm_low", "_norm_high", "_far_low", "_far_high").collect(), pivot)  # about a thousand at most
     own = F.col(rank_of) if rank_of else F.lit(None).cast(prototypes.schema["class"].dataType)
-    known = rows.select(identity, F.col(vector).alias("_v"), own.alias("_own"))
+    known = rows.where(F.col(identity).isNotNull()).select(identity, F.col(vector).alias("_v"), own.alias("_own"))
+    known = _packed(known, "_v")
     if rank_of:
-        of = prototypes.where(F.col("vector").isNotNull()).select(F.col("class").alias("_own"), F.col("vector").alias("_own_vector"))
-        known = known.join(of, "_own", "left").withColumn("_own_far", V.l2_distance("_v", "_own_vector")).drop("_own_vector")
+        of = prototypes.where(F.col("vector").isNotNull()).select(F.col("class").alias("_own"), F.col("vector").alias("_own_v"))
+        known = known.join(_packed(of, "_own_v"), "_own", "left")
     else:
         known = known.withColumn("_own_far", F.lit(None).cast("double"))
-    measured = known.withColumns({"_n": V.l2_norm("_v"), "_d": V.l2_distance("_v", center), "_list": listed})
-
-    def gap(b: Column, at: Column) -> Column:
-        """No member of the tile is nearer; a margin covers rounding."""
-        apart = F.greatest(
-            F.lit(0.0), b["_norm_low"] - at["n"], at["n"] - b["_norm_high"], b["_far_low"] - at["d"], at["d"] - b["_far_high"]
-        )
-        return F.greatest(F.lit(0.0), apart - (at["n"] + at["d"]) * 1e-9)
-
-    def gaps(at: Column) -> Column:
-        middle = lambda b: F.abs(at["d"] - (b["_far_low"] + b["_far_high"]) / 2)
-        return F.transform("_list", lambda b: F.struct(gap(b, at).alias("gap"), middle(b).alias("middle"), b["_tile"].alias("tile")))
-
-    measured = measured.withColumn("_gaps", _once(F.struct(F.col("_n").alias("n"), F.col("_d").alias("d")), gaps)).drop("_list", "_n", "_d")
-    members = tiles.select("_tile", "_members")
-    home = measured.withColumn("_tile", F.array_min("_gaps")["tile"]).join(members, "_tile")
-    second = F.get(_distances(F.col("_v"), F.col("_members")), F.lit(1))["distance"]
-    reach = F.greatest(F.coalesce(second, F.lit(float("inf"))), F.col("_own_far"))
-    close = _once(reach, lambda r: F.filter("_gaps", lambda g: g["gap"] <= r))
-    visits = home.select(identity, "_v", "_own", "_own_far", F.explode(F.transform(close, lambda g: g["tile"])).alias("_tile"))
-    part = _visited(visits, members, identity)
+    part = _visited(known, tiles.select("_tile", "_members"), identity, bounds)
     merged = part.groupBy(identity).agg(
         F.slice(F.array_sort(F.flatten(F.collect_list("_two"))), 1, 2).alias("_best"),
         (F.sum("_nearer") + 1).cast("int").alias("_rank"),
